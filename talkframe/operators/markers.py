@@ -241,15 +241,10 @@ def section_rates(paired: DataFrame, markers, exclude=None, keep=None,
         section.setdefault(e.category, e.section or "Other")
     parts = [F.struct(F.lit(section[m]).alias("section"), F.col(f"{left}_mk_{_col_name(m)}").alias("l"),
                       F.col(f"{right}_mk_{_col_name(m)}").alias("r")) for m in categories(markers)]
-    # token totals ride along as one pseudo-section so a single aggregate suffices
-    parts.append(F.struct(F.lit("__tokens__").alias("section"), F.col(f"{left}_tokens").alias("l"),
-                          F.col(f"{right}_tokens").alias("r")))
     g = paired.select(F.inline(F.array(*parts))).groupBy("section").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    everything = Window.partitionBy()  # over the handful of grouped section rows only
-    g = g.select("section", "l", "r",
-                 F.max(F.when(F.col("section") == "__tokens__", F.col("l"))).over(everything).alias("lt"),
-                 F.max(F.when(F.col("section") == "__tokens__", F.col("r"))).over(everything).alias("rt"))
-    g = g.where(F.col("section") != "__tokens__")
+    tokens = paired.agg(F.sum(f"{left}_tokens"), F.sum(f"{right}_tokens"))
+    g = g.select("section", "l", "r", tokens.select(F.col(tokens.columns[0])).scalar().alias("lt"),
+                 tokens.select(F.col(tokens.columns[1])).scalar().alias("rt"))
     if exclude:
         g = g.where(~F.col("section").isin(*exclude))
     if keep:
