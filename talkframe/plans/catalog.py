@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load_all():
-    from talkframe.plans import q_diversity, q_emotion, q_labels, q_lengths, q_markers, q_scores, q_similarity, q_turns  # noqa: F401
+    from talkframe.plans import q_diversity, q_emotion, q_labels, q_lengths, q_markers, q_misc, q_scores, q_similarity, q_turns  # noqa: F401
 
 
 def queries() -> dict[str, Callable]:
