@@ -45,12 +45,16 @@ def scan_sessions(spark: SparkSession, data_dir: str, recursive: bool = False, k
     A missing folder gives an empty frame.
     """
     if not path_exists(spark, data_dir):
-        return spark.createDataFrame([], SESSION_FILE.add("file_path", "string").add("session_id", "bigint")
-                                     .add("corrupt", "boolean"))
+        from pyspark.sql import types as T
+        empty = T.StructType(SESSION_FILE.fields + [T.StructField("file_path", T.StringType()),
+                                                    T.StructField("session_id", T.LongType()),
+                                                    T.StructField("corrupt", T.BooleanType())])
+        return spark.createDataFrame([], empty)
     df = _json_reader(spark, SESSION_FILE, recursive).json(data_dir)
     df = df.select("*", F.col("_metadata.file_path").alias("file_path"))
     df = df.withColumn("session_id", session_id_from_name(_file_name(F.col("file_path"))))
-    df = df.withColumn("corrupt", F.col("_corrupt_record").isNotNull())
+    # unreadable JSON, or a document without a messages array, is not a session
+    df = df.withColumn("corrupt", F.col("_corrupt_record").isNotNull() | F.col("messages").isNull())
     if not keep_corrupt:
         df = df.where(~F.col("corrupt"))
     return df
@@ -172,7 +176,7 @@ def read_with_variants(spark: SparkSession, data_dir: str) -> DataFrame:
     alt = (_json_reader(spark, SESSION_FILE).option("pathGlobFilter", "session_*_turn.json").json(data_dir)
            .select("*", F.col("_metadata.file_path").alias("file_path")))
     alt = alt.withColumn("session_id", F.regexp_extract(_file_name(F.col("file_path")), r"^session_(\d+)_turn\.json$", 1)
-                         .try_cast("bigint")).withColumn("corrupt", F.col("_corrupt_record").isNotNull())
+                         .try_cast("bigint")).withColumn("corrupt", F.col("_corrupt_record").isNotNull() | F.col("messages").isNull())
     parts.append(alt.where(~F.col("corrupt") & F.col("session_id").isNotNull()).withColumn("priority", F.lit(2)))
     u = parts[0]
     for p in parts[1:]:
