@@ -53,8 +53,9 @@ def strict_words(c, stop_words=None) -> Column:
     cleaned = F.regexp_replace(F.lower(F.coalesce(_c(c), F.lit(""))), r"(?U)[^\w\s]", "")
     toks = words(cleaned)
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in sorted(stop_words)])
-        toks = F.filter(toks, lambda x: ~F.array_contains(stop, x))
+        # ``NOT IN`` a literal list becomes a hash-set lookup (InSet) in the optimizer
+        stop = sorted(set(stop_words))
+        toks = F.filter(toks, lambda x: ~x.isin(*stop))
     return toks
 
 
@@ -63,8 +64,9 @@ def clean_words(c, stop_words=None) -> Column:
     cleaned = F.translate(F.lower(F.coalesce(_c(c), F.lit(""))), ASCII_PUNCTUATION, "")
     toks = words(cleaned)
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in sorted(stop_words)])
-        toks = F.filter(toks, lambda x: ~F.array_contains(stop, x))
+        # ``NOT IN`` a literal list becomes a hash-set lookup (InSet) in the optimizer
+        stop = sorted(set(stop_words))
+        toks = F.filter(toks, lambda x: ~x.isin(*stop))
     return toks
 
 
@@ -75,13 +77,16 @@ def rouge_tokens(c) -> Column:
 
 
 def ngrams(arr, n: int) -> Column:
-    """Array of n-grams (each joined by a space); empty when size < n."""
+    """Array of n-grams (each joined by a space); empty when size < n.
+
+    Built by zipping n shifted slices (no per-position sequence/slice lambdas)."""
     arr = _c(arr)
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(arr) - n),
-        lambda i: F.array_join(F.slice(arr, i + 1, n), " "),
-    )
-    return F.when(F.size(arr) >= n, grams).otherwise(F.array().cast("array<string>"))
+    k = F.size(arr) - (n - 1)
+    shifted = [F.slice(arr, i + 1, F.greatest(k, F.lit(0))) for i in range(n)]
+    grams = F.zip_with(shifted[0], shifted[1], lambda x, y: F.concat(x, F.lit(" "), y))
+    for nxt in shifted[2:]:
+        grams = F.zip_with(grams, nxt, lambda x, y: F.concat(x, F.lit(" "), y))
+    return F.when(k > 0, grams).otherwise(F.array().cast("array<string>"))
 
 
 def jaccard_pct(a, b) -> Column:

@@ -35,8 +35,7 @@ def _jac(a, b):
 _CTES = [
     """pt AS (SELECT corpus, session_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS patient_text
               FROM turns WHERE role = 'assistant' GROUP BY corpus, session_id)""",
-    f"""j AS (SELECT pt.*, d.text AS situation FROM pt JOIN documents d ON d.doc_id = pt.session_id
-             WHERE length({s_strip('d.text')}) > 0)""",
+    """j AS (SELECT pt.*, d.text AS situation FROM pt JOIN documents d ON d.doc_id = pt.session_id WHERE d.text <> '')""",
     f"""c AS (SELECT corpus, session_id, {_clean('patient_text')} AS cw, {_clean('situation')} AS tw FROM j)""",
     f"""c2 AS (SELECT *, {_bigrams('cw')} AS cb, {_bigrams('tw')} AS tb,
               {_rouge("array_to_string(cw, ' ')")} AS cr, {_rouge("array_to_string(tw, ' ')")} AS tr FROM c)""",
