@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkframe.operators.turns import normalize_backend
+from talkframe.session import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if spread_rows else df
 
 
 def turns_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = table(spark, sf_dir, "conversations")
+    conv = table(spark, sf_dir, "conversations", spread_rows=True)
     sid = F.expr("conv_id div 2")
     backend_raw = (F.when(sid % 4 == 0, "hosted_vllm_openai_gpt-oss-120b")
                    .when(sid % 4 == 1, "openai_gpt-oss-120b")

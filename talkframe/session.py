@@ -64,3 +64,18 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def spread(df):
+    """Parallelism floor for small inputs with CPU-heavy rows.
+
+    A small table stored as one row group is scanned by a single task, and all
+    per-row text work before the first shuffle runs there.  When a scan yields
+    fewer partitions than the cluster's default parallelism, deal its rows
+    round-robin; a large input (already many splits) is returned untouched, so
+    this never adds a shuffle at scale.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
