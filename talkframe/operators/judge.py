@@ -51,10 +51,6 @@ def rule_conversation_judge(batch: pd.DataFrame) -> pd.Series:
     return batch["transcript"].map(judge)
 
 
-def rule_emotion_scorer(batch: pd.DataFrame) -> pd.DataFrame:  # pragma: no cover - example hook
-    raise NotImplementedError("emotion scoring defaults to the lexicon form in talkframe.operators.emotion")
-
-
 # --- hook runners --------------------------------------------------------------
 
 def _run_hook(requests: DataFrame, hook: Callable, out_col: str, keep: list[str]) -> DataFrame:
@@ -108,3 +104,27 @@ def parse_conversation_labels(replies: DataFrame) -> DataFrame:
 def parse_errors(replies: DataFrame) -> DataFrame:
     """Sessions whose reply could not be parsed (rerun candidates)."""
     return replies.where(parse_label_json(F.col("raw_reply")).isNull()).select(*SESSION, "raw_reply")
+
+
+def score_texts(df: DataFrame, scorer: Callable, out_schema: str, keep: list[str]) -> DataFrame:
+    """Run any batch scorer ``scorer(pdf) -> pdf`` (one output row per input
+    row, columns ``out_schema``) over Arrow batches; a failed batch yields nulls.
+    The default emotion and sequence scorers are the SQL forms in
+    ``operators.emotion`` and ``operators.scores``; this is the hook for models."""
+    out_cols = [c.strip().split(" ")[0] for c in out_schema.split(",")]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
+    schema += ", " + out_schema
+
+    def run(batches):
+        for pdf in batches:
+            out = pdf[keep].copy()
+            try:
+                scored = scorer(pdf)
+                for c in out_cols:
+                    out[c] = scored[c].values
+            except Exception:  # noqa: BLE001 - failure contract
+                for c in out_cols:
+                    out[c] = None
+            yield out
+
+    return df.mapInPandas(run, schema)

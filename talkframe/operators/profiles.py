@@ -117,6 +117,7 @@ def flatten_ccd(df: DataFrame, ccd_col: str = "ccd", style_col: str | None = Non
     if style_col is not None:
         spark = df.sparkSession
         st = styles if styles is not None else spark.createDataFrame(list(DEFAULT_STYLES.items()), "style string, style_description string")
+        st = st.select(F.col("style").alias("_style_key"), "style_description")
         # the style table is a fixed handful of rows
-        out = out.join(F.broadcast(st), F.lower(F.col(style_col)) == st["style"], "left").drop("style")
+        out = out.join(F.broadcast(st), F.lower(F.col(style_col)) == F.col("_style_key"), "left").drop("_style_key")
     return out

@@ -193,3 +193,30 @@ SELECT corpus, session_id, count(*) AS n_patient FROM turns WHERE lower(role) =
 def p11_session_turn_counts(spark, sf_dir):
     """P11 helper: patient messages per session (LD rule: empties counted)."""
     return session_turn_counts(turns_only(spark, sf_dir))
+
+
+# Fixed values (ours): routing of names to the test table's document sources.
+TEST_SOURCE_ROUTES = {"src1": ["src1"], "all": ["src0", "src1", "src2"]}
+
+
+@query("s6_source_routing", """
+SELECT source, count(*) AS docs, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents
+WHERE source IN ('src0', 'src1', 'src2') GROUP BY source""")
+def s6_source_routing(spark, sf_dir):
+    """A corpus routed by name to its sources ("all" = three sources); the IN
+    filter reaches the parquet scan."""
+    from talkframe.sources.corpus import route_sources
+    d = route_sources(table(spark, sf_dir, "documents"), "all", TEST_SOURCE_ROUTES)
+    return d.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").cast("bigint").alias("chars"))
+
+
+@query("s8_parse_json_text", """
+SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+       CASE WHEN json_valid(props) THEN NULL ELSE props END AS props_raw
+FROM events WHERE lower(event_type) = lower('CLICK')""")
+def s8_parse_json_text(spark, sf_dir):
+    """Case-insensitive filter, JSON text parsed with a fixed schema, text that
+    is not JSON kept as is."""
+    e = table(spark, sf_dir, "events").where(F.lower("event_type") == "CLICK".lower())
+    parsed = F.from_json("props", "k bigint")
+    return e.select("event_id", parsed["k"].alias("k"), F.when(parsed.isNull(), F.col("props")).alias("props_raw"))

@@ -124,14 +124,20 @@ def _has_sessions(spark, path):
     return st is not None and len(st) > 0
 
 
+def route_sources(df: DataFrame, name: str, routes: dict, column: str = "source") -> DataFrame:
+    """S6 routing: keep the sources a name routes to (pushed to the scan as an
+    IN filter); an unknown name is an error, as in the reference."""
+    key = name.lower()
+    if key not in routes:
+        raise ValueError(f"Unsupported dataset type: {name}")
+    return df.where(F.col(column).isin(*routes[key]))
+
+
 def read_real_corpus(spark: SparkSession, path: str, name: str = "all", ids: DataFrame | None = None) -> DataFrame:
     """Real corpus parquet routed by name (esc / hope / annomi / all); the
     source filter is pushed to the scan.  ``ids`` (a DataFrame of session_id)
     restricts rows with a semi join; ``None`` means no restriction."""
-    key = name.lower()
-    if key not in REAL_SOURCES:
-        raise ValueError(f"Unsupported dataset type: {name}")
-    df = spark.read.schema(REAL_CORPUS).parquet(path).where(F.col("source").isin(*REAL_SOURCES[key]))
+    df = route_sources(spark.read.schema(REAL_CORPUS).parquet(path), name, REAL_SOURCES)
     if ids is not None:
         df = df.join(ids.select("session_id"), "session_id", "left_semi")
     return df
