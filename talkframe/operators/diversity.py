@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkframe.functions.mtld import mtld_udf
+from talkframe.functions.quantiles import exact_quantiles
 from talkframe.functions.text import strict_words
 from talkframe.lexicons import STRICT_DISFLUENCIES
 from talkframe.operators.turns import SESSION
@@ -121,11 +122,12 @@ def box_summary(results: DataFrame) -> DataFrame:
     """Quartiles (linear), whiskers inside 1.5 IQR, session count per
     strategy × speaker; null MTLD values are left out."""
     r = results.where(F.col("mtld").isNotNull())
-    q = r.groupBy("analysis_type", "speaker_type").agg(
-        F.percentile("mtld", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.count_distinct("session_id").alias("sessions"))
-    q = q.select("analysis_type", "speaker_type", "sessions", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
-                 F.col("q")[2].alias("q3"))
+    keys = ["analysis_type", "speaker_type"]
+    qs = exact_quantiles(r, "mtld", [0.25, 0.5, 0.75], by=keys)
+    qw = qs.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n)
+                                 for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    sessions = r.groupBy(*keys).agg(F.count_distinct("session_id").alias("sessions"))
+    q = sessions.join(qw, keys).select(*keys, "sessions", "q1", "median", "q3")
     # q has one row per (strategy, speaker): at most 4 × 2 rows
     j = r.join(F.broadcast(q), ["analysis_type", "speaker_type"])
     iqr = F.col("q3") - F.col("q1")

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkframe.functions.quantiles import exact_quantiles
 from talkframe.functions.text import strict_words
 from talkframe.operators.turns import SESSION
 
@@ -95,14 +96,16 @@ def score_trend(scores: DataFrame, max_positions: int = 20) -> DataFrame:
 
 
 def clip_bounds(scores: DataFrame, low: float = 0.01, high: float = 0.95) -> DataFrame:
-    """Exact linear percentiles (numpy default) of the score column."""
-    return scores.agg(F.percentile("score", F.array(F.lit(low), F.lit(high))).alias("p"))
+    """Exact linear percentiles (numpy default) of the score column, computed by
+    distributed selection (no single task holds the column)."""
+    return exact_quantiles(scores, "score", [low, high])
 
 
 def clipped_distribution(scores: DataFrame, low: float = 0.01, high: float = 0.95, bins: int = 50):
     """Keep p_low ≤ x ≤ p_high and x > 0; summary and ``bins`` equal bins."""
     p = clip_bounds(scores, low, high)
-    lo, hi = p.select(F.col("p")[0]).scalar(), p.select(F.col("p")[1]).scalar()
+    lo = p.where(F.col("p") == low).select("quantile").scalar()
+    hi = p.where(F.col("p") == high).select("quantile").scalar()
     kept = scores.where((F.col("score") >= lo) & (F.col("score") <= hi) & (F.col("score") > 0))
     summary = kept.agg(F.count(F.lit(1)).alias("kept"), F.avg("score").alias("avg"), F.min("score").alias("min"),
                        F.max("score").alias("max")).select(lo.alias("p_low"), hi.alias("p_high"), "kept", "avg", "min", "max")

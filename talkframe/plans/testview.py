@@ -18,9 +18,19 @@ from talkframe.operators.turns import normalize_backend
 from talkframe.session import spread
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if spread_rows else df
+    """The driver table as a DataFrame; the (immutable) scan plan is reused per
+    session so repeated references skip file listing and footer reads."""
+    key = (id(spark), sf_dir, name, spread_rows)
+    df = _TABLES.get(key)
+    if df is None:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = spread(df) if spread_rows else df
+        _TABLES[key] = df
+    return df
 
 
 def turns_view(spark: SparkSession, sf_dir: str) -> DataFrame:
