@@ -75,7 +75,11 @@ def spread(df):
     round-robin; a large input (already many splits) is returned untouched, so
     this never adds a shuffle at scale.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the plan alone
+        return df
+    if current < target:
         return df.repartition(target)
     return df
