@@ -38,7 +38,9 @@ def train_bigram_model(train_turns: DataFrame):
     bg = t.select(F.inline(_bigrams(F.col("toks"), F.lit(BOS))))
     bigram = bg.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
     context = bigram.groupBy("w1").agg(F.sum("c12").alias("c1"))
-    vocab = t.select(F.explode("toks").alias("w")).agg(F.count_distinct("w").alias("V"))
+    # every training token is the w2 of exactly one bigram occurrence, so the
+    # vocabulary comes from the (already aggregated) bigram table, not a re-scan
+    vocab = bigram.agg(F.count_distinct("w2").alias("V"))
     return bigram, context, vocab
 
 
