@@ -51,6 +51,12 @@ def rule_conversation_judge(batch: pd.DataFrame) -> pd.Series:
     return batch["transcript"].map(judge)
 
 
+def rule_text_scorer(batch: pd.DataFrame) -> pd.DataFrame:
+    """U3/U4 default shape: per text, whitespace words and characters."""
+    t = batch["text"].fillna("")
+    return pd.DataFrame({"n_words": t.str.split().str.len().astype("int64"), "n_chars": t.str.len().astype("int64")})
+
+
 # --- hook runners --------------------------------------------------------------
 
 def _run_hook(requests: DataFrame, hook: Callable, out_col: str, keep: list[str]) -> DataFrame:

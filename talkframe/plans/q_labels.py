@@ -272,3 +272,13 @@ def j9_label_turn_alignment(spark, sf_dir):
     j = lab.join(pt, ["corpus", "session_id", "label_idx"], "inner")
     return j.select("corpus", "session_id", "label_idx", "turn", "label",
                     (F.substring(py_strip("content"), 1, 30) != F.substring(py_strip("text"), 1, 30)).alias("misaligned"))
+
+
+@query("u3_u4_text_scorer_hook", with_turns() + f"""
+SELECT corpus, session_id, turn, CAST(len({s_words('text')}) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_chars
+FROM turns WHERE role = 'assistant'""")
+def u3_u4_text_scorer_hook(spark, sf_dir):
+    """A batch text scorer through the mapInPandas hook (rule scorer:
+    whitespace words and characters of every patient message)."""
+    t = turns_only(spark, sf_dir).where(F.col("role") == "assistant")
+    return J.score_texts(t, J.rule_text_scorer, "n_words bigint, n_chars bigint", ["corpus", "session_id", "turn"])

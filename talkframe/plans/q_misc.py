@@ -104,17 +104,17 @@ def l3_seeded_sample(spark, sf_dir):
     return t.orderBy(F.xxhash64("session_id", F.lit(42)), "session_id").limit(10)
 
 
-_A55 = f"""WITH {{}},
-n AS (SELECT corpus, session_id, CAST(sum(CASE WHEN role IN ('assistant', 'patient') THEN 1 ELSE 0 END) AS BIGINT) AS n_patient,
-         arg_min(role, turn) AS first_role FROM turns GROUP BY corpus, session_id),
-stored AS (SELECT session_id, CAST(least(n_patient, 20) - CASE WHEN first_role IN ('assistant', 'patient') THEN 1 ELSE 0 END AS BIGINT) AS stored
-           FROM n WHERE corpus = 'real'),
-act AS (SELECT session_id, count(*) AS actual FROM turns WHERE corpus = 'synthetic' AND role = 'assistant' AND length({s_strip('text')}) > 0 GROUP BY session_id),
-res AS (SELECT s.session_id, s.stored, CAST(coalesce(a.actual, 0) AS BIGINT) AS actual,
+_A55 = with_turns(
+    """n AS (SELECT corpus, session_id, CAST(sum(CASE WHEN role IN ('assistant', 'patient') THEN 1 ELSE 0 END) AS BIGINT) AS n_patient,
+         arg_min(role, turn) AS first_role FROM turns GROUP BY corpus, session_id)""",
+    """stored AS (SELECT session_id, CAST(least(n_patient, 20) - CASE WHEN first_role IN ('assistant', 'patient') THEN 1 ELSE 0 END AS BIGINT) AS stored
+           FROM n WHERE corpus = 'real')""",
+    f"""act AS (SELECT session_id, count(*) AS actual FROM turns WHERE corpus = 'synthetic' AND role = 'assistant' AND length({s_strip('text')}) > 0 GROUP BY session_id)""",
+    """res AS (SELECT s.session_id, s.stored, CAST(coalesce(a.actual, 0) AS BIGINT) AS actual,
           CASE WHEN s.stored = coalesce(a.actual, 0) THEN 'pass' ELSE 'fail' END AS status,
           CASE WHEN s.stored = coalesce(a.actual, 0) THEN 'ok' ELSE printf('expected %d patient turns, found %d', s.stored, coalesce(a.actual, 0)) END AS message
-        FROM stored s LEFT JOIN act a ON s.session_id = a.session_id)"""
-_A55 = _A55.replace("{}", with_turns()[5:].rstrip())
+        FROM stored s LEFT JOIN act a ON s.session_id = a.session_id)""").rstrip()
+
 
 
 def _validation(spark, sf_dir):
