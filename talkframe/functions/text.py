@@ -90,8 +90,10 @@ def ngrams(arr, n: int) -> Column:
 
 
 def jaccard_pct(a, b) -> Column:
-    """|set(a) ∩ set(b)| / |set(a) ∪ set(b)| × 100, 0 when both are empty."""
+    """|set(a) ∩ set(b)| / |set(a) ∪ set(b)| × 100, 0 when both are empty.
+
+    |union| = |set(a)| + |set(b)| − |intersection|: three hash passes, no union array."""
     a, b = _c(a), _c(b)
-    union = F.size(F.array_union(F.array_distinct(a), F.array_distinct(b)))
     inter = F.size(F.array_intersect(a, b))
+    union = F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - inter
     return F.when(union > 0, inter / union * 100.0).otherwise(F.lit(0.0))
