@@ -87,3 +87,15 @@ def label_progression(labels: DataFrame, per_conv: DataFrame, threshold: int = 1
     keep = per_conv.where(F.col("total_patient_turns") >= threshold).select(*SESSION)
     l = labels.join(keep, SESSION, "left_semi").where(F.col("label_idx") < threshold)
     return l.groupBy("corpus", "label_idx").agg(F.avg(label_number(F.col("label"))).alias("mean_label"))
+
+
+def mismatch_debug(turns: DataFrame, labels: DataFrame, check: DataFrame) -> DataFrame:
+    """A24/S13 quarantine rows: for each session whose label count differs from the
+    expected count, the input messages and the labels received (one row per
+    session, ready for ``sinks.write_session_json``)."""
+    bad = check.where("has_mismatch").select(*SESSION, "expected", "received")
+    msgs = turns.join(bad.select(*SESSION), SESSION, "left_semi").groupBy(*SESSION).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("input_messages"))
+    got = labels.join(bad.select(*SESSION), SESSION, "left_semi").groupBy(*SESSION).agg(
+        F.array_sort(F.collect_list(F.struct("label_idx", "label"))).alias("output_labels"))
+    return bad.join(msgs, SESSION, "left").join(got, SESSION, "left")

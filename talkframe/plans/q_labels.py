@@ -241,11 +241,19 @@ def a35_label_distribution(spark, sf_dir):
 
 
 @query("a36_disagreements", _sql("""
-SELECT corpus, session_id, CAST(idx AS BIGINT) AS idx, a, b, (SELECT count(*) FROM pairs WHERE a <> b) AS total_disagreements
-FROM pairs WHERE a <> b ORDER BY corpus, session_id, idx LIMIT 20"""))
+SELECT p.corpus, p.session_id, CAST(p.idx AS BIGINT) AS idx, p.a, p.b, t.text AS message,
+       (SELECT count(*) FROM pairs WHERE a <> b) AS total_disagreements
+FROM pairs p JOIN (SELECT corpus, session_id, text, row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) - 1 AS idx
+                   FROM turns WHERE role = 'assistant' AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0) t
+  ON p.corpus = t.corpus AND p.session_id = t.session_id AND p.idx = t.idx
+WHERE p.a <> p.b ORDER BY p.corpus, p.session_id, p.idx LIMIT 20"""))
 def a36_disagreements(spark, sf_dir):
-    """First 20 disagreements and the total."""
-    return G.disagreements(judge_pairs(spark, sf_dir), 20)
+    """First 20 disagreements with the patient message, and the total."""
+    d = G.disagreements(judge_pairs(spark, sf_dir), 20)
+    msgs = turn_labels(spark, sf_dir).select("corpus", "session_id", F.col("label_idx").alias("idx"),
+                                             F.col("message").alias("message"))
+    return d.join(msgs, ["corpus", "session_id", "idx"], "inner").select(
+        "corpus", "session_id", "idx", "a", "b", "message", "total_disagreements")
 
 
 @query("a58_progression_comparison", _sql("""
@@ -282,3 +290,12 @@ def u3_u4_text_scorer_hook(spark, sf_dir):
     whitespace words and characters of every patient message)."""
     t = turns_only(spark, sf_dir).where(F.col("role") == "assistant")
     return J.score_texts(t, J.rule_text_scorer, "n_words bigint, n_chars bigint", ["corpus", "session_id", "turn"])
+
+
+@query("a24_mismatch_debug")
+def a24_mismatch_debug(spark, sf_dir):
+    """Quarantine rows (input messages, labels received) for sessions whose
+    label count differs from the expected one; nested output, rows-only check."""
+    t = turns_only(spark, sf_dir)
+    lab = conv_labels(spark, sf_dir)
+    return L.mismatch_debug(t, lab, L.label_count_check(t, lab))

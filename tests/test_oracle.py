@@ -22,5 +22,6 @@ def test_all_queries_match_oracle(spark):
 def test_every_query_has_oracle_or_reason():
     from __spark_entry__ import oracle_sql, queries
     missing = set(queries()) - set(oracle_sql())
-    # only the seeded hash sample has no engine-independent SQL form
-    assert missing <= {"l3_seeded_sample"}, missing
+    # the seeded hash sample has no engine-independent SQL form; the mismatch
+    # debug rows are nested (messages and labels as arrays of structs)
+    assert missing <= {"l3_seeded_sample", "a24_mismatch_debug"}, missing
