@@ -76,10 +76,24 @@ def _run_hook(requests: DataFrame, hook: Callable, out_col: str, keep: list[str]
     return requests.mapInPandas(run, schema)
 
 
-def label_turns(turns: DataFrame, judge: Callable = rule_turn_judge, k: int = 6) -> DataFrame:
-    """One request per non-empty patient turn (W2 history + message) → raw reply."""
+def keep_replies(replies: DataFrame, path: str | None = None) -> DataFrame:
+    """Pin non-deterministic replies so a lost executor never re-asks the model:
+    write them as a table under ``path`` (a shared folder) and read it back, or,
+    without a path, a reliable checkpoint into ``spark.checkpoint.dir``."""
+    if path is None:
+        from talkframe.session import cut_lineage
+        return cut_lineage(replies)
+    replies.write.mode("overwrite").parquet(path)
+    return replies.sparkSession.read.parquet(path)
+
+
+def label_turns(turns: DataFrame, judge: Callable = rule_turn_judge, k: int = 6,
+                keep: bool | str = False) -> DataFrame:
+    """One request per non-empty patient turn (W2 history + message) → raw reply.
+    ``keep`` (True or a table path) pins the replies (see ``keep_replies``)."""
     req = history_windows(turns, k=k)
-    return _run_hook(req, judge, "raw_reply", SESSION + ["turn", "message", "history"])
+    out = _run_hook(req, judge, "raw_reply", SESSION + ["turn", "message", "history"])
+    return keep_replies(out, keep if isinstance(keep, str) else None) if keep else out
 
 
 def parse_turn_labels(replies: DataFrame) -> DataFrame:
@@ -92,10 +106,11 @@ def parse_turn_labels(replies: DataFrame) -> DataFrame:
 
 
 def label_conversations(turns: DataFrame, judge: Callable = rule_conversation_judge,
-                        history_limit: int = 32) -> DataFrame:
+                        history_limit: int = 32, keep: bool | str = False) -> DataFrame:
     """One request per session (P17 transcript) → raw JSON reply."""
     req = transcripts(turns, history_limit=history_limit)
-    return _run_hook(req, judge, "raw_reply", SESSION + ["transcript"])
+    out = _run_hook(req, judge, "raw_reply", SESSION + ["transcript"])
+    return keep_replies(out, keep if isinstance(keep, str) else None) if keep else out
 
 
 def parse_conversation_labels(replies: DataFrame) -> DataFrame:

@@ -69,3 +69,17 @@ def test_u3_u4_scorer_hook(spark):
         raise RuntimeError("model down")
 
     assert J.score_texts(df, broken, "n_words bigint", ["session_id"]).where("n_words IS NULL").count() == 2
+
+
+def test_replies_are_pinned(spark, scratch):
+    from conftest import turns_df
+    t = turns_df(spark, [("s", 1, 0, "user", "hi"), ("s", 1, 1, "assistant", "I feel low")])
+    calls = []
+
+    def judge(pdf):
+        calls.append(len(pdf))
+        return pdf["message"].map(lambda m: "P")
+
+    kept = J.label_turns(t, judge=judge, keep=f"{scratch}/replies")
+    assert kept.count() == 1 and kept.count() == 1
+    assert spark.read.parquet(f"{scratch}/replies").first().raw_reply == "P"
