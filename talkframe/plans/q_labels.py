@@ -240,11 +240,11 @@ def a35_label_distribution(spark, sf_dir):
     return G.label_distribution(judge_pairs(spark, sf_dir), CATS)
 
 
-@query("a36_disagreements", _sql("""
+@query("a36_disagreements", _sql(f"""
 SELECT p.corpus, p.session_id, CAST(p.idx AS BIGINT) AS idx, p.a, p.b, t.text AS message,
        (SELECT count(*) FROM pairs WHERE a <> b) AS total_disagreements
 FROM pairs p JOIN (SELECT corpus, session_id, text, row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) - 1 AS idx
-                   FROM turns WHERE role = 'assistant' AND length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 0) t
+                   FROM turns WHERE role = 'assistant' AND length({s_strip('text')}) > 0) t
   ON p.corpus = t.corpus AND p.session_id = t.session_id AND p.idx = t.idx
 WHERE p.a <> p.b ORDER BY p.corpus, p.session_id, p.idx LIMIT 20"""))
 def a36_disagreements(spark, sf_dir):
@@ -258,8 +258,8 @@ def a36_disagreements(spark, sf_dir):
 
 @query("a58_progression_comparison", _sql("""
 SELECT corpus, session_id, CAST(idx AS BIGINT) AS idx,
-  CASE a WHEN 'P' THEN 1.0 WHEN 'T' THEN 2.0 WHEN 'C' THEN 3.0 WHEN 'F' THEN 0.0 END AS labeler_1,
-  CASE b WHEN 'P' THEN 1.0 WHEN 'T' THEN 2.0 WHEN 'C' THEN 3.0 WHEN 'F' THEN 0.0 END AS labeler_2, a <> b AS disagree
+  CAST(CASE a WHEN 'P' THEN 1 WHEN 'T' THEN 2 WHEN 'C' THEN 3 WHEN 'F' THEN 0 END AS DOUBLE) AS labeler_1,
+  CAST(CASE b WHEN 'P' THEN 1 WHEN 'T' THEN 2 WHEN 'C' THEN 3 WHEN 'F' THEN 0 END AS DOUBLE) AS labeler_2, a <> b AS disagree
 FROM pairs WHERE idx < 15"""))
 def a58_progression_comparison(spark, sf_dir):
     return G.progression_comparison(judge_pairs(spark, sf_dir))

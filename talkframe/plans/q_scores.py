@@ -28,7 +28,7 @@ SELECT (SELECT count(DISTINCT session_id) FROM ev) AS num_conversations, (SELECT
        count(*) AS num_turns, round(coalesce((SELECT avg(m) FROM conv), 0.0), 6) AS conversation_avg,
        round(coalesce((SELECT min(m) FROM conv), 0.0), 6) AS conversation_min, round(coalesce((SELECT max(m) FROM conv), 0.0), 6) AS conversation_max,
        round(coalesce(avg(score), 0.0), 6) AS turn_avg, round(coalesce(min(score), 0.0), 6) AS turn_min, round(coalesce(max(score), 0.0), 6) AS turn_max,
-       0.0 AS avg_loss FROM ev""")
+       CAST(0.0 AS DOUBLE) AS avg_loss FROM ev""")
 def a38_score_summary(spark, sf_dir):
     """A38 on the events score series."""
     return SC.score_summary(event_scores(spark, sf_dir))

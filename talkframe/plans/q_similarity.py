@@ -81,7 +81,7 @@ def a54_similarity_describe(spark, sf_dir):
 WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 t AS (SELECT * FROM e WHERE vec_id % 2 = 0), c AS (SELECT * FROM e WHERE vec_id % 2 = 1),
 b AS (SELECT t.label, t.vec_id, max(list_cosine_similarity(t.v, c.v)) AS best FROM t JOIN c ON t.label = c.label GROUP BY t.label, t.vec_id)
-SELECT label AS doc_id, round(avg(best), 6) AS embedding_recall, count(*) AS n_targets FROM b GROUP BY label""")
+SELECT CAST(label AS BIGINT) AS doc_id, round(avg(best), 6) AS embedding_recall, count(*) AS n_targets FROM b GROUP BY label""")
 def a53_embedding_recall(spark, sf_dir):
     """Per document (label) mean over target vectors (even ids) of the max cosine
     to candidate vectors (odd ids); exact, blocked."""
