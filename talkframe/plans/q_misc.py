@@ -220,3 +220,38 @@ def s8_parse_json_text(spark, sf_dir):
     e = table(spark, sf_dir, "events").where(F.lower("event_type") == "CLICK".lower())
     parsed = F.from_json("props", "k bigint")
     return e.select("event_id", parsed["k"].alias("k"), F.when(parsed.isNull(), F.col("props")).alias("props_raw"))
+
+
+@query("s9_session_ids_from_names", with_turns() + """,
+names AS (SELECT DISTINCT 'session_' || CAST(session_id AS VARCHAR) || CASE WHEN corpus = 'synthetic' THEN '_turn' ELSE '' END || '.json' AS file_name FROM turns)
+SELECT file_name, TRY_CAST(regexp_extract(file_name, '^session_(\\d+)\\.json$', 1) AS BIGINT) AS session_id FROM names""")
+def s9_session_ids_from_names(spark, sf_dir):
+    """Ids parsed from session file names; ``_turn`` variant names give null.
+    File names are derived from every session of the table."""
+    from talkframe.sources.corpus import session_id_from_name
+    t = turns_only(spark, sf_dir)
+    names = t.select(F.concat(F.lit("session_"), F.col("session_id").cast("string"),
+                              F.when(F.col("corpus") == "synthetic", F.lit("_turn")).otherwise(F.lit("")),
+                              F.lit(".json")).alias("file_name")).distinct()
+    return names.select("file_name", session_id_from_name(F.col("file_name")).alias("session_id"))
+
+
+@query("s4_psi_dataset_from_path", with_turns() + """,
+paths AS (SELECT DISTINCT '/data/' || CASE WHEN corpus = 'real' THEN 'recorded' ELSE psi END || '/' || backend_llm || '/esc/session_'
+                 || CAST(session_id AS VARCHAR) || '.json' AS path FROM turns),
+parts AS (SELECT path, string_split(path, '/') AS p FROM paths)
+SELECT path, list_filter(p, lambda x: x IN ('patientpsi', 'roleplaydoh'))[-1] AS psi,
+       list_filter(p, lambda x: x IN ('esc', 'hope', 'annomi'))[-1] AS dataset,
+       len(list_filter(p, lambda x: x IN ('patientpsi', 'roleplaydoh'))) = 0
+         OR len(list_filter(p, lambda x: x IN ('esc', 'hope', 'annomi'))) = 0 AS path_error
+FROM parts""")
+def s4_psi_dataset_from_path(spark, sf_dir):
+    """Psi and dataset = the last known path part; real-corpus paths carry no
+    psi and are flagged.  Paths are derived from every session of the table."""
+    from talkframe.sources.corpus import psi_and_dataset
+    t = turns_view(spark, sf_dir)
+    paths = t.select(F.concat_ws("/", F.lit(""), F.lit("data"),
+                                 F.when(F.col("corpus") == "real", F.lit("recorded")).otherwise(F.col("psi")),
+                                 F.col("backend_llm"), F.lit("esc"),
+                                 F.concat(F.lit("session_"), F.col("session_id").cast("string"), F.lit(".json"))).alias("path")).distinct()
+    return paths.select("path", *psi_and_dataset(F.col("path"), ["patientpsi", "roleplaydoh"], ["esc", "hope", "annomi"]))

@@ -13,6 +13,7 @@ import sys
 import time
 
 import duckdb
+import pandas as pd
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -30,14 +31,18 @@ def duck(sf_dir):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA or v is pd.NaT:
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return "nan"
+            return None  # pandas renders a null of a numeric column as NaN
         if math.isinf(v):
             return "inf" if v > 0 else "-inf"
-        return round(v, 6) + 0.0
+        r = round(v, 6) + 0.0
+        return int(r) if r.is_integer() else r
+    if hasattr(v, "item") and not hasattr(v, "__len__"):
+        v = v.item()
+        return _norm(v) if isinstance(v, float) else v
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
