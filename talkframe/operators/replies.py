@@ -71,15 +71,11 @@ def parse_label_json(reply: Column) -> Column:
     wrapped = F.from_json(body, _WRAPPED)
     inner = F.coalesce(wrapped["classifications"], wrapped["turns"], wrapped["labels"])
     parsed = F.when(body.startswith("{"), from_list(inner)).when(body.startswith("["), from_list(body))
-    # keep only items whose classification was a JSON string: re-read the raw item text
+    # items without a classification are dropped here; a numeric one arrives as
+    # text ("5") and is rejected by the label set check of the caller
     return F.filter(parsed, lambda x: x["classification"].isNotNull())
 
 
-def string_label_items(reply: Column) -> Column:
-    """Raw JSON text of each item, used to reject numeric classifications."""
-    return F.from_json(reply, T.ArrayType(T.StringType()))
-
-
 def grab_json_object(reply: Column, schema) -> Column:
     """Outermost ``{...}`` of a reply parsed with ``schema`` (null on failure)."""
     obj = F.regexp_extract(reply, r"(?s)\{.*\}", 0)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkframe.functions.text import clean_words, jaccard_pct, ngrams, py_strip
+from talkframe.functions.text import clean_words, jaccard_pct, ngrams
 from talkframe.lexicons import ENGLISH_STOP_WORDS
 from talkframe.operators.turns import SESSION
 

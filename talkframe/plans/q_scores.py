@@ -2,9 +2,9 @@
 conversations, and the ``events`` table as a score series
 (session = user_id, idx = order by ts, event_id; score = value)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from talkframe.functions.positions import positions
 from talkframe.operators import scores as SC
 from talkframe.plans.catalog import query
 from talkframe.plans.sqlfrag import TURNS_CTE, strict_words as s_strict
@@ -12,10 +12,12 @@ from talkframe.plans.testview import table, turns_only
 
 
 def event_scores(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(F.col("user_id").alias("session_id"), (F.row_number().over(w) - 1).cast("bigint").alias("idx"),
-                    F.col("value").alias("score"))
+    """Score series: position by (ts, event_id) within each user, computed with
+    range partitioning so a user holding a third of the events is not ranked by
+    one task."""
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    p = positions(e, ["user_id"], ["ts", "event_id"])
+    return p.select(F.col("user_id").alias("session_id"), "idx", F.col("value").alias("score"))
 
 
 _EV = """ev AS (SELECT user_id AS session_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS idx,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from talkframe.lexicons import ENGLISH_STOP_WORDS
 from talkframe.operators import similarity as S
 from talkframe.plans.catalog import query
-from talkframe.plans.sqlfrag import strip as s_strip, with_turns, words as s_words
+from talkframe.plans.sqlfrag import with_turns, words as s_words
 from talkframe.plans.testview import table, turns_only
 
 _STOP = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + "]"

@@ -3,7 +3,7 @@
 
 from pyspark.sql import functions as F
 
-from talkframe.functions.text import approx_tokens, clean_words, py_strip, strict_words, word_count, words
+from talkframe.functions.text import approx_tokens, clean_words, strict_words, word_count, words
 from talkframe.lexicons import ENGLISH_STOP_WORDS, STRICT_DISFLUENCIES
 from talkframe.operators import turns as T
 from talkframe.operators.replies import parse_letter, split_thinking

@@ -63,3 +63,13 @@ def test_alignment_is_min_length_truncation(spark):
     b = turn_labels(spark, SF).groupBy("corpus", "session_id").agg(F.count(F.lit(1)).alias("nb"))
     j = a.join(b, ["corpus", "session_id"]).join(p, ["corpus", "session_id"], "left")
     assert j.where("coalesce(n, 0) <> least(na, nb)").count() == 0
+
+
+def test_positions_match_row_number_with_hot_group(spark):
+    from pyspark.sql import Window
+    from talkframe.functions.positions import positions
+    rows = [(7 if i % 3 == 0 else i % 50, i // 7, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g bigint, t bigint, id bigint")
+    a = positions(df, ["g"], ["t", "id"], partitions=12).select("id", "idx")
+    b = df.select("id", (F.row_number().over(Window.partitionBy("g").orderBy("t", "id")) - 1).cast("bigint").alias("idx"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
