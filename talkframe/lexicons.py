@@ -157,8 +157,12 @@ def linguistic_lexicon() -> list[Entry]:
     return [Entry(name, p, "regex", MARKER_SECTIONS.get(name)) for name, p in LINGUISTIC_MARKERS.items()]
 
 
-def disfluency_lexicon() -> list[Entry]:
-    return [Entry(d, d, "substring", "Disfluency") for d in DISFLUENCIES]
+def disfluency_lexicon(mode: str = "substring") -> list[Entry]:
+    """``substring`` (faithful: "um" also counts inside "number" and "umm") or
+    ``word`` (whole-word occurrences only)."""
+    if mode not in ("substring", "word"):
+        raise ValueError(mode)
+    return [Entry(d, d, mode, "Disfluency") for d in DISFLUENCIES]
 
 
 def as_rows(entries) -> list[Entry]:

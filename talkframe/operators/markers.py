@@ -12,6 +12,8 @@ Grains (trap T9): A3 counts on the space-joined patient text of a session
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +48,12 @@ def count_expr(text: Column, lexicon, category: str, case_insensitive: bool = Tr
         elif e.kind == "regex":
             flags = "(?iU)" if case_insensitive else "(?U)"
             terms.append(F.regexp_count(t, F.lit(flags + e.pattern)))
+        elif e.kind == "word":
+            # whole-word occurrences of a literal (quirk Q6's ``mode='word'``)
+            flags = "(?iU)" if case_insensitive else "(?U)"
+            terms.append(F.regexp_count(t, F.lit(flags + r"(?<!\w)" + re.escape(e.pattern) + r"(?!\w)")))
         else:
-            raise ValueError(f"kind {e.kind!r} needs a word-lexicon join, not unrolling")
+            raise ValueError(f"unknown lexicon kind {e.kind!r}")
     expr = terms[0]
     for x in terms[1:]:
         expr = expr + x

@@ -44,15 +44,26 @@ def train_bigram_model(train_turns: DataFrame):
     return bigram, context, vocab
 
 
-def score_responses(turns: DataFrame, model, max_patient_turns: int = 20, role: str = "assistant") -> DataFrame:
+def score_responses(turns: DataFrame, model, max_patient_turns: int = 20, role: str = "assistant",
+                    profiles: DataFrame | None = None) -> DataFrame:
     """Per patient turn (first ``max_patient_turns``) the add-one bigram
-    NLL of the response given the last context word, and ppl = exp(nll)."""
+    NLL of the response given the last context word, and ppl = exp(nll).
+
+    Only the response is scored (quirk Q5); the context is every earlier message
+    and, when ``profiles(corpus, session_id, profile_text)`` is given, the profile
+    before them — so the first response is conditioned on the profile's last word
+    instead of ``<s>``."""
     bigram, context, vocab = model
     t = message_tokens(turns)
     w = Window.partitionBy(*SESSION).orderBy("turn")
     t = t.withColumn("_last", F.element_at(F.when(F.size("toks") > 0, F.col("toks")), -1))
-    t = t.withColumn("ctx_word", F.coalesce(F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                            F.lit(BOS)))
+    ctx = F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    if profiles is not None:
+        pw = profiles.select(*SESSION, F.element_at(F.when(F.size(strict_words("profile_text")) > 0,
+                                                           strict_words("profile_text")), -1).alias("_plast"))
+        t = t.join(pw, SESSION, "left")
+        ctx = F.coalesce(ctx, F.col("_plast"))
+    t = t.withColumn("ctx_word", F.coalesce(ctx, F.lit(BOS)))
     t = t.withColumn("patient_idx", F.sum((F.col("role") == role).cast("int")).over(
         w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     r = t.where((F.col("role") == role) & (F.col("patient_idx") < max_patient_turns) & (F.size("toks") > 0))

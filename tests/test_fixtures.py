@@ -244,3 +244,20 @@ def test_f24_compare_turn_lengths(spark):
     c = {r.turn: r for r in compare_turn_lengths(turn_lengths(t)).collect()}
     assert set(c) == {0, 1, 2}
     assert c[2].real_count == 0 and c[2].words_diff is None and c[0].words_diff is not None
+
+
+def test_q6_word_mode_disfluencies(spark):
+    t = turns_df(spark, [("r", 1, 0, "assistant", "Um, the number of plums, umm. [sigh] You know")])
+    r = M.message_disfluency(t, disfluency_lexicon("word")).first().asDict()
+    assert r["dis_um"] == 1 and r["dis_umm"] == 1 and r["dis_mm"] == 0 and r["dis__sigh_"] == 1
+    assert r["dis_you_know"] == 1 and r["dis_total"] == 4
+
+
+def test_q5_profile_context(spark):
+    from talkframe.operators.scores import score_responses, train_bigram_model
+    t = turns_df(spark, [("r", 1, 0, "assistant", "job lost"), ("r", 1, 1, "user", "why"), ("r", 1, 2, "assistant", "lost job")])
+    model = train_bigram_model(t)
+    plain = {r.patient_idx: r.nll for r in score_responses(t, model).collect()}
+    prof = spark.createDataFrame([("r", 1, "Patient lost her job")], "corpus string, session_id bigint, profile_text string")
+    withp = {r.patient_idx: r.nll for r in score_responses(t, model, profiles=prof).collect()}
+    assert withp[1] == pytest.approx(plain[1]) and withp[0] != pytest.approx(plain[0])
