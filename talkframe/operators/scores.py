@@ -77,15 +77,18 @@ def score_responses(turns: DataFrame, model, max_patient_turns: int = 20, role:
     return g.withColumn("ppl", F.exp("nll"))
 
 
-def score_summary(scores: DataFrame, all_sessions: DataFrame | None = None) -> DataFrame:
+def score_summary(scores: DataFrame, all_sessions: DataFrame | None = None, key=("session_id",)) -> DataFrame:
     """Turn-level avg/min/max, conversation-level avg/min/max of the
-    per-conversation means, average loss, counts; 0 when there is nothing."""
-    conv = scores.groupBy("session_id").agg(F.avg("score").alias("m"))
+    per-conversation means, average loss, counts; 0 when there is nothing.
+    ``all_sessions`` (one row per conversation, ``key`` columns) counts
+    conversations that produced no score."""
+    key = list(key)
+    conv = scores.groupBy(*key).agg(F.avg("score").alias("m"))
     turn = scores.agg(F.count(F.lit(1)).alias("n_turns"), F.avg("score").alias("t_avg"), F.min("score").alias("t_min"),
                       F.max("score").alias("t_max"),
                       F.avg(F.col("loss") if "loss" in scores.columns else F.lit(None).cast("double")).alias("avg_loss"))
     cv = conv.agg(F.count(F.lit(1)).alias("n_conv"), F.avg("m").alias("c_avg"), F.min("m").alias("c_min"), F.max("m").alias("c_max"))
-    n_all = (all_sessions if all_sessions is not None else scores.select("session_id").distinct()).agg(F.count(F.lit(1))).scalar()
+    n_all = (all_sessions if all_sessions is not None else scores.select(*key).distinct()).agg(F.count(F.lit(1))).scalar()
     z = F.lit(0.0)
     return turn.select(
         n_all.alias("num_conversations"), cv.select("n_conv").scalar().alias("num_conversations_processed"),

@@ -103,3 +103,39 @@ def a37_bigram_turn_scores(spark, sf_dir):
     t = turns_only(spark, sf_dir)
     model = SC.train_bigram_model(t.where(F.col("corpus") == "real"))
     return SC.score_responses(t, model, max_patient_turns=20)
+
+
+def bigram_scores(spark, sf_dir):
+    """A37 output as a score table: score = perplexity, loss = NLL, idx = patient turn."""
+    t = turns_only(spark, sf_dir)
+    model = SC.train_bigram_model(t.where(F.col("corpus") == "real"))
+    s = SC.score_responses(t, model, max_patient_turns=20)
+    return s.select("corpus", "session_id", F.col("patient_idx").alias("idx"), F.col("ppl").alias("score"),
+                    F.col("nll").alias("loss"))
+
+
+_A37_BASE = _A37_SQL.replace("round(-avg(lp), 6) AS nll, round(exp(-avg(lp)), 6) AS ppl", "-avg(lp) AS nll, exp(-avg(lp)) AS ppl")
+
+
+@query("a38_turn_score_summary", f"""WITH sc AS ({_A37_BASE}),
+allc AS (SELECT DISTINCT conv_id FROM conversations),
+conv AS (SELECT corpus, session_id, avg(ppl) AS m FROM sc GROUP BY corpus, session_id)
+SELECT (SELECT count(*) FROM allc) AS num_conversations, (SELECT count(*) FROM conv) AS num_conversations_processed,
+       count(*) AS num_turns, round(coalesce((SELECT avg(m) FROM conv), 0.0), 6) AS conversation_avg,
+       round(coalesce((SELECT min(m) FROM conv), 0.0), 6) AS conversation_min, round(coalesce((SELECT max(m) FROM conv), 0.0), 6) AS conversation_max,
+       round(coalesce(avg(ppl), 0.0), 6) AS turn_avg, round(coalesce(min(ppl), 0.0), 6) AS turn_min, round(coalesce(max(ppl), 0.0), 6) AS turn_max,
+       round(coalesce(avg(nll), 0.0), 6) AS avg_loss FROM sc""")
+def a38_turn_score_summary(spark, sf_dir):
+    """A38 on the bigram turn scores: perplexity summary at turn and conversation
+    level, average loss; every conversation of the table is counted."""
+    allc = turns_only(spark, sf_dir).select("corpus", "session_id").distinct()
+    return SC.score_summary(bigram_scores(spark, sf_dir), all_sessions=allc, key=("corpus", "session_id"))
+
+
+@query("a39_turn_score_trend", f"""WITH sc AS ({_A37_BASE}),
+t AS (SELECT patient_idx AS idx, avg(ppl) AS mean_score, count(*) AS n FROM sc WHERE patient_idx < 20 GROUP BY patient_idx)
+SELECT CAST(idx AS BIGINT) AS idx, round(mean_score, 6) AS mean_score, n, round((SELECT avg(mean_score) FROM t), 6) AS trend_mean,
+       round((SELECT min(mean_score) FROM t), 6) AS trend_min, round((SELECT max(mean_score) FROM t), 6) AS trend_max FROM t""")
+def a39_turn_score_trend(spark, sf_dir):
+    """A39 on the bigram turn scores: mean perplexity per patient turn (first 20)."""
+    return SC.score_trend(bigram_scores(spark, sf_dir))
