@@ -61,17 +61,21 @@ _BASE = [
                FROM msgs WHERE session_id IN (SELECT session_id FROM pairs)) WHERE len(w) > 0)""",
     f"""turnl AS (SELECT session_id, {_SPK} AS speaker_type, 'Turn-Level' AS analysis_type, CAST(turn_index AS BIGINT) AS turn_index, w,
                len(w) >= 100 AS meets_threshold FROM msgs WHERE corpus = 'real' AND len(w) > 0 AND session_id IN (SELECT session_id FROM pairs))""",
-    """allr AS (SELECT * FROM raw UNION ALL SELECT * FROM matched UNION ALL SELECT * FROM cumul UNION ALL SELECT * FROM turnl)""",
+    "{ALLR}",
     """docs AS (SELECT DISTINCT w AS doc, w FROM allr)""",
 ]
+_STRATS = {"Raw": "raw", "Matched": "matched", "Cumulative": "cumul", "Turn-Level": "turnl"}
 
 
 _RESULTS = """res AS (SELECT a.session_id, a.speaker_type, a.analysis_type, a.turn_index, CAST(len(a.w) AS BIGINT) AS token_count,
    mt.mtld, a.meets_threshold FROM allr a LEFT JOIN mt ON mt.doc = a.w)"""
 
 
-def _res_sql(select, *extra):
-    return "WITH RECURSIVE " + ",\n".join([TURNS_CTE] + _BASE + mtld_ctes() + [_RESULTS, *extra]) + "\n" + select
+def _res_sql(select, *extra, strategies=tuple(_STRATS)):
+    """Oracle over the chosen strategies only (MTLD is folded just for their texts)."""
+    allr = "allr AS (" + " UNION ALL ".join(f"SELECT * FROM {_STRATS[x]}" for x in strategies) + ")"
+    base = [allr if c == "{ALLR}" else c for c in _BASE]
+    return "WITH RECURSIVE " + ",\n".join([TURNS_CTE] + base + mtld_ctes() + [_RESULTS, *extra]) + "\n" + select
 
 
 def _results(spark, sf_dir):
@@ -90,25 +94,25 @@ def a42_message_mtld(spark, sf_dir):
                     mtld_udf("words").alias("mtld"))
 
 
-@query("a43_raw_strategy", _res_sql(f"SELECT {_COLS} FROM res WHERE analysis_type = 'Raw'"))
+@query("a43_raw_strategy", _res_sql(f"SELECT {_COLS} FROM res WHERE analysis_type = 'Raw'", strategies=("Raw",)))
 def a43_raw_strategy(spark, sf_dir):
     """MTLD of each paired session's whole patient text."""
     return _results(spark, sf_dir).where(F.col("analysis_type") == "Raw")
 
 
-@query("a44_matched_strategy", _res_sql(f"SELECT {_COLS} FROM res WHERE analysis_type = 'Matched'"))
+@query("a44_matched_strategy", _res_sql(f"SELECT {_COLS} FROM res WHERE analysis_type = 'Matched'", strategies=("Matched",)))
 def a44_matched_strategy(spark, sf_dir):
     """Both sides truncated to the shorter length."""
     return _results(spark, sf_dir).where(F.col("analysis_type") == "Matched")
 
 
-@query("a45_cumulative_strategy", _res_sql(f"SELECT {_COLS} FROM res WHERE analysis_type = 'Cumulative'"))
+@query("a45_cumulative_strategy", _res_sql(f"SELECT {_COLS} FROM res WHERE analysis_type = 'Cumulative'", strategies=("Cumulative",)))
 def a45_cumulative_strategy(spark, sf_dir):
     """MTLD after each non-empty patient message."""
     return _results(spark, sf_dir).where(F.col("analysis_type") == "Cumulative")
 
 
-@query("a46_turn_level_strategy", _res_sql(f"SELECT {_COLS} FROM res WHERE analysis_type = 'Turn-Level'"))
+@query("a46_turn_level_strategy", _res_sql(f"SELECT {_COLS} FROM res WHERE analysis_type = 'Turn-Level'", strategies=("Turn-Level",)))
 def a46_turn_level_strategy(spark, sf_dir):
     """Per-message MTLD (real side; synthetic only from a turn variant)."""
     return _results(spark, sf_dir).where(F.col("analysis_type") == "Turn-Level")
@@ -132,12 +136,12 @@ def a47_box_summary(spark, sf_dir):
 
 @query("a48_cumulative_means", _res_sql("""
 SELECT speaker_type, turn_index, round(avg(mtld), 6) AS mean_mtld, count(*) AS sessions FROM res
-WHERE analysis_type = 'Cumulative' GROUP BY speaker_type, turn_index"""))
+WHERE analysis_type = 'Cumulative' GROUP BY speaker_type, turn_index""", strategies=("Cumulative",)))
 def a48_cumulative_means(spark, sf_dir):
     return D.cumulative_means(_results(spark, sf_dir))
 
 
 @query("a49_length_points", _res_sql("""
-SELECT session_id, speaker_type, token_count, round(mtld, 6) AS mtld, meets_threshold FROM res WHERE analysis_type = 'Raw'"""))
+SELECT session_id, speaker_type, token_count, round(mtld, 6) AS mtld, meets_threshold FROM res WHERE analysis_type = 'Raw'""", strategies=("Raw",)))
 def a49_length_points(spark, sf_dir):
     return D.length_points(_results(spark, sf_dir))
