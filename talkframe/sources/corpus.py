@@ -158,13 +158,17 @@ def read_raw_dialogs(spark: SparkSession, path: str, indices: DataFrame | None =
 
 
 def read_published(spark: SparkSession, path: str, psi: str | None = None, backend: str | None = None) -> DataFrame:
-    """Published synthetic parquet filtered case-insensitively on psi/backend;
+    """Published synthetic parquet filtered case-insensitively on psi/backend
+    (partition pruning on the lower-cased keys written by ``export_corpus``);
     JSON-text columns parsed with fixed schemas, non-JSON text kept as is."""
-    df = spark.read.schema(PUBLISHED_CORPUS).parquet(path)
+    df = spark.read.parquet(path)
+    keyed = "psi_key" in df.columns and "backend_key" in df.columns
+    if not keyed:  # a dataset not written by ``export_corpus``: fixed schema, no pruning
+        df = spark.read.schema(PUBLISHED_CORPUS).parquet(path)
     if psi is not None:
-        df = df.where(F.lower("psi") == psi.lower())
+        df = df.where(F.col("psi_key") == psi.lower()) if keyed else df.where(F.lower("psi") == psi.lower())
     if backend is not None:
-        df = df.where(F.lower("backend_llm") == backend.lower())
+        df = df.where(F.col("backend_key") == backend.lower()) if keyed else df.where(F.lower("backend_llm") == backend.lower())
     parsed = F.from_json("messages", MESSAGES)
     return df.withColumn("messages_parsed", parsed).withColumn(
         "messages_raw", F.when(parsed.isNull(), F.col("messages")))

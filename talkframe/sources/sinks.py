@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 def export_corpus(sessions: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One parquet dataset; nested values as JSON text, CCD forced to '{}'
-    unless psi is patientpsi; psi/backend columns kept (partition columns for pruning)."""
+    unless psi is patientpsi; psi/backend columns kept as written, partitioned by
+    their lower-cased keys so readers prune folders."""
     out = sessions
     for c in ("messages", "profile"):
         if c in out.columns and out.schema[c].dataType.simpleString() != "string":
@@ -17,7 +18,9 @@ def export_corpus(sessions: DataFrame, path: str, mode: str = "overwrite") -> No
     if "ccd" in out.columns:
         ccd = F.col("ccd") if out.schema["ccd"].dataType.simpleString() == "string" else F.to_json("ccd")
         out = out.withColumn("ccd", F.when(F.lower("psi") == "patientpsi", ccd).otherwise(F.lit("{}")))
-    out.write.mode(mode).partitionBy("psi", "backend_llm").parquet(path)
+    # lower-cased partition keys: case-insensitive filters become partition pruning
+    out = out.withColumn("psi_key", F.lower("psi")).withColumn("backend_key", F.lower("backend_llm"))
+    out.write.mode(mode).partitionBy("psi_key", "backend_key").parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -133,3 +133,13 @@ def test_f19_turn_validation_files(spark, scratch):
     assert res == {1: "pass", 2: "fail", 3: "fail", 4: "fail"}
     summ = validation_summary(validate_turn_counts(stored, turns)).first()
     assert (summ.total, summ.passed, summ.failed) == (4, 1, 3)
+
+
+def test_s8_case_insensitive_filter_prunes_partitions(spark, scratch):
+    _tree(scratch)
+    t = C.scan_tree(spark, scratch).withColumn("backend_llm", F.col("backend"))
+    out = f"{scratch}/export2"
+    K.export_corpus(t.select("session_id", "messages", "profile", "ccd", "psi", "backend_llm", "num_patient_turns", "source"), out)
+    df = C.read_published(spark, out, psi="PatientPSI", backend="GPT-OSS-120B")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(psi_key" in plan and df.count() == 3
