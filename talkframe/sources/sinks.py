@@ -41,3 +41,16 @@ def nested_scores_json(nested: DataFrame) -> DataFrame:
                    F.array_sort(F.collect_list(F.struct("session_id", "scores"))).alias("_s"))
     return g.select(F.to_json(F.struct(F.lit("conversation x turn").alias("structure"), "num_conversations",
                                        F.transform("_s", lambda s: s["scores"]).alias("perplexities"))).alias("json"))
+
+
+def write_bucketed_turns(turns: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
+    """Store a turn table bucketed and sorted by ``session_id``.
+
+    Corpora that are compared again and again (J1 pairing, per-session windows)
+    are joined on ``session_id``; when both sides are bucketed the same way the
+    sort-merge join reads matching buckets directly — no shuffle of either side.
+    ``path`` places the table files in a shared folder (an external table)."""
+    w = turns.write.mode("overwrite").bucketBy(buckets, "session_id").sortBy("session_id", "turn")
+    if path is not None:
+        w = w.option("path", path)
+    w.saveAsTable(table)

@@ -143,3 +143,18 @@ def test_s8_case_insensitive_filter_prunes_partitions(spark, scratch):
     df = C.read_published(spark, out, psi="PatientPSI", backend="GPT-OSS-120B")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(psi_key" in plan and df.count() == 3
+
+
+def test_bucketed_corpora_join_without_shuffle(spark, scratch):
+    from pyspark.sql import functions as F
+    rows = [("real" if i % 2 == 0 else "synthetic", i // 2, 0, "assistant", f"t{i}") for i in range(400)]
+    t = spark.createDataFrame(rows, "corpus string, session_id bigint, turn bigint, role string, text string")
+    K.write_bucketed_turns(t.where("corpus = 'real'"), "tf_real_b", 8, path=f"{scratch}/real_b")
+    K.write_bucketed_turns(t.where("corpus = 'synthetic'"), "tf_syn_b", 8, path=f"{scratch}/syn_b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = spark.table("tf_real_b").alias("r").join(spark.table("tf_syn_b").alias("s"), "session_id")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert j.count() == 200 and "Exchange hashpartitioning" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
