@@ -10,7 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 @pytest.fixture(scope="session")
 def spark():
     from talkframe.session import checkpoint_dir, get_spark
-    s = get_spark(master="local[4]", shuffle_partitions=4)
+    wh = tempfile.mkdtemp(prefix="talkframe-warehouse-", dir="/tmp")
+    s = get_spark(master="local[4]", shuffle_partitions=4, extra={"spark.sql.warehouse.dir": wh})
     checkpoint_dir(s)
     yield s
 
