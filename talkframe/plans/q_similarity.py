@@ -86,5 +86,7 @@ def a53_embedding_recall(spark, sf_dir):
     """Per document (label) mean over target vectors (even ids) of the max cosine
     to candidate vectors (odd ids); exact, blocked."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("bigint").alias("doc_id"), "embedding")
-    # parity splits the table into its two roles (targets / candidates); no row is dropped
+    # parity splits the table into its two roles (targets / candidates); no row is dropped.
+    # Results do not depend on the block size; 16 makes the small test tables span
+    # several blocks per document so the block-pair path is exercised.
     return S.embedding_recall(e.where(F.col("vec_id") % 2 == 0), e.where(F.col("vec_id") % 2 == 1), block_size=16)
