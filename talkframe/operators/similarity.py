@@ -72,9 +72,13 @@ def rouge1_recall(df: DataFrame) -> DataFrame:
     return df.select(*SESSION, rouge1_recall_expr(F.col("target_words"), F.col("cand_words")).alias("rouge1_recall"))
 
 
-def similarity_metrics(turns: DataFrame, situations: DataFrame, ngram_n: int = 2) -> DataFrame:
-    """A50 + A51 + A52 per session with a situation: one projection after the join."""
-    df = cleaned(with_situation(patient_text(turns), situations))
+def similarity_metrics(turns: DataFrame, situations: DataFrame, ngram_n: int = 2,
+                       stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+    """A50 + A51 + A52 per session with a situation.  The patient side is cleaned
+    where it is aggregated (before the join), the situation side after the join
+    (only matched documents are cleaned), then one projection scores the pair."""
+    texts = patient_text(turns).withColumn("cand_words", clean_words("patient_text", stop_words))
+    df = with_situation(texts, situations).withColumn("target_words", clean_words("situation", stop_words))
     return df.select(*SESSION, jaccard_pct("cand_words", "target_words").alias("word_overlap_percentage"),
                      jaccard_pct(ngrams("cand_words", ngram_n), ngrams("target_words", ngram_n)).alias("ngram_overlap_percentage"),
                      rouge1_recall_expr(F.col("target_words"), F.col("cand_words")).alias("rouge1_recall"))
