@@ -101,21 +101,37 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def resolve_synthetic_dir(spark: SparkSession, base: str, psi: str | None = None, model: str | None = None,
                           dataset: str | None = None) -> str | None:
-    """First existing folder among the fallbacks (direct, dataset, psi/dataset,
-    psi/model/dataset); a driver-side listing of a few paths, never of data."""
-    cands = [base]
-    if dataset:
-        cands.append(f"{base}/{dataset}")
-    if psi and dataset:
-        cands.append(f"{base}/{psi}/{dataset}")
-    if psi and model and dataset:
-        cands.append(f"{base}/{psi}/{model}/{dataset}")
-    for c in cands[::-1] if (psi and model and dataset) else cands:
-        if path_exists(spark, c) and _has_sessions(spark, c):
-            return c
+    """The session folder, by the two fallback chains of the reference.
+
+    Without ``model``: ``base`` if it holds session files, else ``base/dataset`` if
+    it does, else ``base/psi/dataset`` (returned even when absent).  With
+    ``model``: the first folder matching ``base/psi/model/dataset``, else
+    ``base/*/psi/model/dataset``; None when neither matches.  A driver-side
+    listing of a handful of paths — never of data.
+    """
+    if model is None:
+        if _has_sessions(spark, base):
+            return base
+        if dataset and _has_sessions(spark, f"{base}/{dataset}"):
+            return f"{base}/{dataset}"
+        return f"{base}/{psi}/{dataset}"
+    for pattern in (f"{base}/{psi}/{model}/{dataset}", f"{base}/*/{psi}/{model}/{dataset}"):
+        hits = _glob_dirs(spark, pattern)
+        if hits:
+            return hits[0]
     return None
 
 
+def _glob_dirs(spark, pattern):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    st = fs.globStatus(p)
+    if st is None:
+        return []
+    return sorted(x.getPath().toUri().getPath() for x in st if x.isDirectory())
+
+
 def _has_sessions(spark, path):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path + "/session_*.json")

@@ -61,6 +61,12 @@ def test_s4_s5_paths(spark, scratch):
     assert out[1].path_error is True
     found = C.resolve_synthetic_dir(spark, scratch, psi="patientpsi", model="gpt-oss-120b", dataset="esc")
     assert found.endswith("patientpsi/gpt-oss-120b/esc")
+    nested = C.resolve_synthetic_dir(spark, os.path.dirname(scratch), psi="patientpsi", model="gpt-oss-120b", dataset="esc")
+    assert nested is not None and nested.endswith("patientpsi/gpt-oss-120b/esc")  # via */psi/model/dataset
+    assert C.resolve_synthetic_dir(spark, scratch, psi="x", model="y", dataset="z") is None
+    d = f"{scratch}/patientpsi/gpt-oss-120b"
+    assert C.resolve_synthetic_dir(spark, d, psi="p", dataset="esc") == f"{d}/esc"
+    assert C.resolve_synthetic_dir(spark, f"{d}/esc", psi="p", dataset="esc") == f"{d}/esc"
 
 
 def test_s10_variants(spark, scratch):
