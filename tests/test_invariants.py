@@ -73,3 +73,34 @@ def test_positions_match_row_number_with_hot_group(spark):
     a = positions(df, ["g"], ["t", "id"], partitions=12).select("id", "idx")
     b = df.select("id", (F.row_number().over(Window.partitionBy("g").orderBy("t", "id")) - 1).cast("bigint").alias("idx"))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_exact_quantiles_match_numpy_on_both_paths(spark):
+    import random
+
+    import numpy as np
+    from talkframe.functions.quantiles import exact_quantiles
+    random.seed(7)
+    rows = ([("a", random.random() * 100) for _ in range(3000)] + [("b", 7.0)] * 2000
+            + [("b", float(i)) for i in range(10)] + [("c", 1.5)])
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.01, 0.25, 0.5, 0.95]
+    small = {(r.g, r.p): r.quantile for r in exact_quantiles(df, "v", probs, by=["g"]).collect()}
+    # tiny buckets / exact_rows force several narrowing rounds and the tie shortcut
+    big = {(r.g, r.p): r.quantile for r in exact_quantiles(df, "v", probs, by=["g"], buckets=8, exact_rows=40).collect()}
+    for g in "abc":
+        vals = np.array([v for k, v in rows if k == g])
+        for p in probs:
+            want = np.percentile(vals, p * 100)
+            assert small[(g, p)] == pytest.approx(want) and big[(g, p)] == pytest.approx(want)
+    glob = exact_quantiles(df.where("g = 'a'"), "v", [0.5], buckets=8, exact_rows=40).first().quantile
+    assert glob == pytest.approx(np.percentile([v for k, v in rows if k == "a"], 50))
+
+
+def test_spread_only_adds_parallelism_to_small_inputs(spark):
+    from talkframe.session import spread
+    n = spark.sparkContext.defaultParallelism
+    one = spark.range(100).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == n
+    many = spark.range(0, 1000, 1, n * 2)
+    assert spread(many) is many
