@@ -158,18 +158,27 @@ def sessions_in_turn_range(turns: DataFrame, corpora=("real", "synthetic"),
 
 def transcripts(turns: DataFrame, history_limit: int | None = None, style: str = "judge",
                 skip_empty: bool = True, empty_text: str = "") -> DataFrame:
-    """One ordered ``ROLE: text`` transcript per session."""
+    """One ordered ``ROLE: text`` transcript per session.
+
+    With ``history_limit`` the first messages are picked by row number before
+    they are collected (the window and the aggregate share one shuffle), so a
+    long session never gathers more than the limit; ``n_messages`` still counts
+    every (non-empty) message."""
     src = turns
     if skip_empty:
         src = src.where(F.length(py_strip("text")) > 0)
+    if history_limit is not None:
+        src = (src.withColumn("_rn", F.row_number().over(_session_window()))
+               .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*SESSION)))
+               .where(F.col("_rn") <= history_limit))
+    else:
+        src = src.withColumn("_n", F.lit(None).cast("bigint"))
     lines = src.groupBy(*SESSION).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_msgs"))
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_msgs"), F.max("_n").alias("_n"))
     rendered = F.transform("_msgs", lambda m: F.concat(relabel_role(m["role"], style), F.lit(": "), m["text"]))
-    if history_limit is not None:
-        rendered = F.slice(rendered, 1, history_limit)
     text = F.array_join(rendered, "\n")
     return lines.select(*SESSION, F.when(F.size("_msgs") > 0, text).otherwise(F.lit(empty_text)).alias("transcript"),
-                        F.size("_msgs").cast("bigint").alias("n_messages"))
+                        F.coalesce(F.col("_n"), F.size("_msgs")).cast("bigint").alias("n_messages"))
 
 
 def context_budget(turns: DataFrame, budget_tokens: int, min_messages: int = 10) -> DataFrame:
