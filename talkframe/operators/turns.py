@@ -244,13 +244,18 @@ def history_windows(turns: DataFrame, k: int | None = 6, style: str = "judge",
 
 def perplexity_contexts(turns: DataFrame, max_patient_turns: int = 20) -> DataFrame:
     """For each patient turn (first ``max_patient_turns``) the newline-joined
-    contents of all earlier messages."""
+    contents of all earlier messages.
+
+    Messages after the last scored patient turn are dropped before the frames
+    are collected (same partitioning, no extra shuffle), so a long session
+    costs O(kept²), not O(n²)."""
     w = _session_window()
-    earlier = F.collect_list(F.coalesce("text", F.lit(""))).over(w.rowsBetween(Window.unboundedPreceding, -1))
     pidx = F.sum(F.when(F.col("role") == PATIENT_ROLE, 1).otherwise(0)).over(
         w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    df = turns.withColumn("context", F.array_join(earlier, "\n")).withColumn("patient_idx", pidx.cast("bigint"))
-    return (df.where((F.col("role") == PATIENT_ROLE) & (F.col("patient_idx") < max_patient_turns))
+    df = turns.withColumn("patient_idx", pidx.cast("bigint")).where(F.col("patient_idx") < max_patient_turns)
+    earlier = F.collect_list(F.coalesce("text", F.lit(""))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    df = df.withColumn("context", F.array_join(earlier, "\n"))
+    return (df.where(F.col("role") == PATIENT_ROLE)
             .select(*SESSION, "turn", "patient_idx", "context", F.col("text").alias("response")))
 
 
