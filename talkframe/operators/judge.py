@@ -59,21 +59,40 @@ def rule_text_scorer(batch: pd.DataFrame) -> pd.DataFrame:
 
 # --- hook runners --------------------------------------------------------------
 
-def _run_hook(requests: DataFrame, hook: Callable, out_col: str, keep: list[str]) -> DataFrame:
+def _chunks(pdf: pd.DataFrame, batch_size: int | None):
+    if not batch_size or len(pdf) <= batch_size:
+        yield pdf
+        return
+    for i in range(0, len(pdf), batch_size):
+        yield pdf.iloc[i:i + batch_size]
+
+
+def _bounded(requests: DataFrame, max_concurrency: int | None) -> DataFrame:
+    """At most ``max_concurrency`` tasks call the model at once (one
+    explicit shuffle, only when asked for)."""
+    return requests.repartition(max_concurrency) if max_concurrency else requests
+
+
+def _run_hook(requests: DataFrame, hook: Callable, out_col: str, keep: list[str],
+              batch_size: int | None = None, max_concurrency: int | None = None) -> DataFrame:
+    """Call ``hook(pdf) -> Series`` on batches of exactly ``batch_size`` requests
+    (P27; the last batch of a task may be smaller).  Arrow batches are split, so
+    the model batch does not depend on ``maxRecordsPerBatch``."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields if f.name in keep)
     schema += f", {out_col} string"
 
     def run(batches):
-        for pdf in batches:
-            try:
-                reply = hook(pdf)
-            except Exception:  # noqa: BLE001 - failure contract: no label, no crash
-                reply = pd.Series([None] * len(pdf), index=pdf.index)
-            out = pdf[keep].copy()
-            out[out_col] = reply.astype(object).where(reply.notna(), None)
-            yield out
+        for big in batches:
+            for pdf in _chunks(big, batch_size):
+                try:
+                    reply = hook(pdf)
+                except Exception:  # noqa: BLE001 - failure contract: no label, no crash
+                    reply = pd.Series([None] * len(pdf), index=pdf.index)
+                out = pdf[keep].copy()
+                out[out_col] = reply.astype(object).where(reply.notna(), None)
+                yield out
 
-    return requests.mapInPandas(run, schema)
+    return _bounded(requests, max_concurrency).mapInPandas(run, schema)
 
 
 def keep_replies(replies: DataFrame, path: str | None = None) -> DataFrame:
@@ -88,11 +107,12 @@ def keep_replies(replies: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def label_turns(turns: DataFrame, judge: Callable = rule_turn_judge, k: int = 6,
-                keep: bool | str = False) -> DataFrame:
+                keep: bool | str = False, batch_size: int | None = None,
+                max_concurrency: int | None = None) -> DataFrame:
     """One request per non-empty patient turn (W2 history + message) → raw reply.
     ``keep`` (True or a table path) pins the replies (see ``keep_replies``)."""
     req = history_windows(turns, k=k)
-    out = _run_hook(req, judge, "raw_reply", SESSION + ["turn", "message", "history"])
+    out = _run_hook(req, judge, "raw_reply", SESSION + ["turn", "message", "history"], batch_size, max_concurrency)
     return keep_replies(out, keep if isinstance(keep, str) else None) if keep else out
 
 
@@ -106,10 +126,12 @@ def parse_turn_labels(replies: DataFrame) -> DataFrame:
 
 
 def label_conversations(turns: DataFrame, judge: Callable = rule_conversation_judge,
-                        history_limit: int = 32, keep: bool | str = False) -> DataFrame:
-    """One request per session (P17 transcript) → raw JSON reply."""
+                        history_limit: int = 32, keep: bool | str = False, batch_size: int | None = None,
+                        max_concurrency: int | None = None) -> DataFrame:
+    """One request per session (P17 transcript) → raw JSON reply; the
+    reference sends 10-32 conversations per model batch (``batch_size``)."""
     req = transcripts(turns, history_limit=history_limit)
-    out = _run_hook(req, judge, "raw_reply", SESSION + ["transcript"])
+    out = _run_hook(req, judge, "raw_reply", SESSION + ["transcript"], batch_size, max_concurrency)
     return keep_replies(out, keep if isinstance(keep, str) else None) if keep else out
 
 
@@ -127,7 +149,8 @@ def parse_errors(replies: DataFrame) -> DataFrame:
     return replies.where(parse_label_json(F.col("raw_reply")).isNull()).select(*SESSION, "raw_reply")
 
 
-def score_texts(df: DataFrame, scorer: Callable, out_schema: str, keep: list[str]) -> DataFrame:
+def score_texts(df: DataFrame, scorer: Callable, out_schema: str, keep: list[str],
+                batch_size: int | None = None, max_concurrency: int | None = None) -> DataFrame:
     """Run any batch scorer ``scorer(pdf) -> pdf`` (one output row per input
     row, columns ``out_schema``) over Arrow batches; a failed batch yields nulls.
     The default emotion and sequence scorers are the SQL forms in
@@ -137,15 +160,16 @@ def score_texts(df: DataFrame, scorer: Callable, out_schema: str, keep: list[str
     schema += ", " + out_schema
 
     def run(batches):
-        for pdf in batches:
-            out = pdf[keep].copy()
-            try:
-                scored = scorer(pdf)
-                for c in out_cols:
-                    out[c] = scored[c].values
-            except Exception:  # noqa: BLE001 - failure contract
-                for c in out_cols:
-                    out[c] = None
-            yield out
-
-    return df.mapInPandas(run, schema)
+        for big in batches:
+            for pdf in _chunks(big, batch_size):
+                out = pdf[keep].copy()
+                try:
+                    scored = scorer(pdf)
+                    for c in out_cols:
+                        out[c] = scored[c].values
+                except Exception:  # noqa: BLE001 - failure contract
+                    for c in out_cols:
+                        out[c] = None
+                yield out
+
+    return _bounded(df, max_concurrency).mapInPandas(run, schema)

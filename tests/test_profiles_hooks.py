@@ -83,3 +83,14 @@ def test_replies_are_pinned(spark, scratch):
     kept = J.label_turns(t, judge=judge, keep=f"{scratch}/replies")
     assert kept.count() == 1 and kept.count() == 1
     assert spark.read.parquet(f"{scratch}/replies").first().raw_reply == "P"
+
+
+def test_p27_fixed_size_batches(spark):
+    df = spark.range(0, 100, 1, 2).selectExpr("id AS session_id", "cast(id AS string) AS text")
+
+    def scorer(pdf):
+        return pd.DataFrame({"batch_rows": [len(pdf)] * len(pdf)})
+
+    out = J.score_texts(df, scorer, "batch_rows bigint", ["session_id"], batch_size=32, max_concurrency=3)
+    sizes = [r.batch_rows for r in out.collect()]
+    assert len(sizes) == 100 and max(sizes) <= 32
