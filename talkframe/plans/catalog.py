@@ -16,6 +16,7 @@ _REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every floating column (the oracles round the same way)."""
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
@@ -37,7 +38,10 @@ def query(name: str, sql: str | None = None):
 
 
 def _load_all():
-    from talkframe.plans import q_diversity, q_emotion, q_labels, q_lengths, q_markers, q_misc, q_scores, q_similarity, q_turns  # noqa: F401
+    """Import every query module once (registration happens at import)."""
+    from talkframe.plans import (  # noqa: F401
+        q_diversity, q_emotion, q_labels, q_lengths, q_markers, q_misc, q_scores, q_similarity, q_turns,
+    )
 
 
 def queries() -> dict[str, Callable]:
