@@ -297,3 +297,22 @@ def per_turn_disfluency(turns: DataFrame, disfluencies, max_turns: int = 12,
     return g.select((F.col("patient_idx") + 1).alias("turn_index"), f"{left}_n_convos", f"{right}_n_convos",
                     F.coalesce("_l", F.lit(0.0)).alias(f"{left}_mean_dis_norm"),
                     F.coalesce("_r", F.lit(0.0)).alias(f"{right}_mean_dis_norm"))
+
+
+def marker_report(turns: DataFrame, lexicon, corpora=("real", "synthetic"), token_scale: int = 100,
+                  max_turns: int | None = None) -> dict:
+    """A3-A9 as one report: the session feature table (the only pass over the
+    turn text) is persisted once and every table below is a small aggregate of
+    it.  Call ``report["features"].unpersist()`` when done."""
+    from pyspark import StorageLevel
+    sess = session_markers(turns, lexicon, max_turns).persist(StorageLevel.MEMORY_AND_DISK)
+    totals = corpus_totals(turns, sess, lexicon)
+    metrics = normalized_metrics(totals, lexicon, token_scale)
+    return {
+        "features": sess,
+        "totals": totals,
+        "normalized": metrics,
+        "per_conversation": per_conversation_stats(sess, lexicon),
+        "matrix": marker_matrix(metrics, corpora),
+        "dataset": dataset_statistics(totals),
+    }

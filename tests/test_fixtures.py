@@ -261,3 +261,15 @@ def test_q5_profile_context(spark):
     prof = spark.createDataFrame([("r", 1, "Patient lost her job")], "corpus string, session_id bigint, profile_text string")
     withp = {r.patient_idx: r.nll for r in score_responses(t, model, profiles=prof).collect()}
     assert withp[1] == pytest.approx(plain[1]) and withp[0] != pytest.approx(plain[0])
+
+
+def test_marker_report_shares_one_feature_table(spark):
+    t = _f2(spark).unionByName(turns_df(spark, [("s", 2, 0, "assistant", "we always talk")]))
+    rep = M.marker_report(t, depressive_lexicon(), corpora=["r", "s"])
+    try:
+        assert rep["totals"].count() == 2 and rep["dataset"].count() == 2
+        m = {r.metric: r for r in rep["matrix"].collect()}
+        assert m["absolutist"].r == pytest.approx(14.285714, abs=1e-6)
+        assert "InMemoryTableScan" in rep["normalized"]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        rep["features"].unpersist()
