@@ -46,17 +46,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def checkpoint_dir(spark: SparkSession) -> str | None:
     """The shared checkpoint folder; set a scratch one only when unset (tests)."""
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a Spark Connect session: the server owns the folder
+        return current
     if not current:
-        current = spark.sparkContext.getCheckpointDir()
+        current = sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="talkframe-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
-        spark.sparkContext.setCheckpointDir(current)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(current)
+        sc.setCheckpointDir(current)
+    elif sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(current)
     return current
 
 
