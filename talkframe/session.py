@@ -17,9 +17,6 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # text rows are small in bytes but CPU-heavy (regex, tokenising, MTLD): keep
-    # AQE from coalescing a few MB of text into a handful of tasks
-    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128KB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
