@@ -198,16 +198,19 @@ def context_budget(turns: DataFrame, budget_tokens: int, min_messages: int = 10)
     applies = (F.col("n_messages") > min_messages) & (F.col("total_tokens") > budget_tokens)
     return (df.withColumn("truncated", applies)
             .where(~F.col("truncated") | (F.col("running_tokens") <= budget_tokens))
-            .select(*SESSION, "turn", "role", "text", "msg_tokens", "truncated"))
+            .select(*SESSION, "turn", "role", "text", "msg_tokens", "truncated", "n_messages"))
 
 
 def render_history(kept: DataFrame) -> DataFrame:
-    """P18 rendering: ``Role: text`` lines, truncation marker first when cut."""
+    """P18 rendering: ``Role: text`` lines, with the truncation marker first only
+    when messages were actually dropped (the per-message ⌊chars/4⌋ sum can fit
+    the budget even when the whole history's ⌊Σchars/4⌋ does not)."""
     g = kept.groupBy(*SESSION).agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_m"),
-        F.max(F.col("truncated").cast("int")).alias("_t"))
+        F.max("n_messages").alias("_n"))
     lines = F.transform("_m", lambda m: F.concat(_capitalize(m["role"]), F.lit(": "), m["text"]))
-    lines = F.when(F.col("_t") == 1, F.concat(F.array(F.lit("[Earlier messages truncated...]")), lines)).otherwise(lines)
+    cut = F.size("_m") < F.col("_n")
+    lines = F.when(cut, F.concat(F.array(F.lit("[Earlier messages truncated...]")), lines)).otherwise(lines)
     return g.select(*SESSION, F.array_join(lines, "\n").alias("history"))
 
 

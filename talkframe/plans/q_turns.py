@@ -201,7 +201,7 @@ _P18_SQL = with_turns(f"""b AS (
   FROM turns)""", """k AS (SELECT *, (n_messages > 4 AND total_tokens > 150) AS truncated FROM b
   WHERE NOT (n_messages > 4 AND total_tokens > 150) OR running <= 150)""") + f"""
 SELECT corpus, session_id,
-  CASE WHEN bool_or(truncated) THEN '[Earlier messages truncated...]' || {NL} ELSE '' END ||
+  CASE WHEN count(*) < max(n_messages) THEN '[Earlier messages truncated...]' || {NL} ELSE '' END ||
   string_agg(upper(substr(role, 1, 1)) || lower(substr(role, 2)) || ': ' || text, {NL} ORDER BY turn) AS history
 FROM k GROUP BY corpus, session_id"""
 

@@ -273,3 +273,11 @@ def test_marker_report_shares_one_feature_table(spark):
         assert "InMemoryTableScan" in rep["normalized"]._jdf.queryExecution().executedPlan().toString()
     finally:
         rep["features"].unpersist()
+
+
+def test_p18_marker_only_when_messages_dropped(spark):
+    # per-message tokens 0+0+0+0 fit a budget of 1 although ⌊Σchars/4⌋ = 2 exceeds it
+    rows = [("c", 1, i, "user", "abc") for i in range(4)]
+    kept = T.context_budget(turns_df(spark, rows), budget_tokens=1, min_messages=3)
+    assert kept.count() == 4
+    assert not T.render_history(kept).first().history.startswith("[Earlier")
