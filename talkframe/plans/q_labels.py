@@ -299,3 +299,25 @@ def a24_mismatch_debug(spark, sf_dir):
     t = turns_only(spark, sf_dir)
     lab = conv_labels(spark, sf_dir)
     return L.mismatch_debug(t, lab, L.label_count_check(t, lab))
+
+
+@query("a24_mismatch_debug_flat", _sql(f"""
+, n AS (SELECT corpus, session_id, count(*) AS n_patient FROM turns
+        WHERE role = 'assistant' AND length({s_strip('text')}) > 0 GROUP BY ALL),
+bad AS (SELECT n.corpus, n.session_id, CAST(least(16, n.n_patient) AS BIGINT) AS expected,
+               CAST(coalesce(p.total_patient_turns, 0) AS BIGINT) AS received
+        FROM n LEFT JOIN per_conv p ON n.corpus = p.corpus AND n.session_id = p.session_id
+        WHERE least(16, n.n_patient) <> coalesce(p.total_patient_turns, 0))
+SELECT b.corpus, b.session_id, b.expected, b.received,
+       (SELECT count(*) FROM turns t WHERE t.corpus = b.corpus AND t.session_id = b.session_id) AS n_input_messages,
+       coalesce((SELECT string_agg(label, '' ORDER BY label_idx) FROM convl c WHERE c.corpus = b.corpus AND c.session_id = b.session_id), '') AS labels
+FROM bad b"""))
+def a24_mismatch_debug_flat(spark, sf_dir):
+    """A24/S13 debug rows flattened for the oracle: message count and the label
+    string received per mismatching session."""
+    t = turns_only(spark, sf_dir)
+    lab = conv_labels(spark, sf_dir)
+    d = L.mismatch_debug(t, lab, L.label_count_check(t, lab))
+    return d.select("corpus", "session_id", "expected", "received",
+                    F.size("input_messages").cast("bigint").alias("n_input_messages"),
+                    F.coalesce(F.array_join(F.transform("output_labels", lambda x: x["label"]), ""), F.lit("")).alias("labels"))
