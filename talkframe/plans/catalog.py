@@ -29,6 +29,8 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def query(name: str, sql: str | None = None):
     def deco(fn):
         def run(spark, sf_dir):
+            from talkframe.session import ship_package
+            ship_package(spark)  # workers import talkframe for UDFs / hooks
             return rounded(fn(spark, sf_dir))
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

@@ -84,3 +84,33 @@ def spread(df):
     if current < target:
         return df.repartition(target)
     return df
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``talkframe`` importable in Python workers (pandas UDFs, mapInPandas
+    hooks) when it is not installed on the executors: zip the package once per
+    SparkContext and register it with ``addPyFile`` (Spark serves the file to
+    every executor and puts it on the workers' path)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: install the package on the server instead
+        return
+    key = id(sc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import talkframe
+    root = os.path.dirname(os.path.dirname(os.path.abspath(talkframe.__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="talkframe-pkg-", dir="/tmp"), "talkframe.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for base, _, files in os.walk(os.path.join(root, "talkframe")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
