@@ -54,6 +54,64 @@ def op9(spark, sf_dir):
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+_LINES_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, i, parts[i] AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents) d,
+       LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) u),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+common AS (
+  SELECT k, max(doc_id) AS holder FROM keyed WHERE length(k) >= 40
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines,
+       count(*) FILTER (WHERE holder IS NOT NULL AND holder <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i)
+                       FILTER (WHERE holder IS NULL OR holder = doc_id), '')) AS kept_sha256
+FROM keyed LEFT JOIN common USING (k) GROUP BY doc_id
+"""
+
+
+@_query("op10_line_dedup", _LINES_SQL)
+def op10(spark, sf_dir):
+    """Every document without the lines that other documents hold as well."""
+    from talkframe.llm import line_dedup as L
+    out = L.dedup(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+                      F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_SUBSTRING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(w[p:p + 19], ' ') AS content
+  FROM words, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS p) u),
+later AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY content ORDER BY doc_id, p) AS r FROM windows) t WHERE r > 1),
+gone AS (
+  SELECT DISTINCT doc_id, p + j AS i FROM later, LATERAL (SELECT unnest(range(0, 20)) AS j) u),
+each_word AS (
+  SELECT words.doc_id, i, w[i] AS word FROM words, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) u),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t
+  FROM each_word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
+
+
+@_query("op6_substring_dedup", _SUBSTRING_SQL)
+def op6(spark, sf_dir):
+    """Every document without the 20-word passages that start earlier elsewhere."""
+    from talkframe.llm import substring_dedup as S
+    out = S.dedup(documents(spark, sf_dir, "doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_QUERIES)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from talkframe.session import checkpoint_dir
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that nothing refers to any more.
+
+    They go when the driver collects its garbage, which on an idle driver may be
+    long after the disks of the executors are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
@@ -17,6 +28,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     read only the columns that they use.
     """
     spark = df.sparkSession
+    release(spark)
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
