@@ -143,6 +143,60 @@ def op2(spark, sf_dir):
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+_MIX_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS key FROM documents),
+per AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+         row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM sizes GROUP BY source),
+weighed AS (
+  SELECT *, CAST([5, 2, 1][CAST(i % 3 + 1 AS INT)] AS DOUBLE) AS w, 3.0 * CAST(source_size AS DOUBLE) AS most FROM per),
+levels AS (
+  SELECT *, row_number() OVER (ORDER BY most / w, i) AS place,
+         (CAST(sum(source_size) OVER () AS DOUBLE)
+          - coalesce(sum(most) OVER (ORDER BY most / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(w) OVER ()
+            - coalesce(sum(w) OVER (ORDER BY most / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level
+  FROM weighed),
+plan AS (
+  SELECT source, source_size,
+         least(most, w * coalesce((SELECT level FROM levels WHERE level <= most / w ORDER BY place LIMIT 1), 0)) AS target
+  FROM levels),
+budget AS (
+  SELECT *, CAST(round(target) AS BIGINT) AS words,
+         CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM plan),
+ordered AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sizes)
+SELECT o.doc_id, o.source, o.size, b.source_size, b.target,
+       CAST(epochs * size + least(size, greatest(0, words - epochs * b.source_size - before)) AS BIGINT) AS taken
+FROM ordered o JOIN budget b ON o.source IS NOT DISTINCT FROM b.source
+"""
+
+
+@_query("op1_source_mix", _MIX_SQL)
+def op1(spark, sf_dir):
+    """Every document with the words that the mix takes of it."""
+    from talkframe.llm import mixing as M
+    sizes = stored(M.sized(documents(spark, sf_dir, "doc_id", "source", "text")), "mix-sizes")
+    return M.taken(sizes).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
+@_query("op5_bpe_round_trip")
+def op5(spark, sf_dir):
+    """Every document encoded and decoded with a public BPE vocabulary."""
+    from talkframe.llm import bpe as B
+    return B.digested(documents(spark, sf_dir, "doc_id", "text")).drop("text")
+
+
+@_query("op8_token_counts")
+def op8(spark, sf_dir):
+    """Tokens of every line of every document, attributed by most bytes."""
+    from talkframe.llm import token_counts as T
+    return T.counted(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_QUERIES)
 
