@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm.tables import documents, stored
+from talkframe.llm.tables import documents, scratch, stored
 from talkframe.session import ship_package
 
 _QUERIES: dict[str, Callable] = {}
@@ -197,6 +197,26 @@ def op8(spark, sf_dir):
     return T.counted(documents(spark, sf_dir, "doc_id", "text"))
 
 
+_WARC_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS winner FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes < 1000 OR page_id = winner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN payload_bytes < 1000 OR page_id = winner THEN NULL ELSE winner END AS refers_to
+FROM t
+"""
+
+
+@_query("op3_warc_round_trip", _WARC_SQL)
+def op3(spark, sf_dir):
+    """Every page written to WARC archives, read back and listed by the merged index."""
+    from talkframe.llm import warc
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    out = warc.round_trip(pages, scratch(spark, "warc"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable]:
     return dict(_QUERIES)
 

@@ -20,6 +20,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
@@ -29,7 +34,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     release(spark)
-    path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
