@@ -196,25 +196,19 @@ def tree(pieces: list[Piece], encode) -> Piece:
     return pieces[0]
 
 
-def _digests(parts) -> tuple[int, str, str]:
+_DIGEST = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()),
+                     ("ids", pa.list_(pa.int32()))])
+_DIGEST_TYPE = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string,ids:array<int>>"
+
+
+def _digests(parts, with_ids: bool = False) -> dict:
     """Count, SHA-256 of the ids and of the decoded text, of chunk encodings in order."""
-    ids, texts, n = hashlib.sha256(), hashlib.sha256(), 0
-    first = True
-    block_i, block_t = [], []
-    for k, i, t in parts:
-        if not k:
-            continue
-        n += k
-        block_i.append(i)
-        block_t.append(t)
-        if len(block_i) >= 65536:
-            ids.update(("" if first else " ").encode() + " ".join(block_i).encode())
-            texts.update(("" if first else " ").encode() + " ".join(block_t).encode())
-            first, block_i, block_t = False, [], []
-    if block_i:
-        ids.update(("" if first else " ").encode() + " ".join(block_i).encode())
-        texts.update(("" if first else " ").encode() + " ".join(block_t).encode())
-    return n, ids.hexdigest(), texts.hexdigest()
+    parts = [p for p in parts if p[0]]
+    ids = " ".join([p[1] for p in parts])
+    text = " ".join([p[2] for p in parts])
+    return {"n_tokens": sum(p[0] for p in parts), "ids_sha256": hashlib.sha256(ids.encode()).hexdigest(),
+            "decoded_sha256": hashlib.sha256(text.encode()).hexdigest(),
+            "ids": np.array(ids.split(), np.int32) if with_ids else None}
 
 
 def _chunked(col: pa.Array, c: Coder):
@@ -232,26 +226,12 @@ def _chunked(col: pa.Array, c: Coder):
     yield from held
 
 
-def _short_digests(path: str):
+def _short_digests(path: str, with_ids: bool):
     def run(col: pa.Array) -> pa.Array:
         c = coder(path)
-        rows = []
-        for chunks in _chunked(col, c):
-            known = [c.cache[x] for x in chunks]
-            rows.append(_digests(known))
-        n, ids, text = zip(*rows) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())],
-                                          names=["n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.array([_digests([c.cache[x] for x in chunks], with_ids) for chunks in _chunked(col, c)], _DIGEST)
     run.__annotations__ = {"col": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
-
-
-def _short_ids(path: str):
-    def run(col: pa.Array) -> pa.Array:
-        c = coder(path)
-        return pa.array([[int(i) for x in chunks for i in c.cache[x][1].split()] for chunks in _chunked(col, c)], pa.list_(pa.int32()))
-    run.__annotations__ = {"col": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<int>")
+    return F.arrow_udf(run, _DIGEST_TYPE)
 
 
 def _is_long(text: str, leaf: int) -> Column:
@@ -327,15 +307,25 @@ def _long_ids(docs: DataFrame, text: str, path: str, leaf: int) -> DataFrame:
             .select("_h", _joined_ids(path)("parts").alias("_ids")))
 
 
-def encoded(docs: DataFrame, path: str | None = None, text: str = "text", out: str = "ids", leaf: int = LEAF) -> DataFrame:
-    """``docs`` plus the array of ids of each text."""
+def encoded(docs: DataFrame, path: str | None = None, text: str = "text", leaf: int = LEAF, with_ids: bool = True) -> DataFrame:
+    """``docs`` plus ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked for, ``ids``.
+
+    The digests are of the decimal ids joined by a space and of the decoded text.
+    """
     path = path or vocabulary()
     names = [f"c{i}" for i in range(len(docs.columns))]
     inner, t = docs.toDF(*names), names[docs.columns.index(text)]
+
+    def of_ids(col: pa.Array) -> pa.Array:
+        c = coder(path)
+        return pa.array([_digests([c._entry(x)], with_ids) for x in col.to_pylist()], _DIGEST)
+    of_ids.__annotations__ = {"col": pa.Array, "return": pa.Array}
+    plain = inner.where(~_is_long(t, leaf)).select(*names, _short_digests(path, with_ids)(t).alias("_d"))
+    long = (inner.where(_is_long(t, leaf)).withColumn("_h", F.sha2(t, 256)).join(_long_ids(inner, t, path, leaf), "_h")
+            .select(*names, F.arrow_udf(of_ids, _DIGEST_TYPE)("_ids").alias("_d")))
     back = [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
-    plain = inner.where(~_is_long(t, leaf)).select(*back, _short_ids(path)(t).alias(out))
-    found = inner.where(_is_long(t, leaf)).withColumn("_h", F.sha2(t, 256)).join(_long_ids(inner, t, path, leaf), "_h")
-    return plain.unionByName(found.select(*back, F.col("_ids").alias(out)))
+    out = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    return plain.unionByName(long).select(*back, *[F.col(f"_d.{c}").alias(c) for c in out])
 
 
 def decoded(df: DataFrame, path: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -347,24 +337,3 @@ def decoded(df: DataFrame, path: str | None = None, ids: str = "ids", out: str =
         return pa.array([c.decode(x or []) for x in col.to_pylist()], pa.string())
     run.__annotations__ = {"col": pa.Array, "return": pa.Array}
     return df.withColumn(out, F.arrow_udf(run, "string")(ids))
-
-
-def digested(docs: DataFrame, path: str | None = None, text: str = "text", leaf: int = LEAF) -> DataFrame:
-    """``docs`` plus ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, without moving the ids."""
-    path = path or vocabulary()
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    inner, t = docs.toDF(*names), names[docs.columns.index(text)]
-    back = [F.col(n).alias(c) for n, c in zip(names, docs.columns)]
-
-    def of_ids(col: pa.Array) -> pa.Array:
-        c = coder(path)
-        rows = [_digests([(len(x), " ".join(map(str, x)), c.decode(x))]) for x in col.to_pylist()]
-        n, ids, texts = zip(*rows) if rows else ((), (), ())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
-                                          names=["n_tokens", "ids_sha256", "decoded_sha256"])
-    of_ids.__annotations__ = {"col": pa.Array, "return": pa.Array}
-    kind = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
-    plain = inner.where(~_is_long(t, leaf)).select(*names, _short_digests(path)(t).alias("_d"))
-    long = (inner.where(_is_long(t, leaf)).withColumn("_h", F.sha2(t, 256)).join(_long_ids(inner, t, path, leaf), "_h")
-            .select(*names, F.arrow_udf(of_ids, kind)("_ids").alias("_d")))
-    return plain.unionByName(long).select(*back, "_d.*")

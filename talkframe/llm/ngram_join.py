@@ -5,10 +5,10 @@ with A-Z lower-cased).  Equal sets form a class, and classes are joined when
 ``100 * |intersection| >= percent * |union|``.
 
 The tree: below the root, a class sits under one node for each pair of
-neighbours among its ``SKETCH`` smallest shingles.  Two sets of Jaccard 0.9
-miss all common nodes with a probability below 2e-11 for each link (each
-shingle of their union is shared with probability 0.9, and all 23 pairs must
-be broken); sets of up to ``SKETCH`` shingles never miss.  Under it, nodes
+neighbours among its ``sketch_size`` smallest shingles.  Two sets at the
+threshold miss all common nodes with a probability below 2e-11 (each shingle of
+their union is shared with a probability of the threshold, and every pair of
+neighbours must be broken); sets no larger than that never miss.  Under it, nodes
 split by size band and, if they are still large, by hash.  Every node holds the
 OR of its members' token bitmaps, their size range and the largest number of
 bitmap collisions.
@@ -44,13 +44,25 @@ from talkframe.llm import words as W
 from talkframe.llm.components import components
 from talkframe.llm.tables import release, stored
 
-SKETCH = 24
+MISS = 2e-11
 BITS = 1024
 WORDS64 = BITS // 64
 LEAF = 512
 _U = np.uint64
 
 
+def sketch_size(percent: int) -> int:
+    """Shingles of a sketch so that a pair at the threshold meets but for ``MISS``.
+
+    With each shingle shared with probability p, the probability of no two
+    shared neighbours falls by the larger root of x * x = (1 - p) * (x + p)
+    for each shingle.
+    """
+    p = percent / 100
+    root = ((1 - p) + ((1 - p) ** 2 + 4 * (1 - p) * p) ** 0.5) / 2
+    return max(2, int(np.ceil(np.log(MISS) / np.log(root)))) if 0 < root < 1 else 2
+
+
 def _sets(data, offs, n):
     """Sorted distinct shingle hashes of each row (None: empty)."""
     doc, _, _, h = W.scan(data, offs, lower=True)
@@ -80,7 +92,7 @@ def _signature(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-def _sketches(n):
+def _sketches(n, width):
     def rows(batches):
         for b in batches:
             for first, data, offs in W.slices(b.column(1)):
@@ -92,7 +104,7 @@ def _sketches(n):
                         keys.append(None)
                         sig.append(None)
                         continue
-                    low = s[:SKETCH]
+                    low = s[:width]
                     size.append(len(s))
                     ident.append(_identity(s))
                     keys.append(np.unique(W.mix(low[:-1] * _U(3) ^ W.mix(low[1:]))).view(np.int64))
@@ -125,7 +137,7 @@ class Join:
 
     def sketched(self) -> DataFrame:
         kind = "doc bigint, n bigint, node binary, keys array<bigint>, sig array<bigint>"
-        return stored(self.docs.mapInArrow(_sketches(self.n), kind), "ngram-sketches")
+        return stored(self.docs.mapInArrow(_sketches(self.n, sketch_size(self.percent)), kind), "ngram-sketches")
 
     def classes(self, sketches: DataFrame) -> DataFrame:
         """One row for each distinct set; ``doc``: the smallest id that has it."""
@@ -278,6 +290,24 @@ def _compared(percent):
     return rows
 
 
+def representatives(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one document of each component, that of the smallest id.
+
+    Rows that share id and text are one document.
+    """
+    found = groups(docs, n, percent, key, text)
+    verdict = stored(found.groupBy("doc").agg(F.min((~F.col("doc").eqNullSafe(F.col("component"))).cast("int")).alias("_drop"),
+                                              F.count("*").alias("_rows")).withColumnRenamed("doc", "_doc"), "ngram-verdict")
+    release(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    of = dict(zip(docs.columns, names))
+    rows = docs.toDF(*names)
+    joined = rows.join(verdict, F.col(of[key]).cast("bigint").eqNullSafe(F.col("_doc"))).where("_drop = 0")
+    once = joined.where("_rows = 1").select(*names)
+    more = joined.where("_rows > 1").select(*names).dropDuplicates([of[key], of[text]])
+    return once.unionByName(more).toDF(*docs.columns)
+
+
 def groups(docs: DataFrame, n: int = 3, percent: int = 90, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, n, node, component) of every row of ``docs``."""
     return Join(docs, n, percent, key, text).result()

@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.llm.tables import documents, scratch, stored
-from talkframe.session import ship_package
+from talkframe.llm.tables import documents, prepare, scratch, stored
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
@@ -17,7 +16,7 @@ _SQL: dict[str, str] = {}
 def _query(name: str, sql: str | None = None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         _QUERIES[name] = run
@@ -187,7 +186,7 @@ def op1(spark, sf_dir):
 def op5(spark, sf_dir):
     """Every document encoded and decoded with a public BPE vocabulary."""
     from talkframe.llm import bpe as B
-    return B.digested(documents(spark, sf_dir, "doc_id", "text")).drop("text")
+    return B.encoded(documents(spark, sf_dir, "doc_id", "text"), with_ids=False).drop("text")
 
 
 @_query("op8_token_counts")
@@ -217,6 +216,13 @@ def op3(spark, sf_dir):
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@_query("op7_nearest_neighbours")
+def op7(spark, sf_dir):
+    """The five nearest vectors of every fiftieth one."""
+    from talkframe.llm import ann
+    return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_QUERIES)
 

@@ -7,7 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkframe.session import checkpoint_dir
+from talkframe.session import checkpoint_dir, ship_package
+
+
+#: Rows of an Arrow batch: with long texts the default of 10,000 fills an executor.
+BATCH_ROWS = 1000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings of the session that the operators want, and the package on its workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    ship_package(spark)
 
 
 def release(spark: SparkSession) -> None:

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
-_PIECE = 1 << 20
+SLICE_BYTES = 1 << 18
+_PIECE = 1 << 18
 _U = np.uint64
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
@@ -52,7 +52,7 @@ def _power(base: int, n: int) -> np.ndarray:
         t = np.full(max(n, 2 * _PIECE), _U(base))
         t[0] = 1
         t = np.cumprod(t, dtype=np.uint64)
-        if n <= 4 * _PIECE:
+        if n <= 8 * _PIECE:
             _powers[base] = t
     return t[:n]
 
