@@ -8,8 +8,12 @@ The tree: below the root, a class sits under one node for each pair of
 neighbours among its ``sketch_size`` smallest shingles.  Two sets at the
 threshold miss all common nodes with a probability below 2e-11 (each shingle of
 their union is shared with a probability of the threshold, and every pair of
-neighbours must be broken); sets no larger than that never miss.  Under it, nodes
-split by size band and, if they are still large, by hash.  Every node holds the
+neighbours must be broken); sets no larger than that never miss.  Pairs of
+common shingles would route unrelated documents to one node: a sketch has
+``SPARE`` more shingles than it needs, and a document leaves the nodes of more
+than ``HOT`` members if as many other nodes as a sketch needs are left to it
+(what is near it meets it there; documents with fewer stay, so none is lost).
+Under it, nodes split by size band and, if they are still large, by hash.  Every node holds the
 OR of its members' token bitmaps, their size range and the largest number of
 bitmap collisions.
 
@@ -45,6 +49,8 @@ from talkframe.llm.components import components
 from talkframe.llm.tables import release, stored
 
 MISS = 2e-11
+SPARE = 8
+HOT = 256
 BITS = 1024
 WORDS64 = BITS // 64
 LEAF = 512
@@ -54,10 +60,12 @@ _U = np.uint64
 def sketch_size(percent: int) -> int:
     """Shingles of a sketch so that a pair at the threshold meets but for ``MISS``.
 
-    With each shingle shared with probability p, the probability of no two
+    It takes 70 % or more: below, small sets may meet nowhere.  With each shingle shared with probability p, the probability of no two
     shared neighbours falls by the larger root of x * x = (1 - p) * (x + p)
     for each shingle.
     """
+    if not 70 <= percent <= 100:
+        raise ValueError("percent must lie between 70 and 100")
     p = percent / 100
     root = ((1 - p) + ((1 - p) ** 2 + 4 * (1 - p) * p) ** 0.5) / 2
     return max(2, int(np.ceil(np.log(MISS) / np.log(root)))) if 0 < root < 1 else 2
@@ -137,7 +145,7 @@ class Join:
 
     def sketched(self) -> DataFrame:
         kind = "doc bigint, n bigint, node binary, keys array<bigint>, sig array<bigint>"
-        return stored(self.docs.mapInArrow(_sketches(self.n, sketch_size(self.percent)), kind), "ngram-sketches")
+        return stored(self.docs.mapInArrow(_sketches(self.n, sketch_size(self.percent) + SPARE), kind), "ngram-sketches")
 
     def classes(self, sketches: DataFrame) -> DataFrame:
         """One row for each distinct set; ``doc``: the smallest id that has it."""
@@ -147,9 +155,15 @@ class Join:
 
     def routed(self, classes: DataFrame) -> DataFrame:
         """(key, node, n) of the routing nodes with two members or more."""
-        rows = classes.select(F.explode("keys").alias("key"), "node", "n")
-        many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-        return stored(rows.join(many, "key"), "ngram-routes")
+        rows = classes.select(F.explode("keys").alias("key"), "node", "n", F.size("keys").alias("all"))
+        many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        rows = stored(rows.join(many, "key"), "ngram-keys")
+        hot = rows.where(F.col("c") > HOT)
+        need = sketch_size(self.percent) - 1
+        bound = (hot.groupBy("node").agg((F.first("all") - F.count("*")).alias("light")).where(F.col("light") < need)
+                 .select("node"))
+        cols = ["key", "node", "n"]
+        return stored(rows.where(F.col("c") <= HOT).select(cols).unionByName(hot.join(bound, "node").select(cols)), "ngram-routes")
 
     def star_pairs(self, routes: DataFrame, classes: DataFrame) -> DataFrame:
         hubs = routes.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("r"), "node", "n")).alias("h"))
@@ -164,12 +178,11 @@ class Join:
         """Pairs of different components that the dual traversal cannot prune."""
         named = labels.select("node", "root")
         routes = stored(routes.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-rooted")
-        open_ = (routes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open"), F.count("*").alias("members"))
-                 .where("open").select("key", "members"))
-        band = F.floor(-F.log("n") / F.log(F.lit(self.percent / 100.0)))
-        salts = F.ceil(F.col("members") / LEAF)
-        members = (routes.join(open_, "key").join(classes.select("node", "sig"), "node")
-                   .withColumn("leaf", F.struct(band.cast("int").alias("band"), F.pmod(F.xxhash64("node"), salts).cast("int").alias("part")))
+        open_ = routes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
+        banded = routes.join(open_, "key").withColumn("band", F.floor(-F.log("n") / F.log(F.lit(self.percent / 100.0 - 1e-9))))
+        parts = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
+        members = (banded.join(parts, ["key", "band"]).join(classes.select("node", "sig"), "node")
+                   .withColumn("leaf", F.struct("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
                    .select("key", "leaf", "node", "n", "root", "sig"))
         members = stored(members, "ngram-members")
         nodes = members.groupBy("key", "leaf").agg(
@@ -293,7 +306,8 @@ def _compared(percent):
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component, that of the smallest id.
 
-    Rows that share id and text are one document.
+    Rows that share an id (null included) go only if all of them would; rows
+    that share id and text are one document.
     """
     found = groups(docs, n, percent, key, text)
     verdict = stored(found.groupBy("doc").agg(F.min((~F.col("doc").eqNullSafe(F.col("component"))).cast("int")).alias("_drop"),
