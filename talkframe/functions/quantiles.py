@@ -1,23 +1,15 @@
 """Exact linear-interpolated quantiles without gathering a group in one task.
 
-Spark's ``percentile`` is exact but its buffer holds every distinct value of a
-group; for a billion distinct doubles in one group that is one task holding
-them all.  Here the k-th order statistic is found by narrowing a value range:
-
-1. per group: n, min, max (partial aggregates);
-2. targets: for each probability p the 0-based ranks ⌊p(n-1)⌋ and ⌈p(n-1)⌉;
-3. repeat: bucket the rows inside each target's bracket into ``buckets`` equal
-   value ranges (one grouped count with map-side combine), find the bucket that
-   holds the target rank from the cumulative counts (a window over ≤ ``buckets``
-   rows per target), and shrink the bracket to that bucket's [min, max];
-   a bracket holding one distinct value (ties, however many) is resolved at once;
-4. when a bracket holds at most ``exact_rows`` rows, rank them exactly.
-
-The per-round target table (one row per open target) is checkpointed into the
-shared checkpoint folder, and the driver only asks whether it is empty.
-
-Linear interpolation between the two ranks matches numpy's default.  Each round
-is one scan; rows only ever move as (target, bucket) counts.
+Equal values are counted first (partial aggregates), so a value that fills a
+third of the rows is one row.  The distinct values are range-partitioned on
+(group, value): a hot group spans many partitions.  Each (partition, group)
+segment gets the rows of the group before it and the group's total from a
+window over the segment table, one row per segment; running counts inside the
+segments then give every distinct value its interval of ranks, and the rows that
+hold a wanted rank are kept.  One path for every size; no join on the group
+alone and no driver job.
+
+Linear interpolation between the two ranks matches numpy's default.
 """
 
 from __future__ import annotations
@@ -28,64 +20,27 @@ from pyspark.sql import functions as F
 from talkframe.session import cut_lineage
 
 
-def exact_quantiles(df: DataFrame, value: str, probs, by=(), buckets: int = 4096,
-                    exact_rows: int = 200_000, max_rounds: int = 8) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
     """Rows ``(*by, p, quantile)`` for each group and probability."""
     by = list(by)
-    g = by + ["_grp"]  # ``_grp`` gives the ungrouped case a join key too
+    g = by + ["_grp"]  # ``_grp`` gives the ungrouped case a key too
     x = df.select(*by, F.lit(0).alias("_grp"), F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    largest = x.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    if largest is None or largest <= exact_rows:
-        # every group is small: Spark's exact percentile holds at most
-        # ``exact_rows`` values per group, so use it directly (one pass)
-        agg = x.groupBy(*by).agg(F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs])).alias("_q"))
-        return agg.select(*by, F.inline(F.arrays_zip(F.array(*[F.lit(float(p)) for p in probs]).alias("p"),
-                                                     F.col("_q").alias("quantile"))))
-    # every round re-reads (group, value): cut the upstream lineage once
-    x = cut_lineage(x)
-    stats = x.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    t = stats.select(*g, "_n", "_lo", "_hi", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"))
-    t = t.withColumn("_pos", F.col("p") * (F.col("_n") - 1))
-    ranks = t.select(*g, "p", "_pos", "_lo", "_hi",
-                     F.explode(F.array(F.floor("_pos").cast("bigint"), F.ceil("_pos").cast("bigint"))).alias("_r"))
-    # open targets (group, rank) with their bracket [L, U] and ``base`` = rows below L
-    open_t = ranks.select(*g, "_r", F.col("_lo").alias("L"), F.col("_hi").alias("U"),
-                          F.lit(0).cast("bigint").alias("base")).distinct()
-    bk = g + ["L", "U", "base"]
-    solved = None
-    for _ in range(max_rounds):
-        # targets sharing a bracket share one histogram (round 1: one per group)
-        brackets = open_t.select(*bk).distinct()
-        inside = x.join(brackets, g, "inner").where((F.col("_x") >= F.col("L")) & (F.col("_x") <= F.col("U")))
-        width = (F.col("U") - F.col("L")) / buckets
-        b = F.when(width > 0, F.least(F.floor((F.col("_x") - F.col("L")) / width), F.lit(buckets - 1))).otherwise(0)
-        hist = inside.groupBy(*bk, b.cast("bigint").alias("_b")).agg(
-            F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_bmin"), F.max("_x").alias("_bmax"))
-        w = Window.partitionBy(*bk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)) + F.col("base"))
-        hit = open_t.join(hist, bk).where(
-            (F.col("_before") <= F.col("_r")) & (F.col("_r") < F.col("_before") + F.col("_c")))
-        # one row per open target: materialise it so the next round (and the
-        # driver's "anything left?" check) never recomputes earlier rounds
-        hit = cut_lineage(hit.select(*g, "_r", "_c", "_bmin", "_bmax", "_before"))
-        done = hit.where(F.col("_bmin") == F.col("_bmax")).select(*g, "_r", F.col("_bmin").alias("q"))
-        small = hit.where((F.col("_bmin") < F.col("_bmax")) & (F.col("_c") <= exact_rows))
-        # bounded: at most ``exact_rows`` rows per target are ranked here
-        rows = x.join(small.select(*g, "_r", "_bmin", "_bmax", "_before"), g, "inner").where(
-            (F.col("_x") >= F.col("_bmin")) & (F.col("_x") <= F.col("_bmax")))
-        rw = Window.partitionBy(*g, "_r").orderBy("_x")
-        exact = (rows.withColumn("_k", F.row_number().over(rw) - 1 + F.col("_before"))
-                 .where(F.col("_k") == F.col("_r")).select(*g, "_r", F.col("_x").alias("q")))
-        part = done.unionByName(exact)
-        solved = part if solved is None else solved.unionByName(part)
-        open_t = hit.where((F.col("_bmin") < F.col("_bmax")) & (F.col("_c") > exact_rows)).select(
-            *g, "_r", F.col("_bmin").alias("L"), F.col("_bmax").alias("U"), F.col("_before").alias("base"))
-        if open_t.isEmpty():
-            break
-    else:
-        raise RuntimeError("exact_quantiles did not converge; raise max_rounds or exact_rows")
-    lo = ranks.join(solved, g + ["_r"]).where(F.col("_r") == F.floor("_pos")).select(*g, "p", "_pos", F.col("q").alias("_ql"))
-    hi = ranks.join(solved, g + ["_r"]).where(F.col("_r") == F.ceil("_pos")).select(*g, "p", F.col("q").alias("_qh"))
-    out = lo.join(hi, g + ["p"])
-    frac = F.col("_pos") - F.floor("_pos")
-    return out.select(*by, "p", (F.col("_ql") + (F.col("_qh") - F.col("_ql")) * frac).alias("quantile"))
+    counted = x.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # partition ids are pinned: both branches below must see the same ones
+    s = cut_lineage(counted.repartitionByRange(n, *g, "_x").withColumn("_pid", F.spark_partition_id()))
+    group = Window.partitionBy(*g)
+    before = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    seg = s.groupBy("_pid", *g).agg(F.sum("_c").alias("_s"))
+    seg = seg.select("_pid", *g, F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"), F.sum("_s").over(group).alias("_n"))
+    inside = Window.partitionBy("_pid", *g).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = s.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(seg, ["_pid", *g])
+    first = F.col("_off") + F.col("_in")  # ranks first .. first + _c - 1 hold this value
+    pos = F.col("p") * (F.col("_n") - 1)
+    holds = lambda r: (first <= r) & (r < first + F.col("_c"))
+    hits = (ranked.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+            .withColumn("_low", holds(F.floor(pos))).withColumn("_high", holds(F.ceil(pos))).where("_low or _high"))
+    out = hits.groupBy(*g, "p").agg(F.max(F.when(F.col("_low"), F.col("_x"))).alias("_a"),
+                                    F.max(F.when(F.col("_high"), F.col("_x"))).alias("_b"),
+                                    F.first(pos - F.floor(pos)).alias("_f"))
+    return out.select(*by, "p", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias("quantile"))

@@ -166,11 +166,10 @@ def disfluency_lexicon(mode: str = "substring") -> list[Entry]:
 
 
 def as_rows(entries) -> list[Entry]:
-    """Accept a list of Entry / tuples or a small DataFrame (size-checked)."""
+    """Accept a list of Entry / tuples or a DataFrame of them: the patterns become
+    expressions of the plan, so a lexicon is a parameter, not data (word lists
+    of any size are joined instead, see ``operators.emotion``)."""
     if hasattr(entries, "collect"):
-        n = entries.count()
-        if n > 5000:
-            raise ValueError(f"pattern lexicon too large to unroll ({n} rows); use a word lexicon join")
         return [Entry(r["category"], r["pattern"], r["kind"] if "kind" in r else "regex",
                       r["section"] if "section" in r else None) for r in entries.collect()]
     out = []

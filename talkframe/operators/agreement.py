@@ -8,7 +8,7 @@ positions are dense).  Category grids are built from the given category list
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkframe.operators.labels import label_number
@@ -67,46 +67,51 @@ def class_agreement(pairs: DataFrame, categories) -> DataFrame:
 
 
 def classification_report(pairs: DataFrame, categories) -> DataFrame:
-    """Precision, recall, F1, support per class; macro and weighted averages
-    (zero_division = 0)."""
-    spark = pairs.sparkSession
-    tp = pairs.where(F.col("a") == F.col("b")).groupBy(F.col("a").alias("label")).agg(F.count(F.lit(1)).alias("tp"))
-    sup = pairs.groupBy(F.col("a").alias("label")).agg(F.count(F.lit(1)).alias("support"))
-    pred = pairs.groupBy(F.col("b").alias("label")).agg(F.count(F.lit(1)).alias("pred"))
-    j = _grid(spark, categories).join(tp, "label", "left").join(sup, "label", "left").join(pred, "label", "left")
-    j = j.select("label", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "support", "pred")])
-    p = F.coalesce(F.col("tp") / F.nullif("pred", F.lit(0)), F.lit(0.0))
-    r = F.coalesce(F.col("tp") / F.nullif("support", F.lit(0)), F.lit(0.0))
-    per = j.select("label", p.alias("precision"), r.alias("recall"), "support")
-    per = per.withColumn("f1", F.coalesce(2 * F.col("precision") * F.col("recall") /
-                                          F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
-    per = per.select("label", "precision", "recall", "f1", F.col("support").cast("bigint").alias("support"))
-    tot = F.sum("support")
-    avg = per.agg(
-        F.struct(F.lit("macro avg").alias("label"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
-                 F.avg("f1").alias("f1"), tot.cast("bigint").alias("support")).alias("m"),
+    """Precision, recall, F1, support per class; accuracy, macro and weighted
+    averages (zero_division = 0).
+
+    One pass over the pairs: everything follows from their (a, b) counts, which
+    are a few rows and are exploded to one row for each side and class."""
+    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    zero = F.lit(0).cast("bigint")
+    same = F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(zero)
+    sides = F.array(F.struct(F.col("a").alias("label"), F.col("n").alias("support"), zero.alias("pred"), same.alias("tp")),
+                    F.struct(F.col("b").alias("label"), zero.alias("support"), F.col("n").alias("pred"), zero.alias("tp")))
+    j = (_grid(pairs.sparkSession, categories).join(counts.select(F.inline(sides)), "label", "left").groupBy("label")
+         .agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in ("tp", "support", "pred")]))
+    share = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    per = j.select("label", "tp", share(F.col("tp"), F.col("pred")).alias("precision"),
+                   share(F.col("tp"), F.col("support")).alias("recall"), "support")
+    p, r = F.col("precision"), F.col("recall")
+    per = per.withColumn("f1", F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)))
+    scores = ("precision", "recall", "f1")
+    everything = Window.partitionBy()  # over one row for each class
+    total = F.sum("support").over(everything)
+    accuracy = share(F.sum("tp").over(everything), total)
+    rows = per.select(
+        F.struct("label", *scores, "support").alias("own"),
+        F.struct(F.lit("accuracy").alias("label"), *[accuracy.alias(c) for c in scores], total.alias("support")).alias("acc"),
+        F.struct(F.lit("macro avg").alias("label"), *[F.avg(c).over(everything).alias(c) for c in scores], total.alias("support")).alias("macro"),
         F.struct(F.lit("weighted avg").alias("label"),
-                 F.coalesce(F.sum(F.col("precision") * F.col("support")) / F.nullif(tot, F.lit(0)), F.lit(0.0)).alias("precision"),
-                 F.coalesce(F.sum(F.col("recall") * F.col("support")) / F.nullif(tot, F.lit(0)), F.lit(0.0)).alias("recall"),
-                 F.coalesce(F.sum(F.col("f1") * F.col("support")) / F.nullif(tot, F.lit(0)), F.lit(0.0)).alias("f1"),
-                 tot.cast("bigint").alias("support")).alias("w"))
-    avg = avg.select(F.inline(F.array("m", "w")))
-    return per.unionByName(avg)
+                 *[share(F.sum(F.col(c) * F.col("support")).over(everything), total).alias(c) for c in scores],
+                 total.alias("support")).alias("weighted"))
+    return rows.select(F.inline(F.array("own", "acc", "macro", "weighted"))).distinct()
 
 
 def agreement_by_position(pairs: DataFrame) -> DataFrame:
-    """Agree / total per position and the mean of the per-position rates."""
+    """Agree / total per position and the mean of the per-position rates
+    (a window over the positions, one row each)."""
     g = pairs.groupBy("idx").agg(F.count_if(F.col("a") == F.col("b")).alias("agree"), F.count(F.lit(1)).alias("total"))
     g = g.withColumn("rate", F.col("agree") / F.col("total"))
-    mean = g.agg(F.avg("rate")).scalar()
-    return g.withColumn("mean_rate", mean)
+    return g.withColumn("mean_rate", F.avg("rate").over(Window.partitionBy()))
 
 
-def agreement_by_conversation(pairs: DataFrame, key=("corpus", "session_id")) -> DataFrame:
-    """A34."""
-    return pairs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"),
-                                           F.count_if(F.col("a") == F.col("b")).alias("agreements"),
-                                           F.avg((F.col("a") == F.col("b")).cast("double")).alias("accuracy"))
+def agreement_by_conversation(pairs: DataFrame, sessions: DataFrame, key=("corpus", "session_id")) -> DataFrame:
+    """Every conversation of ``sessions``; without an aligned pair n and accuracy are 0."""
+    same = F.col("a") == F.col("b")
+    return sessions.join(pairs, list(key), "left").groupBy(*key).agg(
+        F.count("idx").alias("n"), F.count_if(same).alias("agreements"),
+        F.coalesce(F.avg(same.cast("double")), F.lit(0.0)).alias("accuracy"))
 
 
 def label_distribution(pairs: DataFrame, categories, names=("labeler_1", "labeler_2")) -> DataFrame:

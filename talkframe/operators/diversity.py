@@ -18,6 +18,7 @@ from talkframe.functions.quantiles import exact_quantiles
 from talkframe.functions.text import strict_words
 from talkframe.lexicons import STRICT_DISFLUENCIES
 from talkframe.operators.turns import SESSION
+from talkframe.session import cut_lineage
 
 SPEAKER = {"real": "Real", "synthetic": "Synthetic"}
 
@@ -121,7 +122,8 @@ def lexical_diversity(turns: DataFrame, variant_turns: DataFrame | None = None,
 def box_summary(results: DataFrame) -> DataFrame:
     """Quartiles (linear), whiskers inside 1.5 IQR, session count per
     strategy × speaker; null MTLD values are left out."""
-    r = results.where(F.col("mtld").isNotNull())
+    # the scores come out of Python: written once, read three times
+    r = cut_lineage(results.where(F.col("mtld").isNotNull()).select("analysis_type", "speaker_type", "session_id", "mtld"))
     keys = ["analysis_type", "speaker_type"]
     qs = exact_quantiles(r, "mtld", [0.25, 0.5, 0.75], by=keys)
     qw = qs.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n)

@@ -3,12 +3,11 @@
 For a text with n lexicon-scored words of which k carry emotion e, and p_e the
 share of distinct lexicon words tagged e:
 ``z = (k - n p_e) / sqrt(n p_e (1 - p_e))`` (binomial null model), 0 when n = 0
-or p_e ∈ {0, 1}; texts shorter than 2 characters score 0.  k and n are
+or p_e ∈ {0, 1}; stripped texts shorter than 2 characters score 0.  k and n are
 additive, so pooled buckets (A22) sum counts and never concatenate text.
 
 The lexicon is joined, not unrolled: it is pre-aggregated to one row per word
-(its emotion set) and broadcast only when its row count is under
-``broadcast_limit`` (checked); otherwise a shuffle join is used.
+(its emotion set); Spark broadcasts it or shuffles by its measured size.
 """
 
 from __future__ import annotations
@@ -16,11 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkframe.functions.text import strict_words
+from talkframe.functions.text import py_strip, strict_words
 from talkframe.lexicons import EMOTIONS
 from talkframe.operators.turns import SESSION
 
 
+# The order in which the radar and bucket reports show emotions.
+DISPLAY_ORDER = ["joy", "trust", "fear", "surprise", "sadness", "disgust", "anger", "anticipation"]
+
+
+def display_order(emotions) -> list:
+    """The known emotions in report order, then any others as they come."""
+    return [e for e in DISPLAY_ORDER if e in emotions] + [e for e in emotions if e not in DISPLAY_ORDER]
+
+
 def lexicon_table(spark, pairs) -> DataFrame:
     return spark.createDataFrame(list(pairs), "word string, emotion string")
 
@@ -30,36 +38,31 @@ def _z(k, n, p):
 
 
 def emotion_priors(lexicon: DataFrame, emotions=EMOTIONS) -> dict:
-    """p_e per emotion (share of distinct lexicon words tagged e) and the lexicon
-    row count, from one aggregate over the (bounded) lexicon parameter table."""
+    """p_e per emotion: the share of distinct lexicon words tagged e, as scalar
+    subqueries of one aggregate (nothing runs while a query is being built)."""
     d = lexicon.distinct()
-    row = d.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("word").alias("nw"),
-                *[F.count_if(F.col("emotion") == e).alias(f"c_{e}") for e in emotions]).first()
-    pri = {e: (row[f"c_{e}"] / row["nw"] if row["nw"] else 0.0) for e in emotions}
-    pri["_rows"] = row["rows"]
-    return pri
+    row = d.agg(F.struct(*[F.coalesce(F.count_if(F.col("emotion") == e) / F.nullif(F.count_distinct("word"), F.lit(0)),
+                                      F.lit(0.0)).alias(e) for e in emotions]).alias("p")).scalar()
+    return {e: row[e] for e in emotions}
 
 
 def message_emotion_counts(msgs: DataFrame, lexicon: DataFrame, emotions=EMOTIONS,
-                           keys=("corpus", "session_id", "idx"), broadcast_limit: int = 1_000_000,
-                           lexicon_rows: int | None = None) -> DataFrame:
-    """Per message: n scored words and k per emotion (texts < 2 chars → 0)."""
+                           keys=("corpus", "session_id", "idx")) -> DataFrame:
+    """Per message: n scored words and k per emotion (stripped texts < 2 chars → 0).
+
+    One pass: messages without a scored word keep their row through the outer
+    explode and the left join.  Whether the lexicon is broadcast is Spark's
+    choice by its measured size."""
     per_word = lexicon.distinct().groupBy("word").agg(F.collect_set("emotion").alias("emos"))
-    n_rows = lexicon_rows if lexicon_rows is not None else lexicon.count()
-    if n_rows <= broadcast_limit:  # size check before broadcasting
-        per_word = F.broadcast(per_word)
-    toks = msgs.where(F.length("text") >= 2).select(*keys, F.explode(strict_words("text")).alias("word"))
-    hit = toks.join(per_word, "word", "inner")
-    counts = hit.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                                    *[F.count_if(F.array_contains("emos", e)).alias(f"k_{e}") for e in emotions])
-    base = msgs.select(*keys)
-    j = base.join(counts, list(keys), "left")
-    return j.select(*keys, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
-                    *[F.coalesce(f"k_{e}", F.lit(0)).cast("bigint").alias(f"k_{e}") for e in emotions])
+    scored = F.when(F.length(py_strip("text")) >= 2, strict_words("text"))
+    toks = msgs.select(*keys, F.explode_outer(scored).alias("word"))
+    hit = toks.join(per_word, "word", "left")
+    return hit.groupBy(*keys).agg(F.count("emos").alias("n"),
+                                  *[F.count_if(F.array_contains("emos", e)).alias(f"k_{e}") for e in emotions])
 
 
 def with_z(counts: DataFrame, priors: dict, emotions=EMOTIONS) -> DataFrame:
-    return counts.select("*", *[_z(F.col(f"k_{e}"), F.col("n"), F.lit(priors[e])).alias(e) for e in emotions])
+    return counts.select("*", *[_z(F.col(f"k_{e}"), F.col("n"), priors[e]).alias(e) for e in emotions])
 
 
 def patient_sequence(turns: DataFrame) -> DataFrame:
@@ -72,7 +75,7 @@ def patient_sequence(turns: DataFrame) -> DataFrame:
 def turn_emotions(turns: DataFrame, lexicon: DataFrame, emotions=EMOTIONS) -> DataFrame:
     """The eight z-scores per patient turn."""
     pri = emotion_priors(lexicon, emotions)
-    counts = message_emotion_counts(patient_sequence(turns), lexicon, emotions, lexicon_rows=pri["_rows"])
+    counts = message_emotion_counts(patient_sequence(turns), lexicon, emotions)
     return with_z(counts, pri, emotions).drop("n", *[f"k_{e}" for e in emotions])
 
 
@@ -101,12 +104,12 @@ def bucket_scores(turns: DataFrame, lexicon: DataFrame, size: int = 3, max_turns
     |z|, significance, fixed emotion order."""
     seq = patient_sequence(turns).where(F.col("idx") < max_turns)
     pri = emotion_priors(lexicon, emotions)
-    counts = message_emotion_counts(seq, lexicon, emotions, lexicon_rows=pri["_rows"])
+    counts = message_emotion_counts(seq, lexicon, emotions)
     pooled = counts.groupBy("corpus", F.floor(F.col("idx") / size).cast("bigint").alias("bucket")).agg(
         F.sum("n").alias("n"), *[F.sum(f"k_{e}").alias(f"k_{e}") for e in emotions])
     zed = with_z(pooled, pri, emotions)
     long = zed.select("corpus", "bucket", F.inline(F.array(*[
         F.struct(F.lit(i).alias("emotion_order"), F.lit(e).alias("emotion"), F.col(e).alias("z"))
-        for i, e in enumerate(emotions)])))
+        for i, e in enumerate(display_order(emotions))])))
     return long.select("corpus", "bucket", "emotion_order", "emotion", "z", F.abs("z").alias("abs_z"),
                        (F.abs("z") >= significance).alias("significant"))

@@ -7,14 +7,11 @@ column.  Failure contract: a failed batch yields null replies, never a failed
 job.  Replies are non-deterministic and costly, so callers persist them
 (``talkframe.session.cut_lineage`` or a written table) before parsing.
 
-The shipped judges are deterministic rules so the pipeline is testable; any
-client of a model server can be passed instead with the same signature.
+No model ships with the library: a hook is any client with this signature.
 """
 
 from __future__ import annotations
 
-import json
-import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,39 +21,6 @@ from pyspark.sql import functions as F
 from talkframe.operators.replies import parse_label_json, parse_letter
 from talkframe.operators.turns import SESSION, history_windows, transcripts
 
-LETTERS = "PTCF"
-
-
-# --- rule judges (pandas in, pandas out) -------------------------------------
-
-def rule_turn_judge(batch: pd.DataFrame) -> pd.Series:
-    """U2 default: label = 'PTCF'[len(message) % 4], answered as a loose reply."""
-    n = batch["message"].fillna("").str.len() % 4
-    return n.map(lambda i: f" {LETTERS[i].lower()}\n")
-
-
-_LINE = re.compile(r"(?m)^(THERAPIST|PATIENT): ")
-
-
-def rule_conversation_judge(batch: pd.DataFrame) -> pd.Series:
-    """U1 default: one JSON object per PATIENT line, label = 'PTCF'[#words % 4]."""
-    def judge(transcript: str) -> str:
-        parts = _LINE.split(transcript or "")
-        items = []
-        for role, text in zip(parts[1::2], parts[2::2]):
-            if role == "PATIENT":
-                body = text[:-1] if text.endswith("\n") else text
-                items.append({"content": body, "classification": LETTERS[len(body.split()) % 4]})
-        return json.dumps({"classifications": items}, ensure_ascii=False)
-    return batch["transcript"].map(judge)
-
-
-def rule_text_scorer(batch: pd.DataFrame) -> pd.DataFrame:
-    """U3/U4 default shape: per text, whitespace words and characters."""
-    t = batch["text"].fillna("")
-    return pd.DataFrame({"n_words": t.str.split().str.len().astype("int64"), "n_chars": t.str.len().astype("int64")})
-
-
 # --- hook runners --------------------------------------------------------------
 
 def _chunks(pdf: pd.DataFrame, batch_size: int | None):
@@ -106,11 +70,12 @@ def keep_replies(replies: DataFrame, path: str | None = None) -> DataFrame:
     return replies.sparkSession.read.parquet(path)
 
 
-def label_turns(turns: DataFrame, judge: Callable = rule_turn_judge, k: int = 6,
-                keep: bool | str = False, batch_size: int | None = None,
+def label_turns(turns: DataFrame, judge: Callable, k: int = 6,
+                keep: bool | str = True, batch_size: int | None = None,
                 max_concurrency: int | None = None) -> DataFrame:
     """One request per non-empty patient turn (W2 history + message) → raw reply.
-    ``keep`` (True or a table path) pins the replies (see ``keep_replies``)."""
+    Replies are pinned (see ``keep_replies``; ``keep``: a table path, or False to
+    ask again whenever they are read)."""
     req = history_windows(turns, k=k)
     out = _run_hook(req, judge, "raw_reply", SESSION + ["turn", "message", "history"], batch_size, max_concurrency)
     return keep_replies(out, keep if isinstance(keep, str) else None) if keep else out
@@ -125,8 +90,8 @@ def parse_turn_labels(replies: DataFrame) -> DataFrame:
     return lab.withColumn("label_idx", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def label_conversations(turns: DataFrame, judge: Callable = rule_conversation_judge,
-                        history_limit: int = 32, keep: bool | str = False, batch_size: int | None = None,
+def label_conversations(turns: DataFrame, judge: Callable,
+                        history_limit: int = 32, keep: bool | str = True, batch_size: int | None = None,
                         max_concurrency: int | None = None) -> DataFrame:
     """One request per session (P17 transcript) → raw JSON reply; the
     reference sends 10-32 conversations per model batch (``batch_size``)."""
@@ -136,12 +101,11 @@ def label_conversations(turns: DataFrame, judge: Callable = rule_conversation_ju
 
 
 def parse_conversation_labels(replies: DataFrame) -> DataFrame:
-    """P22 on U1 replies → one row per label (``label_idx``); unparsable → parse_error rows."""
-    items = replies.select(*SESSION, parse_label_json(F.col("raw_reply")).alias("_items"))
-    ok = items.where(F.col("_items").isNotNull()).select(*SESSION, F.posexplode("_items").alias("label_idx", "_it"))
-    return ok.select(*SESSION, F.col("label_idx").cast("bigint").alias("label_idx"),
-                     F.col("_it.content").alias("content"), F.col("_it.classification").alias("label")).where(
-        F.col("label").isin(*LETTERS))
+    """P22 on U1 replies → one row per label, numbered after invalid items are
+    dropped; unparsable replies give none (see ``parse_errors``)."""
+    items = replies.select(*SESSION, F.posexplode(parse_label_json(F.col("raw_reply"))).alias("label_idx", "_it"))
+    return items.select(*SESSION, F.col("label_idx").cast("bigint").alias("label_idx"),
+                        F.col("_it.content").alias("content"), F.col("_it.classification").alias("label"))
 
 
 def parse_errors(replies: DataFrame) -> DataFrame:

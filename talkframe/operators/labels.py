@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkframe.operators.turns import SESSION, patient_messages
+from talkframe.functions.text import py_strip
+from talkframe.operators.turns import PATIENT_ROLE, SESSION
 
 NON_FILLER = ["P", "T", "C"]
 
@@ -20,10 +21,16 @@ def label_number(label: Column, filler_as_zero: bool = False) -> Column:
             .when(label == "F", f).otherwise(F.lit(None).cast("double")))
 
 
-def conversation_label_counts(labels: DataFrame) -> DataFrame:
-    """Counts and ratios per conversation (P/T/C over non-filler, F over all)."""
-    g = labels.groupBy(*SESSION).agg(
-        F.count(F.lit(1)).alias("total_patient_turns"),
+def sessions_of(turns: DataFrame) -> DataFrame:
+    """Every conversation once, whatever its messages hold."""
+    return turns.select(*SESSION).distinct()
+
+
+def conversation_label_counts(labels: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Counts and ratios per conversation (P/T/C over non-filler, F over all);
+    a conversation without labels counts 0 everywhere."""
+    g = sessions.join(labels, SESSION, "left").groupBy(*SESSION).agg(
+        F.count("label").alias("total_patient_turns"),
         *[F.count_if(F.col("label") == x).alias(f"{x}_count") for x in "PTCF"])
     nf = F.col("P_count") + F.col("T_count") + F.col("C_count")
     g = g.withColumn("non_filler_turns", nf)
@@ -36,8 +43,10 @@ def conversation_label_counts(labels: DataFrame) -> DataFrame:
 
 def label_count_check(turns: DataFrame, labels: DataFrame, history_limit: int = 32) -> DataFrame:
     """expected = min(history_limit div 2, #non-empty patient turns) vs labels
-    received; sessions without any label count as 0 received."""
-    n = patient_messages(turns).groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n_patient"))
+    received, for every conversation: without patient text 0 are expected, without
+    labels 0 received."""
+    spoken = (F.col("role") == PATIENT_ROLE) & (F.length(py_strip("text")) > 0)
+    n = turns.groupBy(*SESSION).agg(F.count_if(spoken).alias("n_patient"))
     got = labels.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n_labels"))
     j = n.join(got, SESSION, "left")
     exp = F.least(F.lit(history_limit // 2), F.col("n_patient"))

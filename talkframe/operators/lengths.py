@@ -26,21 +26,16 @@ def turn_lengths(turns: DataFrame, max_turns: int | None = None, by: str = "corp
 
 def compare_turn_lengths(stats: DataFrame, left: str = "synthetic", right: str = "real",
                          by: str = "corpus") -> DataFrame:
-    """Full outer join of two corpora's per-turn stats on ``turn``.
+    """Two corpora's per-turn stats side by side, in one aggregate by turn.
 
     Missing count → 0, missing mean → null, difference only when both exist
     (null arithmetic gives that rule for free).
     """
-    l = stats.where(F.col(by) == left).select("turn", F.col("count").alias("lc"),
-                                              F.col("avg_words").alias("lw"), F.col("avg_tokens").alias("lt"))
-    r = stats.where(F.col(by) == right).select("turn", F.col("count").alias("rc"),
-                                               F.col("avg_words").alias("rw"), F.col("avg_tokens").alias("rt"))
-    j = l.join(r, "turn", "full")
-    return j.select(
-        "turn",
-        F.coalesce("lc", F.lit(0)).cast("bigint").alias(f"{left}_count"),
-        F.coalesce("rc", F.lit(0)).cast("bigint").alias(f"{right}_count"),
-        F.col("lw").alias(f"{left}_avg_words"), F.col("rw").alias(f"{right}_avg_words"),
-        (F.col("lw") - F.col("rw")).alias("words_diff"),
-        F.col("lt").alias(f"{left}_avg_tokens"), F.col("rt").alias(f"{right}_avg_tokens"),
-        (F.col("lt") - F.col("rt")).alias("tokens_diff"))
+    of = lambda side, c: F.max(F.when(F.col(by) == side, F.col(c)))
+    j = stats.where(F.col(by).isin(left, right)).groupBy("turn").agg(
+        *[of(side, c).alias(f"{side}_{c}") for side in (left, right) for c in ("count", "avg_words", "avg_tokens")])
+    count = lambda side: F.coalesce(f"{side}_count", F.lit(0)).cast("bigint").alias(f"{side}_count")
+    diff = lambda c: F.col(f"{left}_{c}") - F.col(f"{right}_{c}")
+    return j.select("turn", count(left), count(right), f"{left}_avg_words", f"{right}_avg_words",
+                    diff("avg_words").alias("words_diff"), f"{left}_avg_tokens", f"{right}_avg_tokens",
+                    diff("avg_tokens").alias("tokens_diff"))

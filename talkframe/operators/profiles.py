@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkframe.functions.text import py_strip
 from talkframe.schemas import CCD, PROFILE
 
 # Placeholder answers blanked out (exact, lower-cased) and
@@ -46,78 +47,91 @@ def parse_profile(doc: Column) -> Column:
 
 def severity_buckets(severity: Column) -> list[Column]:
     """Map keys (lower-cased) whose value mentions mild / moderate / severe
-    (a value may land in several buckets)."""
+    (a value may land in several buckets), in the order of the map."""
     out = []
     for level in ("mild", "moderate", "severe"):
         keys = F.map_keys(F.map_filter(severity, lambda k, v: F.contains(F.lower(v), F.lit(level))))
-        out.append(F.array_sort(F.transform(keys, lambda k: F.lower(k))).alias(f"{level}_symptoms"))
+        out.append(F.transform(keys, lambda k: F.lower(k)).alias(f"{level}_symptoms"))
     return out
 
 
 def exhibited_distortions(distortions: Column) -> Column:
     """Distortions whose value does not say 'not exhibited'."""
     keys = F.map_keys(F.map_filter(distortions, lambda k, v: ~F.contains(F.lower(v), F.lit("not exhibited"))))
-    return F.array_sort(F.transform(keys, lambda k: F.lower(k)))
+    return F.transform(keys, lambda k: F.lower(k))
+
+
+def _profile_values(p: Column) -> dict[str, Column]:
+    """Cleaned scalar fields: lower-cased but for the counseling history and the
+    severities, placeholders blanked."""
+    out = {}
+    for name, key in PROFILE_FIELDS:
+        raw = F.coalesce(p[key], F.lit(""))
+        out[name] = blank_placeholder(raw if key == "counseling history" else F.lower(raw))
+    for name, key in TAIL_FIELDS:
+        out[name] = blank_placeholder(p[key])
+    return out
+
+
+def _section(title: str, levels) -> Column:
+    """A title line and one indented line for each (level, names) entry."""
+    none = F.array().cast("array<string>")
+
+    def listed(level, names):
+        return F.transform(F.coalesce(names, none), lambda x: F.concat(F.lit("  - "), x, F.lit(f": {level}\n")))
+    lines = F.concat(*[listed(*x) for x in levels])
+    return F.when(F.size(lines) > 0, F.concat(F.lit(f"- {title}\n"), F.array_join(lines, "")))
 
 
 def render_profile(profiles: DataFrame, col: str = "profile") -> DataFrame:
-    """Profile prompt lines ``- name: value`` for non-blank fields (values
-    lower-cased as the reference does for the free-text fields), symptom lists
-    severe → moderate → mild, distortion list, then the three severities."""
-    p = parse_profile(F.col(col))
-    df = profiles.withColumn("_p", p)
-    lines = []
-    for out, key in PROFILE_FIELDS:
-        raw = F.col("_p")[key]
-        v = blank_placeholder(raw if key == "counseling history" else F.lower(raw))
-        lines.append(F.when(v != "", F.concat(F.lit(f"- {out.replace('_', ' ')}: "), v, F.lit("\n"))).otherwise(F.lit("")))
-    sev = severity_buckets(F.col("_p")["symptom severity"])
-    for lvl, arr in zip(("mild", "moderate", "severe"), sev):
-        df = df.withColumn(f"_{lvl}", arr)
-    for lvl in ("severe", "moderate", "mild"):
-        lines.append(F.when(F.size(F.col(f"_{lvl}")) > 0,
-                            F.concat(F.lit(f"- {lvl} symptoms: "), F.array_join(F.col(f"_{lvl}"), ", "), F.lit("\n")))
-                     .otherwise(F.lit("")))
-    dist = exhibited_distortions(F.col("_p")["cognition distortion exhibition"])
-    lines.append(F.when(F.size(dist) > 0, F.concat(F.lit("- cognition distortion exhibition: "), F.array_join(dist, ", "),
-                                                   F.lit("\n"))).otherwise(F.lit("")))
-    for out, key in TAIL_FIELDS:
-        v = blank_placeholder(F.col("_p")[key])
-        lines.append(F.when(v != "", F.concat(F.lit(f"- {out.replace('_', ' ')}: "), v, F.lit("\n"))).otherwise(F.lit("")))
-    return df.select(*[c for c in profiles.columns], F.concat(*lines).alias("profile_prompt"),
-                     F.col("_mild").alias("mild_symptoms"), F.col("_moderate").alias("moderate_symptoms"),
-                     F.col("_severe").alias("severe_symptoms"))
-
-
-# Conversational-style descriptions keyed by lower-cased style name
-# (the caller may pass its own table).
-DEFAULT_STYLES = {
-    "plain": "Plain: communicate clearly and directly.",
-    "upset": "Upset: show frustration and resistance.",
-    "verbose": "Verbose: give long, detailed answers.",
-    "reserved": "Reserved: give short answers and reveal little.",
-    "tangent": "Tangent: drift to unrelated topics.",
-    "pleasing": "Pleasing: try to please the therapist.",
-}
+    """The profile section of the prompt and the profile dictionary.
+
+    ``- name: value`` for every field that is not blank; the symptoms under one
+    title, severe before moderate before mild; the exhibited distortions under
+    one title (without any, the template's own placeholder stays in the text);
+    then the three severities."""
+    p = F.col("_p")
+    df = profiles.withColumn("_p", parse_profile(F.col(col)))
+    values = _profile_values(p)
+    mild, moderate, severe = severity_buckets(p["symptom severity"])
+    distortions = exhibited_distortions(p["cognition distortion exhibition"])
+    line = lambda name: F.when(values[name] != "", F.concat(F.lit(f"- {name.replace('_', ' ')}: "), values[name], F.lit("\n"))).otherwise("")
+    symptoms = _section("symptom severity", [("severe", severe), ("moderate", moderate), ("mild", mild)])
+    shown = _section("cognition distortion exhibition", [("exhibited", distortions)])
+    prompt = F.concat(*[line(n) for n, _ in PROFILE_FIELDS], F.coalesce(symptoms, F.lit("")),
+                      F.coalesce(shown, F.lit("${cognition_distortion_exhibition}")), *[line(n) for n, _ in TAIL_FIELDS])
+    none = F.array().cast("array<string>")
+    overall = F.coalesce(p["depression severity"], F.lit(""))  # the dictionary keeps it unchecked
+    entries = F.struct(*[(overall if n == "depression_severity" else v).alias(n) for n, v in values.items()],
+                       F.coalesce(mild, none).alias("symptom_severity_mild"), F.coalesce(moderate, none).alias("symptom_severity_moderate"),
+                       F.coalesce(severe, none).alias("symptom_severity_severe"), F.coalesce(distortions, none).alias("cognitive_distortion"))
+    return df.select(*profiles.columns, prompt.alias("profile_prompt"), entries.alias("profile_dict"))
 
 
 def flatten_ccd(df: DataFrame, ccd_col: str = "ccd", style_col: str | None = None, styles: DataFrame | None = None) -> DataFrame:
-    """Core belief (core_beliefs, else its description), the first cognitive
-    model or blanks, and the style description looked up by lower-cased style."""
+    """The prompt fields of a cognitive diagram: life history, core belief
+    (core_beliefs, else its description), both intermediate beliefs, coping, the
+    first cognitive model or blanks; with ``style_col`` the style (blank: plain),
+    its description out of the caller's ``styles(style, style_description)``
+    by lower-cased name, and the instruction line made of both."""
     c = F.from_json(F.col(ccd_col), CCD)
     first = F.try_element_at(c["cognitive_models"], F.lit(1))
-    out = df.select("*",
+    text = lambda x: F.coalesce(x, F.lit(""))
+    out = df.select("*", text(c["life_history"]).alias("life_history"),
                     F.coalesce(F.nullif(c["core_beliefs"], F.lit("")), c["core_belief_description"], F.lit("")).alias("core_belief"),
-                    F.coalesce(c["intermediate_beliefs"], F.lit("")).alias("intermediate_belief"),
-                    F.coalesce(c["coping_strategies"], F.lit("")).alias("coping_strategies"),
-                    F.coalesce(first["situation"], F.lit("")).alias("situation"),
-                    F.coalesce(first["automatic_thoughts"], F.lit("")).alias("automatic_thoughts"),
-                    F.coalesce(first["emotion"], F.lit("")).alias("emotion"),
-                    F.coalesce(first["behavior"], F.lit("")).alias("behavior"))
-    if style_col is not None:
-        spark = df.sparkSession
-        st = styles if styles is not None else spark.createDataFrame(list(DEFAULT_STYLES.items()), "style string, style_description string")
-        st = st.select(F.col("style").alias("_style_key"), "style_description")
-        # the style table is a fixed handful of rows
-        out = out.join(F.broadcast(st), F.lower(F.col(style_col)) == F.col("_style_key"), "left").drop("_style_key")
-    return out
+                    text(c["intermediate_beliefs"]).alias("intermediate_belief"),
+                    text(c["intermediate_beliefs_during_depression"]).alias("intermediate_belief_depression"),
+                    text(c["coping_strategies"]).alias("coping_strategies"),
+                    *[text(first[k]).alias(k) for k in ("situation", "automatic_thoughts", "emotion", "behavior")])
+    if style_col is None:
+        return out
+    style = py_strip(F.coalesce(F.nullif(F.col(style_col), F.lit("")), F.lit("plain")))
+    out = out.withColumn("patient_style", style)
+    if styles is None:
+        out = out.withColumn("style_description", F.lit(None).cast("string"))
+    else:
+        known = styles.select(F.lower("style").alias("_style_key"), "style_description")
+        out = out.join(known, F.lower("patient_style") == F.col("_style_key"), "left").drop("_style_key")
+    described = F.nullif(F.col("style_description"), F.lit(""))
+    return out.withColumn("style_instruction", F.concat(F.lit("1. "), F.col("patient_style"),
+                                                        F.coalesce(F.concat(F.lit("\n - "), described), F.lit(""))))

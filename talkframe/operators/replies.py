@@ -8,10 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talkframe.functions.text import py_strip
-from talkframe.schemas import LABEL_ITEM
 
 LABELS = ["P", "T", "C", "F"]
 
@@ -39,41 +37,32 @@ def parse_letter(reply: Column, strict: bool = False) -> Column:
     return expr
 
 
-_ITEMS = T.ArrayType(LABEL_ITEM)
-_STRINGS = T.ArrayType(T.StringType())
-_NESTED = T.ArrayType(T.ArrayType(LABEL_ITEM))
-_WRAPPED = T.StructType([T.StructField(k, T.StringType()) for k in ("classifications", "turns", "labels")])
-
-
 def parse_label_json(reply: Column) -> Column:
-    """A JSON reply → ``array<struct<content, classification>>`` or null.
-
-    Accepted shapes: list of objects; list of strings; list of lists (first list
-    taken); object with key classifications / turns / labels holding one of those.
-    One schema is chosen from the leading characters (``from_json`` is lenient,
-    so trying schemas in turn would accept wrong shapes).  Items whose
-    ``classification`` is not a JSON string are dropped.  Anything else → null
-    (the caller flags ``parse_error``).
+    """A JSON reply → ``array<struct<content, classification>>``, null if it is
+    not JSON.
+
+    Parsed once, as a variant whose types are tested: an object stands for the
+    list under the first of classifications / turns / labels that is one; a list
+    of strings is a list of labels; of a list of lists the first is taken.  Items
+    that are not objects with a string ``classification`` are dropped, so the
+    positions of the result are those of the valid items.  A reply without a
+    list gives an empty array.
     """
     body = py_strip(F.regexp_replace(py_strip(reply), r"^```(?:json)?|```$", ""))
-
-    def from_list(txt: Column) -> Column:
-        t = py_strip(txt)
-        items = F.from_json(t, _ITEMS)
-        strings = F.from_json(t, _STRINGS)
-        nested = F.from_json(t, _NESTED)
-        as_items = F.transform(strings, lambda s: F.struct(F.lit(None).cast("string").alias("content"),
-                                                           s.alias("classification")))
-        return (F.when(t.rlike(r"^\[\s*\["), F.try_element_at(nested, F.lit(1)))
-                .when(t.rlike(r'^\[\s*"'), as_items)
-                .when(t.rlike(r"^\[\s*(\{|\])"), items))
-
-    wrapped = F.from_json(body, _WRAPPED)
-    inner = F.coalesce(wrapped["classifications"], wrapped["turns"], wrapped["labels"])
-    parsed = F.when(body.startswith("{"), from_list(inner)).when(body.startswith("["), from_list(body))
-    # items without a classification are dropped here; a numeric one arrives as
-    # text ("5") and is rejected by the label set check of the caller
-    return F.filter(parsed, lambda x: x["classification"].isNotNull())
+    v = F.try_parse_json(body)
+    as_list = lambda x: F.try_variant_get(x, "$", "array<variant>")
+    is_string = lambda x: F.schema_of_variant(x) == "STRING"
+    named = [as_list(F.try_variant_get(v, f"$.{k}", "variant")) for k in ("classifications", "turns", "labels")]
+    top = F.coalesce(as_list(v), *named)
+    lists = (F.size(top) > 0) & F.forall(top, lambda x: as_list(x).isNotNull())
+    objects = F.filter(F.when(lists, as_list(F.try_element_at(top, F.lit(1)))).otherwise(top),
+                       lambda x: F.coalesce(is_string(F.try_variant_get(x, "$.classification", "variant")), F.lit(False)))
+    item = lambda content, label: F.struct(content.alias("content"), label.alias("classification"))
+    from_strings = F.transform(top, lambda x: item(F.lit(None).cast("string"), F.try_variant_get(x, "$", "string")))
+    from_objects = F.transform(objects, lambda x: item(F.try_variant_get(x, "$.content", "string"),
+                                                       F.try_variant_get(x, "$.classification", "string")))
+    found = F.when(F.forall(top, is_string), from_strings).otherwise(from_objects)
+    return F.when(v.isNotNull(), F.coalesce(found, F.array().cast("array<struct<content:string,classification:string>>")))
 
 
 def grab_json_object(reply: Column, schema) -> Column:

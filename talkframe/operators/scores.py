@@ -83,21 +83,18 @@ def score_summary(scores: DataFrame, all_sessions: DataFrame | None = None, key=
     ``all_sessions`` (one row per conversation, ``key`` columns) counts
     conversations that produced no score."""
     key = list(key)
-    conv = scores.groupBy(*key).agg(F.avg("score").alias("m"))
-    turn = scores.agg(F.count(F.lit(1)).alias("n_turns"), F.avg("score").alias("t_avg"), F.min("score").alias("t_min"),
-                      F.max("score").alias("t_max"),
-                      F.avg(F.col("loss") if "loss" in scores.columns else F.lit(None).cast("double")).alias("avg_loss"))
-    cv = conv.agg(F.count(F.lit(1)).alias("n_conv"), F.avg("m").alias("c_avg"), F.min("m").alias("c_min"), F.max("m").alias("c_max"))
-    n_all = (all_sessions if all_sessions is not None else scores.select(*key).distinct()).agg(F.count(F.lit(1))).scalar()
-    z = F.lit(0.0)
-    return turn.select(
-        n_all.alias("num_conversations"), cv.select("n_conv").scalar().alias("num_conversations_processed"),
-        F.col("n_turns").alias("num_turns"),
-        F.coalesce(cv.select("c_avg").scalar(), z).alias("conversation_avg"),
-        F.coalesce(cv.select("c_min").scalar(), z).alias("conversation_min"),
-        F.coalesce(cv.select("c_max").scalar(), z).alias("conversation_max"),
-        F.coalesce("t_avg", z).alias("turn_avg"), F.coalesce("t_min", z).alias("turn_min"), F.coalesce("t_max", z).alias("turn_max"),
-        F.coalesce("avg_loss", z).alias("avg_loss"))
+    loss = F.col("loss") if "loss" in scores.columns else F.lit(None).cast("double")
+    per = scores.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("m"), F.sum("score").alias("s"),
+                                   F.count("score").alias("k"), F.min("score").alias("lo"), F.max("score").alias("hi"),
+                                   F.sum(loss).alias("ls"), F.count(loss).alias("lk"))
+    if all_sessions is not None:
+        per = all_sessions.select(*key).distinct().join(per, key, "left")
+    t = per.agg(F.count(F.lit(1)).alias("num_conversations"), F.count("n").alias("num_conversations_processed"),
+                F.coalesce(F.sum("n"), F.lit(0)).alias("num_turns"),
+                F.avg("m").alias("conversation_avg"), F.min("m").alias("conversation_min"), F.max("m").alias("conversation_max"),
+                (F.sum("s") / F.nullif(F.sum("k"), F.lit(0))).alias("turn_avg"), F.min("lo").alias("turn_min"),
+                F.max("hi").alias("turn_max"), (F.sum("ls") / F.nullif(F.sum("lk"), F.lit(0))).alias("avg_loss"))
+    return t.select(*t.columns[:3], *[F.coalesce(c, F.lit(0.0)).alias(c) for c in t.columns[3:]])
 
 
 def score_trend(scores: DataFrame, max_positions: int = 20) -> DataFrame:
@@ -105,10 +102,9 @@ def score_trend(scores: DataFrame, max_positions: int = 20) -> DataFrame:
     mean/min/max of that trend."""
     t = scores.where(F.col("idx") < max_positions).groupBy("idx").agg(F.avg("score").alias("mean_score"),
                                                                        F.count(F.lit(1)).alias("n"))
-    stats = t.agg(F.avg("mean_score"), F.min("mean_score"), F.max("mean_score"))
-    return t.select("idx", "mean_score", "n", stats.select(F.col(stats.columns[0])).scalar().alias("trend_mean"),
-                    stats.select(F.col(stats.columns[1])).scalar().alias("trend_min"),
-                    stats.select(F.col(stats.columns[2])).scalar().alias("trend_max"))
+    trend = Window.partitionBy()  # over one row for each position
+    return t.select("idx", "mean_score", "n", F.avg("mean_score").over(trend).alias("trend_mean"),
+                    F.min("mean_score").over(trend).alias("trend_min"), F.max("mean_score").over(trend).alias("trend_max"))
 
 
 def clip_bounds(scores: DataFrame, low: float = 0.01, high: float = 0.95) -> DataFrame:

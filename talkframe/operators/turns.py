@@ -156,29 +156,38 @@ def sessions_in_turn_range(turns: DataFrame, corpora=("real", "synthetic"),
 
 # --- P17 / P18 / P19 -------------------------------------------------------
 
+def transcript_line(role: Column, text: Column, style: str = "judge") -> Column:
+    """One line of a transcript.  ``client`` compares the stripped, lower-cased
+    role, strips the text and puts it on one line; ``plain`` has no space after
+    the colon; the other styles keep the text as it is."""
+    if style == "client":
+        name = relabel_role(py_strip(F.lower(F.coalesce(role, F.lit("")))), "client")
+        return F.concat(name, F.lit(": "), F.replace(py_strip(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" ")))
+    return F.concat(relabel_role(role, style), F.lit(":" if style == "plain" else ": "), text)
+
+
 def transcripts(turns: DataFrame, history_limit: int | None = None, style: str = "judge",
                 skip_empty: bool = True, empty_text: str = "") -> DataFrame:
-    """One ordered ``ROLE: text`` transcript per session.
+    """One ordered ``ROLE: text`` transcript per session; a session left
+    without messages has the transcript ``empty_text`` and 0 messages.
 
     With ``history_limit`` the first messages are picked by row number before
     they are collected (the window and the aggregate share one shuffle), so a
     long session never gathers more than the limit; ``n_messages`` still counts
     every (non-empty) message."""
-    src = turns
-    if skip_empty:
-        src = src.where(F.length(py_strip("text")) > 0)
+    kept = F.length(py_strip("text")) > 0 if skip_empty else F.lit(True)
+    src = turns.withColumn("_keep", F.coalesce(kept, F.lit(False)))
     if history_limit is not None:
-        src = (src.withColumn("_rn", F.row_number().over(_session_window()))
-               .withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*SESSION)))
-               .where(F.col("_rn") <= history_limit))
+        seen = F.sum(F.col("_keep").cast("int")).over(_session_window().rowsBetween(Window.unboundedPreceding, 0))
+        picked = F.col("_keep") & (seen <= history_limit)
     else:
-        src = src.withColumn("_n", F.lit(None).cast("bigint"))
-    lines = src.groupBy(*SESSION).agg(
-        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("_msgs"), F.max("_n").alias("_n"))
-    rendered = F.transform("_msgs", lambda m: F.concat(relabel_role(m["role"], style), F.lit(": "), m["text"]))
-    text = F.array_join(rendered, "\n")
+        picked = F.col("_keep")
+    lines = src.withColumn("_pick", picked).groupBy(*SESSION).agg(
+        F.array_sort(F.collect_list(F.when(F.col("_pick"), F.struct("turn", "role", "text")))).alias("_msgs"),
+        F.count_if("_keep").alias("_n"))
+    text = F.array_join(F.transform("_msgs", lambda m: transcript_line(m["role"], m["text"], style)), "\n")
     return lines.select(*SESSION, F.when(F.size("_msgs") > 0, text).otherwise(F.lit(empty_text)).alias("transcript"),
-                        F.coalesce(F.col("_n"), F.size("_msgs")).cast("bigint").alias("n_messages"))
+                        F.col("_n").cast("bigint").alias("n_messages"))
 
 
 def context_budget(turns: DataFrame, budget_tokens: int, min_messages: int = 10) -> DataFrame:
@@ -228,7 +237,8 @@ def history_windows(turns: DataFrame, k: int | None = 6, style: str = "judge",
                     history_limit: int | None = None) -> DataFrame:
     """For each non-empty patient turn, the ``k`` messages before it
     (``k=None``: all earlier messages), empties dropped after the frame,
-    rendered as ``ROLE: text`` lines; ``(No previous history)`` when nothing is left.
+    rendered as ``ROLE: text`` lines; ``(No previous history)`` for the first
+    message, "" when the earlier messages are all blank.
     """
     w = _session_window()
     frame = w.rowsBetween(Window.unboundedPreceding if k is None else -k, -1)
@@ -241,7 +251,7 @@ def history_windows(turns: DataFrame, k: int | None = 6, style: str = "judge",
         rendered = F.slice(rendered, 1, history_limit)
     return df.select(
         *SESSION, "turn", F.col("text").alias("message"),
-        F.when(F.size(rendered) > 0, F.array_join(rendered, "\n")).otherwise(F.lit("(No previous history)")).alias("history"),
+        F.when(F.size("_hist") > 0, F.array_join(rendered, "\n")).otherwise(F.lit("(No previous history)")).alias("history"),
         F.size(kept).cast("bigint").alias("n_history"))
 
 

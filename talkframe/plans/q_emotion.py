@@ -3,7 +3,7 @@
 from talkframe.lexicons import EMOTIONS
 from talkframe.operators import emotion as E
 from talkframe.plans.catalog import query
-from talkframe.plans.sqlfrag import TURNS_CTE, strict_words as s_strict
+from talkframe.plans.sqlfrag import TURNS_CTE, strict_words as s_strict, strip as s_strip
 from talkframe.plans.testview import turns_only
 
 # Fixed values (ours): frequent words of the generated corpus tagged with emotions.
@@ -42,7 +42,7 @@ _CTES = [
               CAST(row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) - 1 AS BIGINT) AS idx FROM turns WHERE lower(role) = 'assistant')""",
     # unnest in FROM (not in the select list): DuckDB 2.0 mis-binds filters pushed
     # through a select-list unnest
-    f"""tok AS (SELECT corpus, session_id, idx, u.word FROM (SELECT *, {s_strict('text')} AS ws FROM seq WHERE length(text) >= 2) q,
+    f"""tok AS (SELECT corpus, session_id, idx, u.word FROM (SELECT *, {s_strict('text')} AS ws FROM seq WHERE length({s_strip('text')}) >= 2) q,
                unnest(q.ws) AS u(word))""",
     f"""cnt AS (SELECT corpus, session_id, idx, count(*) AS n, {_K} FROM tok JOIN pw USING (word) GROUP BY ALL)""",
     f"""mc AS (SELECT s.corpus, s.session_id, s.idx, CAST(coalesce(c.n, 0) AS BIGINT) AS n, {_KC}
@@ -85,7 +85,7 @@ def a21_emotion_timeline(spark, sf_dir):
 
 _BK = ", ".join(f"sum(k_{e}) AS k_{e}" for e in EMOTIONS)
 _BL = " UNION ALL ".join(f"SELECT corpus, bucket, {i} AS emotion_order, '{e}' AS emotion, {_z(e)} AS z FROM pooled, pri"
-                         for i, e in enumerate(EMOTIONS))
+                         for i, e in enumerate("joy trust fear surprise sadness disgust anger anticipation".split()))
 
 
 @query("a22_bucket_scores", _sql(f"""SELECT corpus, bucket, emotion_order, emotion, round(z, 6) AS z, round(abs(z), 6) AS abs_z,

@@ -1,13 +1,14 @@
-"""Registered queries: judge hooks, label analytics and labeler agreement
-(U1, U2, P22, P26, J6, J9, A23-A36, A58)."""
+"""Registered queries: reply parsing, label analytics and labeler agreement
+(P22, P26, J6, J9, A23-A36, A58)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from talkframe.functions.text import py_strip
+from talkframe.functions.text import py_strip, word_count
 from talkframe.operators import agreement as G
-from talkframe.operators import judge as J
 from talkframe.operators import labels as L
-from talkframe.operators.turns import patient_turns
+from talkframe.operators.replies import parse_label_json
+from talkframe.operators.turns import patient_messages, patient_turns
 from talkframe.plans.catalog import query
 from talkframe.plans.sqlfrag import strip as s_strip, with_turns, words as s_words
 from talkframe.plans.testview import table, turns_only
@@ -15,12 +16,39 @@ from talkframe.plans.testview import table, turns_only
 CATS = ["P", "T", "C", "F"]
 
 
+def _numbered(df):
+    w = Window.partitionBy("corpus", "session_id").orderBy("turn")
+    return df.withColumn("label_idx", (F.row_number().over(w) - 1).cast("bigint"))
+
+
+def _letter(n):
+    return F.substring(F.lit("PTCF"), (1 + n % 4).cast("int"), F.lit(1))
+
+
 def turn_labels(spark, sf_dir):
-    return J.parse_turn_labels(J.label_turns(turns_only(spark, sf_dir)))
+    """Labeler 2 of the reports: a label for each non-empty patient turn, a fixed
+    expression of the message's length (the table holds no such labels)."""
+    t = turns_only(spark, sf_dir).where((F.col("role") == "assistant") & (F.length(py_strip("text")) > 0))
+    return _numbered(t.select("corpus", "session_id", "turn", F.col("text").alias("message"), _letter(F.length("text")).alias("label")))
 
 
 def conv_labels(spark, sf_dir):
-    return J.parse_conversation_labels(J.label_conversations(turns_only(spark, sf_dir)))
+    """Labeler 1: labels for the patient turns among the first 32 non-empty messages,
+    a fixed expression of the message's words; those of five words and a
+    multiple thereof are left unlabelled, so that sequences shift and end early."""
+    w = Window.partitionBy("corpus", "session_id").orderBy("turn")
+    t = turns_only(spark, sf_dir).where(F.length(py_strip("text")) > 0).withColumn("rn", F.row_number().over(w))
+    n = word_count("text")
+    lab = t.where((F.col("role") != "user") & (F.col("rn") <= 32) & (n % 5 != 0))
+    return _numbered(lab.select("corpus", "session_id", "turn", F.col("text").alias("content"), _letter(n).alias("label")))
+
+
+def all_sessions(spark, sf_dir):
+    return L.sessions_of(turns_only(spark, sf_dir))
+
+
+def counts(spark, sf_dir):
+    return L.conversation_label_counts(conv_labels(spark, sf_dir), all_sessions(spark, sf_dir))
 
 
 def judge_pairs(spark, sf_dir):
@@ -39,17 +67,19 @@ def label_pairs(spark, sf_dir):
 _LABEL_CTES = [
     f"""ne AS (SELECT *, row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) AS rn
                FROM turns WHERE length({s_strip('text')}) > 0)""",
+    "sess AS (SELECT DISTINCT corpus, session_id FROM turns)",
     f"""convl AS (SELECT corpus, session_id, turn, text, row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) - 1 AS label_idx,
-                  substr('PTCF', 1 + len({s_words('text')}) % 4, 1) AS label FROM ne WHERE role <> 'user' AND rn <= 32)""",
+                  substr('PTCF', 1 + len({s_words('text')}) % 4, 1) AS label FROM ne
+                 WHERE role <> 'user' AND rn <= 32 AND len({s_words('text')}) % 5 <> 0)""",
     f"""turnl AS (SELECT corpus, session_id, turn, row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) - 1 AS label_idx,
                   substr('PTCF', 1 + length(text) % 4, 1) AS label FROM turns WHERE role = 'assistant' AND length({s_strip('text')}) > 0)""",
     """pairs AS (SELECT c.corpus, c.session_id, c.label_idx AS idx, c.label AS a, t.label AS b
                 FROM convl c JOIN turnl t ON c.corpus = t.corpus AND c.session_id = t.session_id AND c.label_idx = t.label_idx)""",
-    """per_conv AS (SELECT corpus, session_id, count(*) AS total_patient_turns,
+    """per_conv AS (SELECT s.corpus, s.session_id, count(label) AS total_patient_turns,
           count(*) FILTER (WHERE label IN ('P','T','C')) AS non_filler_turns,
           count(*) FILTER (WHERE label = 'P') AS P_count, count(*) FILTER (WHERE label = 'T') AS T_count,
           count(*) FILTER (WHERE label = 'C') AS C_count, count(*) FILTER (WHERE label = 'F') AS F_count
-        FROM convl GROUP BY corpus, session_id)""",
+        FROM sess s LEFT JOIN convl c ON s.corpus = c.corpus AND s.session_id = c.session_id GROUP BY ALL)""",
     """ratios AS (SELECT *, coalesce(P_count / nullif(non_filler_turns, 0), 0.0) AS P_ratio,
           coalesce(T_count / nullif(non_filler_turns, 0), 0.0) AS T_ratio, coalesce(C_count / nullif(non_filler_turns, 0), 0.0) AS C_ratio,
           coalesce(F_count / nullif(total_patient_turns, 0), 0.0) AS F_ratio FROM per_conv)""",
@@ -60,31 +90,19 @@ def _sql(body):
     return with_turns(*_LABEL_CTES) + body
 
 
-@query("u2_turn_labels", _sql("SELECT corpus, session_id, turn, CAST(label_idx AS BIGINT) AS label_idx, label FROM turnl"))
-def u2_turn_labels(spark, sf_dir):
-    """U2 + W2 + P21: rule turn judge through mapInPandas, replies parsed by first letter."""
-    return turn_labels(spark, sf_dir).select("corpus", "session_id", "turn", "label_idx", "label")
-
-
-@query("u1_conversation_labels", _sql("SELECT corpus, session_id, CAST(label_idx AS BIGINT) AS label_idx, label FROM convl"))
-def u1_conversation_labels(spark, sf_dir):
-    """U1 + P17 + P22: rule conversation judge (JSON replies) parsed by shape."""
-    return conv_labels(spark, sf_dir).select("corpus", "session_id", "label_idx", "label")
-
-
 @query("a23_conversation_label_counts", _sql("""
 SELECT corpus, session_id, total_patient_turns, non_filler_turns, P_count, T_count, C_count, F_count,
        round(P_ratio, 6) AS P_ratio, round(T_ratio, 6) AS T_ratio, round(C_ratio, 6) AS C_ratio, round(F_ratio, 6) AS F_ratio
 FROM ratios"""))
 def a23_conversation_label_counts(spark, sf_dir):
     """Label counts and ratios per conversation."""
-    return L.conversation_label_counts(conv_labels(spark, sf_dir))
+    return counts(spark, sf_dir)
 
 
 @query("a24_label_count_check", _sql(f"""
 SELECT n.corpus, n.session_id, n.n_patient, CAST(least(16, n.n_patient) AS BIGINT) AS expected,
        CAST(coalesce(p.total_patient_turns, 0) AS BIGINT) AS received, least(16, n.n_patient) <> coalesce(p.total_patient_turns, 0) AS has_mismatch
-FROM (SELECT corpus, session_id, count(*) AS n_patient FROM turns WHERE role = 'assistant' AND length({s_strip('text')}) > 0 GROUP BY ALL) n
+FROM (SELECT corpus, session_id, count(*) FILTER (WHERE role = 'assistant' AND length({s_strip('text')}) > 0) AS n_patient FROM turns GROUP BY ALL) n
 LEFT JOIN per_conv p ON n.corpus = p.corpus AND n.session_id = p.session_id"""))
 def a24_label_count_check(spark, sf_dir):
     """Expected min(32 div 2, #non-empty patient turns) vs labels received."""
@@ -94,7 +112,7 @@ def a24_label_count_check(spark, sf_dir):
 @query("a24_mismatch_summary", _sql(f"""
 SELECT corpus, count(*) AS conversations, count(*) FILTER (WHERE has_mismatch) AS mismatches, round(avg(CAST(has_mismatch AS DOUBLE)) * 100.0, 6) AS mismatch_rate_pct
 FROM (SELECT n.corpus, least(16, n.n_patient) <> coalesce(p.total_patient_turns, 0) AS has_mismatch
-      FROM (SELECT corpus, session_id, count(*) AS n_patient FROM turns WHERE role = 'assistant' AND length({s_strip('text')}) > 0 GROUP BY ALL) n
+      FROM (SELECT corpus, session_id, count(*) FILTER (WHERE role = 'assistant' AND length({s_strip('text')}) > 0) AS n_patient FROM turns GROUP BY ALL) n
       LEFT JOIN per_conv p ON n.corpus = p.corpus AND n.session_id = p.session_id) GROUP BY corpus"""))
 def a24_mismatch_summary(spark, sf_dir):
     return L.mismatch_summary(L.label_count_check(turns_only(spark, sf_dir), conv_labels(spark, sf_dir)))
@@ -111,14 +129,14 @@ def _a25_sql():
 @query("a25_macro_comparison", _a25_sql())
 def a25_macro_comparison(spark, sf_dir):
     """Mean and sample std of per-conversation ratios, synthetic − real."""
-    return L.macro_comparison(L.conversation_label_counts(conv_labels(spark, sf_dir)))
+    return L.macro_comparison(counts(spark, sf_dir))
 
 
 @query("a25_turn_totals", _sql("""
 SELECT corpus, CAST(sum(total_patient_turns) AS BIGINT) AS total_turns, CAST(sum(non_filler_turns) AS BIGINT) AS non_filler_turns,
        round(avg(F_ratio), 6) AS filler_mean FROM ratios GROUP BY corpus"""))
 def a25_turn_totals(spark, sf_dir):
-    return L.turn_totals(L.conversation_label_counts(conv_labels(spark, sf_dir)))
+    return L.turn_totals(counts(spark, sf_dir))
 
 
 @query("a26_micro_distribution", _sql("""
@@ -126,7 +144,7 @@ SELECT corpus, round(sum(P_count) / nullif(sum(total_patient_turns), 0), 6) AS P
        round(sum(C_count) / nullif(sum(total_patient_turns), 0), 6) AS C_share, round(sum(F_count) / nullif(sum(total_patient_turns), 0), 6) AS F_share
 FROM ratios GROUP BY corpus"""))
 def a26_micro_distribution(spark, sf_dir):
-    return L.micro_distribution(L.conversation_label_counts(conv_labels(spark, sf_dir)))
+    return L.micro_distribution(counts(spark, sf_dir))
 
 
 @query("a27_label_progression", _sql("""
@@ -137,7 +155,7 @@ WHERE p.total_patient_turns >= 3 AND c.label_idx < 3 GROUP BY c.corpus, c.label_
 def a27_label_progression(spark, sf_dir):
     """A27 + P26: mean numeric label per position (threshold 3 turns)."""
     lab = conv_labels(spark, sf_dir)
-    return L.label_progression(lab, L.conversation_label_counts(lab), threshold=3)
+    return L.label_progression(lab, counts(spark, sf_dir), threshold=3)
 
 
 # --- agreement between labelers -----------------------------------------------
@@ -205,6 +223,8 @@ def _report_sql(cats):
   LEFT JOIN (SELECT b AS label, count(*) AS pred FROM pairs GROUP BY b) p ON g.label = p.label),
 f AS (SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0.0), 0.0) AS f1 FROM per)
 SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM f
+UNION ALL SELECT 'accuracy', round(acc, 6), round(acc, 6), round(acc, 6), CAST((SELECT sum(support) FROM f) AS BIGINT)
+  FROM (SELECT coalesce(count(*) FILTER (WHERE a = b) / nullif(count(*), 0), 0.0) AS acc FROM pairs) x
 UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', round(coalesce(sum(precision * support) / nullif(sum(support), 0), 0.0), 6),
   round(coalesce(sum(recall * support) / nullif(sum(support), 0), 0.0), 6), round(coalesce(sum(f1 * support) / nullif(sum(support), 0), 0.0), 6),
@@ -225,10 +245,12 @@ def a33_agreement_by_position(spark, sf_dir):
 
 
 @query("a34_agreement_by_conversation", _sql("""
-SELECT corpus, session_id, count(*) AS n, count(*) FILTER (WHERE a = b) AS agreements,
-       round(avg(CASE WHEN a = b THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM pairs GROUP BY corpus, session_id"""))
+SELECT s.corpus, s.session_id, count(idx) AS n, count(*) FILTER (WHERE a = b) AS agreements,
+       round(coalesce(sum(CASE WHEN a = b THEN 1.0 ELSE 0.0 END) / nullif(count(idx), 0), 0.0), 6) AS accuracy
+FROM sess s LEFT JOIN pairs p ON s.corpus = p.corpus AND s.session_id = p.session_id GROUP BY ALL"""))
 def a34_agreement_by_conversation(spark, sf_dir):
-    return G.agreement_by_conversation(judge_pairs(spark, sf_dir))
+    """Every conversation, also those without an aligned pair."""
+    return G.agreement_by_conversation(judge_pairs(spark, sf_dir), all_sessions(spark, sf_dir))
 
 
 @query("a35_label_distribution", _sql(f"""
@@ -241,19 +263,21 @@ def a35_label_distribution(spark, sf_dir):
 
 
 @query("a36_disagreements", _sql(f"""
-SELECT p.corpus, p.session_id, CAST(p.idx AS BIGINT) AS idx, p.a, p.b, t.text AS message,
+SELECT p.corpus, p.session_id, CAST(p.idx AS BIGINT) AS idx, p.a, p.b, coalesce(t.text, 'N/A') AS message,
        (SELECT count(*) FROM pairs WHERE a <> b) AS total_disagreements
-FROM pairs p JOIN (SELECT corpus, session_id, text, row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) - 1 AS idx
+FROM pairs p LEFT JOIN (SELECT corpus, session_id, text, row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) - 1 AS idx
                    FROM turns WHERE role = 'assistant' AND length({s_strip('text')}) > 0) t
   ON p.corpus = t.corpus AND p.session_id = t.session_id AND p.idx = t.idx
 WHERE p.a <> p.b ORDER BY p.corpus, p.session_id, p.idx LIMIT 20"""))
 def a36_disagreements(spark, sf_dir):
-    """First 20 disagreements with the patient message, and the total."""
+    """First 20 disagreements with the nth non-empty patient message
+    (N/A beyond the last), and the total."""
     d = G.disagreements(judge_pairs(spark, sf_dir), 20)
-    msgs = turn_labels(spark, sf_dir).select("corpus", "session_id", F.col("label_idx").alias("idx"),
-                                             F.col("message").alias("message"))
-    return d.join(msgs, ["corpus", "session_id", "idx"], "inner").select(
-        "corpus", "session_id", "idx", "a", "b", "message", "total_disagreements")
+    msgs = patient_messages(turns_only(spark, sf_dir)).select(
+        "corpus", "session_id", F.col("text").alias("message"),
+        (F.row_number().over(Window.partitionBy("corpus", "session_id").orderBy("turn")) - 1).cast("bigint").alias("idx"))
+    return d.join(msgs, ["corpus", "session_id", "idx"], "left").select(
+        "corpus", "session_id", "idx", "a", "b", F.coalesce("message", F.lit("N/A")).alias("message"), "total_disagreements")
 
 
 @query("a58_progression_comparison", _sql("""
@@ -274,7 +298,7 @@ FROM convl c JOIN (SELECT corpus, session_id, turn, text, row_number() OVER (PAR
 def j9_label_turn_alignment(spark, sf_dir):
     """J9 + quirk Q7: labels paired with patient turns by position, plus a content
     prefix check that flags shifted labels."""
-    lab = conv_labels(spark, sf_dir)
+    lab = conv_labels(spark, sf_dir).drop("turn")
     pt = patient_turns(turns_only(spark, sf_dir)).select("corpus", "session_id", "turn", "text",
                                                           F.col("patient_idx").alias("label_idx"))
     j = lab.join(pt, ["corpus", "session_id", "label_idx"], "inner")
@@ -282,16 +306,6 @@ def j9_label_turn_alignment(spark, sf_dir):
                     (F.substring(py_strip("content"), 1, 30) != F.substring(py_strip("text"), 1, 30)).alias("misaligned"))
 
 
-@query("u3_u4_text_scorer_hook", with_turns() + f"""
-SELECT corpus, session_id, turn, CAST(len({s_words('text')}) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_chars
-FROM turns WHERE role = 'assistant'""")
-def u3_u4_text_scorer_hook(spark, sf_dir):
-    """A batch text scorer through the mapInPandas hook (rule scorer:
-    whitespace words and characters of every patient message)."""
-    t = turns_only(spark, sf_dir).where(F.col("role") == "assistant")
-    return J.score_texts(t, J.rule_text_scorer, "n_words bigint, n_chars bigint", ["corpus", "session_id", "turn"])
-
-
 @query("a24_mismatch_debug")
 def a24_mismatch_debug(spark, sf_dir):
     """Quarantine rows (input messages, labels received) for sessions whose
@@ -302,8 +316,8 @@ def a24_mismatch_debug(spark, sf_dir):
 
 
 @query("a24_mismatch_debug_flat", _sql(f"""
-, n AS (SELECT corpus, session_id, count(*) AS n_patient FROM turns
-        WHERE role = 'assistant' AND length({s_strip('text')}) > 0 GROUP BY ALL),
+, n AS (SELECT corpus, session_id, count(*) FILTER (WHERE role = 'assistant' AND length({s_strip('text')}) > 0) AS n_patient
+        FROM turns GROUP BY ALL),
 bad AS (SELECT n.corpus, n.session_id, CAST(least(16, n.n_patient) AS BIGINT) AS expected,
                CAST(coalesce(p.total_patient_turns, 0) AS BIGINT) AS received
         FROM n LEFT JOIN per_conv p ON n.corpus = p.corpus AND n.session_id = p.session_id
@@ -321,3 +335,31 @@ def a24_mismatch_debug_flat(spark, sf_dir):
     return d.select("corpus", "session_id", "expected", "received",
                     F.size("input_messages").cast("bigint").alias("n_input_messages"),
                     F.coalesce(F.array_join(F.transform("output_labels", lambda x: x["label"]), ""), F.lit("")).alias("labels"))
+
+
+# --- P22: replies of every shape, written from table columns -------------------
+
+@query("p22_parse_label_json", """
+SELECT doc_id, CAST(idx AS BIGINT) AS idx, label FROM (
+  SELECT doc_id, substr('PTCF', CAST(1 + doc_id % 4 AS INT), 1) AS x, substr('CFPT', CAST(1 + doc_id % 4 AS INT), 1) AS y, doc_id % 10 AS shape
+  FROM documents) d,
+LATERAL (SELECT unnest(CASE WHEN shape IN (0, 1, 2, 4, 7) THEN [x, y] WHEN shape IN (3, 5, 8) THEN [y] ELSE [] END) AS label,
+                unnest(CASE WHEN shape IN (0, 1, 2, 4, 7) THEN [0, 1] WHEN shape IN (3, 5, 8) THEN [0] ELSE [] END) AS idx) u""")
+def p22_parse_label_json(spark, sf_dir):
+    """Objects under each of the keys, strings, lists of lists, items to drop
+    (numbers, nulls, bare strings, other keys), no JSON, no list, code fences."""
+    x, y = _letter(F.col("doc_id")), F.substring(F.lit("CFPT"), (1 + F.col("doc_id") % 4).cast("int"), F.lit(1))
+    body = F.regexp_replace(F.to_json(F.struct(F.substring("text", 1, 30).alias("content"))), r"^\{|\}$", "")
+    obj = lambda label: F.concat(F.lit("{"), body, F.lit(', "classification": "'), label, F.lit('"}'))
+    both = F.concat(F.lit("["), obj(x), F.lit(", "), obj(y), F.lit("]"))
+    shapes = [F.concat(F.lit('{"classifications": '), both, F.lit("}")),
+              F.concat(F.lit('{"classifications": 3, "turns": '), both, F.lit("}")),
+              F.concat(F.lit('["'), x, F.lit('", "'), y, F.lit('"]')),
+              F.concat(F.lit('[{"classification": 5}, '), obj(y), F.lit("]")),
+              F.concat(F.lit("["), both, F.lit(', [{"classification": "P"}]]')),
+              F.concat(F.lit('{"labels": [{"label": "P"}, {"classification": null}, "P", '), obj(y), F.lit("]}")),
+              F.lit("no JSON at all"), F.concat(F.lit("```json\n"), both, F.lit("\n```")),
+              F.concat(F.lit('  [7, "T", '), obj(y), F.lit("]")), F.lit('{"other": [{"classification": "P"}]}')]
+    reply = F.coalesce(*[F.when(F.col("doc_id") % 10 == i, s) for i, s in enumerate(shapes)])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parse_label_json(reply)).alias("idx", "it"))
+    return docs.select("doc_id", F.col("idx").cast("bigint").alias("idx"), F.col("it.classification").alias("label"))

@@ -179,12 +179,12 @@ def p11_turn_count_range(spark, sf_dir):
 
 # --- P17 / P18 / P19 ---------------------------------------------------------
 _P17_SQL = with_turns(f"""k AS (SELECT *, row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) AS rn
-  FROM turns WHERE length({s_strip('text')}) > 0)""") + f"""
-SELECT corpus, session_id,
-  string_agg(CASE WHEN role = 'user' THEN 'THERAPIST' ELSE 'PATIENT' END || ': ' || text, {NL} ORDER BY turn)
-    FILTER (WHERE rn <= 32) AS transcript,
-  count(*) AS n_messages
-FROM k GROUP BY corpus, session_id"""
+  FROM turns WHERE length({s_strip('text')}) > 0)""", "sess AS (SELECT DISTINCT corpus, session_id FROM turns)") + f"""
+SELECT s.corpus, s.session_id,
+  coalesce(string_agg(CASE WHEN role = 'user' THEN 'THERAPIST' ELSE 'PATIENT' END || ': ' || text, {NL} ORDER BY turn)
+    FILTER (WHERE rn <= 32), '') AS transcript,
+  count(rn) AS n_messages
+FROM sess s LEFT JOIN k ON s.corpus = k.corpus AND s.session_id = k.session_id GROUP BY ALL"""
 
 
 @query("p17_transcripts", _P17_SQL)
@@ -305,7 +305,7 @@ _W2_SQL = with_turns(f"""w AS (SELECT *, list(struct_pack(role := role, text :=
                      f"""k AS (SELECT *, list_filter(coalesce(h, []), lambda m: length({s_strip('m.text')}) > 0) AS kept FROM w
   WHERE role = 'assistant' AND length({s_strip('text')}) > 0)""") + f"""
 SELECT corpus, session_id, turn, text AS message,
-  CASE WHEN len(kept) > 0 THEN array_to_string(list_transform(kept, lambda m: CASE WHEN m.role = 'user' THEN 'THERAPIST' ELSE 'PATIENT' END || ': ' || m.text), {NL})
+  CASE WHEN len(coalesce(h, [])) > 0 THEN array_to_string(list_transform(kept, lambda m: CASE WHEN m.role = 'user' THEN 'THERAPIST' ELSE 'PATIENT' END || ': ' || m.text), {NL})
        ELSE '(No previous history)' END AS history,
   CAST(len(kept) AS BIGINT) AS n_history
 FROM k"""

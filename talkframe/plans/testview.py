@@ -15,38 +15,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkframe.operators.turns import normalize_backend
-from talkframe.session import spread
+from talkframe.session import by_session
 
 
-_TABLES: dict = {}
+_SCHEMAS: dict = {}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = False) -> DataFrame:
-    """The driver table as a DataFrame; the (immutable) scan plan is reused per
-    session so repeated references skip file listing and footer reads."""
-    key = (id(spark), sf_dir, name, spread_rows)
-    df = _TABLES.get(key)
-    if df is None:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        df = spread(df) if spread_rows else df
-        _TABLES[key] = df
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The driver table as a DataFrame; its schema is kept for each application,
+    so that only the first reference reads a footer."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def turns_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = table(spark, sf_dir, "conversations", spread_rows=True)
+    conv = table(spark, sf_dir, "conversations")
     sid = F.expr("conv_id div 2")
     backend_raw = (F.when(sid % 4 == 0, "hosted_vllm_openai_gpt-oss-120b")
                    .when(sid % 4 == 1, "openai_gpt-oss-120b")
                    .when(sid % 4 == 2, "Qwen_Qwen3")
                    .otherwise("hosted_vllm_Qwen_Qwen3"))
-    return conv.select(
+    return by_session(conv.select(
         F.when(F.col("conv_id") % 2 == 0, "real").otherwise("synthetic").alias("corpus"),
         sid.alias("session_id"),
         F.col("turn"), F.col("role"), F.col("text"),
         F.when(sid % 2 == 0, "patientpsi").otherwise("roleplaydoh").alias("psi"),
         backend_raw.alias("backend_llm"),
-    )
+    ), "corpus", "session_id")
 
 
 def turns_only(spark: SparkSession, sf_dir: str) -> DataFrame:

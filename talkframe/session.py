@@ -53,6 +53,8 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     if not current:
         current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="talkframe-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
         sc.setCheckpointDir(current)
@@ -67,23 +69,12 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
-def spread(df):
-    """Parallelism floor for small inputs with CPU-heavy rows.
-
-    A small table stored as one row group is scanned by a single task, and all
-    per-row text work before the first shuffle runs there.  When a scan yields
-    fewer partitions than the cluster's default parallelism, deal its rows
-    round-robin; a large input (already many splits) is returned untouched, so
-    this never adds a shuffle at scale.
-    """
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Spark Connect session: leave the plan alone
-        return df
-    if current < target:
-        return df.repartition(target)
-    return df
+def by_session(df, *keys):
+    """Deal rows by their session keys before per-row text work, so that the
+    windows and aggregates on those keys that follow need no shuffle of their
+    own and a table of few row groups is not read by as few tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
 
 
 _SHIPPED: set = set()
@@ -98,7 +89,7 @@ def ship_package(spark) -> None:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - Spark Connect: install the package on the server instead
         return
-    key = id(sc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     import zipfile

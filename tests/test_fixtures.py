@@ -206,7 +206,8 @@ def test_f20_golden_sample(spark):
     labels = "PPPTTCCCCCCCCTPF"
     lab = spark.createDataFrame([("s", 1, i, x) for i, x in enumerate(labels)],
                                 "corpus string, session_id bigint, label_idx bigint, label string")
-    c = L.conversation_label_counts(lab).first()
+    sessions = lab.select("corpus", "session_id").distinct()
+    c = L.conversation_label_counts(lab, sessions).first()
     assert (c.P_count, c.T_count, c.C_count, c.F_count) == (4, 3, 8, 1)
     assert c.P_ratio == pytest.approx(4 / 15) and c.T_ratio == pytest.approx(0.2) and c.C_ratio == pytest.approx(8 / 15)
     assert c.F_ratio == pytest.approx(0.0625)
@@ -215,6 +216,34 @@ def test_f20_golden_sample(spark):
     assert (chk.expected, chk.received, chk.has_mismatch) == (16, 16, False)
 
 
+def test_conversations_without_labels_or_patient_text_are_counted(spark):
+    turns = turns_df(spark, [("s", 1, 0, "user", "hi"), ("s", 1, 1, "assistant", "ok"), ("s", 2, 0, "user", "hi"),
+                             ("s", 3, 0, "user", " "), ("s", 3, 1, "assistant", None)])
+    lab = spark.createDataFrame([("s", 1, 0, "P")], "corpus string, session_id bigint, label_idx bigint, label string")
+    c = {r.session_id: r for r in L.conversation_label_counts(lab, L.sessions_of(turns)).collect()}
+    assert [c[i].total_patient_turns for i in (1, 2, 3)] == [1, 0, 0] and c[2].F_ratio == 0.0 and c[2].P_ratio == 0.0
+    chk = {r.session_id: r for r in L.label_count_check(turns, lab).collect()}
+    assert [(chk[i].expected, chk[i].received, chk[i].has_mismatch) for i in (1, 2, 3)] == [(1, 1, False), (0, 0, False), (0, 0, False)]
+    t = {r.session_id: (r.transcript, r.n_messages) for r in T.transcripts(turns, history_limit=32, empty_text="-").collect()}
+    assert t == {1: ("THERAPIST: hi\nPATIENT: ok", 2), 2: ("THERAPIST: hi", 1), 3: ("-", 0)}
+    from talkframe.operators.agreement import agreement_by_conversation, align
+    a = agreement_by_conversation(align(lab, lab), L.sessions_of(turns))
+    assert {(r.session_id, r.n, r.accuracy) for r in a.collect()} == {(1, 1, 1.0), (2, 0, 0.0), (3, 0, 0.0)}
+    h = turns_df(spark, [("s", 1, 0, "user", " "), ("s", 1, 1, "assistant", "x")])
+    assert T.history_windows(h).first().history == ""
+    from talkframe.operators.turns import transcript_line
+    row = spark.createDataFrame([(" Assistant ", " a\nb ")], "r string, t string")
+    assert row.select(transcript_line(F.col("r"), F.col("t"), "client")).first()[0] == "Client: a b"
+    assert row.select(transcript_line(F.lit("user"), F.lit("x"), "plain")).first()[0] == "therapist:x"
+
+
+def test_emotion_of_a_blank_padded_letter_is_zero(spark):
+    from talkframe.operators.emotion import lexicon_table, turn_emotions
+    t = turns_df(spark, [("c", 1, 0, "assistant", " a "), ("c", 1, 1, "assistant", "a a")])
+    z = turn_emotions(t, lexicon_table(spark, [("a", "sadness"), ("b", "joy")])).orderBy("idx").collect()
+    assert z[0].sadness == 0.0 and z[1].sadness > 0
+
+
 def test_f21_split_thinking(spark):
     df = spark.createDataFrame([("reason </THINK> ans",), ("none",)], "r string")
     out = [(r.thinking, r.response) for r in df.select(*split_thinking(F.col("r"))).collect()]

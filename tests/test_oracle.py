@@ -3,6 +3,7 @@
 import pytest
 
 from oracle_check import compare
+from talkframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,14 +15,13 @@ def test_entry_smoke(spark):
 
 
 def test_all_queries_match_oracle(spark):
-    res = compare(spark, SF, verbose=False)
+    res = compare(spark, SF, set(catalog.queries()), verbose=False)
     bad = {k: v for k, v in res.items() if not (v.startswith("OK") or v.startswith("rows-only"))}
     assert not bad, bad
 
 
 def test_every_query_has_oracle_or_reason():
-    from __spark_entry__ import oracle_sql, queries
-    missing = set(queries()) - set(oracle_sql())
+    missing = set(catalog.queries()) - set(catalog.oracle_sql())
     # the seeded hash sample has no engine-independent SQL form; the mismatch
     # debug rows are nested (messages and labels as arrays of structs)
     assert missing <= {"l3_seeded_sample", "a24_mismatch_debug"}, missing

@@ -13,9 +13,9 @@ def _plan(df):
 
 
 def test_no_cartesian_or_nested_loop_join_in_any_query(spark):
-    from __spark_entry__ import queries
+    from talkframe.plans import catalog
     bad = {}
-    for name, fn in queries().items():
+    for name, fn in catalog.queries().items():
         p = _plan(fn(spark, "/root/testdata/sf0.001"))
         if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
             bad[name] = p[:300]

@@ -22,24 +22,27 @@ def test_p15_render_profile(spark):
             "homicidal ideation severity": "None"}
     df = spark.createDataFrame([(1, json.dumps(prof))], "session_id bigint, profile string")
     r = render_profile(df).first()
-    lines = r.profile_prompt.splitlines()
-    assert lines[0] == "- name: ann" and "- gender: female" in lines and "- occupation: teacher" in lines
-    assert not any(l.startswith("- age") or l.startswith("- marital") or l.startswith("- resistance") for l in lines)
-    assert "- situation of the client: lost her job" in lines and "- counseling history: None before" in lines
-    assert lines.index("- severe symptoms: low mood") < lines.index("- moderate symptoms: low mood") < lines.index("- mild symptoms: sleep")
-    assert "- cognition distortion exhibition: labeling" in lines and "- depression severity: Moderate" in lines
-    assert not any(l.startswith("- suicidal") for l in lines)
+    assert r.profile_prompt == (
+        "- name: ann\n- gender: female\n- occupation: teacher\n- situation of the client: lost her job\n"
+        "- counseling history: None before\n- symptom severity\n  - low mood: severe\n  - low mood: moderate\n"
+        "  - sleep: mild\n- cognition distortion exhibition\n  - labeling: exhibited\n- depression severity: Moderate\n"
+        "- homicidal ideation severity: None\n")
+    d = r.profile_dict
+    assert (d.name, d.age, d.symptom_severity_mild, d.cognitive_distortion, d.depression_severity, d.suicidal_ideation_severity) == \
+        ("ann", "", ["sleep"], ["labeling"], "Moderate", "")
 
 
 def test_p16_flatten_ccd(spark):
     ccd = {"core_beliefs": "", "core_belief_description": "I am helpless", "intermediate_beliefs": "If I try I fail",
            "coping_strategies": "avoid", "cognitive_models": [{"situation": "exam", "automatic_thoughts": "I will fail",
                                                                "emotion": "fear", "behavior": "stay home"}]}
-    df = spark.createDataFrame([(1, json.dumps(ccd), "Upset"), (2, json.dumps({"core_beliefs": "x"}), "plain")],
+    df = spark.createDataFrame([(1, json.dumps(ccd), "Upset"), (2, json.dumps({"core_beliefs": "x", "life_history": "h", "intermediate_beliefs_during_depression": "d"}), None)],
                                "session_id bigint, ccd string, style string")
-    r = {x.session_id: x for x in flatten_ccd(df, style_col="style").collect()}
-    assert r[1].core_belief == "I am helpless" and r[1].situation == "exam" and r[1].style_description.startswith("Upset")
+    styles = spark.createDataFrame([("Upset", "show frustration"), ("plain", "")], "style string, style_description string")
+    r = {x.session_id: x for x in flatten_ccd(df, style_col="style", styles=styles).collect()}
+    assert r[1].core_belief == "I am helpless" and r[1].situation == "exam" and r[1].style_instruction == "1. Upset\n - show frustration"
     assert r[2].core_belief == "x" and r[2].situation == "" and r[2].behavior == ""
+    assert (r[2].life_history, r[2].intermediate_belief_depression, r[2].style_instruction) == ("h", "d", "1. plain")
 
 
 def test_p30_grab_json(spark):
