@@ -140,7 +140,7 @@ def _by_length(b: pa.RecordBatch, at: int):
 
 
 class Index:
-    def __init__(self, vectors: DataFrame, k: int = 5, tables: int = 3, width: float = 2.0, occupancy: int = 64,
+    def __init__(self, vectors: DataFrame, k: int = 5, tables: int = 3, width: float = 2.0, occupancy: int = 512,
                  recall: float = 0.97, sample: int = 64, block: int = 4096, seed: int = 5,
                  key: str = "vec_id", vector: str = "embedding"):
         self.k, self.tables, self.width, self.seed, self.block = k, tables, width, seed, block
