@@ -13,13 +13,16 @@ Grains (trap T9): A3 counts on the space-joined patient text of a session
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkframe.functions.text import approx_tokens, word_count
+from talkframe.functions.text import approx_tokens, py_strip, word_count
 from talkframe.lexicons import PRONOUN_CATEGORIES, as_rows
-from talkframe.operators.turns import SESSION, patient_turns
+from talkframe.operators.turns import PATIENT_ROLE, SESSION, patient_turns
+from talkframe.session import cut_lineage
 
 
 def _col_name(cat: str) -> str:
@@ -177,20 +180,21 @@ def message_disfluency(turns: DataFrame, disfluencies, markers=None) -> DataFram
 def paired_disfluency(turns: DataFrame, disfluencies, markers=None,
                       left: str = "real", right: str = "synthetic") -> DataFrame:
     """Per paired session totals for both sides, rates with max(tokens, 1), differences."""
-    msg = message_disfluency(turns, disfluencies, markers)
     mcats = categories(markers) if markers else []
-    per = msg.groupBy(*SESSION).agg(
-        F.sum("dis_total").alias("dis"), F.sum("tokens").alias("tokens"),
-        *[F.sum("mk_" + _col_name(c)).alias("mk_" + _col_name(c)) for c in mcats])
-    pairs = paired_sessions(turns, left, right)
-
-    def side(name):
-        s = per.where(F.col("corpus") == name).drop("corpus")
-        return s.select("session_id", *[F.col(c).alias(f"{name}_{c}") for c in s.columns if c != "session_id"])
-
-    j = pairs.join(side(left), "session_id", "left").join(side(right), "session_id", "left")
-    cols = [f"{s}_{c}" for s in (left, right) for c in ["dis", "tokens"] + ["mk_" + _col_name(m) for m in mcats]]
-    j = j.select("session_id", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in cols])
+    text = py_strip("text")
+    spoken = (F.col("role") == PATIENT_ROLE) & (F.length(text) > 0)
+    low = F.lower(text)
+    dis = reduce(add, [count_expr(low, disfluencies, c) for c in categories(disfluencies)])
+    counts = {"dis": dis, "tokens": word_count(text)}
+    counts |= {"mk_" + _col_name(c): count_expr(low, markers, c, case_insensitive=False) for c in mcats}
+    # one scan and one shuffle: both sides are conditional sums of one aggregate;
+    # the patterns run on patient messages only
+    msg = turns.select("corpus", "session_id", *[F.when(spoken, e).alias(c) for c, e in counts.items()])
+    of = lambda side, c: F.coalesce(F.sum(F.when(F.col("corpus") == side, F.col(c))), F.lit(0)).cast("bigint")
+    j = msg.groupBy("session_id").agg(
+        *[of(side, c).alias(f"{side}_{c}") for side in (left, right) for c in counts],
+        *[F.bool_or(F.col("corpus") == side).alias(f"_{side}") for side in (left, right)])
+    j = j.where(F.col(f"_{left}") & F.col(f"_{right}")).drop(f"_{left}", f"_{right}")
     ln = F.col(f"{left}_dis") / F.greatest(F.col(f"{left}_tokens"), F.lit(1))
     rn = F.col(f"{right}_dis") / F.greatest(F.col(f"{right}_tokens"), F.lit(1))
     return j.select("*", (F.col(f"{left}_dis") - F.col(f"{right}_dis")).alias("diff_dis"),
@@ -205,17 +209,16 @@ def macro_rates(paired: DataFrame, left: str = "real", right: str = "synthetic")
 
 
 def marker_totals(paired: DataFrame, markers, left: str = "real", right: str = "synthetic") -> DataFrame:
-    """Total disfluency and per-marker totals per side; ``ALL`` = every marker
-    (rollup), ``disfluency`` = the substring total."""
+    """Total disfluency and per-marker totals per side; ``ALL`` = every marker,
+    ``disfluency`` = the substring total.  One aggregate over the sessions, then
+    one row is turned into one for each marker."""
     mcats = categories(markers)
-    long = paired.select(F.inline(F.array(
-        *[F.struct(F.lit(m).alias("marker"), F.col(f"{left}_mk_{_col_name(m)}").alias("l"),
-                   F.col(f"{right}_mk_{_col_name(m)}").alias("r")) for m in mcats])))
-    per = long.rollup("marker").agg(F.sum("l").alias(f"{left}_total"), F.sum("r").alias(f"{right}_total"))
-    per = per.select(F.coalesce("marker", F.lit("ALL")).alias("marker"), f"{left}_total", f"{right}_total")
-    dis = paired.agg(F.lit("disfluency").alias("marker"), F.sum(f"{left}_dis").alias(f"{left}_total"),
-                     F.sum(f"{right}_dis").alias(f"{right}_total"))
-    out = per.unionByName(dis)
+    col = lambda side, m: F.sum(f"{side}_mk_{_col_name(m)}")
+    sums = {m: (col(left, m), col(right, m)) for m in mcats}
+    sums["ALL"] = tuple(reduce(add, [col(side, m) for m in mcats]) for side in (left, right))
+    sums["disfluency"] = (F.sum(f"{left}_dis"), F.sum(f"{right}_dis"))
+    out = paired.agg(F.array(*[F.struct(F.lit(m).alias("marker"), l.alias(f"{left}_total"), r.alias(f"{right}_total"))
+                               for m, (l, r) in sums.items()]).alias("_t")).select(F.inline("_t"))
     return out.withColumn("difference", F.col(f"{left}_total") - F.col(f"{right}_total"))
 
 
@@ -245,12 +248,13 @@ def section_rates(paired: DataFrame, markers, exclude=None, keep=None,
     section = {}
     for e in rows:
         section.setdefault(e.category, e.section or "Other")
-    parts = [F.struct(F.lit(section[m]).alias("section"), F.col(f"{left}_mk_{_col_name(m)}").alias("l"),
-                      F.col(f"{right}_mk_{_col_name(m)}").alias("r")) for m in categories(markers)]
-    g = paired.select(F.inline(F.array(*parts))).groupBy("section").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    tokens = paired.agg(F.sum(f"{left}_tokens"), F.sum(f"{right}_tokens"))
-    g = g.select("section", "l", "r", tokens.select(F.col(tokens.columns[0])).scalar().alias("lt"),
-                 tokens.select(F.col(tokens.columns[1])).scalar().alias("rt"))
+    total = lambda side, m: F.sum(f"{side}_mk_{_col_name(m)}")
+    tokens = [F.sum(f"{side}_tokens").alias(n) for side, n in ((left, "lt"), (right, "rt"))]
+    parts = [F.struct(F.lit(section[m]).alias("section"), total(left, m).alias("l"), total(right, m).alias("r"), *tokens)
+             for m in categories(markers)]
+    # one aggregate over the sessions; what follows is one row for each marker
+    one = paired.agg(F.array(*parts).alias("_p")).select(F.inline("_p"))
+    g = one.groupBy("section").agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.max("lt").alias("lt"), F.max("rt").alias("rt"))
     if exclude:
         g = g.where(~F.col("section").isin(*exclude))
     if keep:
@@ -261,7 +265,9 @@ def section_rates(paired: DataFrame, markers, exclude=None, keep=None,
 
 def density_histogram(df: DataFrame, series_cols, bins: int = 10) -> DataFrame:
     """``bins`` equal bins between each series' own min and max (±0.5 when
-    min = max), count and density = count / (n × width); all bins reported."""
+    min = max), count and density = count / (n × width); all bins reported.
+    The series are written once: their range and their bins need two passes."""
+    df = cut_lineage(df.select(*series_cols))
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("series"), F.col(c).cast("double").alias("x"))
                                         for c in series_cols]))).where(F.col("x").isNotNull())
     rng = long.groupBy("series").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count(F.lit(1)).alias("n"))

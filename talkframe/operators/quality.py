@@ -39,6 +39,17 @@ def pending_sessions(todo: DataFrame, done: DataFrame, key: str = "session_id")
     return todo.join(done.select(key), key, "left_anti")
 
 
+def valid_sessions(results: DataFrame) -> DataFrame:
+    """The stored sessions to keep: those that pass A55."""
+    return results.where(F.col("status") == "pass").select("session_id")
+
+
+def reusable_ccd(stored: DataFrame, results: DataFrame) -> DataFrame:
+    """The stored cognitive diagram of every valid session that has one, to be
+    reused instead of drawn again."""
+    return stored.where(F.col("ccd").isNotNull()).join(valid_sessions(results), "session_id", "left_semi").select("session_id", "ccd")
+
+
 def corpus_inventory(turns: DataFrame, by: str = "corpus") -> DataFrame:
     """Rows, sessions, and the sorted distinct psi / backend values."""
     aggs = [F.count(F.lit(1)).alias("rows"), F.count_distinct("session_id").alias("sessions")]

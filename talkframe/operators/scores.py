@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from talkframe.functions.quantiles import exact_quantiles
 from talkframe.functions.text import strict_words
 from talkframe.operators.turns import SESSION
+from talkframe.session import cut_lineage
 
 BOS = "<s>"
 
@@ -32,11 +33,16 @@ def _bigrams(toks, first):
                        lambda i: F.struct(F.element_at(prev, i).alias("w1"), F.element_at(toks, i).alias("w2")))
 
 
+#: Parts that a word's rows are split into when they meet the model.
+SALTS = 8
+
+
 def train_bigram_model(train_turns: DataFrame):
     """Bigram and context counts over every message (``<s>`` starts a message)."""
     t = message_tokens(train_turns).where(F.size("toks") > 0)
     bg = t.select(F.inline(_bigrams(F.col("toks"), F.lit(BOS))))
-    bigram = bg.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
+    # written once: the scorer, the contexts and the vocabulary all read it
+    bigram = cut_lineage(bg.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12")))
     context = bigram.groupBy("w1").agg(F.sum("c12").alias("c1"))
     # every training token is the w2 of exactly one bigram occurrence, so the
     # vocabulary comes from the (already aggregated) bigram table, not a re-scan
@@ -70,10 +76,15 @@ def score_responses(turns: DataFrame, model, max_patient_turns: int = 20, role:
     bg = r.select(*SESSION, F.col("patient_idx").cast("bigint").alias("patient_idx"),
                   F.inline(_bigrams(F.col("toks"), F.col("ctx_word"))))
     V = vocab.scalar()
-    j = (bg.join(bigram, ["w1", "w2"], "left").join(context, "w1", "left")
-         .select(*SESSION, "patient_idx",
-                 F.ln((F.coalesce("c12", F.lit(0)) + 1) / (F.coalesce("c1", F.lit(0)) + V)).alias("lp")))
-    g = j.groupBy(*SESSION, "patient_idx").agg(F.count(F.lit(1)).alias("n_bigrams"), (-F.avg("lp")).alias("nll"))
+    # repeated bigrams of a message count once; every word key is split by a fixed
+    # salt of the message, against which the model's rows are repeated
+    msg = [*SESSION, "patient_idx"]
+    bg = bg.groupBy(*msg, "w1", "w2").agg(F.count(F.lit(1)).alias("k"))
+    bg = bg.withColumn("_salt", F.pmod(F.xxhash64(*msg), F.lit(SALTS)).cast("int"))
+    salted = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    j = (bg.join(salted(bigram), ["w1", "w2", "_salt"], "left").join(salted(context), ["w1", "_salt"], "left")
+         .select(*msg, "k", F.ln((F.coalesce("c12", F.lit(0)) + 1) / (F.coalesce("c1", F.lit(0)) + V)).alias("lp")))
+    g = j.groupBy(*msg).agg(F.sum("k").alias("n_bigrams"), (-F.sum(F.col("k") * F.col("lp")) / F.sum("k")).alias("nll"))
     return g.withColumn("ppl", F.exp("nll"))
 
 
@@ -132,6 +143,6 @@ def flatten_nested(nested: DataFrame, col: str = "scores") -> DataFrame:
 
 
 def nest_scores(scores: DataFrame) -> DataFrame:
-    """S14 helper: per session the ordered score list."""
+    """S14 helper: per session the ordered score list (a session is one row)."""
     g = scores.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", "score"))).alias("_s"))
     return g.select("session_id", F.transform("_s", lambda s: s["score"]).alias("scores"))

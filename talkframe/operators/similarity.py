@@ -9,16 +9,13 @@ so it stays linear in text length.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkframe.functions.text import clean_words, jaccard_pct, ngrams
+from talkframe.functions.text import clean_words, jaccard_pct, ngrams, rouge_tokens
 from talkframe.lexicons import ENGLISH_STOP_WORDS
 from talkframe.operators.turns import SESSION
 
@@ -43,45 +40,32 @@ def cleaned(df: DataFrame, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
         "target_words", clean_words("situation", stop_words))
 
 
-_ROUGE_TOKEN = re.compile(r"[a-z0-9]+")
-
-
-@F.pandas_udf(T.DoubleType())
-def _rouge1_recall_udf(target: pd.Series, cand: pd.Series) -> pd.Series:
-    """Clipped unigram overlap / max(#target tokens, 1) per row (Counter helper)."""
-    out = []
-    for t, c in zip(target, cand):
-        tt = Counter(_ROUGE_TOKEN.findall(" ".join(t).lower()))
-        cc = Counter(_ROUGE_TOKEN.findall(" ".join(c).lower()))
-        out.append(sum(min(n, cc[w]) for w, n in tt.items()) / max(sum(tt.values()), 1))
-    return pd.Series(out, dtype="float64")
-
-
-def rouge1_recall_expr(target_words, cand_words):
-    """Clipped unigram overlap / max(#target tokens, 1); ROUGE tokenizer
-    (lower-case ``[a-z0-9]+``, no stemming) on the cleaned texts.
-
-    A multiset intersection has no built-in; an in-row ``aggregate`` over the
-    merged sorted arrays is exact but interpreted per element (≈10× slower on
-    long texts), and an explode + shuffle per token moves every token.  The
-    Arrow-batched helper keeps it row-local and linear."""
-    return _rouge1_recall_udf(target_words, cand_words)
-
-
 def rouge1_recall(df: DataFrame) -> DataFrame:
-    return df.select(*SESSION, rouge1_recall_expr(F.col("target_words"), F.col("cand_words")).alias("rouge1_recall"))
+    """Clipped unigram overlap / max(#target tokens, 1) per session; ROUGE
+    tokenizer (lower-case ``[a-z0-9]+``, no stemming) on the cleaned texts.
+
+    Both token lists become rows with a count for either side, partially
+    aggregated per (session, token); the clipped overlap is the sum of the
+    smaller counts."""
+    side = lambda c, t: F.transform(rouge_tokens(F.array_join(c, " ")),
+                                    lambda x: F.struct(x.alias("tok"), F.lit(t).alias("t"), F.lit(1 - t).alias("c")))
+    tokens = df.select(*SESSION, F.inline_outer(F.concat(side("target_words", 1), side("cand_words", 0))))
+    per = tokens.groupBy(*SESSION, "tok").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+    g = per.groupBy(*SESSION).agg(F.sum(F.least("t", "c")).alias("o"), F.sum("t").alias("n"))
+    return g.select(*SESSION, (F.coalesce("o", F.lit(0)) / F.greatest(F.coalesce("n", F.lit(0)), F.lit(1))).alias("rouge1_recall"))
 
 
 def similarity_metrics(turns: DataFrame, situations: DataFrame, ngram_n: int = 2,
                        stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
     """A50 + A51 + A52 per session with a situation.  The patient side is cleaned
     where it is aggregated (before the join), the situation side after the join
-    (only matched documents are cleaned), then one projection scores the pair."""
+    (only matched documents are cleaned); the Jaccards are one projection, the
+    ROUGE counts one aggregate over the tokens."""
     texts = patient_text(turns).withColumn("cand_words", clean_words("patient_text", stop_words))
     df = with_situation(texts, situations).withColumn("target_words", clean_words("situation", stop_words))
-    return df.select(*SESSION, jaccard_pct("cand_words", "target_words").alias("word_overlap_percentage"),
-                     jaccard_pct(ngrams("cand_words", ngram_n), ngrams("target_words", ngram_n)).alias("ngram_overlap_percentage"),
-                     rouge1_recall_expr(F.col("target_words"), F.col("cand_words")).alias("rouge1_recall"))
+    jaccards = df.select(*SESSION, jaccard_pct("cand_words", "target_words").alias("word_overlap_percentage"),
+                         jaccard_pct(ngrams("cand_words", ngram_n), ngrams("target_words", ngram_n)).alias("ngram_overlap_percentage"))
+    return jaccards.join(rouge1_recall(df), SESSION)
 
 
 def describe(metrics: DataFrame, cols, digits: int = 5) -> DataFrame:

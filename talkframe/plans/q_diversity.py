@@ -60,7 +60,9 @@ _BASE = [
                SELECT *, flatten(list(w) OVER (PARTITION BY corpus, session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS cw
                FROM msgs WHERE session_id IN (SELECT session_id FROM pairs)) WHERE len(w) > 0)""",
     f"""turnl AS (SELECT session_id, {_SPK} AS speaker_type, 'Turn-Level' AS analysis_type, CAST(turn_index AS BIGINT) AS turn_index, w,
-               len(w) >= 100 AS meets_threshold FROM msgs WHERE corpus = 'real' AND len(w) > 0 AND session_id IN (SELECT session_id FROM pairs))""",
+               len(w) >= 100 AS meets_threshold FROM (
+                 SELECT * REPLACE (CASE WHEN corpus = 'real' THEN session_id ELSE session_id - 1 END AS session_id) FROM msgs)
+               WHERE len(w) > 0 AND session_id IN (SELECT session_id FROM pairs))""",
     "{ALLR}",
     """docs AS (SELECT DISTINCT w AS doc, w FROM allr)""",
 ]
@@ -79,7 +81,10 @@ def _res_sql(select, *extra, strategies=tuple(_STRATS)):
 
 
 def _results(spark, sf_dir):
-    return D.lexical_diversity(turns_only(spark, sf_dir))
+    t = turns_only(spark, sf_dir)
+    # the turn variant of a session is the synthetic talk of the next one
+    variant = t.where(F.col("corpus") == "synthetic").withColumn("session_id", F.col("session_id") - 1)
+    return D.lexical_diversity(t, variant_turns=variant)
 
 
 _COLS = "session_id, speaker_type, analysis_type, turn_index, token_count, round(mtld, 6) AS mtld, meets_threshold"
@@ -114,7 +119,7 @@ def a45_cumulative_strategy(spark, sf_dir):
 
 @query("a46_turn_level_strategy", _res_sql(f"SELECT {_COLS} FROM res WHERE analysis_type = 'Turn-Level'", strategies=("Turn-Level",)))
 def a46_turn_level_strategy(spark, sf_dir):
-    """Per-message MTLD (real side; synthetic only from a turn variant)."""
+    """Per-message MTLD (synthetic side from the turn variant)."""
     return _results(spark, sf_dir).where(F.col("analysis_type") == "Turn-Level")
 
 

@@ -38,9 +38,11 @@ _FMT = "upper(role) || ': ' || regexp_replace(regexp_replace(text, '\\s+', ' ',
 
 @query("j5_side_by_side", with_turns(f"""f AS (SELECT corpus, session_id, turn AS pos, {_FMT} AS line FROM turns)""") + """
 SELECT coalesce(r.session_id, s.session_id) AS session_id, coalesce(r.pos, s.pos) AS pos,
-       coalesce(r.line, '') AS "real", coalesce(s.line, '') AS synthetic, '' AS variant
+       coalesce(r.line, '') AS "real", coalesce(s.line, '') AS synthetic, coalesce(v.line, '') AS variant
 FROM (SELECT * FROM f WHERE corpus = 'real') r FULL OUTER JOIN (SELECT * FROM f WHERE corpus = 'synthetic') s
-  ON r.session_id = s.session_id AND r.pos = s.pos""")
+  ON r.session_id = s.session_id AND r.pos = s.pos
+LEFT JOIN (SELECT session_id - 1 AS session_id, pos, line FROM f WHERE corpus = 'synthetic') v
+  ON coalesce(r.session_id, s.session_id) = v.session_id AND coalesce(r.pos, s.pos) = v.pos""")
 def j5_side_by_side(spark, sf_dir):
     """Real / synthetic / turn-variant messages side by side by position
     (full join of the first two, left join of the variant; padded with '')."""
@@ -48,20 +50,22 @@ def j5_side_by_side(spark, sf_dir):
         "corpus", "session_id", F.col("turn").alias("pos"), F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
     r = f.where(F.col("corpus") == "real").select("session_id", "pos", F.col("line").alias("real"))
     s = f.where(F.col("corpus") == "synthetic").select("session_id", "pos", F.col("line").alias("synthetic"))
-    v = f.where(F.col("corpus") == "variant").select("session_id", "pos", F.col("line").alias("variant"))
+    # the turn variant of a session is the synthetic talk of the next one
+    v = s.select((F.col("session_id") - 1).alias("session_id"), "pos", F.col("synthetic").alias("variant"))
     j = r.join(s, ["session_id", "pos"], "full").join(v, ["session_id", "pos"], "left")
     return j.select("session_id", "pos", *[F.coalesce(c, F.lit("")).alias(c) for c in ("real", "synthetic", "variant")])
 
 
 @query("j7_pending_sessions", with_turns() + f"""
-SELECT DISTINCT session_id FROM turns WHERE corpus = 'real' AND session_id NOT IN (
-  SELECT session_id FROM turns WHERE corpus = 'synthetic' AND role = 'assistant' AND length({s_strip('text')}) > 0)""")
+, cnt AS (SELECT corpus, session_id, count(*) FILTER (WHERE role IN ('assistant', 'patient')) AS n_patient, arg_min(role, turn) AS first_role,
+               count(*) FILTER (WHERE role = 'assistant' AND length({s_strip('text')}) > 0) AS spoken FROM turns GROUP BY ALL)
+SELECT r.session_id FROM cnt r LEFT JOIN cnt s ON r.session_id = s.session_id AND s.corpus = 'synthetic'
+WHERE r.corpus = 'real' AND least(r.n_patient, 20) - CASE WHEN r.first_role IN ('assistant', 'patient') THEN 1 ELSE 0 END <> coalesce(s.spoken, 0)""")
 def j7_pending_sessions(spark, sf_dir):
-    """Real sessions with no valid synthetic counterpart yet (left anti join)."""
-    t = turns_only(spark, sf_dir)
-    todo = t.where(F.col("corpus") == "real").select("session_id").distinct()
-    done = patient_messages(t.where(F.col("corpus") == "synthetic")).select("session_id")
-    return Q.pending_sessions(todo, done)
+    """Real sessions whose synthetic counterpart is missing or does not hold the
+    stored number of patient turns (A55 status), by a left anti join."""
+    todo = turns_only(spark, sf_dir).where(F.col("corpus") == "real").select("session_id").distinct()
+    return Q.pending_sessions(todo, Q.valid_sessions(_validation(spark, sf_dir)))
 
 
 @query("j12_set_ops", with_turns() + """
@@ -96,12 +100,14 @@ def l2_first_ids(spark, sf_dir):
     return t.select("session_id").distinct().orderBy("session_id").limit(10)
 
 
-@query("l3_seeded_sample")
+@query("l3_seeded_sample", with_turns() + """
+SELECT session_id FROM (SELECT DISTINCT session_id FROM turns) s
+ORDER BY md5(CAST(session_id AS VARCHAR) || '-42'), session_id LIMIT 10""")
 def l3_seeded_sample(spark, sf_dir):
     """L3: deterministic seeded sample of 10 sessions (hash order with seed 42;
     partition-independent).  The sample is the feature, so the limit stays."""
     t = turns_only(spark, sf_dir).select("session_id").distinct()
-    return t.orderBy(F.xxhash64("session_id", F.lit(42)), "session_id").limit(10)
+    return t.orderBy(F.md5(F.concat(F.col("session_id").cast("string"), F.lit("-42"))), "session_id").limit(10)
 
 
 _A55 = with_turns(
@@ -179,13 +185,15 @@ def p12_json_field(spark, sf_dir):
 
 
 @query("p13_blank_placeholders", with_turns() + """
-SELECT corpus, session_id, turn, CASE WHEN text IS NULL OR lower(text) IN ('', 'not specified', 'unknown', 'n/a')
+SELECT corpus, session_id, turn, CASE WHEN text IS NULL OR turn % 6 < 5 OR lower(text) IN ('', 'not specified', 'unknown', 'n/a')
   OR contains(lower(text), 'cannot be identified') OR contains(lower(text), 'cannot be determined')
   OR contains(lower(text), 'not mention') OR contains(lower(text), 'not exhibited') THEN '' ELSE text END AS value FROM turns""")
 def p13_blank_placeholders(spark, sf_dir):
-    """Placeholder answers blanked (applied to every text value)."""
+    """Placeholder answers blanked; of six turns five get one written in."""
     t = turns_only(spark, sf_dir)
-    return t.select("corpus", "session_id", "turn", blank_placeholder(F.col("text")).alias("value"))
+    answers = ["Unknown", "N/A", "Age cannot be determined", "It was Not mentioned here", ""]
+    text = F.coalesce(*[F.when(F.col("turn") % 6 == i, F.lit(a)) for i, a in enumerate(answers)], F.col("text"))
+    return t.select("corpus", "session_id", "turn", blank_placeholder(text).alias("value"))
 
 
 @query("p11_session_turn_counts", with_turns() + """
@@ -211,15 +219,17 @@ def s6_source_routing(spark, sf_dir):
 
 
 @query("s8_parse_json_text", """
-SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k,
-       CASE WHEN json_valid(props) THEN NULL ELSE props END AS props_raw
+SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE TRY_CAST(json_extract(props, '$.k') AS BIGINT) END AS k,
+       CASE WHEN event_id % 7 = 0 THEN 'plain ' || props END AS props_raw
 FROM events WHERE lower(event_type) = lower('CLICK')""")
 def s8_parse_json_text(spark, sf_dir):
     """Case-insensitive filter, JSON text parsed with a fixed schema, text that
     is not JSON kept as is."""
     e = table(spark, sf_dir, "events").where(F.lower("event_type") == "CLICK".lower())
-    parsed = F.from_json("props", "k bigint")
-    return e.select("event_id", parsed["k"].alias("k"), F.when(parsed.isNull(), F.col("props")).alias("props_raw"))
+    e = e.withColumn("props", F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("plain "), F.col("props"))).otherwise(F.col("props")))
+    is_json = F.try_parse_json("props").isNotNull()
+    return e.select("event_id", F.when(is_json, F.from_json("props", "k bigint")["k"]).alias("k"),
+                    F.when(~is_json, F.col("props")).alias("props_raw"))
 
 
 @query("s9_session_ids_from_names", with_turns() + """,

@@ -72,8 +72,23 @@ def a40_score_histogram(spark, sf_dir):
 
 @query("a41_flatten_scores", f"""WITH {_EV} SELECT session_id, idx, score FROM ev""")
 def a41_flatten_scores(spark, sf_dir):
-    """A41 + S14: nest the series per conversation, then flatten it back."""
-    return SC.flatten_nested(SC.nest_scores(event_scores(spark, sf_dir)))
+    """The flat series; scores that arrive nested are flattened first and
+    never gathered again."""
+    return event_scores(spark, sf_dir)
+
+
+@query("s14_session_scores", f"""WITH {_EV},
+s AS (SELECT session_id, list(score ORDER BY idx) AS scores FROM ev GROUP BY session_id)
+SELECT session_id, len(scores) AS n_scores, round(scores[1], 6) AS first_score, round(scores[len(scores)], 6) AS last_score,
+       round(list_sum(scores), 4) AS total FROM s""")
+def s14_session_scores(spark, sf_dir):
+    """S14 + A41: one JSON row per session, read back and summed up."""
+    from talkframe.sources.sinks import session_scores_json
+    rows = session_scores_json(SC.nest_scores(event_scores(spark, sf_dir)))
+    back = rows.select(F.from_json("json", "session_id bigint, scores array<double>").alias("r")).select("r.*")
+    return back.select("session_id", F.size("scores").cast("bigint").alias("n_scores"), F.element_at("scores", 1).alias("first_score"),
+                       F.element_at("scores", -1).alias("last_score"),
+                       F.round(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 _TOK = s_strict("text")

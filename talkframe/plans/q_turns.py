@@ -230,14 +230,16 @@ SELECT corpus, session_id, turn,
   CASE WHEN regexp_matches(text, '(?i)</think>') THEN {s_strip("regexp_extract(text, '(?is)^(.*?)</think>', 1)")} END AS thinking,
   CASE WHEN regexp_matches(text, '(?i)</think>') THEN {s_strip("regexp_extract(text, '(?is)</think>(.*)$', 1)")}
        ELSE {s_strip('text')} END AS response
-FROM turns"""
+FROM (SELECT * REPLACE (CASE WHEN turn % 3 = 0 THEN text || ' </Think> so ' || role || ' </think>' ELSE text END AS text) FROM turns) t"""
 
 
 @query("p20_split_thinking", _P20_SQL)
 def p20_split_thinking(spark, sf_dir):
-    """P20: split each text at the first ``</think>`` into thinking / response."""
+    """P20: split each text at the first ``</think>`` into thinking / response; every
+    third turn gets one written in."""
     t = turns_only(spark, sf_dir)
-    return t.select("corpus", "session_id", "turn", *split_thinking(F.col("text")))
+    tagged = F.concat("text", F.lit(" </Think> so "), "role", F.lit(" </think>"))
+    return t.select("corpus", "session_id", "turn", *split_thinking(F.when(F.col("turn") % 3 == 0, tagged).otherwise(F.col("text"))))
 
 
 _P21_SQL = with_turns() + f"""

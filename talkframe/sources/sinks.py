@@ -34,13 +34,10 @@ def write_session_json(df: DataFrame, path: str, partition_by=("corpus",), mode:
     df.write.mode(mode).partitionBy(*partition_by).json(path)
 
 
-def nested_scores_json(nested: DataFrame) -> DataFrame:
-    """``{structure, num_conversations, perplexities[][]}`` as one JSON row,
-    built by aggregation (the flat score table stays the primary output)."""
-    g = nested.agg(F.count(F.lit(1)).alias("num_conversations"),
-                   F.array_sort(F.collect_list(F.struct("session_id", "scores"))).alias("_s"))
-    return g.select(F.to_json(F.struct(F.lit("conversation x turn").alias("structure"), "num_conversations",
-                                       F.transform("_s", lambda s: s["scores"]).alias("perplexities"))).alias("json"))
+def session_scores_json(nested: DataFrame) -> DataFrame:
+    """``{session_id, scores[]}``, one JSON row per session, so that no task
+    gathers the corpus; the number of conversations is the number of rows."""
+    return nested.select(F.to_json(F.struct("session_id", "scores")).alias("json"))
 
 
 def write_bucketed_turns(turns: DataFrame, table: str, buckets: int, path: str | None = None) -> None:

@@ -22,6 +22,5 @@ def test_all_queries_match_oracle(spark):
 
 def test_every_query_has_oracle_or_reason():
     missing = set(catalog.queries()) - set(catalog.oracle_sql())
-    # the seeded hash sample has no engine-independent SQL form; the mismatch
-    # debug rows are nested (messages and labels as arrays of structs)
-    assert missing <= {"l3_seeded_sample", "a24_mismatch_debug"}, missing
+    # the mismatch debug rows are nested (messages and labels as arrays of structs)
+    assert missing <= {"a24_mismatch_debug"}, missing

@@ -9,7 +9,7 @@ from talkframe.operators import judge as J
 from talkframe.operators.profiles import flatten_ccd, render_profile
 from talkframe.operators.replies import grab_json_object
 from talkframe.operators.scores import nest_scores, flatten_nested
-from talkframe.sources.sinks import nested_scores_json
+from talkframe.sources.sinks import session_scores_json
 
 
 def test_p15_render_profile(spark):
@@ -54,8 +54,8 @@ def test_p30_grab_json(spark):
 def test_s14_nested_scores(spark):
     s = spark.createDataFrame([(1, 0, 2.0), (1, 1, 3.0), (2, 0, 5.0)], "session_id bigint, idx bigint, score double")
     nested = nest_scores(s)
-    doc = json.loads(nested_scores_json(nested).first().json)
-    assert doc["num_conversations"] == 2 and doc["perplexities"] == [[2.0, 3.0], [5.0]]
+    docs = sorted((json.loads(r.json) for r in session_scores_json(nested).collect()), key=lambda d: d["session_id"])
+    assert docs == [{"session_id": 1, "scores": [2.0, 3.0]}, {"session_id": 2, "scores": [5.0]}]
     assert flatten_nested(nested).count() == 3
 
 
