@@ -265,3 +265,111 @@ def s4_psi_dataset_from_path(spark, sf_dir):
                                  F.col("backend_llm"), F.lit("esc"),
                                  F.concat(F.lit("session_"), F.col("session_id").cast("string"), F.lit(".json"))).alias("path")).distinct()
     return paths.select("path", *psi_and_dataset(F.col("path"), ["patientpsi", "roleplaydoh"], ["esc", "hope", "annomi"]))
+
+
+# --- P14-P16, P30: JSON text written from the documents' columns ----------------
+
+def _profiles(spark, sf_dir):
+    """A profile document per document row: placeholders, missing keys, severities."""
+    d = F.col("doc_id")
+    severity = F.element_at(F.array(*[F.lit(x) for x in ("Mild", "Moderate to severe", "Severe", "none")]), (d % 4 + 1).cast("int"))
+    fields = {
+        "name": F.concat(F.lit("N "), F.col("source")), "age": F.when(d % 3 == 0, "Unknown").otherwise(F.col("n_chars").cast("string")),
+        "gender": F.col("lang"), "occupation": F.when(d % 2 == 1, "Clerk"), "marital status": F.lit("Not Specified"),
+        "counseling history": F.lit("None Before"), "symptom severity": F.create_map(F.lit("Low Mood"), severity, F.lit("Sleep"), F.lit("mild")),
+        "cognition distortion exhibition": F.create_map(F.lit("Labeling"), F.when(d % 5 < 4, "Exhibited").otherwise("Not exhibited")),
+        "depression severity": F.lit("Moderate"), "suicidal ideation severity": F.lit("cannot be determined")}
+    doc = F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+    return table(spark, sf_dir, "documents").select("doc_id", doc.alias("profile"))
+
+
+@query("p14_severity_buckets", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'low mood,sleep' ELSE 'sleep' END AS mild,
+       CASE WHEN doc_id % 4 = 1 THEN 'low mood' ELSE '' END AS moderate,
+       CASE WHEN doc_id % 4 IN (1, 2) THEN 'low mood' ELSE '' END AS severe,
+       CASE WHEN doc_id % 5 < 4 THEN 'labeling' ELSE '' END AS distortions FROM documents""")
+def p14_severity_buckets(spark, sf_dir):
+    """Symptoms by severity (a value may name two) and exhibited distortions."""
+    from talkframe.operators.profiles import exhibited_distortions, parse_profile, severity_buckets
+    p = _profiles(spark, sf_dir).select("doc_id", parse_profile(F.col("profile")).alias("p"))
+    mild, moderate, severe = severity_buckets(F.col("p")["symptom severity"])
+    dist = exhibited_distortions(F.col("p")["cognition distortion exhibition"])
+    return p.select("doc_id", *[F.array_join(c, ",").alias(n) for n, c in
+                                (("mild", mild), ("moderate", moderate), ("severe", severe), ("distortions", dist))])
+
+
+@query("p15_profile_prompt", """
+SELECT doc_id, '- name: n ' || lower(source) || chr(10) || '- gender: ' || lower(lang) || chr(10)
+  || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '- age: ' || CAST(n_chars AS VARCHAR) || chr(10) END
+  || CASE WHEN doc_id % 2 = 1 THEN '- occupation: clerk' || chr(10) ELSE '' END
+  || '- counseling history: None Before' || chr(10) || '- symptom severity' || chr(10)
+  || CASE WHEN doc_id % 4 IN (1, 2) THEN '  - low mood: severe' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 4 = 1 THEN '  - low mood: moderate' || chr(10) ELSE '' END
+  || CASE WHEN doc_id % 4 = 0 THEN '  - low mood: mild' || chr(10) ELSE '' END || '  - sleep: mild' || chr(10)
+  || CASE WHEN doc_id % 5 < 4 THEN '- cognition distortion exhibition' || chr(10) || '  - labeling: exhibited' || chr(10)
+          ELSE '${cognition_distortion_exhibition}' END
+  || '- depression severity: Moderate' || chr(10) AS profile_prompt,
+  CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(n_chars AS VARCHAR) END AS age, 'Moderate' AS depression_severity,
+  '' AS suicidal_ideation_severity FROM documents""")
+def p15_profile_prompt(spark, sf_dir):
+    """Profile section and dictionary fields."""
+    from talkframe.operators.profiles import render_profile
+    r = render_profile(_profiles(spark, sf_dir))
+    return r.select("doc_id", "profile_prompt", *[F.col(f"profile_dict.{c}").alias(c) for c in
+                                                  ("age", "depression_severity", "suicidal_ideation_severity")])
+
+
+@query("p16_ccd_fields", """
+SELECT doc_id, 'h ' || source AS life_history, CASE WHEN doc_id % 2 = 0 THEN 'd ' || lang ELSE 'c ' || source END AS core_belief,
+       CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'dep' END AS intermediate_belief_depression,
+       CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END AS situation, '' AS emotion,
+       CASE doc_id % 3 WHEN 0 THEN '1. plain' WHEN 1 THEN '1. Upset' || chr(10) || ' - show frustration' ELSE '1. terse' END AS style_instruction
+FROM documents""")
+def p16_ccd_fields(spark, sf_dir):
+    """Prompt fields of a cognitive diagram, blanks and the style line."""
+    from talkframe.operators.profiles import flatten_ccd
+    d, none = F.col("doc_id"), F.array().cast("array<struct<situation:string>>")
+    models = F.when(d % 3 == 0, none).otherwise(F.array(F.struct(F.col("lang").alias("situation"))))
+    ccd = F.struct(F.concat(F.lit("h "), "source").alias("life_history"),
+                   F.when(d % 2 == 0, "").otherwise(F.concat(F.lit("c "), "source")).alias("core_beliefs"),
+                   F.concat(F.lit("d "), "lang").alias("core_belief_description"),
+                   F.when(d % 4 != 0, "dep").alias("intermediate_beliefs_during_depression"), models.alias("cognitive_models"))
+    style = F.when(d % 3 == 1, "Upset").when(d % 3 == 2, "terse")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.to_json(ccd).alias("ccd"), style.alias("style"))
+    styles = spark.createDataFrame([("upset", "show frustration"), ("plain", "")], "style string, style_description string")
+    out = flatten_ccd(docs, style_col="style", styles=styles)
+    return out.select("doc_id", "life_history", "core_belief", "intermediate_belief_depression", "situation", "emotion", "style_instruction")
+
+
+@query("p30_grab_json", """
+SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN source END AS response FROM documents""")
+def p30_grab_json(spark, sf_dir):
+    """The outermost object of a noisy reply, parsed with a schema."""
+    from talkframe.operators.replies import grab_json_object
+    reply = F.when(F.col("doc_id") % 4 < 3, F.concat(F.lit('noise {"result": {"response": "'), "source", F.lit('"}} tail')))
+    reply = F.coalesce(reply, F.lit("no object here"))
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", grab_json_object(reply, "result struct<response:string>")["result"]["response"].alias("response"))
+
+
+@query("s11_export_round_trip", with_turns() + """
+SELECT session_id, psi, count(*) AS n_messages, CASE WHEN psi = 'patientpsi' THEN '{"k":1}' ELSE '{}' END AS ccd
+FROM turns WHERE corpus = 'synthetic' AND psi = 'patientpsi' GROUP BY session_id, psi""")
+def s11_export_round_trip(spark, sf_dir):
+    """S11 + S8: sessions exported as one partitioned dataset and read back for one
+    simulator (case-insensitive, pruned), JSON text parsed."""
+    import uuid
+
+    from talkframe.session import checkpoint_dir
+    from talkframe.sources.corpus import read_published
+    from talkframe.sources.sinks import export_corpus
+    t = turns_view(spark, sf_dir).where(F.col("corpus") == "synthetic")
+    g = t.groupBy("session_id", "psi", "backend_llm").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    sessions = g.select("session_id", "psi", "backend_llm", F.lit("ESC").alias("source"), F.lit("{}").alias("profile"),
+                        F.lit('{"k":1}').alias("ccd"),
+                        F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+    path = f"{checkpoint_dir(spark)}/export-{uuid.uuid4().hex}"
+    export_corpus(sessions, path)
+    back = read_published(spark, path, psi="PatientPsi")
+    return back.select("session_id", "psi", F.size("messages_parsed").cast("bigint").alias("n_messages"), "ccd")

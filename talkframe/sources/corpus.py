@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkframe.operators.turns import relabel_role
-from talkframe.schemas import MESSAGES, PUBLISHED_CORPUS, RAW_DIALOG, REAL_CORPUS, SESSION_FILE
+from talkframe.operators.turns import normalize_backend, relabel_role
+from talkframe.schemas import CCD, MESSAGES, PROFILE, PUBLISHED_CORPUS, RAW_DIALOG, REAL_CORPUS, SESSION_FILE
+from talkframe.session import cut_lineage
 
 SESSION_FILE_RE = r"^session_(\d+)\.json$"
 # Real corpus sources and the names that route to them.
@@ -41,8 +42,9 @@ def scan_sessions(spark: SparkSession, data_dir: str, recursive: bool = False, k
     """``session_*.json`` files of a folder (``recursive`` → whole tree).
 
     Adds ``file_path``, ``session_id`` (from the file name) and ``corrupt``.
-    Unreadable files are dropped unless ``keep_corrupt`` (quarantine view).
-    A missing folder gives an empty frame.
+    Unreadable files are dropped unless ``keep_corrupt`` (quarantine view); a
+    document without messages has none (an empty array).  A missing folder gives
+    an empty frame.
     """
     if not path_exists(spark, data_dir):
         from pyspark.sql import types as T
@@ -53,11 +55,14 @@ def scan_sessions(spark: SparkSession, data_dir: str, recursive: bool = False, k
     df = _json_reader(spark, SESSION_FILE, recursive).json(data_dir)
     df = df.select("*", F.col("_metadata.file_path").alias("file_path"))
     df = df.withColumn("session_id", session_id_from_name(_file_name(F.col("file_path"))))
-    # unreadable JSON, or a document without a messages array, is not a session
-    df = df.withColumn("corrupt", F.col("_corrupt_record").isNotNull() | F.col("messages").isNull())
-    if not keep_corrupt:
-        df = df.where(~F.col("corrupt"))
-    return df
+    return _readable(df, keep_corrupt)
+
+
+def _readable(df: DataFrame, keep_corrupt: bool) -> DataFrame:
+    none, bad = F.array().cast(MESSAGES), F.col("_corrupt_record").isNotNull()
+    # Spark refuses to read the corrupt-record column alone: the flag looks at messages too
+    df = df.withColumn("corrupt", F.when(F.col("messages").isNotNull() & ~bad, F.lit(False)).otherwise(bad)).withColumn("messages", F.coalesce("messages", none))
+    return df if keep_corrupt else df.where(~F.col("corrupt"))
 
 
 def scan_synthetic(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -67,18 +72,25 @@ def scan_synthetic(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def scan_tree(spark: SparkSession, root: str, psi_filter: str | None = None) -> DataFrame:
-    """S3: ``{psi}/{backend}/{dataset}/session_{id}.json`` tree with path levels as
-    columns; files under a ``turn/`` folder are variants and left out; a file
-    name without an id falls back to a stable hash of its path."""
-    s = scan_sessions(spark, root, recursive=True)
+    """S3: the files ``{psi}/{backend}/{dataset}/session_*.json`` (exactly that deep)
+    with the path levels as columns, the backend normalised.
+
+    ``psi_filter`` is part of the path pattern, so other folders are not listed.
+    The session id is that inside the file, else that of the file name, else a
+    stable hash of the path."""
+    from pyspark.sql import types as T
+    folders = f"{root}/{psi_filter or '*'}/*/*"
+    schema = T.StructType([*SESSION_FILE.fields[:-1], T.StructField("session_id", T.StringType()), SESSION_FILE.fields[-1]])
+    if not _glob_dirs(spark, folders):
+        df = spark.createDataFrame([], schema).withColumn("file_path", F.lit(""))
+    else:
+        df = _json_reader(spark, schema).json(folders).select("*", F.col("_metadata.file_path").alias("file_path"))
     parts = F.split(F.col("file_path"), "/")
-    s = s.where(~F.col("file_path").contains("/turn/"))
-    s = s.select("*", F.element_at(parts, -4).alias("psi"), F.element_at(parts, -3).alias("backend"),
-                 F.element_at(parts, -2).alias("dataset"))
-    s = s.withColumn("session_id", F.coalesce("session_id", F.abs(F.xxhash64("file_path"))))
-    if psi_filter is not None:
-        s = s.where(F.col("psi") == psi_filter)
-    return s
+    named = F.regexp_extract(_file_name(F.col("file_path")), r"session_([^/]*)\.json$", 1).try_cast("bigint")
+    df = df.withColumn("session_id", F.coalesce(F.col("session_id").try_cast("bigint"), named, F.abs(F.xxhash64("file_path"))))
+    df = df.select("*", F.element_at(parts, -4).alias("psi"), normalize_backend(F.element_at(parts, -3)).alias("backend"),
+                   F.element_at(parts, -2).alias("dataset"))
+    return _readable(df, keep_corrupt=False)
 
 
 def psi_and_dataset(path: Column, known_psis, known_datasets) -> list[Column]:
@@ -160,16 +172,21 @@ def read_real_corpus(spark: SparkSession, path: str, name: str = "all", ids: Dat
 
 
 def read_raw_dialogs(spark: SparkSession, path: str, indices: DataFrame | None = None) -> DataFrame:
-    """Raw support-dialogue JSON files (a list of dialogs); the list
-    position becomes ``id_source``; speaker seeker → assistant, supporter → user."""
-    df = spark.read.option("multiLine", True).option("wholetext", True).text(path)
-    parsed = df.select(F.from_json("value", f"array<{RAW_DIALOG.simpleString()}>").alias("d"))
-    rows = parsed.select(F.posexplode("d").alias("id_source", "x")).select(
-        F.col("id_source").cast("bigint").alias("id_source"), F.col("x.situation").alias("situation"),
-        F.transform("x.dialog", lambda m: F.struct(relabel_role(m["speaker"], "speaker").alias("role"),
-                                                    m["content"].alias("content"))).alias("messages"))
+    """Raw support-dialogue JSON files (a list of dialogs); a dialog is one
+    row, keyed by its file and, as ``id_source``, its position in that file;
+    speaker seeker → assistant, supporter → user.  ``indices`` has ``id_source``
+    and, to tell files apart, may have ``file``."""
+    df = spark.read.schema(RAW_DIALOG).option("multiLine", True).json(path).select("*", _file_name(F.col("_metadata.file_path")).alias("file"))
+    # a file is read by one task in order: the ids of its rows are consecutive (pinned, both branches use them)
+    df = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
+    first = df.groupBy("file").agg(F.min("_id").alias("_first"))
+    rows = df.join(first, "file").select(
+        "file", (F.col("_id") - F.col("_first")).cast("bigint").alias("id_source"), "situation",
+        F.transform("dialog", lambda m: F.struct(relabel_role(m["speaker"], "speaker").alias("role"),
+                                                 m["content"].alias("content"))).alias("messages"))
     if indices is not None:
-        rows = rows.join(indices.select("id_source"), "id_source", "left_semi")
+        keys = [c for c in ("file", "id_source") if c in indices.columns]
+        rows = rows.join(indices.select(*keys), keys, "left_semi")
     return rows
 
 
@@ -185,9 +202,12 @@ def read_published(spark: SparkSession, path: str, psi: str | None = None, backe
         df = df.where(F.col("psi_key") == psi.lower()) if keyed else df.where(F.lower("psi") == psi.lower())
     if backend is not None:
         df = df.where(F.col("backend_key") == backend.lower()) if keyed else df.where(F.lower("backend_llm") == backend.lower())
-    parsed = F.from_json("messages", MESSAGES)
-    return df.withColumn("messages_parsed", parsed).withColumn(
-        "messages_raw", F.when(parsed.isNull(), F.col("messages")))
+    for c, schema in (("messages", MESSAGES), ("profile", PROFILE), ("ccd", CCD)):
+        if c in df.columns:
+            is_json = F.try_parse_json(c).isNotNull()
+            df = (df.withColumn(f"{c}_parsed", F.when(is_json, F.from_json(c, schema)))
+                  .withColumn(f"{c}_raw", F.when(~is_json, F.col(c))))
+    return df
 
 
 def read_with_variants(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -202,7 +222,8 @@ def read_with_variants(spark: SparkSession, data_dir: str) -> DataFrame:
     alt = (_json_reader(spark, SESSION_FILE).option("pathGlobFilter", "session_*_turn.json").json(data_dir)
            .select("*", F.col("_metadata.file_path").alias("file_path")))
     alt = alt.withColumn("session_id", F.regexp_extract(_file_name(F.col("file_path")), r"^session_(\d+)_turn\.json$", 1)
-                         .try_cast("bigint")).withColumn("corrupt", F.col("_corrupt_record").isNotNull() | F.col("messages").isNull())
+                         .try_cast("bigint")).withColumn("corrupt", F.col("_corrupt_record").isNotNull())
+    alt = alt.withColumn("messages", F.coalesce("messages", F.array().cast(MESSAGES)))
     parts.append(alt.where(~F.col("corrupt") & F.col("session_id").isNotNull()).withColumn("priority", F.lit(2)))
     u = parts[0]
     for p in parts[1:]:

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from talkframe.functions.text import py_strip
 from talkframe.schemas import SESSION_FILE
 from talkframe.session import checkpoint_dir
 from talkframe.sources.corpus import session_id_from_name
@@ -30,13 +31,25 @@ def session_stream(spark: SparkSession, data_dir: str, max_files_per_trigger: in
             .withColumn("file_path", F.input_file_name()))
 
 
-def _explode_turns(batch: DataFrame, corpus: str) -> DataFrame:
+def _sessions(batch: DataFrame) -> DataFrame:
+    """One row per session file; unreadable files and files without messages stay."""
     b = batch.withColumn("session_id", session_id_from_name(F.element_at(F.split("file_path", "/"), -1)))
-    b = b.where(F.col("_corrupt_record").isNull() & F.col("messages").isNotNull() & F.col("session_id").isNotNull())
-    x = b.select(F.lit(corpus).alias("corpus"), "session_id", "num_patient_turns",
-                 F.posexplode("messages").alias("turn", "m"))
+    return b.where(F.col("session_id").isNotNull())
+
+
+def _explode_turns(sessions: DataFrame, corpus: str) -> DataFrame:
+    x = sessions.where(F.col("_corrupt_record").isNull()).select(
+        F.lit(corpus).alias("corpus"), "session_id", F.posexplode("messages").alias("turn", "m"))
     return x.select("corpus", "session_id", F.col("turn").cast("bigint").alias("turn"), F.col("m.role").alias("role"),
-                    F.coalesce("m.content", F.lit("")).alias("text"), "num_patient_turns")
+                    F.coalesce("m.content", F.lit("")).alias("text"))
+
+
+def _validated(sessions: DataFrame) -> DataFrame:
+    """A55 per file: unreadable, without messages or with another count fails."""
+    spoken = F.filter("messages", lambda m: (m["role"] == "assistant") & (F.length(py_strip(m["content"])) > 0))
+    rows = sessions.select("session_id", F.col("num_patient_turns").alias("stored"),
+                           F.when(F.col("messages").isNotNull(), F.size(spoken)).cast("bigint").alias("actual"))
+    return rows.withColumn("status", F.when(F.col("stored") == F.col("actual"), "pass").otherwise("fail"))
 
 
 def ingest_sessions(spark: SparkSession, data_dir: str, out_dir: str, corpus: str = "synthetic",
@@ -46,17 +59,13 @@ def ingest_sessions(spark: SparkSession, data_dir: str, out_dir: str, corpus: st
     ckpt = checkpoint or f"{checkpoint_dir(spark)}/ingest-{corpus}"
 
     def write_batch(batch: DataFrame, batch_id: int):
-        turns = _explode_turns(batch, corpus).withColumn("batch_id", F.lit(batch_id))
+        # the files are parsed once; both outputs read the parsed rows
+        sessions = _sessions(batch).persist()
         # replay-safe: a re-run of the same batch overwrites only its own partition
-        (turns.drop("num_patient_turns").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(f"{out_dir}/turns"))
-        patient = (F.col("role") == "assistant") & (F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) > 0)
-        val = turns.groupBy("session_id").agg(F.first("num_patient_turns").alias("stored"),
-                                              F.count_if(patient).alias("actual"))
-        val = val.withColumn("status", F.when(F.col("stored").isNull(), "fail")
-                             .when(F.col("stored") == F.col("actual"), "pass").otherwise("fail"))
-        (val.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(f"{out_dir}/validation"))
+        for rows, name in ((_explode_turns(sessions, corpus), "turns"), (_validated(sessions), "validation")):
+            (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("batch_id").parquet(f"{out_dir}/{name}"))
+        sessions.unpersist()
 
     w = session_stream(spark, data_dir).writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

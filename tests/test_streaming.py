@@ -23,10 +23,14 @@ def test_incremental_ingest(spark, scratch):
     t = spark.read.parquet(f"{out}/turns")
     assert t.count() == 6
     _write(src, 3, 2, 2)
+    with open(f"{src}/session_4.json", "w") as f:
+        f.write('{"messages": [')
+    with open(f"{src}/session_5.json", "w") as f:
+        f.write('{"num_patient_turns": 2}')
     ingest_sessions(spark, src, out, checkpoint=ck)  # restart: only session 3 is new
     t = spark.read.parquet(f"{out}/turns")
     assert t.count() == 10 and t.select("session_id").distinct().count() == 3
     v = {r.session_id: r.status for r in spark.read.parquet(f"{out}/validation").collect()}
-    assert v == {1: "pass", 2: "fail", 3: "pass"}
+    assert v == {1: "pass", 2: "fail", 3: "pass", 4: "fail", 5: "fail"}
     todo = spark.createDataFrame([(i,) for i in range(1, 5)], "session_id bigint")
     assert sorted(r.session_id for r in pending_from_ingested(spark, todo, out).collect()) == [2, 4]
