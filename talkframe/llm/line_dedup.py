@@ -8,9 +8,10 @@ document id that holds them.
 The index has three tables: ``postings`` (key, doc_id), ``counts`` (key,
 n_docs, holder) and ``filters`` (shard, bytes), cuckoo filters of the keys that
 are common enough to drop.  Lines probe their shard's filter first; only those
-that it lets through meet the exact counts.  ``insert`` and ``delete`` touch
-only the keys of the documents that come or go, and since cuckoo filters can
-forget, deletions undo insertions exactly.
+that it lets through meet the exact counts.  ``insert`` adds counts, ``delete``
+recounts the keys that the documents held, and both change the filters only by
+the keys that became common or ceased to be; since cuckoo filters can forget,
+deletions undo insertions exactly.
 
 Skew: counts are pre-aggregated before the shuffle; rows probing a shard are
 salted and the small filter is repeated for each salt.
@@ -94,16 +95,22 @@ class LineIndex:
         return replace(self, postings=new, counts=counts, filters=self._refiltered(changed))
 
     def insert(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LineIndex:
-        new = postings(docs, self.min_chars, key, text).join(self.postings, ["key", "doc_id"], "left_anti")
-        return self._moved(self.postings.unionByName(stored(new, "line-new")))
+        """Documents that come: their new postings are added to the counts."""
+        new = stored(postings(docs, self.min_chars, key, text).join(self.postings, ["key", "doc_id"], "left_anti"), "line-new")
+        both = self.counts.unionByName(self._counted(new))
+        counts = both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+        return self._advanced(self.postings.unionByName(new), counts)
 
     def delete(self, ids: DataFrame) -> LineIndex:
+        """Documents that go: only the keys that they hold are counted again."""
         gone = ids.select(F.col(ids.columns[0]).alias("doc_id")).distinct()
-        return self._moved(self.postings.join(gone, "doc_id", "left_anti").select("key", "doc_id"))
+        touched = stored(self.postings.join(gone, "doc_id", "left_semi").select("key").distinct(), "line-touched")
+        after = stored(self.postings.join(gone, "doc_id", "left_anti").select("key", "doc_id"), "line-postings")
+        again = self._counted(after.join(touched, "key", "left_semi"))
+        return self._advanced(after, self.counts.join(touched, "key", "left_anti").unionByName(again))
 
-    def _moved(self, after: DataFrame) -> LineIndex:
-        after = stored(after, "line-postings")
-        counts = stored(self._counted(after), "line-counts")
+    def _advanced(self, after: DataFrame, counts: DataFrame) -> LineIndex:
+        counts = stored(counts, "line-counts")
         common = F.col("n_docs") >= self.min_docs
         before = self.counts.where(common).select("key", F.lit(1).alias("had"))
         now = counts.where(common).select("key", F.lit(1).alias("has"))
