@@ -23,8 +23,9 @@ them, so the first level is an equi-join; node pairs below go down only if
     min(|OR_a AND OR_b| + min(collisions), largest sizes)
 
 can still reach the required overlap and they do not lie in one component
-already.  What is left at the leaves is compared by the same bound, and the
-pairs that pass are verified exactly on their whole shingle sets.
+already.  What is left at the leaves is compared by the same bound, each pair at
+the first routing node that its documents share, and the pairs that pass are
+verified exactly on their whole shingle sets.
 
 Before the traversal every routing node links its members to one member drawn
 at random (verified exactly as well), so that a large group of near copies
@@ -51,9 +52,10 @@ from talkframe.llm.tables import release, stored
 MISS = 2e-11
 SPARE = 8
 HOT = 256
-BITS = 1024
+BITS = 2048
 WORDS64 = BITS // 64
 LEAF = 512
+_NO_KEY = np.iinfo(np.int64).max
 _U = np.uint64
 
 
@@ -156,7 +158,8 @@ class Join:
     def routed(self, classes: DataFrame) -> DataFrame:
         """(key, node, n) of the routing nodes with two members or more."""
         rows = classes.select(F.explode("keys").alias("key"), "node", "n", F.size("keys").alias("all"))
-        many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        # aggregates are written before they are joined back: Spark may then split a hot key
+        many = stored(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "ngram-counts")
         rows = stored(rows.join(many, "key"), "ngram-keys")
         hot = rows.where(F.col("c") > HOT)
         need = sketch_size(self.percent) - 1
@@ -166,7 +169,7 @@ class Join:
         return stored(rows.where(F.col("c") <= HOT).select(cols).unionByName(hot.join(bound, "node").select(cols)), "ngram-routes")
 
     def star_pairs(self, routes: DataFrame, classes: DataFrame) -> DataFrame:
-        hubs = routes.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("r"), "node", "n")).alias("h"))
+        hubs = stored(routes.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("r"), "node", "n")).alias("h")), "ngram-hubs")
         pairs = (routes.join(hubs, "key").where("node <> h.node")
                  .where(f"100 * least(n, h.n) >= {self.percent} * greatest(n, h.n)")
                  .select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")).distinct())
@@ -179,11 +182,14 @@ class Join:
         named = labels.select("node", "root")
         routes = stored(routes.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-rooted")
         open_ = routes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
+        open_ = stored(open_, "ngram-open")
         banded = routes.join(open_, "key").withColumn("band", F.floor(-F.log("n") / F.log(F.lit(self.percent / 100.0 - 1e-9))))
-        parts = banded.groupBy("key", "band").agg(F.ceil(F.count("*") / LEAF).alias("parts"))
-        members = (banded.join(parts, ["key", "band"]).join(classes.select("node", "sig"), "node")
+        banded = stored(banded, "ngram-banded")
+        parts = stored(banded.groupBy("key", "band").agg(F.ceil(F.count("*") / LEAF).alias("parts")), "ngram-parts")
+        keys = routes.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a sketch's keys at most
+        members = (banded.join(parts, ["key", "band"]).join(classes.select("node", "sig").join(keys, "node"), "node")
                    .withColumn("leaf", F.struct("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
-                   .select("key", "leaf", "node", "n", "root", "sig"))
+                   .select("key", "leaf", "node", "n", "root", "sig", "keys"))
         members = stored(members, "ngram-members")
         nodes = members.groupBy("key", "leaf").agg(
             F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("root").alias("r0"), F.max("root").alias("r1"),
@@ -200,7 +206,7 @@ class Join:
                  .select("key", F.col("a_leaf"), F.col("b_leaf"), F.xxhash64("key", "a_leaf", "b_leaf").alias("pair")))
         left = members.join(pairs.select("key", F.col("a_leaf").alias("leaf"), "b_leaf", "pair"), ["key", "leaf"])
         right = members.join(pairs.where("a_leaf <> b_leaf").select("key", F.col("b_leaf").alias("leaf"), "a_leaf", "pair"), ["key", "leaf"])
-        cols = ["key", "pair", "node", "n", "root", "sig"]
+        cols = ["key", "pair", "node", "n", "root", "sig", "keys"]
         dealt = (left.select(F.lit(0).alias("side"), *cols).unionByName(right.select(F.lit(1).alias("side"), *cols))
                  .repartition("key", "pair").sortWithinPartitions("key", "pair", "side", "node"))
         return dealt.mapInArrow(_compared(self.percent), "a binary, b binary").distinct()
@@ -246,7 +252,16 @@ class Join:
 
 def _compared(percent):
     """Candidate pairs between the two sides of each node pair."""
-    def one(side, node, n, root, sig):
+    def first_shared(keys, i, j, key):
+        """Whether ``key`` is the smallest that rows i and j have in common."""
+        out = np.zeros(len(i), bool)
+        for lo in range(0, len(i), 4096):
+            a, b = keys[i[lo:lo + 4096]], keys[j[lo:lo + 4096]]
+            common = (a[:, :, None] == b[:, None, :]).any(2) & (a != _NO_KEY)
+            out[lo:lo + 4096] = np.where(common, a, _NO_KEY).min(1) == key
+        return out
+
+    def one(key, side, node, n, root, sig, keys):
         cut = int(np.searchsorted(side, 1))
         a, b = slice(0, cut), slice(cut, len(side)) if cut < len(side) else slice(0, cut)
         pop = np.bitwise_count(sig).sum(1).astype(np.int64)
@@ -262,7 +277,8 @@ def _compared(percent):
             if same:
                 ok &= i[:, None] < bi[None, :]
             x, y = np.nonzero(ok)
-            out += zip(node[i[x]], node[bi[y]])
+            mine = first_shared(keys, i[x], bi[y], key)
+            out += zip(node[i[x[mine]]], node[bi[y[mine]]])
         return out
 
     def rows(batches):
@@ -271,9 +287,13 @@ def _compared(percent):
         def flush():
             if not held:
                 return []
-            side, node, n, root, sig = (np.concatenate(x) for x in zip(*held))
+            side, node, n, root, sig = (np.concatenate(x) for x in list(zip(*held))[:5])
+            lists = [k for h in held for k in h[5]]
+            keys = np.full((len(lists), max(map(len, lists))), _NO_KEY)
+            for i, k in enumerate(lists):
+                keys[i, :len(k)] = k
             _, codes = np.unique(root, return_inverse=True)
-            return one(side, node, n, codes, sig)
+            return one(at[0], side, node, n, codes, sig, keys)
 
         def batch(found):
             a = [min(x) for x in found]
@@ -288,13 +308,15 @@ def _compared(percent):
             n = b.column(4).to_numpy()
             root = np.array(b.column(5).to_pylist(), object)
             sig = b.column(6).flatten().to_numpy().view(np.uint64).reshape(-1, WORDS64)
+            own, ends = b.column(7).flatten().to_numpy(), np.cumsum(b.column(7).value_lengths().to_numpy())
+            keys = np.split(own, ends[:-1])
             cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(pair) != 0)) + 1
             out = []
             for lo, hi in zip([0, *cut], [*cut, len(key)]):
                 if at != (key[lo], pair[lo]):
                     out += flush()
                     held, at = [], (key[lo], pair[lo])
-                held.append((side[lo:hi], node[lo:hi], n[lo:hi], root[lo:hi], sig[lo:hi]))
+                held.append((side[lo:hi], node[lo:hi], n[lo:hi], root[lo:hi], sig[lo:hi], keys[lo:hi]))
             if out:
                 yield batch(out)
         out = flush()
