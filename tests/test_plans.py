@@ -45,8 +45,15 @@ def test_filters_reach_the_parquet_scan(spark, scratch):
     assert "EqualTo(role,assistant)" in p2
 
 
-def test_small_lexicon_is_broadcast_after_size_check(spark):
-    from talkframe.operators.emotion import lexicon_table, turn_emotions
+def test_lexicon_is_broadcast_only_by_its_measured_size(spark, scratch):
+    from talkframe.operators.emotion import turn_emotions
     t = turns_df(spark, [("c", 1, 0, "assistant", "sad and happy"), ("c", 1, 1, "user", "ok")])
-    p = _plan(turn_emotions(t, lexicon_table(spark, [("sad", "sadness"), ("happy", "joy")])))
-    assert "BroadcastHashJoin" in p
+    spark.createDataFrame([("sad", "sadness"), ("happy", "joy")], "word string, emotion string").write.parquet(f"{scratch}/lex")
+    lexicon = spark.read.parquet(f"{scratch}/lex")
+    assert "BroadcastHashJoin" in _plan(turn_emotions(t, lexicon))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", 1)
+    try:
+        p = _plan(turn_emotions(t, lexicon))
+        assert "BroadcastHashJoin" not in p and "SortMergeJoin" in p
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
