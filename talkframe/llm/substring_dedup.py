@@ -14,9 +14,10 @@ Equal windows have equal anchors at equal offsets, so no repeat is missed, and
 unique text (nearly all edges) leaves at the first join as one narrow row for
 about eight windows.
 
-Skew: counts and first coordinates are pre-aggregated before each shuffle; the
-joins back are plain joins, which Spark may split.  Documents are never
-gathered by content.
+Skew: counts and first coordinates are pre-aggregated before each shuffle and
+written; the joins back then read two plain shuffles, which Spark may split.  A
+window that a text repeats (one word over and over) leaves the text once.
+Documents are never gathered by content.
 
 Cases: a null or empty text has no words; a text shorter than the window loses
 nothing; a null id sorts before all others; rows that share an id are one
@@ -80,7 +81,8 @@ def _path_rows(window):
 
 
 def _window_rows(window):
-    """Hash and position of the windows at the given spans of each text."""
+    """Hash and position of the windows at the given spans of each text, and
+    whether the same window starts earlier in that text."""
     def rows(batches):
         for b in batches:
             at, spans = b.column(2).values, b.column(2).offsets.to_numpy()
@@ -100,9 +102,13 @@ def _window_rows(window):
                 # rows that share an id carry each other's spans: those past a text's end are void
                 ok = base[row] + pos + window <= np.append(base[1:], len(doc))[row]
                 row, pos = row[ok], pos[ok]
+                key = g[base[row] + pos]
+                order = np.lexsort((pos, key, row))
+                again = np.zeros(len(order), bool)
+                again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(g[base[row] + pos].view(np.int64)), b.column(0).take(pa.array(row + i)),
-                     pa.array(pos.astype(np.int32))], names=["window", "doc", "start"])
+                    [pa.array(key.view(np.int64)), b.column(0).take(pa.array(row + i)),
+                     pa.array(pos.astype(np.int32)), pa.array(again)], names=["window", "doc", "start", "again"])
     return rows
 
 
@@ -116,13 +122,13 @@ _LATER = "struct(doc, start) > first"
 def _repeated_paths(docs: DataFrame, window: int) -> DataFrame:
     """Paths whose anchor occurs twice or more."""
     paths = docs.mapInArrow(_path_rows(window), "anchor bigint, path bigint, doc bigint, start int, n int")
-    twice = paths.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    twice = stored(paths.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "substring-anchors")
     return stored(paths.join(twice, "anchor"), "substring-paths")
 
 
 def _branching(paths: DataFrame) -> DataFrame:
     """Repeated paths, each with whether its anchor branches and the first copy's place."""
-    kinds = (paths.groupBy("anchor").agg((F.min("path") != F.max("path")).alias("branches"), _first()))
+    kinds = stored(paths.groupBy("anchor").agg((F.min("path") != F.max("path")).alias("branches"), _first()), "substring-kinds")
     return stored(paths.join(kinds, "anchor").where("branches or struct(doc, start) > first")
                   .select("doc", "start", "n", "branches"), "substring-spans")
 
@@ -137,10 +143,12 @@ def repeated_spans(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     spans = _branching(_repeated_paths(texts, window))
     open_ = _of_document(spans.where("branches")).withColumnRenamed("doc", "_doc")
     looked = (texts.join(open_, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "text", "spans")
-              .mapInArrow(_window_rows(window), "window bigint, doc bigint, start int"))
+              .mapInArrow(_window_rows(window), "window bigint, doc bigint, start int, again boolean"))
     looked = stored(looked, "substring-windows")
-    firsts = looked.groupBy("window").agg(_first(), F.count("*").alias("c")).where("c > 1").drop("c")
-    later = looked.join(firsts, "window").where(_LATER).select("doc", "start", F.lit(1).alias("n"))
+    own = looked.where("not again")
+    firsts = stored(own.groupBy("window").agg(_first(), F.count("*").alias("c")).where("c > 1").drop("c"), "substring-firsts")
+    later = own.join(firsts, "window").where(_LATER).unionByName(looked.where("again"), allowMissingColumns=True)
+    later = later.select("doc", "start", F.lit(1).alias("n"))
     return stored(spans.where("not branches").select("doc", "start", "n").unionByName(later), "substring-repeats")
 
 
