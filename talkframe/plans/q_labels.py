@@ -306,13 +306,25 @@ def j9_label_turn_alignment(spark, sf_dir):
                     (F.substring(py_strip("content"), 1, 30) != F.substring(py_strip("text"), 1, 30)).alias("misaligned"))
 
 
-@query("a24_mismatch_debug")
+@query("a24_mismatch_debug", _sql(f"""
+, n AS (SELECT corpus, session_id, count(*) FILTER (WHERE role = 'assistant' AND length({s_strip('text')}) > 0) AS n_patient,
+               CAST(to_json(list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn)) AS VARCHAR) AS input_messages
+        FROM turns GROUP BY corpus, session_id),
+got AS (SELECT corpus, session_id, CAST(to_json(list(struct_pack(label_idx := label_idx, label := label) ORDER BY label_idx)) AS VARCHAR)
+          AS output_labels FROM convl GROUP BY corpus, session_id)
+SELECT n.corpus, n.session_id, CAST(least(16, n.n_patient) AS BIGINT) AS expected,
+       CAST(p.total_patient_turns AS BIGINT) AS received, n.input_messages, g.output_labels
+FROM n JOIN per_conv p ON n.corpus = p.corpus AND n.session_id = p.session_id
+LEFT JOIN got g ON n.corpus = g.corpus AND n.session_id = g.session_id
+WHERE least(16, n.n_patient) <> p.total_patient_turns"""))
 def a24_mismatch_debug(spark, sf_dir):
-    """Quarantine rows (input messages, labels received) for sessions whose
-    label count differs from the expected one; nested output, rows-only check."""
+    """Quarantine rows (input messages and labels received, as JSON text)
+    for sessions whose label count differs from the expected one."""
     t = turns_only(spark, sf_dir)
     lab = conv_labels(spark, sf_dir)
-    return L.mismatch_debug(t, lab, L.label_count_check(t, lab))
+    d = L.mismatch_debug(t, lab, L.label_count_check(t, lab))
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"}).alias(c)
+    return d.select("corpus", "session_id", "expected", "received", text("input_messages"), text("output_labels"))
 
 
 @query("a24_mismatch_debug_flat", _sql(f"""
