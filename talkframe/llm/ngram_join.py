@@ -240,10 +240,16 @@ class Join:
         routes = self.routed(classes)
         links = self.verified(self.star_pairs(routes, classes), classes)
         labels = components(links)
+        labels = stored(labels, "ngram-labels")
         more = self.verified(self.tree_pairs(routes, classes, labels), classes)
-        labels = stored(components(links.unionByName(more)), "ngram-components")
+        # what the traversal adds links whole components: only their roots are joined again
+        for side in ("a", "b"):
+            more = (more.join(labels.withColumnRenamed("node", side), side, "left")
+                    .withColumn(side, F.coalesce("root", side)).drop("root"))
+        merged = stored(components(more), "ngram-components").toDF("root", "top")
         release(self.spark)
-        rooted = classes.select("node", "doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        rooted = (classes.select("node", "doc").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                  .join(merged, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"))
         least = rooted.groupBy("root").agg(F.min("doc").alias("component"))
         named = rooted.join(least, "root").select("node", "component")
         return (sketches.select("doc", "n", "node").join(named, "node", "left")
