@@ -24,7 +24,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         joined = edges.join(low, "u")
         out = (joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                .unionByName(low.select("u", F.col("m").alias("v"))))
-    return out.where("u <> v").distinct()
+    out = out.where("u <> v")
+    return out if large else out.distinct()  # the small star that follows takes repeats out
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -43,6 +43,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from talkframe.llm import words as W
@@ -180,14 +181,15 @@ class Join:
     def tree_pairs(self, routes: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different components that the dual traversal cannot prune."""
         named = labels.select("node", "root")
-        routes = stored(routes.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "ngram-rooted")
-        open_ = routes.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).where("open").select("key")
-        open_ = stored(open_, "ngram-open")
-        banded = routes.join(open_, "key").withColumn("band", F.floor(-F.log("n") / F.log(F.lit(self.percent / 100.0 - 1e-9))))
-        banded = stored(banded, "ngram-banded")
-        parts = stored(banded.groupBy("key", "band").agg(F.ceil(F.count("*") / LEAF).alias("parts")), "ngram-parts")
+        band = F.floor(-F.log("n") / F.log(F.lit(self.percent / 100.0 - 1e-9)))
+        routes = stored(routes.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("band", band),
+                        "ngram-rooted")
+        sizes = routes.groupBy("key", "band").agg(F.ceil(F.count("*") / LEAF).alias("parts"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+        bands = Window.partitionBy("key")  # one row for each band of a node
+        parts = stored(sizes.withColumn("open", F.min("r0").over(bands) != F.max("r1").over(bands)).where("open")
+                       .select("key", "band", "parts"), "ngram-parts")
         keys = routes.groupBy("node").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # a sketch's keys at most
-        members = (banded.join(parts, ["key", "band"]).join(classes.select("node", "sig").join(keys, "node"), "node")
+        members = (routes.join(parts, ["key", "band"]).join(classes.select("node", "sig").join(keys, "node"), "node")
                    .withColumn("leaf", F.struct("band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
                    .select("key", "leaf", "node", "n", "root", "sig", "keys"))
         members = stored(members, "ngram-members")
