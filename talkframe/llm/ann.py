@@ -11,7 +11,13 @@ reranks its members by exact cosine in double precision and keeps the best
 Fitting: the projections per table follow from the number of vectors, and the
 number of probes from ``sample`` queries (the first by a hash of the id) whose
 exact neighbours are found in blocks over all vectors: it is the smallest that
-visits the buckets of ``recall`` of those neighbours.
+visits the buckets of ``recall`` of those neighbours.  Where that takes more than
+``most`` probes, or no number of them does it (a neighbour two cells away is in
+no perturbed bucket), the tables get one projection less, so larger buckets, and
+are fitted again.  Without projections all vectors of a length are one bucket:
+the queries are compared with everything, in blocks of ``scan`` vectors, and the
+result is exact.  So no fit is kept that finds less than ``recall`` of the
+sample's neighbours.
 
 Skew: equal vectors are collapsed to their k + 1 smallest ids first (no other
 copy can be among the k nearest), and a bucket of more than ``block`` vectors
@@ -35,8 +41,6 @@ from pyspark.sql import Window
 
 from talkframe.llm.tables import stored
 
-MAX_PROBES = 4096
-
 
 class Hasher:
     """The projections of all tables for one vector length."""
@@ -69,6 +73,8 @@ class Hasher:
 def perturbations(inside: np.ndarray):
     """Sets of moves [(projection, -1 or 1)] by growing sum of squared wall distances."""
     yield []
+    if not len(inside):
+        return
     walls = sorted([(x * x, j, -1) for j, x in enumerate(inside)] + [((1 - x) ** 2, j, 1) for j, x in enumerate(inside)])
     heap = [(walls[0][0], (0,))]
     while heap:
@@ -141,7 +147,7 @@ def _by_length(b: pa.RecordBatch, at: int):
 
 class Index:
     def __init__(self, vectors: DataFrame, k: int = 5, tables: int = 3, width: float = 2.0, occupancy: int = 512,
-                 recall: float = 0.97, sample: int = 64, block: int = 4096, seed: int = 5,
+                 recall: float = 0.97, sample: int = 64, block: int = 4096, seed: int = 5, most: int = 4096, scan: int = 32768,
                  key: str = "vec_id", vector: str = "embedding"):
         self.k, self.tables, self.width, self.seed, self.block = k, tables, width, seed, block
         self.all = stored(valid(vectors, key, vector), "ann-vectors")
@@ -150,15 +156,27 @@ class Index:
         # a projection of a unit vector fills about 2.05 - log2(width) bits
         bits = max(0.5, 2.05 - float(np.log2(width)))
         self.projections = int(np.clip(round(np.log2(max(2.0, n / occupancy)) / bits), 2, 40))
-        self.probes = self._fitted(sample, recall)
+        self._fit(sample, recall, most, scan)
 
     @property
     def spec(self) -> tuple:
         """What a task needs to make a length's hasher."""
         return self.tables, self.projections, self.width, self.seed
 
-    def _fitted(self, sample: int, recall: float) -> int:
-        """Probes per table that find ``recall`` of the exact neighbours of some queries."""
+    def _fit(self, sample: int, recall: float, most: int, scan: int) -> None:
+        """Projections and probes per table that find ``recall`` of the exact neighbours of some queries."""
+        by_length, truth = self._truth(sample)
+        while truth and self.projections:
+            ranks = np.sort(np.concatenate([self._ranks(*x, most) for x in self._hashed(by_length, truth)]))
+            probes = int(ranks[max(0, int(np.ceil(recall * len(ranks))) - 1)])
+            if probes <= most:
+                self.probes = probes
+                return
+            self.projections -= 1
+        self.projections, self.tables, self.probes, self.block = 0, 1, 1, scan
+
+    def _truth(self, sample: int) -> tuple[dict, dict]:
+        """Some queries, (vectors, ids) by length, and the vectors of the exact neighbours by query id."""
         queries = self.rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
         found: dict[int, list] = {}
         for r in queries:
@@ -181,23 +199,21 @@ class Index:
         truth: dict[int, list] = {}
         for r in near.withColumn("r", rank).where(F.col("r") <= k).collect():
             truth.setdefault(r.query, []).append(r.v)
-        needed = []
+        return by_length, truth
+
+    def _hashed(self, by_length: dict, truth: dict):
+        """(hasher, own buckets, places within the cells, buckets of the exact neighbours) of each query."""
         for n, (q, q_id) in by_length.items():
             h = Hasher(n, *self.spec)
             cell, inside = h.cells(unit(q))
             own = h.buckets(cell)
             for i, query in enumerate(q_id):
                 if query in truth:
-                    goal = h.buckets(h.cells(unit(np.array(truth[query])))[0])
-                    needed.append(self._ranks(h, own[i], inside[i], goal))
-        if not needed:
-            return 1
-        ranks = np.sort(np.concatenate(needed))
-        return int(ranks[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)])
-
-    def _ranks(self, h, own, inside, goal) -> np.ndarray:
-        """For each neighbour the fewest probes per table after which some table has visited it."""
-        best = np.full(len(goal), MAX_PROBES)
+                    yield h, own[i], inside[i], h.buckets(h.cells(unit(np.array(truth[query])))[0])
+
+    def _ranks(self, h, own, inside, goal, most) -> np.ndarray:
+        """For each neighbour the fewest probes per table after which some table has visited it (most + 1: not by ``most``)."""
+        best = np.full(len(goal), most + 1)
         for t in range(self.tables):
             for rank, moves in enumerate(perturbations(inside[t]), 1):
                 if rank >= best.max():

@@ -49,6 +49,30 @@ def test_recall_against_brute_force(spark):
         assert r.score == pytest.approx(a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)), abs=1e-12)
 
 
+def _noise(n, length, seed):
+    rng = np.random.default_rng(seed)
+    return [(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(n, length)))]
+
+
+def test_neighbours_out_of_reach_of_all_probes_are_found(spark):
+    """Cells so narrow that most neighbours lie two or more of them away: no number of probes visits those."""
+    rows = _noise(1500, 32, 6)
+    index = ann.Index(_vectors(spark, rows), width=0.1, scan=200)
+    assert (index.projections, index.probes) == (0, 1)
+    got = index.search(index.all.where("id % 50 = 0"))
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == sorted(_exact(rows))
+
+
+def test_more_probes_than_can_be_visited_take_larger_buckets(spark):
+    """Small buckets of noise need far more than 4,096 probes; the recall has to hold all the same."""
+    rows = _noise(3000, 64, 7)
+    index = ann.Index(_vectors(spark, rows), occupancy=1)
+    assert 0 < index.projections < 11 and index.probes <= 4096
+    got = index.search(index.all.where("id % 50 = 0"))
+    want = {(q, i) for q, _, i in _exact(rows)}
+    assert len({(r.query_id, r.vec_id) for r in got.collect()} & want) >= 0.95 * len(want)
+
+
 def test_ties_copies_and_vectors_that_take_no_part(spark):
     rng = np.random.default_rng(4)
     hot = rng.normal(size=4).tolist()
