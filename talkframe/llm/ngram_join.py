@@ -5,14 +5,15 @@ with A-Z lower-cased).  Equal sets form a class, and classes are joined when
 ``100 * |intersection| >= percent * |union|``.
 
 The tree: below the root, a class sits under one node for each pair of
-neighbours among its ``sketch_size`` smallest shingles.  Two sets at the
-threshold miss all common nodes with a probability below 2e-11 (each shingle of
-their union is shared with a probability of the threshold, and every pair of
-neighbours must be broken); sets no larger than that never miss.  Pairs of
-common shingles would route unrelated documents to one node: a sketch has
-``SPARE`` more shingles than it needs, and a document leaves the nodes of more
-than ``HOT`` members if as many other nodes as a sketch needs are left to it
-(what is near it meets it there; documents with fewer stay, so none is lost).
+neighbours among its ``sketch_size`` smallest shingles.  Pairs of common
+shingles would route unrelated documents to one node: a document leaves the
+nodes of more than ``HOT`` members if these are at most ``SPARE`` of its nodes
+(fewer for a set smaller than a sketch).  So two sets are missed only if all the
+nodes they share are hot and at most ``SPARE``.  For sets at the threshold the
+probability of sharing no more than that, whichever nodes are hot, is below 2e-11
+(each shingle of their union is shared with a probability of the threshold, and
+a node is shared if both of its shingles are); sets no larger than a sketch never
+miss.
 Under it, nodes split by size band and, if they are still large, by hash.  Every node holds the
 OR of its members' token bitmaps, their size range and the largest number of
 bitmap collisions.
@@ -51,7 +52,7 @@ from talkframe.llm.components import components
 from talkframe.llm.tables import release, stored
 
 MISS = 2e-11
-SPARE = 8
+SPARE = 3
 HOT = 256
 BITS = 2048
 WORDS64 = BITS // 64
@@ -61,17 +62,21 @@ _U = np.uint64
 
 
 def sketch_size(percent: int) -> int:
-    """Shingles of a sketch so that a pair at the threshold meets but for ``MISS``.
+    """Shingles of a sketch so that a pair at the threshold shares more than ``SPARE`` nodes but for ``MISS``.
 
-    It takes 70 % or more: below, small sets may meet nowhere.  With each shingle shared with probability p, the probability of no two
-    shared neighbours falls by the larger root of x * x = (1 - p) * (x + p)
-    for each shingle.
+    It takes 70 % or more: below, small sets may meet nowhere.
     """
     if not 70 <= percent <= 100:
         raise ValueError("percent must lie between 70 and 100")
     p = percent / 100
-    root = ((1 - p) + ((1 - p) ** 2 + 4 * (1 - p) * p) ** 0.5) / 2
-    return max(2, int(np.ceil(np.log(MISS) / np.log(root)))) if 0 < root < 1 else 2
+    # probabilities by number of shared nodes (0 to SPARE), with the last shingle not shared and shared
+    off, on = np.zeros(SPARE + 1), np.zeros(SPARE + 1)
+    off[0], on[0] = 1 - p, p
+    size = 1
+    while size < SPARE + 2 or off.sum() + on.sum() > MISS:
+        off, on = (1 - p) * (off + on), p * (off + np.append(0, on[:-1]))
+        size += 1
+    return size
 
 
 def _sets(data, offs, n):
@@ -148,7 +153,7 @@ class Join:
 
     def sketched(self) -> DataFrame:
         kind = "doc bigint, n bigint, node binary, keys array<bigint>, sig array<bigint>"
-        return stored(self.docs.mapInArrow(_sketches(self.n, sketch_size(self.percent) + SPARE), kind), "ngram-sketches")
+        return stored(self.docs.mapInArrow(_sketches(self.n, sketch_size(self.percent)), kind), "ngram-sketches")
 
     def classes(self, sketches: DataFrame) -> DataFrame:
         """One row for each distinct set; ``doc``: the smallest id that has it."""
@@ -163,7 +168,7 @@ class Join:
         many = stored(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "ngram-counts")
         rows = stored(rows.join(many, "key"), "ngram-keys")
         hot = rows.where(F.col("c") > HOT)
-        need = sketch_size(self.percent) - 1
+        need = sketch_size(self.percent) - 1 - SPARE
         bound = (hot.groupBy("node").agg((F.first("all") - F.count("*")).alias("light")).where(F.col("light") < need)
                  .select("node"))
         cols = ["key", "node", "n"]

@@ -115,6 +115,30 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, seed, n, percent, lea
     assert got == sorted(brute.near_groups(rows, n, percent))
 
 
+@pytest.mark.parametrize("n, percent", [(3, 90), (5, 80)])
+def test_documents_leave_hot_nodes_only_within_the_stated_bound(spark, n, percent):
+    """Documents share h hot nodes and nothing else; what they leave must be too few for a pair at the threshold."""
+    def at_most(h, nodes):  # probability of at most h shared nodes
+        p, state = percent / 100, {(0, False): 1.0}
+        for _ in range(nodes + 1):
+            more = {}
+            for (c, last), w in state.items():
+                for now, x in ((False, 1 - p), (True, p)):
+                    to = (c + (last and now), now)
+                    more[to] = more.get(to, 0) + w * x
+            state = more
+        return sum(w for (c, _), w in state.items() if c <= h)
+
+    text = " ".join(f"w{i}" for i in range(400))
+    join = ngram_join.Join(_docs(spark, [(1, text)]), n, percent)
+    nodes = len(join.sketched().first()["keys"])
+    rows = [(b"%d-%d" % (h, i), 400, [h * 100 + j if j < h else 10_000 + (h * 300 + i) * 100 + j for j in range(nodes)])
+            for h in range(1, 11) for i in range(ngram_join.HOT + 4)]
+    classes = spark.createDataFrame(rows, "node binary, n bigint, keys array<bigint>")
+    stay = {r.key // 100 for r in join.routed(classes).collect()}
+    assert all(at_most(h, nodes) <= 2e-11 for h in set(range(1, 11)) - stay) and 1 not in stay
+
+
 def test_tree_alone_finds_every_link(spark, monkeypatch):
     """With no star links the dual traversal must find all pairs itself."""
     monkeypatch.setattr(ngram_join.Join, "star_pairs", lambda self, routes, classes: classes.select(
