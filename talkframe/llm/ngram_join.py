@@ -1,10 +1,10 @@
-"""N-gram Jaccard join with signature trees.
+"""N-gram Jaccard join by sketch routing and signature leaves.
 
 A document's set is its distinct ``n``-word shingles (64-bit hashes of words
 with A-Z lower-cased).  Equal sets form a class, and classes are joined when
 ``100 * |intersection| >= percent * |union|``.
 
-The tree: below the root, a class sits under one node for each pair of
+Routing: a class sits under one node for each pair of
 neighbours among its ``sketch_size`` smallest shingles.  Pairs of common
 shingles would route unrelated documents to one node: a document leaves the
 nodes of more than ``HOT`` members if these are at most ``SPARE`` of its nodes
@@ -14,17 +14,20 @@ probability of sharing no more than that, whichever nodes are hot, is below 2e-1
 (each shingle of their union is shared with a probability of the threshold, and
 a node is shared if both of its shingles are); sets no larger than a sketch never
 miss.
-Under it, nodes split by size band and, if they are still large, by hash.  Every node holds the
-OR of its members' token bitmaps, their size range and the largest number of
-bitmap collisions.
 
-Dual traversal: nodes of different root children cannot share what routes
-them, so the first level is an equi-join; node pairs below go down only if
+The tree has one level below a routing node: leaves by size band and, if a band is
+still large, by hash.  A leaf holds the OR of its members' token bitmaps, their
+size range and the largest number of bitmap collisions; routing nodes and bands
+hold only counts and their smallest and largest component root.
+
+Dual traversal: the leaves of a routing node are joined with each other (an
+equi-join on the node), and a pair of leaves goes on only if
 
     min(|OR_a AND OR_b| + min(collisions), largest sizes)
 
 can still reach the required overlap and they do not lie in one component
-already.  What is left at the leaves is compared by the same bound, each pair at
+already.  OR bitmaps of full leaves prune little, as their members are dealt by
+hash; what is left is compared member by member by the same bound, each pair at
 the first routing node that its documents share, and the pairs that pass are
 verified exactly on their whole shingle sets.
 
