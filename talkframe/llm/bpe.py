@@ -77,6 +77,7 @@ class Coder:
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache, self.old = {}, {}
         self.words, self.old_words = {}, {}
+        self.closing: dict[str, bool] = {}
 
     def encode(self, text: str) -> Piece:
         e = self.tokenizer.encode(text, add_special_tokens=False)
@@ -92,6 +93,16 @@ class Coder:
         for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
             yield self._entry(e.ids)
 
+    def _closes(self, letter: str) -> bool:
+        """Whether punctuation after ``letter`` starts a token of its own (asked of the library).
+
+        Some letters do not end as letters: a dotted capital I is lower-cased to an
+        i and a combining dot, and the dot goes with the punctuation that follows.
+        """
+        if letter not in self.closing:
+            self.closing[letter] = self.encode(f"{letter}.").ids == self.encode(letter).ids + self.encode(".").ids
+        return self.closing[letter]
+
     def _learn_words(self, words) -> None:
         """Words of letters only: many in one call, told apart by their word-end tokens."""
         if len(self.words) > _CACHE_ROWS:
@@ -131,7 +142,7 @@ class Coder:
                 continue
             text = c.decode()
             head = text.rstrip(_TAIL)
-            if head.isalpha():
+            if head.isalpha() and (head[-1] < "\x80" or self._closes(head[-1])):
                 split.append((c, head.lower() if head.isascii() else head, text[len(head):]))
             else:
                 whole.append((c, text))

@@ -17,11 +17,17 @@ Sections are the lines of a text (each with its line break), or any spans that
 Cases: a null or empty text is one empty section with no tokens; an empty
 section (possible in callers' spans only) gets none; strings of special tokens
 count as ordinary text; repeated rows count alike; a text of one unbroken run
-of bytes is encoded whole.
+of bytes is encoded whole; white space of any length is one piece of the
+vocabulary's pattern and, from ``RUN`` characters, is handed over as such, because
+the library's pattern engine overflows at about a million; an empty table has
+no rows.  Of the input only ``key`` is returned, so other columns cannot clash; the
+key may not be called like a column of the result.
 """
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +36,9 @@ from pyspark.sql import functions as F
 from talkframe.llm.words import buffers
 
 RULES = ("start", "end", "most", "split")
+RUN = 4096
+#: What ``\s`` is in the vocabulary's pattern: the White_Space property of Unicode.
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % RUN)
 _coders: dict[str, tuple] = {}
 
 
@@ -54,6 +63,22 @@ def coder(path: str):
     return _coders[path]
 
 
+def encode(encoding, text: str) -> list[int]:
+    """The library's tokens of a whole text, whatever the length of its white space.
+
+    A run of white space is one piece, without its last character when something
+    follows (``\\s+(?!\\S)``), and nothing before or after it reaches into it, so
+    the text may be cut at both ends of the piece.
+    """
+    out, at = [], 0
+    for run in _SPACES.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at:run.start()])
+        out += encoding._encode_single_piece(text[run.start():end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
+
+
 def lines(text: bytes) -> np.ndarray:
     """Byte offsets of the lines: first 0, last the length."""
     breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1
@@ -88,6 +113,8 @@ def counted(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
     """(key, section, section_bytes, n_tokens, doc_tokens), one row for each section of each row."""
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    if key in ("section", "section_bytes", "n_tokens", "doc_tokens"):
+        raise ValueError(f"a key called {key} would clash with the result; rename it")
     path = path or vocabulary()
 
     def run(col: pa.Array) -> pa.Array:
@@ -96,7 +123,7 @@ def counted(docs: DataFrame, path: str | None = None, key: str = "doc_id", text:
         each, numbers, bytes_, tokens, totals = [0], [], [], [], []
         for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
             raw = data[a:b].tobytes()
-            ends = np.cumsum(size[np.array(encoding.encode_ordinary(raw.decode()), np.int64)])
+            ends = np.cumsum(size[np.array(encode(encoding, raw.decode()), np.int64)])
             edges = sections(raw)
             n = len(edges) - 1
             numbers.append(np.arange(n))

@@ -72,7 +72,7 @@ def test_tree_concatenation_equals_the_library(leaf):
 
 
 TEXTS = [None, "", " \n\t", "The, the THE. it's don't!! a<|endoftext|>b <|startoftext|>", "É è ﬁ ß Σς", "x́ a b\x1cc d",
-         "word " * 3000, "aé" * 300 + " tail", "ab'" * 200, "plain\n\ntext  with   space", "1234567890 3.14"]
+         "BELEDİYESİ. İ! aİ, İ", "שּׁ. יִ! 각, ŉ. ǰ?", "word " * 3000, "aé" * 300 + " tail", "ab'" * 200, "plain\n\ntext  with   space", "1234567890 3.14"]
 
 
 def test_query_rows_equal_the_library(spark):
@@ -91,6 +91,20 @@ def test_query_rows_equal_the_library(spark):
     assert bpe.encoded(docs.where("false").select("doc_id", "text")).count() == 0
 
 
+def test_words_of_odd_letters_equal_the_library():
+    """Letters whose case or normal form has another length, before and after punctuation."""
+    import unicodedata
+    c, r = bpe.Coder(bpe.vocabulary()), random.Random(8)
+    every = [chr(x) for x in range(0xA0, 0x20000) if chr(x).isalpha()]
+    odd = [x for x in every if len(x.lower()) > 1 or not unicodedata.normalize("NFC", x).lower().isalpha()]
+    assert "İ" in odd and len(odd) > 10
+    texts = [x + m for x in odd for m in (".", "a!", "")]
+    texts += [" ".join("".join(r.choice(r.choice([odd, every, "aBc", ".,!", "İı"])) for _ in range(r.randint(1, 9))) for _ in range(9)) for _ in range(3000)]
+    chunks = list(bpe._chunked(pa.array(texts), c))
+    for text, own in zip(texts, chunks):
+        assert [int(i) for x in own for i in c.cache[x][1].split()] == c.encode(text).ids, text
+
+
 def test_query_on_documents_equals_the_library(spark):
     from talkframe.llm.queries import queries
     sf = "/root/testdata/sf0.001"
@@ -139,6 +153,34 @@ def test_token_counts_equal_byte_by_byte_attribution(spark, rule):
     assert token_counts.counted(docs.where("false")).count() == 0
 
 
+def test_long_white_space_equals_the_library_where_that_counts_at_all(monkeypatch):
+    encoding, _ = token_counts.coder(token_counts.vocabulary())
+    r = random.Random(3)
+    spaces = [" ", "\t", "\n", "\u3000", "\x85", "\r\n", "\x1c"]
+    texts = ["".join(r.choice([r.choice(spaces) * r.randint(1, 40), "word", " x", "12", "é", "'s", "!?"]) for _ in range(r.randint(0, 20)))
+             for _ in range(2000)]
+    monkeypatch.setattr(token_counts, "_SPACES", token_counts.re.compile(token_counts._SPACES.pattern.replace("4096", "3")))
+    for t in texts:
+        assert token_counts.encode(encoding, t) == encoding.encode_ordinary(t)
+    assert token_counts.encode(encoding, "a" + " " * 300_000 + "b") == encoding.encode_ordinary("a" + " " * 300_000 + "b")
+
+
+def test_token_counts_of_two_million_characters_without_a_break(spark):
+    n = 2_000_000
+    rows = [(0, " " * n), (1, "a" + "\t" * n + "b c"), (2, "w" * n), (3, "x\n" + " " * n + "\n" + " " * n)]
+    got = {(r.doc_id, r.section): r for r in token_counts.counted(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    encoding, _ = token_counts.coder(token_counts.vocabulary())
+
+    def piece(t):
+        return len(encoding._encode_single_piece(t))
+    assert got[0, 0].n_tokens == piece(" " * n)
+    assert got[1, 0].n_tokens == 1 + piece("\t" * (n - 1)) + len(encoding.encode_ordinary("\tb c"))
+    assert got[2, 0].n_tokens == len(encoding.encode_ordinary("w" * n))
+    assert sum(got[3, s].n_tokens for s in (0, 1, 2)) == got[3, 0].doc_tokens == 1 + piece("\n" + " " * n + "\n" + " " * n)
+    with pytest.raises(ValueError):
+        token_counts.counted(spark.createDataFrame(rows, "section bigint, text string"), key="section")
+
+
 def test_sections_add_up_to_the_document(spark):
     from talkframe.llm.queries import queries
     rows = queries()["op8_token_counts"](spark, "/root/testdata/sf0.001").groupBy("doc_id").agg(
