@@ -76,16 +76,23 @@ class Layer:
 
 
 class Cuckoo:
-    """Layers of doubling size: a layer that is full stays, a larger one follows."""
+    """Layers of doubling size: a layer that is full stays, a larger one follows.
+
+    ``insert`` tells the layer that took the keys, and ``delete`` wants it back:
+    layers differ in size, so an equal fingerprint in another layer may be
+    another key's.  Within one layer equal fingerprints of a bucket pair are
+    interchangeable, so a deletion there never loses a key that stays.
+    """
 
     def __init__(self, layers: list[Layer] | None = None):
         self.layers = layers or []
 
-    def insert(self, h: np.ndarray) -> None:
+    def insert(self, h: np.ndarray) -> int:
+        """The number of the layer that holds the keys now."""
         if not len(h):
-            return
+            return max(0, len(self.layers) - 1)
         if self.layers and self.layers[-1].insert(h):
-            return
+            return len(self.layers) - 1
         size = 1 << max(3, int(np.ceil(np.log2(max(1, len(h)) / (0.8 * _WAYS)))))
         if self.layers:
             size = max(size, 2 * len(self.layers[-1].slots))
@@ -94,6 +101,7 @@ class Cuckoo:
             size *= 2
             layer = Layer(size)
         self.layers.append(layer)
+        return len(self.layers) - 1
 
     def contains(self, h: np.ndarray) -> np.ndarray:
         found = np.zeros(len(h), bool)
@@ -101,11 +109,10 @@ class Cuckoo:
             found |= layer.contains(h)
         return found
 
-    def delete(self, h: np.ndarray) -> None:
-        for layer in self.layers:
-            if not len(h):
-                return
-            h = h[~layer.delete(h)]
+    def delete(self, h: np.ndarray, layer: int) -> None:
+        """Take keys out that ``insert`` put into ``layer``."""
+        if len(h) and not self.layers[layer].delete(h).all():
+            raise ValueError("a key to be deleted is not in its layer")
 
     def to_bytes(self) -> bytes:
         head = struct.pack(f"<{1 + len(self.layers)}q", len(self.layers), *[len(x.slots) for x in self.layers])

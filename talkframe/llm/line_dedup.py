@@ -6,19 +6,26 @@ least ``min_docs`` documents lose their lines everywhere but in the largest
 document id that holds them.
 
 The index has three tables: ``postings`` (key, doc_id), ``counts`` (key,
-n_docs, holder) and ``filters`` (shard, bytes), cuckoo filters of the keys that
-are common enough to drop.  Lines probe their shard's filter first; only those
-that it lets through meet the exact counts.  ``insert`` adds counts, ``delete``
-recounts the keys that the documents held, and both change the filters only by
-the keys that became common or ceased to be; since cuckoo filters can forget,
-deletions undo insertions exactly.
+n_docs, holder, layer) and ``filters`` (shard, bytes, newest), cuckoo filters of
+the keys that are common enough to drop.  Lines probe their shard's filter first;
+only those that it lets through meet the exact counts.  ``insert`` adds counts,
+``delete`` recounts the keys that the documents held, and both change the filters
+only by the keys that became common or ceased to be.  The counts keep the filter
+layer that holds a common key, and a deletion takes it out of that layer alone, so
+no key that stays is lost and deletions undo insertions exactly.  A shard takes
+about ``shard_keys`` keys: where an insertion brings more than four times that, the
+filters are built anew from the exact counts, dealt to more shards (or to fewer,
+where deletions leave less than a quarter).  Every table of a state is written, so
+the plan does not grow with the number of increments.
 
 Skew: counts are pre-aggregated before the shuffle; rows probing a shard are
 salted and the small filter is repeated for each salt.
 
 Cases: a null or empty text is one empty line; a null doc_id is no document
 (its lines neither count nor drop); rows that share a doc_id count as one
-document; other columns pass through whatever their names.
+document; other columns pass through whatever their names; an empty table gives
+an empty result and an index of empty tables, and deleting unknown ids or
+inserting known documents changes nothing.
 """
 
 from __future__ import annotations
@@ -71,14 +78,15 @@ class LineIndex:
     filters: DataFrame
     min_docs: int = 5
     min_chars: int = 40
-    shards: int = 256
+    shards: int = 0
     salts: int = 16
+    shard_keys: int = 1 << 15
 
     @classmethod
     def empty(cls, spark: SparkSession, **how) -> LineIndex:
         return cls(spark.createDataFrame([], "key binary, doc_id bigint"),
-                   spark.createDataFrame([], "key binary, n_docs bigint, holder bigint"),
-                   spark.createDataFrame([], "shard int, filter binary"), **how)
+                   spark.createDataFrame([], "key binary, n_docs bigint, holder bigint, layer int"),
+                   spark.createDataFrame([], "shard int, filter binary, newest int"), **how)
 
     def _shard(self):
         return F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int")
@@ -90,16 +98,15 @@ class LineIndex:
     def load(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LineIndex:
         """The first documents of an empty index: nothing to merge with."""
         new = stored(postings(docs, self.min_chars, key, text), "line-postings")
-        counts = stored(self._counted(new), "line-counts")
-        changed = counts.where(F.col("n_docs") >= self.min_docs).select("key", F.lit(1).alias("step"))
-        return replace(self, postings=new, counts=counts, filters=self._refiltered(changed))
+        counts = stored(self._counted(new).withColumn("layer", F.lit(None).cast("int")), "line-counts")
+        return replace(self, postings=new)._rebuilt(counts)
 
     def insert(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LineIndex:
         """Documents that come: their new postings are added to the counts."""
         new = stored(postings(docs, self.min_chars, key, text).join(self.postings, ["key", "doc_id"], "left_anti"), "line-new")
-        both = self.counts.unionByName(self._counted(new))
-        counts = both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
-        return self._advanced(self.postings.unionByName(new), counts)
+        both = self.counts.unionByName(self._counted(new), allowMissingColumns=True)
+        counts = both.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"), F.max("layer").alias("layer"))
+        return self._advanced(stored(self.postings.unionByName(new), "line-postings"), counts)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """Documents that go: only the keys that they hold are counted again."""
@@ -107,37 +114,59 @@ class LineIndex:
         touched = stored(self.postings.join(gone, "doc_id", "left_semi").select("key").distinct(), "line-touched")
         after = stored(self.postings.join(gone, "doc_id", "left_anti").select("key", "doc_id"), "line-postings")
         again = self._counted(after.join(touched, "key", "left_semi"))
+        held = self.counts.join(touched, "key", "left_semi").select("key", "layer")
+        again = held.join(again, "key", "left").select("key", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "holder", "layer")
         return self._advanced(after, self.counts.join(touched, "key", "left_anti").unionByName(again))
 
+    def _shards_for(self, counts: DataFrame) -> int:
+        common = counts.where(F.col("n_docs") >= self.min_docs).count()
+        return 1 << max(4, int(np.ceil(np.log2(max(1, common) / self.shard_keys))))
+
+    def _rebuilt(self, counts: DataFrame, shards: int | None = None) -> LineIndex:
+        """Filters of all common keys of ``counts``, whatever was there."""
+        fresh = replace(self, shards=shards or self.shards or self._shards_for(counts), filters=self.filters.where("false"))
+        common = F.col("n_docs") >= self.min_docs
+        filters = fresh._refiltered(counts.where(common).select("key", F.lit(1).alias("step"), F.lit(0).alias("layer")))
+        layer = F.when(common, 0).cast("int")  # the first insertion of a filter makes its first layer
+        return replace(fresh, counts=counts.withColumn("layer", layer), filters=filters)
+
     def _advanced(self, after: DataFrame, counts: DataFrame) -> LineIndex:
+        """The next state from its postings and its counts, these with the layers of before."""
         counts = stored(counts, "line-counts")
-        common = F.col("n_docs") >= self.min_docs
-        before = self.counts.where(common).select("key", F.lit(1).alias("had"))
-        now = counts.where(common).select("key", F.lit(1).alias("has"))
-        changed = (before.join(now, "key", "full_outer").where(F.col("had").isNull() | F.col("has").isNull())
-                   .select("key", F.when(F.col("had").isNull(), 1).otherwise(-1).alias("step")))
-        return replace(self, postings=after, counts=counts, filters=self._refiltered(changed))
+        alive, common, had = counts.where("n_docs > 0"), F.col("n_docs") >= self.min_docs, F.col("layer").isNotNull()
+        shards = self._shards_for(alive)
+        if shards > 4 * self.shards or 4 * shards < self.shards:
+            return replace(self, postings=after)._rebuilt(alive, shards)
+        changed = counts.where(common != had).select("key", F.when(had, -1).otherwise(1).alias("step"), F.coalesce("layer", F.lit(0)).alias("layer"))
+        filters = self._refiltered(changed)
+        newest = filters.select(F.col("shard").alias("_shard"), "newest")  # a row for each shard
+        placed = alive.join(newest, self._shard() == F.col("_shard"), "left")
+        layer = F.when(common, F.coalesce("layer", "newest"))
+        return replace(self, postings=after, counts=placed.select("key", "n_docs", "holder", layer.alias("layer")), filters=filters)
 
     def _refiltered(self, changed: DataFrame) -> DataFrame:
-        """Filters with keys added (step 1) and taken out (step -1), shard by shard."""
-        rows = (changed.select(self._shard().alias("shard"), F.col("step").cast("int"), F.col("key").alias("value"))
-                .unionByName(self.filters.select("shard", F.lit(-2).alias("step"), F.col("filter").alias("value"))))
+        """Filters with keys added (step 1) and taken out of their layers (step -1), shard by shard.
+
+        ``newest`` is the layer that took the shard's added keys.
+        """
+        rows = (changed.select(self._shard().alias("shard"), F.col("step").cast("int"), "layer", F.col("key").alias("value"))
+                .unionByName(self.filters.select("shard", F.lit(-2).alias("step"), F.lit(0).alias("layer"), F.col("filter").alias("value"))))
 
         def update(batches):
-            for shard, state in _by_group(batches, 1):
-                f = Cuckoo()
-                for step, values in state:
+            for (shard,), state in _by_group(batches, 1, 2):
+                f, newest = Cuckoo(), 0
+                for (step, layer), values in state:
                     if step == -2:
                         f = Cuckoo.from_bytes(values[0])
                     elif step == -1:
-                        f.delete(halves(values))
+                        f.delete(halves(values), layer)
                     else:
-                        f.insert(halves(values))
-                yield pa.RecordBatch.from_arrays([pa.array([shard[0]], pa.int32()), pa.array([f.to_bytes()], pa.binary())],
-                                                 names=["shard", "filter"])
+                        newest = f.insert(halves(values))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([f.to_bytes()], pa.binary()), pa.array([newest], pa.int32())],
+                                                 names=["shard", "filter", "newest"])
 
-        dealt = rows.repartition("shard").sortWithinPartitions("shard", "step").select("shard", "step", "value")
-        return stored(dealt.mapInArrow(update, "shard int, filter binary"), "line-filters")
+        dealt = rows.repartition("shard").sortWithinPartitions("shard", "step", "layer").select("shard", "step", "layer", "value")
+        return stored(dealt.mapInArrow(update, "shard int, filter binary, newest int"), "line-filters")
 
     def candidates(self, lines: DataFrame) -> DataFrame:
         """(key, doc_id) rows that their shard's filter lets through."""
@@ -206,12 +235,12 @@ class LineIndex:
                           F.col("_out.n").alias("_n_dropped"))
 
 
-def _by_group(batches, n_keys: int):
-    """Groups of a sorted stream of (keys..., step, value): key and [(step, values)]."""
+def _by_group(batches, n_keys: int, n_steps: int):
+    """Groups of a sorted stream of (keys..., steps..., value): key and [(steps, values)]."""
     at, state = None, []
     for b in batches:
-        keys = list(zip(*[b.column(i).to_pylist() for i in range(n_keys)]))
-        for k, step, value in zip(keys, b.column(n_keys).to_pylist(), b.column(n_keys + 1).to_pylist()):
+        cols = [b.column(i).to_pylist() for i in range(n_keys + n_steps + 1)]
+        for k, step, value in zip(zip(*cols[:n_keys]), zip(*cols[n_keys:-1]), cols[-1]):
             if k != at:
                 if at is not None:
                     yield at, state

@@ -18,17 +18,32 @@ def _docs(spark, rows):
 def test_cuckoo_filter_inserts_and_forgets():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 1 << 63, (20_000, 2)).astype(np.uint64)
-    f = cuckoo.Cuckoo()
-    for part in np.array_split(keys, 7):
-        f.insert(part)
+    f, parts = cuckoo.Cuckoo(), np.array_split(keys, 7)
+    held = np.repeat([f.insert(part) for part in parts], [len(x) for x in parts])
     f = cuckoo.Cuckoo.from_bytes(f.to_bytes())
     assert f.contains(keys).all()
     other = rng.integers(0, 1 << 63, (20_000, 2)).astype(np.uint64)
     assert f.contains(other).mean() < 0.01
-    f.delete(keys[:10_000])
+    for layer in np.unique(held):
+        f.delete(keys[:10_000][held[:10_000] == layer], layer)
     assert f.contains(keys[10_000:]).all() and f.contains(keys[:10_000]).mean() < 0.01
 
 
+def test_cuckoo_filter_keeps_every_key_that_stays():
+    """Deletions of half of 200,000 keys in several layers lose none of the others."""
+    rng = np.random.default_rng(2)
+    f, held, keys = cuckoo.Cuckoo(), [], rng.integers(0, 1 << 63, (10, 20_000, 2)).astype(np.uint64)
+    for part in keys:
+        held.append(f.insert(part))
+    assert len(f.layers) > 1
+    for layer, part in zip(held, keys):
+        f.delete(part[::2], layer)
+    assert all(f.contains(part[1::2]).all() for part in keys)
+    assert f.contains(keys[:, ::2].reshape(-1, 2)).mean() < 0.01
+    with pytest.raises(ValueError):
+        cuckoo.Cuckoo([cuckoo.Layer(8)]).delete(keys[0][:1], 0)
+
+
 def _lines(seed, n=40):
     r = random.Random(seed)
     pool = [f"{LINE} {i}" for i in range(6)] + ["short", "", "  " + LINE.upper() + " 3\t", "é" * 39, "é" * 40, LINE + "\x85"]
@@ -59,6 +74,29 @@ def test_line_index_is_reversible(spark):
                                                                     if r.key in {c.key for c in index.counts.where("n_docs >= 5").collect()}}
 
 
+def test_line_index_in_many_steps_with_growing_shards(spark):
+    """Insertions and deletions by turns, filters dealt anew on the way: always what a fresh index says."""
+    pool = [f"{LINE} {i}" for i in range(90)]
+    r = random.Random(5)
+    docs = [(d, "\n".join(r.sample(pool, 12))) for d in range(120)]
+    index, alive, shards = line_dedup.LineIndex.empty(spark, shard_keys=1), {}, set()
+    for step in range(6):
+        new = docs[step * 20:(step + 1) * 20]
+        index = index.insert(_docs(spark, new))
+        alive |= dict(new)
+        if step % 2:
+            gone = r.sample(sorted(alive), 18 if step < 5 else len(alive) - 10)
+            index = index.delete(spark.createDataFrame([(d,) for d in gone], "doc_id bigint"))
+            alive = {d: t for d, t in alive.items() if d not in gone}
+        shards.add(index.shards)
+        got = {(x.doc_id, x._n_dropped) for x in index.cleaned(_docs(spark, sorted(alive.items()))).collect()}
+        assert got == {(d, k) for d, _, k, _ in brute.line_dedup(sorted(alive.items()))}
+        common = index.counts.where("n_docs >= 5")
+        assert common.where("layer is null").count() == 0 and index.counts.where("n_docs < 5 and layer is not null").count() == 0
+        assert index.candidates(index.postings).join(common, "key", "left_semi").count() == index.postings.join(common, "key", "left_semi").count()
+    assert len(shards) > 1
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert line_dedup.dedup(_docs(spark, [])).count() == 0
 
