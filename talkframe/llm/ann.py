@@ -21,7 +21,11 @@ sample's neighbours.
 
 Skew: equal vectors are collapsed to their k + 1 smallest ids first (no other
 copy can be among the k nearest), and a bucket of more than ``block`` vectors
-is split into blocks that each of its queries visits, so no vector is left out.
+is split into blocks that each of its queries visits, so no vector is left out;
+a bucket that more than ``block`` queries visit deals them to as many copies of
+its blocks.  A task keeps the best ``k`` of each of its queries over all buckets
+that it holds and hands them on once, at most ``HELD`` queries at a time, so what
+is shuffled grows with queries and tasks, not with the buckets visited.
 
 Cases: vectors that are null, zero or hold a null or a non-finite component
 take no part, nor do rows with a null id; only vectors of equal length are
@@ -42,6 +46,47 @@ from pyspark.sql import Window
 from talkframe.llm.tables import stored
 
 
+HELD = 50_000
+
+
+class Best:
+    """The k best (score, id) of each query that a task has met so far, as sorted columns."""
+
+    def __init__(self, k: int):
+        self.k, self.parts, self.size, self.least = k, [], 0, 1 << 18
+
+    def add(self, query: np.ndarray, ident: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((query, ident, score))
+        self.size += len(query)
+        if self.size > self.least:
+            self._shrink()
+            self.least = max(1 << 18, 2 * self.size)
+
+    def _shrink(self) -> None:
+        q, i, s = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((i, -s, q))
+        q, i, s = q[order], i[order], s[order]
+        new = np.ones(len(q), bool)  # a vector met in two tables counts once
+        new[1:] = (q[1:] != q[:-1]) | (i[1:] != i[:-1])
+        q, i, s = q[new], i[new], s[new]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < self.k
+        self.parts = [(q[best], i[best], s[best])]
+        self.size = int(best.sum())
+
+    def full(self) -> bool:
+        if self.size > max(self.least, HELD * self.k):
+            self._shrink()
+        return self.size > HELD * self.k
+
+    def taken(self) -> list[np.ndarray]:
+        """What was kept, once; nothing is left."""
+        if not self.parts:
+            return []
+        self._shrink()
+        out, self.parts, self.size = list(self.parts[0]), [], 0
+        return out if len(out[0]) else []
+
+
 class Hasher:
     """The projections of all tables for one vector length."""
 
@@ -147,7 +192,7 @@ def _by_length(b: pa.RecordBatch, at: int):
 
 class Index:
     def __init__(self, vectors: DataFrame, k: int = 5, tables: int = 3, width: float = 2.0, occupancy: int = 512,
-                 recall: float = 0.97, sample: int = 64, block: int = 4096, seed: int = 5, most: int = 4096, scan: int = 32768,
+                 recall: float = 0.97, sample: int = 64, block: int = 1024, seed: int = 5, most: int = 4096, scan: int = 32768,
                  key: str = "vec_id", vector: str = "embedding"):
         self.k, self.tables, self.width, self.seed, self.block = k, tables, width, seed, block
         self.all = stored(valid(vectors, key, vector), "ann-vectors")
@@ -184,15 +229,22 @@ class Index:
         by_length = {n: (np.array([r.v for r in rs]), np.array([r.id for r in rs])) for n, rs in found.items()}
         k = self.k
 
-        def exact(batches):  # the sample in blocks against all vectors: k rows for each query and batch
+        def exact(batches):  # the sample in blocks against all vectors: k rows for each query and task
+            held: dict[int, tuple] = {}
             for b in batches:
                 for n, part in _by_length(b, 1):
                     if n in by_length and part.num_rows:
                         q, q_id = by_length[n]
                         v, v_id = _matrix(part.column(1), n), part.column(0).to_numpy()
+                        if n in held:
+                            v, v_id = np.concatenate([held[n][0], v]), np.concatenate([held[n][1], v_id])
                         r, c, s = nearest(q, q_id, v, v_id, k)
-                        yield pa.RecordBatch.from_arrays([pa.array(q_id[r]), pa.array(s), part.column(0).take(pa.array(c)),
-                                                          part.column(1).take(pa.array(c))], names=["query", "score", "id", "v"])
+                        near = np.unique(c)
+                        at = np.searchsorted(near, c)
+                        held[n] = v[near], v_id[near], (q_id[r], s, at)
+            for v, v_id, (query, s, at) in held.values():
+                vs = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * v.shape[1], pa.int32()), pa.array(v[at].ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(s), pa.array(v_id[at]), vs], names=["query", "score", "id", "v"])
 
         near = self.rows.mapInArrow(exact, "query bigint, score double, id bigint, v array<double>")
         rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))
@@ -263,11 +315,16 @@ class Index:
         """(query_id, rank, vec_id, score) of the k best candidates of each query (id, v)."""
         where = ["t", "d", "bucket"]
         index = stored(self._indexed(), "ann-index")
-        blocks = index.groupBy(where).agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
-        members = index.join(blocks, where).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        probes = self._probing(queries).join(blocks, where).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        probing = stored(self._probing(queries), "ann-probes")
+        size = index.groupBy(where).agg(F.ceil(F.count("*") / self.block).cast("int").alias("blocks"))
+        load = probing.groupBy(where).agg(F.ceil(F.count("*") / self.block).cast("int").alias("parts"))
+        met = stored(size.join(load, where), "ann-buckets")
+        members = (index.join(met, where).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+                   .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+        probes = (probing.join(met, where).withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int"))
+                  .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))))
         asked = probes.join(queries.withColumnRenamed("id", "query"), "query")
-        key = [*where, "block"]
+        key = [*where, "block", "part"]
         rows = (members.select(*key, F.lit(0).alias("side"), "id", "v")
                 .unionByName(asked.select(*key, F.lit(1).alias("side"), F.col("query").alias("id"), "v"))
                 .repartition(*key).sortWithinPartitions(*key, "side", "id"))
@@ -280,24 +337,32 @@ class Index:
 def _reranked(k):
     """Queries of a bucket block against its members; the members (at most a block) come first."""
     def rows(batches):
-        at, ids, vs = None, [], []
+        at, ids, vs, best = None, [], [], Best(k)
+
+        def kept():
+            if found := best.taken():
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query", "id", "score"])
+
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = np.column_stack([b.column(i).to_numpy() for i in range(4)])
-            side, ident = b.column(4).to_numpy(), b.column(5).to_numpy()
+            keys = np.column_stack([b.column(i).to_numpy() for i in range(5)])
+            side, ident = b.column(5).to_numpy(), b.column(6).to_numpy()
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (side[1:] != side[:-1])) + 1
             for lo, hi in zip([0, *cut], [*cut, len(side)]):
                 if at != tuple(keys[lo]):
                     at, ids, vs = tuple(keys[lo]), [], []
-                v = _matrix(b.column(6).slice(lo, hi - lo), int(keys[lo, 1]))
+                v = _matrix(b.column(7).slice(lo, hi - lo), int(keys[lo, 1]))
                 if side[lo] == 0:
                     ids.append(ident[lo:hi])
                     vs.append(v)
                 elif ids:
                     ids, vs = [np.concatenate(ids)], [np.concatenate(vs)]
                     r, c, s = nearest(v, ident[lo:hi], vs[0], ids[0], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(ident[lo:hi][r]), pa.array(ids[0][c]), pa.array(s)], names=["query", "id", "score"])
+                    best.add(ident[lo:hi][r], ids[0][c], s)
+            if best.full():
+                yield from kept()
+        yield from kept()
     return rows
 
 
