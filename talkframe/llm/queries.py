@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,6 +225,159 @@ def op7(spark, sf_dir):
     return ann.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+#: CRC-32 of the bytes of a hex string ``{hex}``, by a table of 256 entries made from the polynomial.
+_CRC_TABLE_SQL = """(SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n)
+   FROM range(256) t(n))"""
+
+
+def _crc_sql(hexed: str) -> str:
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({hexed}, '..'), lambda x: ('0x' || x)::BIGINT)), "
+            "lambda c, b: xor(c >> 8, crc_table[CAST(xor(c, b) & 255 AS INT) + 1])))")
+
+
+_RUNS_SQL = r"""
+WITH RECURSIVE crc AS (SELECT @TABLE@ AS crc_table),
+numbers AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w, coalesce(@CRC@, 1) AS h FROM documents, crc),
+cut AS (
+  SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS change, h // 10 AS g,
+         CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM numbers),
+altered AS (
+  SELECT doc_id, CAST(n AS BIGINT) AS n,
+         CASE WHEN change THEN list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1])
+              ELSE w END AS w FROM cut),
+grams AS (
+  SELECT doc_id, i, array_to_string(w[i + 1:i + 6], ' ') AS content FROM altered, LATERAL (SELECT unnest(range(0, n - 5)) AS i) u),
+pairs AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.content = y.content AND x.i < y.i),
+islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs),
+stretches AS (
+  SELECT doc_id, q, min(i) AS start, max(i) + 6 + q - min(i) AS length FROM islands GROUP BY doc_id, q, island),
+runs AS (
+  SELECT doc_id, start, length, min(q) AS period FROM stretches WHERE length >= greatest(12, 2 * q) GROUP BY doc_id, start, length),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS r FROM runs),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY doc_id),
+gone AS (
+  SELECT DISTINCT doc_id, i FROM runs, LATERAL (SELECT unnest(range(start + period, start + length)) AS i) u),
+each_word AS (
+  SELECT doc_id, i, w[i + 1] AS word FROM altered, LATERAL (SELECT unnest(range(0, n)) AS i) u),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM each_word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT a.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length,
+       CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM altered a LEFT JOIN listed USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE r = 1) b USING (doc_id) LEFT JOIN kept USING (doc_id)
+""".replace("@TABLE@", _CRC_TABLE_SQL).replace("@CRC@", _crc_sql("hex(encode(CAST(doc_id AS VARCHAR)))"))
+
+
+def _repeating(doc: pa.Array, text: pa.Array) -> pa.Array:
+    """Texts whose id's CRC asks for it with the words from some word on repeating (null: as it was)."""
+    out = []
+    for d, t in zip(doc.to_pylist(), text.to_pylist()):
+        h = zlib.crc32(str(d).encode())
+        words = t.encode().split() if d is not None and t and h % 10 == 0 else []
+        n, g = len(words), h // 10
+        if not n:
+            out.append(None)
+            continue
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        out.append(b" ".join(words[i if i < a else a + (i - a) % p] for i in range(n)).decode())
+    return pa.array(out, pa.string())
+
+
+@_query("op11_periodic_runs", _RUNS_SQL)
+def op11(spark, sf_dir):
+    """Every document's periodic runs, a tenth of the documents made to repeat themselves."""
+    from talkframe.llm import run_detection as R
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    asked = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    altered = F.arrow_udf(_repeating, "string")(F.when(asked, F.col("doc_id")), F.when(asked, F.col("text")))
+    out = R.detected(docs.select("doc_id", F.coalesce(altered, F.col("text")).alias("text")))
+    out = out.withColumn("top", R.longest())
+    line = F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period))
+    listed = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return out.select(F.col("doc").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), F.col("top.start").alias("start"),
+                      F.col("top.length").alias("length"), F.col("top.period").alias("period"),
+                      F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+                      F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+_NEGATIVES_SQL = """
+WITH parts AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+r AS (
+  SELECT id, label, list_transform(e, lambda x: floor(256 * x)) AS v FROM parts
+  WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.id AS anchor, c.id, a.label = c.label AS same, CAST(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM r a JOIN r c ON a.id <> c.id AND len(a.v) = len(c.v) WHERE a.id % 100 = 0),
+positives AS (
+  SELECT anchor, id, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) AS k FROM scores WHERE same) t WHERE k <= 5),
+ranked AS (
+  SELECT p.anchor AS anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS rank
+  FROM positives p JOIN scores n ON p.anchor = n.anchor AND NOT n.same
+   AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+
+@_query("op12_hard_negatives", _NEGATIVES_SQL)
+def op12(spark, sf_dir):
+    """Hard negatives of every hundredth vector, for each of its five positives."""
+    from talkframe.llm import hard_negatives as H
+    rows = H.rows_of(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    rows = rows.withColumn("label", F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return H.mined(rows, F.col("id") % 100 == 0)
+
+
+def _sharding_sql() -> str:
+    from talkframe.llm import sharding as S
+    keys = ", ".join(map(str, S.round_keys(S.SEED)))
+
+    def mixed(x):
+        for shift, times in ((16, S._FIRST), (15, S._SECOND)):
+            x = f"((xor({x}, ({x}) >> {shift}) * {times}) & 4294967295)"
+        return f"xor({x}, ({x}) >> 16)"
+    # one round of one number after another: a recursive table of (row, place, round)
+    return f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE_SQL} AS crc_table),
+d AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, {_crc_sql("hex(encode(coalesce(text, '')))")} AS text_crc32 FROM documents, crc),
+numbered AS (
+  SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS row, count(*) OVER () AS n FROM d),
+bits AS (
+  SELECT *, greatest(1, CAST(ceil((SELECT count(*) FROM range(63) b(k) WHERE (1::BIGINT << k) <= n - 1) / 2) AS INT)) AS b FROM numbered),
+walk(row, n, b, l, r, k) AS (
+  SELECT row, n, b, CAST(row >> b AS UBIGINT), CAST(row & ((1::BIGINT << b) - 1) AS UBIGINT), 0 FROM bits
+  UNION ALL
+  SELECT row, n, b, r, CAST(xor(l, {mixed("xor(r, key)")} & ((1::UBIGINT << b) - 1)) AS UBIGINT), k % {S.ROUNDS} + 1
+  FROM (SELECT *, CAST((list_value({keys}))[k % {S.ROUNDS} + 1] AS UBIGINT) AS key FROM walk) w
+  WHERE k < {S.ROUNDS} OR (l << b) + r >= n),
+place AS (SELECT row, CAST((l << b) + r AS BIGINT) AS p FROM walk WHERE k = {S.ROUNDS} AND (l << b) + r < n)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law,
+       CAST(p % {S.SHARDS} AS INT) AS shard, CAST(p // {S.SHARDS} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM bits JOIN place USING (row)
+"""
+
+
+@_query("op13_sharding", _sharding_sql())
+def op13(spark, sf_dir):
+    """Every document's shard and slot in the reproducible shuffle."""
+    from talkframe.llm import sharding as S
+    return S.sharded(documents(spark, sf_dir, "doc_id", "text")).select(
+        F.col("doc").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable]:
     return dict(_QUERIES)
 
