@@ -15,14 +15,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkframe.session import cut_lineage
+from talkframe.session import cut_lineage, shuffle_parts
 
 
 def positions(df: DataFrame, by, order, name: str = "idx", partitions: int | None = None) -> DataFrame:
     """``df`` plus a 0-based position ``name`` of each row within its ``by`` group
     in ``order`` (ties broken by the order columns given; make them unique)."""
     by, order = list(by), list(order)
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or shuffle_parts(df.sparkSession)
     s = (df.repartitionByRange(n, *by, *order).sortWithinPartitions(*by, *order)
          .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     # partition ids and row ids are non-deterministic expressions: pin them once

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkframe.session import cut_lineage
+from talkframe.session import cut_lineage, shuffle_parts
 
 
 def exact_quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
@@ -26,7 +26,7 @@ def exact_quantiles(df: DataFrame, value: str, probs, by=()) -> DataFrame:
     g = by + ["_grp"]  # ``_grp`` gives the ungrouped case a key too
     x = df.select(*by, F.lit(0).alias("_grp"), F.col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
     counted = x.groupBy(*g, "_x").agg(F.count(F.lit(1)).alias("_c"))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = shuffle_parts(df.sparkSession)
     # partition ids are pinned: both branches below must see the same ones
     s = cut_lineage(counted.repartitionByRange(n, *g, "_x").withColumn("_pid", F.spark_partition_id()))
     group = Window.partitionBy(*g)

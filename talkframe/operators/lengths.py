@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.functions.text import approx_tokens, word_count
-from talkframe.operators.turns import patient_turns
+from talkframe.operators.turns import SESSION, number_turns, patient_messages
 
 
 def turn_lengths(turns: DataFrame, max_turns: int | None = None, by: str = "corpus") -> DataFrame:
@@ -14,10 +14,12 @@ def turn_lengths(turns: DataFrame, max_turns: int | None = None, by: str = "corp
     ⌊chars/4⌋ tokens.  ``by`` can be any label column (J10 union label, psi...).
 
     One ``groupBy`` with partial aggregation: the hot key (turn 0 of a big
-    corpus) is combined map-side before the shuffle.
+    corpus) is combined map-side before the shuffle.  Words and tokens are
+    counted first, so the numbering moves no text.
     """
-    pt = patient_turns(turns, max_turns).select(by, "patient_idx", word_count("text").alias("w"),
-                                                approx_tokens("text").alias("t"))
+    keys = list(dict.fromkeys([*SESSION, by]))
+    msgs = patient_messages(turns).select(*keys, "turn", word_count("text").alias("w"), approx_tokens("text").alias("t"))
+    pt = number_turns(msgs, max_turns)
     return pt.groupBy(by, F.col("patient_idx").alias("turn")).agg(
         F.count(F.lit(1)).alias("count"),
         F.avg("w").alias("avg_words"), F.stddev_pop("w").alias("std_words"),

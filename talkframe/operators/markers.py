@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from talkframe.functions.text import approx_tokens, py_strip, word_count
 from talkframe.lexicons import PRONOUN_CATEGORIES, as_rows
-from talkframe.operators.turns import PATIENT_ROLE, SESSION, patient_turns
+from talkframe.operators.turns import PATIENT_ROLE, SESSION, patient_messages, patient_turns
 from talkframe.session import cut_lineage
 
 
@@ -74,11 +74,10 @@ def session_markers(turns: DataFrame, lexicon, max_turns: int | None = None,
     """Per (corpus, session) with patient text: joined-text counts (A3), messages
     with ≥1 hit per category (A5), words / ⌊chars/4⌋ of the joined text, utterances.
 
-    The window numbering patient turns and this aggregate share one hash
-    partitioning on (corpus, session_id): a single shuffle.
+    Patient turns are numbered only where ``max_turns`` asks for the first ones.
     """
     cats = categories(lexicon)
-    pt = patient_turns(turns, max_turns)
+    pt = patient_messages(turns) if max_turns is None else patient_turns(turns, max_turns)
     hits = [(count_expr(F.col("text"), lexicon, c, case_insensitive) > 0).cast("bigint").alias("hit_" + _col_name(c))
             for c in cats]
     msg = pt.select(*SESSION, "turn", "text", *hits)

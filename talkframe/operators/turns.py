@@ -1,10 +1,11 @@
 """Turn normalisation, patient-turn indexing, history windows (P1-P6, P11, P17-P19,
 P24, P28, P29, W1-W8).
 
-Input everywhere: ``turns(corpus, session_id, turn, role, text)``.  Every window
-is partitioned by ``(corpus, session_id)``: one conversation is the largest unit
-ever held by one task, and follow-up aggregations on ``(corpus, session_id, ...)``
-reuse that hash partitioning instead of shuffling again.
+Input everywhere: ``turns(corpus, session_id, turn, role, text)``.  Turn numbers
+(P3/W1), merged messages (P1/W7) and context budgets (P18/W6) are scanned in
+segments of a conversation with a carry between them (``functions/segments.py``),
+so one conversation may be longer than a task can hold; the other windows are
+partitioned by ``(corpus, session_id)``.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talkframe.functions.segments import SEG, SEGMENT, carried_sums, inside, long_groups, or_zero, segmented, with_carry
 from talkframe.functions.text import approx_tokens, collapse_ws, py_strip
 
 SESSION = ["corpus", "session_id"]
@@ -44,36 +46,70 @@ def is_patient_role(role_col="role") -> Column:
 
 # --- P3 / W1 ---------------------------------------------------------------
 
-def patient_turns(turns: DataFrame, max_turns: int | None = None) -> DataFrame:
+def patient_turns(turns: DataFrame, max_turns: int | None = None, segment: int = SEGMENT) -> DataFrame:
     """Non-empty stripped patient messages with a 0-based ``patient_idx``."""
-    df = patient_messages(turns).withColumn(
-        "patient_idx", (F.row_number().over(_session_window()) - 1).cast("bigint"))
+    return number_turns(patient_messages(turns), max_turns, segment)
+
+
+def number_turns(msgs: DataFrame, max_turns: int | None = None, segment: int = SEGMENT) -> DataFrame:
+    """``msgs`` (one row per message, any columns) with a 0-based ``patient_idx`` in each session."""
+    before = carried_sums(msgs, SESSION, "turn", segment, n=F.lit(1)).drop("n_after")
+    df = segmented(msgs, "turn", segment).withColumn("_in", F.row_number().over(inside(SESSION, "turn")))
+    if max_turns is not None:
+        df = df.where(F.col("_in") <= max_turns)  # a segment's first rows are enough
+    df = with_carry(df, before, SESSION).withColumn("patient_idx", (or_zero("n_before") + F.col("_in") - 1).cast("bigint"))
     if max_turns is not None:
         df = df.where(F.col("patient_idx") < max_turns)
-    return df
+    return df.drop(SEG, "_in", "n_before")
 
 
 # --- P1 / W7 ---------------------------------------------------------------
 
-def merge_consecutive(turns: DataFrame) -> DataFrame:
+def _islands(turns: DataFrame, segment: int) -> DataFrame:
+    """``turns`` with the number (from 1) of the run of one role within the segment."""
+    w = inside(SESSION, "turn")
+    goes_on = F.lag(F.lit(1)).over(w).isNotNull() & F.lag("role").over(w).eqNullSafe(F.col("role"))
+    flagged = segmented(turns, "turn", segment).withColumn("_new", F.when(goes_on, 0).otherwise(1))
+    return flagged.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def _island_carry(turns: DataFrame, segment: int) -> DataFrame:
+    """Per segment of a long conversation: runs before it (``_offset``), whether its
+    first run goes on from the segment before (``_goes_on``), its number of runs and
+    the messages of later segments that go on with its last run (``_more``)."""
+    rows = _islands(long_groups(turns.select(*SESSION, "turn", "role", "text"), SESSION, "turn", segment), segment)
+    per = rows.groupBy(*SESSION, SEG).agg(F.max("_island").alias("_runs"), F.min_by("role", "turn").alias("_first"),
+                                          F.max_by("role", "turn").alias("_last"))
+    w = Window.partitionBy(*SESSION).orderBy(SEG)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_goes_on", F.lag(F.lit(1)).over(w).isNotNull() & F.lag("_last").over(w).eqNullSafe(F.col("_first")))
+    starts = F.when((F.col("_runs") > 1) | ~F.col("_goes_on"), F.col(SEG))  # a run starts in it
+    per = per.select(*SESSION, SEG, "_runs", "_goes_on",
+                     F.coalesce(F.sum(F.col("_runs") - F.col("_goes_on").cast("int")).over(earlier), F.lit(0)).alias("_offset"),
+                     F.last(starts, ignorenulls=True).over(earlier).alias("_home"))
+    heads = rows.where(F.col("_island") == 1).join(per.where("_goes_on").select(*SESSION, SEG, "_home"), [*SESSION, SEG])
+    more = heads.groupBy(*SESSION, F.col("_home").alias(SEG)).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_more"))
+    return per.drop("_home").join(more, [*SESSION, SEG], "left")
+
+
+def merge_consecutive(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Merge runs of same-role messages, contents joined by newline.
 
-    Gaps and islands: a change flag from ``lag(role)``, a running sum gives the
-    island number.  The grouping keys extend the window's partition keys, so
-    the aggregate reuses the window's hash partitioning (no second shuffle).
+    Gaps and islands inside segments: a change flag from ``lag(role)``, a running
+    sum gives the run, and the aggregate reuses the window's partitioning.  Runs
+    that cross segments are put together by the carry: what goes on in later
+    segments is appended where the run starts, and left out there.
     """
-    w = _session_window()
-    flagged = turns.withColumn(
-        "_new", F.when(F.lag("role").over(w).eqNullSafe(F.col("role")), 0).otherwise(1))
-    islands = flagged.withColumn(
-        "_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = (islands.groupBy(*SESSION, "_island")
-              .agg(F.min("turn").alias("first_turn"),
-                   F.first("role").alias("role"),
-                   F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_parts")))
-    return merged.select(
+    parts = _islands(turns, segment).groupBy(*SESSION, SEG, "_island").agg(
+        F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_parts"))
+    m = with_carry(parts, _island_carry(turns, segment), SESSION)
+    goes_on = F.coalesce("_goes_on", F.lit(False))
+    m = m.where(~(goes_on & (F.col("_island") == 1)))
+    whole = F.when((F.col("_island") == F.col("_runs")) & F.col("_more").isNotNull(), F.concat("_parts", "_more")).otherwise(F.col("_parts"))
+    m = m.withColumn("_parts", whole)
+    return m.select(
         *SESSION,
-        (F.col("_island") - 1).cast("bigint").alias("turn"),
+        (or_zero("_offset") - goes_on.cast("int") + F.col("_island") - 1).cast("bigint").alias("turn"),
         "role",
         F.array_join(F.transform("_parts", lambda p: F.coalesce(p["text"], F.lit(""))), "\n").alias("text"),
         F.size("_parts").cast("bigint").alias("n_merged"),
@@ -190,20 +226,24 @@ def transcripts(turns: DataFrame, history_limit: int | None = None, style: str =
                         F.col("_n").cast("bigint").alias("n_messages"))
 
 
-def context_budget(turns: DataFrame, budget_tokens: int, min_messages: int = 10) -> DataFrame:
+def context_budget(turns: DataFrame, budget_tokens: int, min_messages: int = 10, segment: int = SEGMENT) -> DataFrame:
     """Newest suffix of each session whose ⌊chars/4⌋ sum fits the budget.
 
     Applies only when the session has more than ``min_messages`` messages and the
     whole history exceeds the budget (⌊Σchars/4⌋).  The reverse running sum is
     monotone, so ``running <= budget`` is exactly the loop's break rule.
     """
-    w_all = Window.partitionBy(*SESSION)
-    w_rev = Window.partitionBy(*SESSION).orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tok = approx_tokens("text")
-    df = (turns.withColumn("msg_tokens", tok)
-          .withColumn("n_messages", F.count(F.lit(1)).over(w_all))
-          .withColumn("total_tokens", F.floor(F.sum(F.length(F.coalesce("text", F.lit("")))).over(w_all) / 4))
-          .withColumn("running_tokens", F.sum("msg_tokens").over(w_rev)))
+    chars = F.length(F.coalesce("text", F.lit("")))
+    others = carried_sums(turns, SESSION, "turn", segment, n=F.lit(1), chars=chars, tokens=approx_tokens("text")).drop("tokens_before")
+    own = inside(SESSION)
+    later = inside(SESSION, F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    df = (segmented(turns, "turn", segment).withColumn("msg_tokens", approx_tokens("text"))
+          .withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_chars", F.sum(chars).over(own))
+          .withColumn("_later", F.sum("msg_tokens").over(later)))
+    df = with_carry(df, others, SESSION)
+    df = (df.withColumn("n_messages", F.col("_n") + or_zero("n_before") + or_zero("n_after"))
+          .withColumn("total_tokens", F.floor((F.col("_chars") + or_zero("chars_before") + or_zero("chars_after")) / 4))
+          .withColumn("running_tokens", F.col("_later") + or_zero("tokens_after")))
     applies = (F.col("n_messages") > min_messages) & (F.col("total_tokens") > budget_tokens)
     return (df.withColumn("truncated", applies)
             .where(~F.col("truncated") | (F.col("running_tokens") <= budget_tokens))

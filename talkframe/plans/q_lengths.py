@@ -20,7 +20,7 @@ FROM pt GROUP BY corpus, patient_idx"""
 @query("a1_turn_lengths", _A1_SQL)
 def a1_turn_lengths(spark, sf_dir):
     """A1: per corpus and patient turn, count and mean/std of words and tokens."""
-    return turn_lengths(turns_only(spark, sf_dir))
+    return turn_lengths(turns_only(spark, sf_dir, dealt=False))
 
 
 _J4_SQL = with_turns(PATIENT_TURNS_CTE) + f""",
@@ -39,7 +39,7 @@ FROM s FULL OUTER JOIN r ON s.turn = r.turn"""
 @query("j4_compare_turn_lengths", _J4_SQL)
 def j4_compare_turn_lengths(spark, sf_dir):
     """J4 (flagship): synthetic vs real per-turn lengths, full outer on turn."""
-    return compare_turn_lengths(turn_lengths(turns_only(spark, sf_dir)))
+    return compare_turn_lengths(turn_lengths(turns_only(spark, sf_dir, dealt=False)))
 
 
 _LABEL = """CASE WHEN corpus = 'real' THEN 'real' ELSE psi || '-' ||
@@ -56,7 +56,7 @@ FROM pt GROUP BY label, patient_idx"""
 @query("a2_label_turn_lengths", _A2_SQL)
 def a2_label_turn_lengths(spark, sf_dir):
     """A2 + J10: one groupBy over the union labelled real / psi-backend."""
-    return turn_lengths(run_label(turns_view(spark, sf_dir)), by="label")
+    return turn_lengths(run_label(turns_view(spark, sf_dir, dealt=False)), by="label")
 
 
 _J11_SQL = with_turns() + """
@@ -68,7 +68,7 @@ FROM turns WHERE corpus = 'synthetic'"""
 @query("j11_psi_backend_pairs", _J11_SQL)
 def j11_psi_backend_pairs(spark, sf_dir):
     """J11 + P6: distinct (psi, normalised backend) pairs of the synthetic corpus."""
-    t = turns_view(spark, sf_dir).where(F.col("corpus") == "synthetic")
+    t = turns_view(spark, sf_dir, dealt=False).where(F.col("corpus") == "synthetic")
     return t.select("psi", normalize_backend(F.col("backend_llm")).alias("backend")).distinct()
 
 
@@ -82,7 +82,7 @@ FROM turns"""
 @query("p6_backend_names", _P6_SQL)
 def p6_backend_names(spark, sf_dir):
     """Backend name normalisation and safe names."""
-    t = turns_view(spark, sf_dir)
+    t = turns_view(spark, sf_dir, dealt=False)
     return t.select("backend_llm", normalize_backend(F.col("backend_llm")).alias("backend"),
                     safe_name(F.col("backend_llm")).alias("safe")).distinct()
 
@@ -94,6 +94,6 @@ SELECT label, count(DISTINCT session_id) AS sessions, count(*) AS messages FROM
 @query("j10_corpus_union", _J10_SQL)
 def j10_corpus_union(spark, sf_dir):
     """Corpora union with a run label; sessions and messages per label."""
-    t = run_label(turns_view(spark, sf_dir))
+    t = run_label(turns_view(spark, sf_dir, dealt=False))
     return t.groupBy("label").agg(F.countDistinct("session_id").alias("sessions"),
                                   F.count(F.lit(1)).alias("messages"))

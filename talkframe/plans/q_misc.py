@@ -17,7 +17,7 @@ SELECT r.session_id, r.n AS real_messages, s.n AS synthetic_messages FROM c r JO
   ON r.session_id = s.session_id AND r.corpus = 'real' AND s.corpus = 'synthetic'""")
 def j1_pair_sessions(spark, sf_dir):
     """Real ⋈ synthetic on session_id (message counts per side)."""
-    c = turns_only(spark, sf_dir).groupBy("corpus", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    c = turns_only(spark, sf_dir, dealt=False).groupBy("corpus", "session_id").agg(F.count(F.lit(1)).alias("n"))
     r = c.where(F.col("corpus") == "real").select("session_id", F.col("n").alias("real_messages"))
     s = c.where(F.col("corpus") == "synthetic").select("session_id", F.col("n").alias("synthetic_messages"))
     return r.join(s, "session_id", "inner")
@@ -29,7 +29,7 @@ WHERE corpus = 'real' AND session_id IN (SELECT doc_id FROM labels) GROUP BY ses
 def j2_restrict_ids(spark, sf_dir):
     """Real corpus restricted to the ids listed in ``labels.doc_id`` (left semi)."""
     ids = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("session_id"))
-    t = turns_only(spark, sf_dir).where(F.col("corpus") == "real").join(ids, "session_id", "left_semi")
+    t = turns_only(spark, sf_dir, dealt=False).where(F.col("corpus") == "real").join(ids, "session_id", "left_semi")
     return t.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_messages"))
 
 
@@ -46,7 +46,7 @@ LEFT JOIN (SELECT session_id - 1 AS session_id, pos, line FROM f WHERE corpus =
 def j5_side_by_side(spark, sf_dir):
     """Real / synthetic / turn-variant messages side by side by position
     (full join of the first two, left join of the variant; padded with '')."""
-    f = format_messages(turns_only(spark, sf_dir)).select(
+    f = format_messages(turns_only(spark, sf_dir, dealt=False)).select(
         "corpus", "session_id", F.col("turn").alias("pos"), F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("line"))
     r = f.where(F.col("corpus") == "real").select("session_id", "pos", F.col("line").alias("real"))
     s = f.where(F.col("corpus") == "synthetic").select("session_id", "pos", F.col("line").alias("synthetic"))
@@ -64,7 +64,7 @@ WHERE r.corpus = 'real' AND least(r.n_patient, 20) - CASE WHEN r.first_role IN (
 def j7_pending_sessions(spark, sf_dir):
     """Real sessions whose synthetic counterpart is missing or does not hold the
     stored number of patient turns (A55 status), by a left anti join."""
-    todo = turns_only(spark, sf_dir).where(F.col("corpus") == "real").select("session_id").distinct()
+    todo = turns_only(spark, sf_dir, dealt=False).where(F.col("corpus") == "real").select("session_id").distinct()
     return Q.pending_sessions(todo, Q.valid_sessions(_validation(spark, sf_dir)))
 
 
@@ -74,7 +74,7 @@ UNION ALL SELECT 'either_corpus', count(*) FROM (SELECT session_id FROM turns WH
 UNION ALL SELECT 'turn_keys', count(*) FROM (SELECT turn FROM turns WHERE corpus = 'real' UNION SELECT turn FROM turns WHERE corpus = 'synthetic')""")
 def j12_set_ops(spark, sf_dir):
     """Intersection / union of session-id sets and union of turn keys."""
-    t = turns_only(spark, sf_dir)
+    t = turns_only(spark, sf_dir, dealt=False)
     r, s = t.where(F.col("corpus") == "real"), t.where(F.col("corpus") == "synthetic")
     both = r.select("session_id").intersect(s.select("session_id")).agg(F.count(F.lit(1)).alias("n"))
     either = r.select("session_id").union(s.select("session_id")).distinct().agg(F.count(F.lit(1)).alias("n"))
@@ -88,7 +88,7 @@ def j12_set_ops(spark, sf_dir):
 SELECT session_id, turn, role FROM turns WHERE corpus = 'real' ORDER BY session_id, turn LIMIT 25""")
 def l1_first_rows(spark, sf_dir):
     """L1: first 25 rows of the real corpus in explicit (session, turn) order."""
-    t = turns_only(spark, sf_dir).where(F.col("corpus") == "real")
+    t = turns_only(spark, sf_dir, dealt=False).where(F.col("corpus") == "real")
     return t.orderBy("session_id", "turn").limit(25).select("session_id", "turn", "role")
 
 
@@ -96,7 +96,7 @@ def l1_first_rows(spark, sf_dir):
 SELECT DISTINCT session_id FROM turns WHERE corpus = 'synthetic' ORDER BY session_id LIMIT 10""")
 def l2_first_ids(spark, sf_dir):
     """L2: first 10 session ids after a numeric sort."""
-    t = turns_only(spark, sf_dir).where(F.col("corpus") == "synthetic")
+    t = turns_only(spark, sf_dir, dealt=False).where(F.col("corpus") == "synthetic")
     return t.select("session_id").distinct().orderBy("session_id").limit(10)
 
 
@@ -106,7 +106,7 @@ ORDER BY md5(CAST(session_id AS VARCHAR) || '-42'), session_id LIMIT 10""")
 def l3_seeded_sample(spark, sf_dir):
     """L3: deterministic seeded sample of 10 sessions (hash order with seed 42;
     partition-independent).  The sample is the feature, so the limit stays."""
-    t = turns_only(spark, sf_dir).select("session_id").distinct()
+    t = turns_only(spark, sf_dir, dealt=False).select("session_id").distinct()
     return t.orderBy(F.md5(F.concat(F.col("session_id").cast("string"), F.lit("-42"))), "session_id").limit(10)
 
 
@@ -124,7 +124,7 @@ _A55 = with_turns(
 
 
 def _validation(spark, sf_dir):
-    t = turns_only(spark, sf_dir)
+    t = turns_only(spark, sf_dir, dealt=False)
     budget = turn_budget(t.where(F.col("corpus") == "real"), max_turns=20)
     stored = budget.select("session_id", F.col("turn_budget").alias("num_patient_turns"), F.lit(False).alias("corrupt"))
     return Q.validate_turn_counts(stored, t.where(F.col("corpus") == "synthetic"))
@@ -150,7 +150,7 @@ SELECT corpus, count(*) AS rows, count(DISTINCT session_id) AS sessions,
        array_to_string(list_sort(list_distinct(list(backend_llm))), ',') AS backend_llm_values FROM turns GROUP BY corpus""")
 def a57_corpus_inventory(spark, sf_dir):
     """Rows, sessions and sorted distinct psi / backend values per corpus."""
-    return Q.corpus_inventory(turns_view(spark, sf_dir))
+    return Q.corpus_inventory(turns_view(spark, sf_dir, dealt=False))
 
 
 @query("a57_session_count_check", with_turns() + """
@@ -159,7 +159,7 @@ SELECT count(DISTINCT session_id) FILTER (WHERE corpus = 'real') AS real_session
        count(DISTINCT session_id) FILTER (WHERE corpus = 'real') = count(DISTINCT session_id) FILTER (WHERE corpus = 'synthetic') AS counts_match
 FROM turns""")
 def a57_session_count_check(spark, sf_dir):
-    return Q.session_count_check(turns_only(spark, sf_dir))
+    return Q.session_count_check(turns_only(spark, sf_dir, dealt=False))
 
 
 @query("s16_folder_structure", with_turns() + """
@@ -169,7 +169,7 @@ FROM turns WHERE corpus = 'synthetic' GROUP BY ALL""")
 def s16_folder_structure(spark, sf_dir):
     """Sessions per (psi, backend, dataset) of the synthetic corpus."""
     from talkframe.operators.turns import normalize_backend
-    t = turns_view(spark, sf_dir).where(F.col("corpus") == "synthetic")
+    t = turns_view(spark, sf_dir, dealt=False).where(F.col("corpus") == "synthetic")
     s = t.select("psi", normalize_backend(F.col("backend_llm")).alias("backend"), F.lit("conversations").alias("dataset"),
                  "session_id").distinct()
     return Q.folder_structure(s)
@@ -190,7 +190,7 @@ SELECT corpus, session_id, turn, CASE WHEN text IS NULL OR turn % 6 < 5 OR lower
   OR contains(lower(text), 'not mention') OR contains(lower(text), 'not exhibited') THEN '' ELSE text END AS value FROM turns""")
 def p13_blank_placeholders(spark, sf_dir):
     """Placeholder answers blanked; of six turns five get one written in."""
-    t = turns_only(spark, sf_dir)
+    t = turns_only(spark, sf_dir, dealt=False)
     answers = ["Unknown", "N/A", "Age cannot be determined", "It was Not mentioned here", ""]
     text = F.coalesce(*[F.when(F.col("turn") % 6 == i, F.lit(a)) for i, a in enumerate(answers)], F.col("text"))
     return t.select("corpus", "session_id", "turn", blank_placeholder(text).alias("value"))
@@ -200,7 +200,7 @@ def p13_blank_placeholders(spark, sf_dir):
 SELECT corpus, session_id, count(*) AS n_patient FROM turns WHERE lower(role) = 'assistant' GROUP BY corpus, session_id""")
 def p11_session_turn_counts(spark, sf_dir):
     """P11 helper: patient messages per session (LD rule: empties counted)."""
-    return session_turn_counts(turns_only(spark, sf_dir))
+    return session_turn_counts(turns_only(spark, sf_dir, dealt=False))
 
 
 # Fixed values (ours): routing of names to the test table's document sources.
@@ -239,7 +239,7 @@ def s9_session_ids_from_names(spark, sf_dir):
     """Ids parsed from session file names; ``_turn`` variant names give null.
     File names are derived from every session of the table."""
     from talkframe.sources.corpus import session_id_from_name
-    t = turns_only(spark, sf_dir)
+    t = turns_only(spark, sf_dir, dealt=False)
     names = t.select(F.concat(F.lit("session_"), F.col("session_id").cast("string"),
                               F.when(F.col("corpus") == "synthetic", F.lit("_turn")).otherwise(F.lit("")),
                               F.lit(".json")).alias("file_name")).distinct()
@@ -259,7 +259,7 @@ def s4_psi_dataset_from_path(spark, sf_dir):
     """Psi and dataset = the last known path part; real-corpus paths carry no
     psi and are flagged.  Paths are derived from every session of the table."""
     from talkframe.sources.corpus import psi_and_dataset
-    t = turns_view(spark, sf_dir)
+    t = turns_view(spark, sf_dir, dealt=False)
     paths = t.select(F.concat_ws("/", F.lit(""), F.lit("data"),
                                  F.when(F.col("corpus") == "real", F.lit("recorded")).otherwise(F.col("psi")),
                                  F.col("backend_llm"), F.lit("esc"),
@@ -363,7 +363,7 @@ def s11_export_round_trip(spark, sf_dir):
     from talkframe.session import checkpoint_dir
     from talkframe.sources.corpus import read_published
     from talkframe.sources.sinks import export_corpus
-    t = turns_view(spark, sf_dir).where(F.col("corpus") == "synthetic")
+    t = turns_view(spark, sf_dir, dealt=False).where(F.col("corpus") == "synthetic")
     g = t.groupBy("session_id", "psi", "backend_llm").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
     sessions = g.select("session_id", "psi", "backend_llm", F.lit("ESC").alias("source"), F.lit("{}").alias("profile"),

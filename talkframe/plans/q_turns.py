@@ -31,7 +31,7 @@ FROM i GROUP BY corpus, session_id, island"""
 @query("p1_merge_consecutive", _P1_SQL)
 def p1_merge_consecutive(spark, sf_dir):
     """System rows act as therapist, then same-role runs are merged."""
-    t = turns_only(spark, sf_dir).withColumn(
+    t = turns_only(spark, sf_dir, dealt=False).withColumn(
         "role", F.when(F.col("role") == "system", "user").otherwise(F.col("role")))
     return T.merge_consecutive(t)
 
@@ -44,7 +44,7 @@ WHERE role = 'assistant' AND length({s_strip('text')}) > 0"""
 
 @query("p2a_patient_messages", _P2A_SQL)
 def p2a_patient_messages(spark, sf_dir):
-    return T.patient_messages(turns_only(spark, sf_dir)).select("corpus", "session_id", "turn", "text")
+    return T.patient_messages(turns_only(spark, sf_dir, dealt=False)).select("corpus", "session_id", "turn", "text")
 
 
 _P2B_SQL = with_turns() + """
@@ -53,7 +53,7 @@ SELECT corpus, session_id, turn, coalesce(text, '') AS text FROM turns WHERE low
 
 @query("p2b_patient_messages_raw", _P2B_SQL)
 def p2b_patient_messages_raw(spark, sf_dir):
-    return T.patient_messages_raw(turns_only(spark, sf_dir)).select("corpus", "session_id", "turn", "text")
+    return T.patient_messages_raw(turns_only(spark, sf_dir, dealt=False)).select("corpus", "session_id", "turn", "text")
 
 
 _P2D_SQL = with_turns() + """
@@ -63,7 +63,7 @@ FROM turns GROUP BY corpus, session_id"""
 
 @query("p2d_patient_role_count", _P2D_SQL)
 def p2d_patient_role_count(spark, sf_dir):
-    t = turns_only(spark, sf_dir)
+    t = turns_only(spark, sf_dir, dealt=False)
     return t.groupBy("corpus", "session_id").agg(F.sum(T.is_patient_role().cast("bigint")).alias("n_patient"))
 
 
@@ -74,7 +74,7 @@ SELECT corpus, session_id, turn, text, CAST(patient_idx AS BIGINT) AS patient_id
 @query("p3_patient_turn_index", _P3_SQL)
 def p3_patient_turn_index(spark, sf_dir):
     """0-based index over non-empty patient messages, max_turns = 3."""
-    return T.patient_turns(turns_only(spark, sf_dir), max_turns=3).select(
+    return T.patient_turns(turns_only(spark, sf_dir, dealt=False), max_turns=3).select(
         "corpus", "session_id", "turn", "text", "patient_idx")
 
 
@@ -91,7 +91,7 @@ FROM turns"""
 
 @query("p4_role_relabel", _P4_SQL)
 def p4_role_relabel(spark, sf_dir):
-    t = turns_only(spark, sf_dir)
+    t = turns_only(spark, sf_dir, dealt=False)
     r = F.col("role")
     return t.select("corpus", "session_id", "turn",
                     T.relabel_role(r, "judge").alias("judge_role"), T.relabel_role(r, "client").alias("client_role"),
@@ -105,7 +105,7 @@ SELECT corpus, session_id, turn, upper(role) AS role,
 
 @query("p5_format_messages", _P5_SQL)
 def p5_format_messages(spark, sf_dir):
-    return T.format_messages(turns_only(spark, sf_dir)).select("corpus", "session_id", "turn", "role", "text")
+    return T.format_messages(turns_only(spark, sf_dir, dealt=False)).select("corpus", "session_id", "turn", "role", "text")
 
 
 # --- P7 / P8 / P9 / P10 ------------------------------------------------------
@@ -120,7 +120,7 @@ FROM turns WHERE lower(role) = 'assistant'"""
 @query("p7_strict_preprocess", _P7_SQL)
 def p7_strict_preprocess(spark, sf_dir):
     """Lower, drop non-word punctuation, split, drop strict disfluencies."""
-    t = T.patient_messages_raw(turns_only(spark, sf_dir)).withColumn("_w", strict_words("text", STRICT_DISFLUENCIES))
+    t = T.patient_messages_raw(turns_only(spark, sf_dir, dealt=False)).withColumn("_w", strict_words("text", STRICT_DISFLUENCIES))
     return t.select("corpus", "session_id", "turn", F.array_join("_w", " ").alias("clean_text"),
                     F.size("_w").cast("bigint").alias("n_words"))
 
@@ -136,7 +136,7 @@ FROM turns"""
 @query("p8_similarity_clean", _P8_SQL)
 def p8_similarity_clean(spark, sf_dir):
     """Lower, drop ASCII punctuation, drop English stop words."""
-    t = turns_only(spark, sf_dir)
+    t = turns_only(spark, sf_dir, dealt=False)
     return t.select("corpus", "session_id", "turn",
                     F.array_join(clean_words("text", ENGLISH_STOP_WORDS), " ").alias("clean_text"))
 
@@ -147,7 +147,7 @@ SELECT corpus, session_id, turn, {s_wc('text')} AS n_words, {s_tok('text')} AS n
 
 @query("p9_word_token_counts", _P9_SQL)
 def p9_word_token_counts(spark, sf_dir):
-    t = turns_only(spark, sf_dir)
+    t = turns_only(spark, sf_dir, dealt=False)
     return t.select("corpus", "session_id", "turn", word_count("text").alias("n_words"),
                     approx_tokens("text").alias("n_tokens"))
 
@@ -159,7 +159,7 @@ SELECT corpus, session_id, turn, array_to_string({s_words('text')}[1:10], ' ') A
 @query("p10_truncate_tokens", _P10_SQL)
 def p10_truncate_tokens(spark, sf_dir):
     """P10: first 10 whitespace tokens of each patient message."""
-    t = turns_only(spark, sf_dir).where(F.col("role") == "assistant")
+    t = turns_only(spark, sf_dir, dealt=False).where(F.col("role") == "assistant")
     return t.select("corpus", "session_id", "turn", F.array_join(F.slice(words("text"), 1, 10), " ").alias("head_text"))
 
 
@@ -174,7 +174,7 @@ WHERE r.n BETWEEN 2 AND 3 AND s.n BETWEEN 2 AND 3"""
 @query("p11_turn_count_range", _P11_SQL)
 def p11_turn_count_range(spark, sf_dir):
     """Sessions whose patient-message count is in [2, 3] on both sides."""
-    return T.sessions_in_turn_range(turns_only(spark, sf_dir), turn_min=2, turn_max=3)
+    return T.sessions_in_turn_range(turns_only(spark, sf_dir, dealt=False), turn_min=2, turn_max=3)
 
 
 # --- P17 / P18 / P19 ---------------------------------------------------------
@@ -190,7 +190,7 @@ FROM sess s LEFT JOIN k ON s.corpus = k.corpus AND s.session_id = k.session_id G
 @query("p17_transcripts", _P17_SQL)
 def p17_transcripts(spark, sf_dir):
     """Judge transcript (THERAPIST/PATIENT lines, empties skipped, limit 32)."""
-    return T.transcripts(turns_only(spark, sf_dir), history_limit=32)
+    return T.transcripts(turns_only(spark, sf_dir, dealt=False), history_limit=32)
 
 
 _P18_SQL = with_turns(f"""b AS (
@@ -209,7 +209,7 @@ FROM k GROUP BY corpus, session_id"""
 @query("p18_context_budget", _P18_SQL)
 def p18_context_budget(spark, sf_dir):
     """Newest suffix within 150 tokens when a session has > 4 messages."""
-    kept = T.context_budget(turns_only(spark, sf_dir), budget_tokens=150, min_messages=4)
+    kept = T.context_budget(turns_only(spark, sf_dir, dealt=False), budget_tokens=150, min_messages=4)
     return T.render_history(kept)
 
 
@@ -221,7 +221,7 @@ FROM turns GROUP BY corpus, session_id"""
 
 @query("p19_prompt_size", _P19_SQL)
 def p19_prompt_size(spark, sf_dir):
-    return T.prompt_size(turns_only(spark, sf_dir))
+    return T.prompt_size(turns_only(spark, sf_dir, dealt=False))
 
 
 # --- P20 / P21 ---------------------------------------------------------------
@@ -237,7 +237,7 @@ FROM (SELECT * REPLACE (CASE WHEN turn % 3 = 0 THEN text || ' </Think> so ' || r
 def p20_split_thinking(spark, sf_dir):
     """P20: split each text at the first ``</think>`` into thinking / response; every
     third turn gets one written in."""
-    t = turns_only(spark, sf_dir)
+    t = turns_only(spark, sf_dir, dealt=False)
     tagged = F.concat("text", F.lit(" </Think> so "), "role", F.lit(" </think>"))
     return t.select("corpus", "session_id", "turn", *split_thinking(F.when(F.col("turn") % 3 == 0, tagged).otherwise(F.col("text"))))
 
@@ -254,7 +254,7 @@ SELECT * FROM (
 def p21_parse_letter(spark, sf_dir):
     """First of P, T, C, F occurring in the upper-cased reply; others dropped.
     The patient texts stand in for free-form judge replies."""
-    t = turns_only(spark, sf_dir).where(F.col("role") == "assistant")
+    t = turns_only(spark, sf_dir, dealt=False).where(F.col("role") == "assistant")
     return (t.select("corpus", "session_id", "turn", parse_letter(F.col("text")).alias("label"))
             .where(F.col("label").isNotNull()))
 
@@ -267,7 +267,7 @@ FROM pt WHERE patient_idx < 15"""
 
 @query("p24_turn_buckets", _P24_SQL)
 def p24_turn_buckets(spark, sf_dir):
-    pt = T.patient_turns(turns_only(spark, sf_dir))
+    pt = T.patient_turns(turns_only(spark, sf_dir, dealt=False))
     return T.turn_buckets(pt).select("corpus", "session_id", "patient_idx", "bucket")
 
 
@@ -281,7 +281,7 @@ FROM (SELECT corpus, session_id, CAST(sum(CASE WHEN role IN ('assistant', 'patie
 
 @query("p28_turn_budget", _P28_SQL)
 def p28_turn_budget(spark, sf_dir):
-    return T.turn_budget(turns_only(spark, sf_dir), max_turns=20)
+    return T.turn_budget(turns_only(spark, sf_dir, dealt=False), max_turns=20)
 
 
 _P29_SQL = with_turns("""w AS (SELECT *, lag(role) OVER s AS prev_role, lag(text) OVER s AS prev_text,
@@ -298,7 +298,7 @@ FROM e WHERE pair_idx >= 1"""
 @query("p29_next_turn_examples", _P29_SQL)
 def p29_next_turn_examples(spark, sf_dir):
     """Next-turn examples from the second therapist→patient pair on."""
-    return T.next_turn_examples(turns_only(spark, sf_dir), start_turn=1)
+    return T.next_turn_examples(turns_only(spark, sf_dir, dealt=False), start_turn=1)
 
 
 # --- W2 / W4 -----------------------------------------------------------------
@@ -316,7 +316,7 @@ FROM k"""
 @query("w2_history_window", _W2_SQL)
 def w2_history_window(spark, sf_dir):
     """Six messages before each non-empty patient turn, empties dropped after the frame."""
-    return T.history_windows(turns_only(spark, sf_dir), k=6)
+    return T.history_windows(turns_only(spark, sf_dir, dealt=False), k=6)
 
 
 _W4_SQL = with_turns("""w AS (SELECT *, list(coalesce(text, '')) OVER (s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h,
@@ -329,4 +329,4 @@ FROM w WHERE role = 'assistant' AND patient_idx < 20"""
 @query("w4_perplexity_context", _W4_SQL)
 def w4_perplexity_context(spark, sf_dir):
     """All earlier contents newline-joined, first 20 patient turns."""
-    return T.perplexity_contexts(turns_only(spark, sf_dir), max_patient_turns=20)
+    return T.perplexity_contexts(turns_only(spark, sf_dir, dealt=False), max_patient_turns=20)

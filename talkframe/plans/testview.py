@@ -30,24 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def turns_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turns_view(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    """``dealt``: rows of a session together, for reports that work on sessions;
+    reports on single messages, and scans by segments, take them as they lie."""
     conv = table(spark, sf_dir, "conversations")
     sid = F.expr("conv_id div 2")
     backend_raw = (F.when(sid % 4 == 0, "hosted_vllm_openai_gpt-oss-120b")
                    .when(sid % 4 == 1, "openai_gpt-oss-120b")
                    .when(sid % 4 == 2, "Qwen_Qwen3")
                    .otherwise("hosted_vllm_Qwen_Qwen3"))
-    return by_session(conv.select(
+    turns = conv.select(
         F.when(F.col("conv_id") % 2 == 0, "real").otherwise("synthetic").alias("corpus"),
         sid.alias("session_id"),
         F.col("turn"), F.col("role"), F.col("text"),
         F.when(sid % 2 == 0, "patientpsi").otherwise("roleplaydoh").alias("psi"),
-        backend_raw.alias("backend_llm"),
-    ), "corpus", "session_id")
+        backend_raw.alias("backend_llm"))
+    return by_session(turns, "corpus", "session_id") if dealt else turns
 
 
-def turns_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return turns_view(spark, sf_dir).select("corpus", "session_id", "turn", "role", "text")
+def turns_only(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFrame:
+    return turns_view(spark, sf_dir, dealt).select("corpus", "session_id", "turn", "role", "text")
 
 
 def run_label(df: DataFrame) -> DataFrame:

@@ -69,12 +69,18 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def shuffle_parts(spark) -> int:
+    """Partitions to deal into: the cluster's initial number of adaptive
+    partitions where it is set, else the number of shuffle partitions."""
+    initial = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def by_session(df, *keys):
     """Deal rows by their session keys before per-row text work, so that the
     windows and aggregates on those keys that follow need no shuffle of their
     own and a table of few row groups is not read by as few tasks."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
+    return df.repartition(shuffle_parts(df.sparkSession), *keys)
 
 
 _SHIPPED: set = set()
