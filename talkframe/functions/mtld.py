@@ -13,10 +13,17 @@ Definition (both directions averaged):
 * if no factor at all: 1 when the whole text has ttr = 1, else the partial formula
   on the whole text;
 * MTLD = n_words / factors; empty input → null.
+
+``prefix_mtld`` scores every prefix of a text that ends with a message.  Forwards one
+fold carries its factors on.  Backwards each prefix starts at its own last word, but a
+factor that starts at a word ends at the same word for all prefixes: a table of jumps
+from the words where factors start to those where they end is filled as prefixes need
+it, and prefixes that meet at a word share the rest of their way.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +60,88 @@ def mtld(words, threshold: float = THRESHOLD):
     return (mtld_one_way(words, threshold) + mtld_one_way(words[::-1], threshold)) / 2.0
 
 
+#: Words that a factor is looked for one by one; from there on in leaps.
+_STEPS = 256
+
+
+def _factor_back(ids, later, i: int, threshold: float):
+    """(last word of the factor that starts at word ``i`` and goes backwards, -1 if it does not end; its ttr).
+
+    ``later[x]`` is the next place of the word at ``x``.  D types can only come down
+    to the threshold at D / threshold words, so what lies before that is leapt over.
+    """
+    seen, count = set(), 0
+    while count <= i and count < _STEPS:
+        seen.add(ids[i - count])
+        count += 1
+        if len(seen) / count <= threshold:
+            return i - count + 1, len(seen) / count
+    types = len(seen)
+    while count <= i:
+        least = max(count + 1, int(types / threshold) - 1)
+        while types / least > threshold:
+            least += 1
+        least = min(least, i + 1)
+        types += int(np.count_nonzero(later[i + 1 - least:i + 1 - count] > i))
+        count = least
+        if types / count <= threshold:
+            return i - count + 1, types / count
+    return -1, types / count
+
+
+def prefix_mtld(words, ends, threshold: float = THRESHOLD) -> list:
+    """MTLD of ``words[:e]`` for each of the growing ``ends``; None where it is empty."""
+    number: dict = {}
+    ids = [number.setdefault(w, len(number)) for w in words]
+    later = np.full(len(ids), len(ids), np.int64)
+    last: dict = {}
+    for x in range(len(ids) - 1, -1, -1):
+        later[x] = last.get(ids[x], len(ids))
+        last[ids[x]] = x
+    part = lambda ttr: (1 - ttr) / (1 - threshold)
+    jumps: dict[int, tuple[int, float]] = {}   # word -> whole factors and the rest of the way back from it
+    out, at, factors, seen, count = [], 0, 0, set(), 0
+    for e in ends:
+        while at < e:
+            count += 1
+            seen.add(ids[at])
+            at += 1
+            if len(seen) / count <= threshold:
+                factors, seen, count = factors + 1, set(), 0
+        if not e:
+            out.append(None)
+            continue
+        ahead = factors + (part(len(seen) / count) if count else 0)
+        way, i = [], e - 1
+        while i >= 0 and i not in jumps:
+            end, ttr = _factor_back(ids, later, i, threshold)
+            if end < 0:
+                jumps[i] = 0, part(ttr)
+                break
+            way.append(i)
+            i = end - 1
+        whole, rest = jumps[i] if i >= 0 else (0, 0.0)
+        for i in reversed(way):
+            whole += 1
+            jumps[i] = whole, rest
+        back = whole + rest
+        # no factor at all means that no word came twice
+        out.append((e / (ahead or 1.0) + e / (back or 1.0)) / 2.0)
+    return out
+
+
+def make_prefix_mtld_udf(threshold: float = THRESHOLD):
+    """Per message of a session (an array of word arrays): words so far and their MTLD."""
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token_count", T.LongType()), T.StructField("mtld", T.DoubleType())])))
+    def prefix_mtld_udf(parts: pd.Series) -> pd.Series:
+        def score(messages):
+            ends = np.cumsum([len(m) for m in messages]).tolist()
+            words = [w for m in messages for w in m]
+            return [{"token_count": e, "mtld": v} for e, v in zip(ends, prefix_mtld(words, ends, threshold))]
+        return parts.map(score)
+    return prefix_mtld_udf
+
+
 def make_mtld_udf(threshold: float = THRESHOLD):
     @F.pandas_udf(T.DoubleType())
     def mtld_udf(words: pd.Series) -> pd.Series:
@@ -61,3 +150,4 @@ def make_mtld_udf(threshold: float = THRESHOLD):
 
 
 mtld_udf = make_mtld_udf()
+prefix_mtld_udf = make_prefix_mtld_udf()

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkframe.functions.mtld import mtld_udf
+from talkframe.functions.mtld import mtld_udf, prefix_mtld_udf
 from talkframe.functions.quantiles import exact_quantiles
 from talkframe.functions.text import strict_words
 from talkframe.lexicons import STRICT_DISFLUENCIES
@@ -69,10 +69,17 @@ def matched_strategy(sw: DataFrame, left: str = "real", right: str = "synthetic"
 
 
 def cumulative_strategy(msgs: DataFrame, min_tokens: int = 100) -> DataFrame:
-    """After each non-empty message, MTLD of all words so far."""
-    w = Window.partitionBy(*SESSION).orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    cum = msgs.withColumn("cum", F.flatten(F.collect_list("words").over(w))).where(F.size("words") > 0)
-    return _row(cum, "Cumulative", F.col("turn_index"), F.col("cum"), min_tokens)
+    """After each non-empty message, MTLD of all words so far.
+
+    A session's words are gathered once and every prefix is scored on the way
+    (``functions/mtld.py``): rows and memory grow with the words, not their square."""
+    g = msgs.where(F.size("words") > 0).groupBy(*SESSION).agg(F.array_sort(F.collect_list(F.struct("turn", "turn_index", "words"))).alias("_p"))
+    scored = F.arrays_zip(F.col("_p.turn_index").alias("turn_index"), prefix_mtld_udf(F.col("_p.words")).alias("_s"))
+    rows = g.select(*SESSION, F.explode(scored).alias("_r"))
+    n = F.col("_r._s.token_count")
+    return rows.select("session_id", _speaker().alias("speaker_type"), F.lit("Cumulative").alias("analysis_type"),
+                       F.col("_r.turn_index").cast("bigint").alias("turn_index"), n.alias("token_count"), F.col("_r._s.mtld").alias("mtld"),
+                       (n >= min_tokens).alias("meets_threshold"))
 
 
 def turn_strategy(msgs: DataFrame, min_tokens: int = 100) -> DataFrame:

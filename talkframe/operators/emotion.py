@@ -12,7 +12,7 @@ The lexicon is joined, not unrolled: it is pre-aggregated to one row per word
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkframe.functions.text import py_strip, strict_words
@@ -24,9 +24,11 @@ from talkframe.operators.turns import SESSION
 DISPLAY_ORDER = ["joy", "trust", "fear", "surprise", "sadness", "disgust", "anger", "anticipation"]
 
 
-def display_order(emotions) -> list:
-    """The known emotions in report order, then any others as they come."""
-    return [e for e in DISPLAY_ORDER if e in emotions] + [e for e in emotions if e not in DISPLAY_ORDER]
+def display_rank(emotion: Column, place: Column) -> Column:
+    """Place of an emotion in the reports: the known ones in their order, others after them by ``place``."""
+    known = F.array(*[F.lit(e) for e in DISPLAY_ORDER])
+    rank = F.array_position(known, emotion)
+    return F.when(rank > 0, rank - 1).otherwise(place + len(DISPLAY_ORDER)).cast("int")
 
 
 def lexicon_table(spark, pairs) -> DataFrame:
@@ -37,13 +39,12 @@ def _z(k, n, p):
     return F.when((n > 0) & (p > 0) & (p < 1), (k - n * p) / F.sqrt(n * p * (1 - p))).otherwise(F.lit(0.0))
 
 
-def emotion_priors(lexicon: DataFrame, emotions=EMOTIONS) -> dict:
-    """p_e per emotion: the share of distinct lexicon words tagged e, as scalar
-    subqueries of one aggregate (nothing runs while a query is being built)."""
+def emotion_priors(lexicon: DataFrame, emotions=EMOTIONS) -> Column:
+    """A struct of p_e per emotion: the share of distinct lexicon words tagged e, as
+    one scalar subquery (nothing runs while a query is being built)."""
     d = lexicon.distinct()
-    row = d.agg(F.struct(*[F.coalesce(F.count_if(F.col("emotion") == e) / F.nullif(F.count_distinct("word"), F.lit(0)),
-                                      F.lit(0.0)).alias(e) for e in emotions]).alias("p")).scalar()
-    return {e: row[e] for e in emotions}
+    return d.agg(F.struct(*[F.coalesce(F.count_if(F.col("emotion") == e) / F.nullif(F.count_distinct("word"), F.lit(0)),
+                                       F.lit(0.0)).alias(e) for e in emotions]).alias("p")).scalar()
 
 
 def message_emotion_counts(msgs: DataFrame, lexicon: DataFrame, emotions=EMOTIONS,
@@ -61,8 +62,9 @@ def message_emotion_counts(msgs: DataFrame, lexicon: DataFrame, emotions=EMOTION
                                   *[F.count_if(F.array_contains("emos", e)).alias(f"k_{e}") for e in emotions])
 
 
-def with_z(counts: DataFrame, priors: dict, emotions=EMOTIONS) -> DataFrame:
-    return counts.select("*", *[_z(F.col(f"k_{e}"), F.col("n"), priors[e]).alias(e) for e in emotions])
+def with_z(counts: DataFrame, priors: Column, emotions=EMOTIONS) -> DataFrame:
+    known = counts.withColumn("_p", priors)  # a column, so that the subquery is read once
+    return known.select("*", *[_z(F.col(f"k_{e}"), F.col("n"), F.col(f"_p.{e}")).alias(e) for e in emotions]).drop("_p")
 
 
 def patient_sequence(turns: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def bucket_scores(turns: DataFrame, lexicon: DataFrame, size: int = 3, max_turns
         F.sum("n").alias("n"), *[F.sum(f"k_{e}").alias(f"k_{e}") for e in emotions])
     zed = with_z(pooled, pri, emotions)
     long = zed.select("corpus", "bucket", F.inline(F.array(*[
-        F.struct(F.lit(i).alias("emotion_order"), F.lit(e).alias("emotion"), F.col(e).alias("z"))
-        for i, e in enumerate(display_order(emotions))])))
-    return long.select("corpus", "bucket", "emotion_order", "emotion", "z", F.abs("z").alias("abs_z"),
+        F.struct(F.lit(i).alias("_place"), F.lit(e).alias("emotion"), F.col(e).alias("z")) for i, e in enumerate(emotions)])))
+    rank = display_rank(F.col("emotion"), F.col("_place"))
+    return long.select("corpus", "bucket", rank.alias("emotion_order"), "emotion", "z", F.abs("z").alias("abs_z"),
                        (F.abs("z") >= significance).alias("significant"))

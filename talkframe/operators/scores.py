@@ -2,9 +2,10 @@
 
 A37 (re-aimed): turn scores from a corpus bigram language model kept as
 tables — ``bigram(w1, w2, c12)`` and ``context(w1, c1)`` — built from a training
-corpus; a response is scored by equi-joins on ``(w1, w2)`` and ``w1``.  No side
-is forced to broadcast: the model grows with the vocabulary, so AQE decides at
-run time, and its skew-join handling splits hot bigrams such as ("of", "the").
+corpus.  The distinct bigrams of the responses are scored once, by equi-joins of
+counted rows; responses then meet that table once.  Its heavy hitters, bigrams with
+more than a ``HEAVY``-th of all occurrences (so fewer than ``HEAVY`` of them), are
+broadcast; the others are joined by a shuffle in which no key is hot.
 
 A38-A41 summarise any ``scores(session_id, idx, score)`` table.
 """
@@ -33,8 +34,8 @@ def _bigrams(toks, first):
                        lambda i: F.struct(F.element_at(prev, i).alias("w1"), F.element_at(toks, i).alias("w2")))
 
 
-#: Parts that a word's rows are split into when they meet the model.
-SALTS = 8
+#: A bigram with more than this part of all occurrences is a heavy hitter.
+HEAVY = 4096
 
 
 def train_bigram_model(train_turns: DataFrame):
@@ -76,15 +77,20 @@ def score_responses(turns: DataFrame, model, max_patient_turns: int = 20, role:
     bg = r.select(*SESSION, F.col("patient_idx").cast("bigint").alias("patient_idx"),
                   F.inline(_bigrams(F.col("toks"), F.col("ctx_word"))))
     V = vocab.scalar()
-    # repeated bigrams of a message count once; every word key is split by a fixed
-    # salt of the message, against which the model's rows are repeated
     msg = [*SESSION, "patient_idx"]
-    bg = bg.groupBy(*msg, "w1", "w2").agg(F.count(F.lit(1)).alias("k"))
-    bg = bg.withColumn("_salt", F.pmod(F.xxhash64(*msg), F.lit(SALTS)).cast("int"))
-    salted = lambda df: df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    j = (bg.join(salted(bigram), ["w1", "w2", "_salt"], "left").join(salted(context), ["w1", "_salt"], "left")
-         .select(*msg, "k", F.ln((F.coalesce("c12", F.lit(0)) + 1) / (F.coalesce("c1", F.lit(0)) + V)).alias("lp")))
-    g = j.groupBy(*msg).agg(F.sum("k").alias("n_bigrams"), (-F.sum(F.col("k") * F.col("lp")) / F.sum("k")).alias("nll"))
+    counted = bg.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k"))
+    heavy = F.col("k") > counted.agg(F.sum("k")).scalar() / HEAVY
+    lp = F.ln((F.coalesce("c12", F.lit(0)) + 1) / (F.coalesce("c1", F.lit(0)) + V))
+
+    def scored(seen):  # one row per distinct bigram
+        return seen.join(bigram, ["w1", "w2"], "left").join(context, "w1", "left").select("w1", "w2", lp.alias("lp"))
+
+    hot = F.broadcast(counted.where(heavy).select("w1", "w2"))  # fewer than HEAVY rows
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("lp").alias("s")]
+    often = bg.join(F.broadcast(scored(counted.where(heavy))), ["w1", "w2"])
+    seldom = bg.join(hot, ["w1", "w2"], "left_anti").join(scored(counted.where(~heavy)), ["w1", "w2"])
+    parts = often.groupBy(*msg).agg(*sums).unionByName(seldom.groupBy(*msg).agg(*sums))
+    g = parts.groupBy(*msg).agg(F.sum("n").alias("n_bigrams"), (-F.sum("s") / F.sum("n")).alias("nll"))
     return g.withColumn("ppl", F.exp("nll"))
 
 

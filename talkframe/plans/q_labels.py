@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from talkframe.functions.text import py_strip, word_count
 from talkframe.operators import agreement as G
 from talkframe.operators import labels as L
+from talkframe.operators.alignment import aligned_labels
 from talkframe.operators.replies import parse_label_json
 from talkframe.operators.turns import patient_messages, patient_turns
 from talkframe.plans.catalog import query
@@ -306,6 +307,68 @@ def j9_label_turn_alignment(spark, sf_dir):
                     (F.substring(py_strip("content"), 1, 30) != F.substring(py_strip("text"), 1, 30)).alias("misaligned"))
 
 
+def shifted_labels(spark, sf_dir):
+    """Labels as a careless labeler returns them: neighbours changed over in every third
+    session, some contents retold, some cut to nothing."""
+    idx, n = F.col("label_idx"), word_count("content")
+    lab = conv_labels(spark, sf_dir).drop("turn")
+    last = F.max("label_idx").over(Window.partitionBy("corpus", "session_id"))
+    other = F.when(idx % 2 == 1, idx - 1).when(idx < last, idx + 1).otherwise(idx)
+    told = F.when(n % 7 == 3, F.concat(F.lit("Retold: "), "content")).when(n % 11 == 4, F.lit(" ")).otherwise(F.col("content"))
+    return lab.select("corpus", "session_id", F.when(F.col("session_id") % 3 == 0, other).otherwise(idx).alias("label_idx"), "label", told.alias("content"))
+
+
+@query("j9_content_alignment", _sql(f"""
+, seen AS (SELECT *, max(label_idx) OVER (PARTITION BY corpus, session_id) AS last_idx, len({s_words('text')}) AS nw FROM convl),
+lab AS (SELECT corpus, session_id, label,
+    CAST(CASE WHEN session_id % 3 <> 0 THEN label_idx WHEN label_idx % 2 = 1 THEN label_idx - 1 WHEN label_idx < last_idx THEN label_idx + 1
+         ELSE label_idx END AS BIGINT) AS label_idx,
+    CASE WHEN nw % 7 = 3 THEN 'Retold: ' || text WHEN nw % 11 = 4 THEN ' ' ELSE text END AS content FROM seen),
+pt AS (SELECT corpus, session_id, turn, {s_strip('text')} AS text, row_number() OVER (PARTITION BY corpus, session_id ORDER BY turn) - 1 AS p
+       FROM turns WHERE role = 'assistant' AND length({s_strip('text')}) > 0),
+lk AS (SELECT *, row_number() OVER (PARTITION BY corpus, session_id, k ORDER BY label_idx) AS nth FROM (
+       SELECT corpus, session_id, label_idx, substr({s_strip('content')}, 1, 30) AS k FROM lab) x WHERE length(k) > 0),
+pk AS (SELECT *, row_number() OVER (PARTITION BY corpus, session_id, k ORDER BY p) AS nth FROM (
+       SELECT corpus, session_id, p, substr(text, 1, 30) AS k FROM pt) x),
+a AS (SELECT corpus, session_id, lk.label_idx AS l, pk.p FROM lk JOIN pk USING (corpus, session_id, k, nth)),
+up(corpus, session_id, l, p, n) AS (
+  SELECT *, 1 FROM a UNION SELECT b.corpus, b.session_id, b.l, b.p, up.n + 1 FROM up JOIN a b
+    ON b.corpus = up.corpus AND b.session_id = up.session_id AND b.l > up.l AND b.p > up.p),
+down(corpus, session_id, l, p, n) AS (
+  SELECT *, 1 FROM a UNION SELECT b.corpus, b.session_id, b.l, b.p, down.n + 1 FROM down JOIN a b
+    ON b.corpus = down.corpus AND b.session_id = down.session_id AND b.l < down.l AND b.p < down.p),
+best AS (
+  SELECT *, max(u) OVER (PARTITION BY corpus, session_id) AS most FROM (
+    SELECT corpus, session_id, l, p, max(n) AS u FROM up GROUP BY ALL) x JOIN (
+    SELECT corpus, session_id, l, p, max(n) AS d FROM down GROUP BY ALL) y USING (corpus, session_id, l, p)),
+cand AS (SELECT * FROM best WHERE u + d - 1 = most),
+chain(corpus, session_id, l, p, u) AS (
+  SELECT corpus, session_id, min(l), arg_min(p, l), 1 FROM cand WHERE u = 1 GROUP BY corpus, session_id
+  UNION ALL
+  SELECT c.corpus, c.session_id, min(n.l), arg_min(n.p, n.l), c.u + 1 FROM chain c JOIN cand n
+    ON n.corpus = c.corpus AND n.session_id = c.session_id AND n.u = c.u + 1 AND n.l > c.l AND n.p > c.p GROUP BY c.corpus, c.session_id, c.u),
+placed AS (
+  SELECT lab.corpus, lab.session_id, lab.label_idx, lab.label, h.p AS own,
+    (SELECT max(l) FROM chain c WHERE c.corpus = lab.corpus AND c.session_id = lab.session_id AND c.l <= lab.label_idx) AS bl,
+    (SELECT min(l) FROM chain c WHERE c.corpus = lab.corpus AND c.session_id = lab.session_id AND c.l >= lab.label_idx) AS fl
+  FROM lab LEFT JOIN chain h ON h.corpus = lab.corpus AND h.session_id = lab.session_id AND h.l = lab.label_idx),
+near AS (
+  SELECT q.*, b.p AS bp, f.p AS fp FROM placed q
+  LEFT JOIN chain b ON b.corpus = q.corpus AND b.session_id = q.session_id AND b.l = q.bl
+  LEFT JOIN chain f ON f.corpus = q.corpus AND f.session_id = q.session_id AND f.l = q.fl),
+guess AS (
+  SELECT *, CASE WHEN own IS NOT NULL THEN own WHEN bl IS NOT NULL AND fl IS NOT NULL THEN CASE WHEN fl - bl = fp - bp THEN bp + label_idx - bl END
+                 WHEN bl IS NOT NULL THEN bp + label_idx - bl WHEN fl IS NOT NULL THEN fp - (fl - label_idx) ELSE label_idx END AS g,
+         CASE WHEN own IS NOT NULL THEN 'content' WHEN bl IS NOT NULL AND fl IS NOT NULL THEN 'between'
+              WHEN bl IS NULL AND fl IS NULL THEN 'position' ELSE 'beside' END AS how FROM near)
+SELECT g.corpus, g.session_id, g.label_idx, g.label, CAST(pt.p AS BIGINT) AS patient_idx, pt.turn,
+       CASE WHEN pt.turn IS NULL THEN 'unplaced' ELSE how END AS method, CAST(pt.p - g.label_idx AS BIGINT) AS shift
+FROM guess g LEFT JOIN pt ON pt.corpus = g.corpus AND pt.session_id = g.session_id AND pt.p = g.g""").replace("WITH ", "WITH RECURSIVE ", 1))
+def j9_content_alignment(spark, sf_dir):
+    """Labels on their turns by content, whatever was left out, changed over or retold."""
+    return aligned_labels(shifted_labels(spark, sf_dir), turns_only(spark, sf_dir))
+
+
 @query("a24_mismatch_debug", _sql(f"""
 , n AS (SELECT corpus, session_id, count(*) FILTER (WHERE role = 'assistant' AND length({s_strip('text')}) > 0) AS n_patient,
                CAST(to_json(list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn)) AS VARCHAR) AS input_messages

@@ -72,9 +72,8 @@ def a40_score_histogram(spark, sf_dir):
 
 @query("a41_flatten_scores", f"""WITH {_EV} SELECT session_id, idx, score FROM ev""")
 def a41_flatten_scores(spark, sf_dir):
-    """The flat series; scores that arrive nested are flattened first and
-    never gathered again."""
-    return event_scores(spark, sf_dir)
+    """Scores that arrive nested, one list per session, as a flat series."""
+    return SC.flatten_nested(SC.nest_scores(event_scores(spark, sf_dir)))
 
 
 @query("s14_session_scores", f"""WITH {_EV},

@@ -26,10 +26,45 @@ def _hash_exchanges(df):
     return _plan(df).count("Exchange hashpartitioning")
 
 
-def test_window_and_aggregate_share_one_shuffle(spark):
-    t = turns_df(spark, [("c", i // 4, i % 4, "user" if i % 3 else "assistant", f"t{i}") for i in range(40)])
-    assert _hash_exchanges(T.merge_consecutive(t)) == 1
-    assert _hash_exchanges(M.session_markers(t, depressive_lexicon(), max_turns=2)) == 1
+def _final(df):
+    """The plan as it ran: adaptive execution drops what turned out to be empty."""
+    rows = df.collect()
+    p = _plan(df)
+    return rows, p[p.index("== Final Plan =="):p.index("== Initial Plan ==")]
+
+
+def test_short_conversations_are_shuffled_once(spark, scratch):
+    rows = [("c", i // 4, i % 4, "user" if i % 3 else "assistant", f"t{i}") for i in range(40)]
+    turns_df(spark, rows).write.parquet(f"{scratch}/turns")
+    t = spark.read.parquet(f"{scratch}/turns")
+    for df in (T.merge_consecutive(t), T.patient_turns(t), T.context_budget(t, 5)):
+        got, p = _final(df)
+        assert got and p.count("Exchange hashpartitioning") == 1 and "Join" not in p
+    assert _hash_exchanges(M.session_markers(t, depressive_lexicon())) == 1
+
+
+def test_message_reports_shuffle_nothing(spark):
+    from talkframe.plans import catalog
+    for name in ("p4_role_relabel", "p5_format_messages", "p8_similarity_clean", "p9_word_token_counts", "p20_split_thinking"):
+        assert "Exchange" not in _plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_emotion_priors_are_one_subquery(spark):
+    from talkframe.plans import catalog
+    for name in ("a19_turn_emotions", "a22_bucket_scores"):
+        p = _plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+        assert p.count("Exchange") <= 10 and p.count("Subquery subquery") <= 2
+
+
+def test_partition_numbers_follow_the_cluster_setting(spark):
+    from talkframe.session import shuffle_parts
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert shuffle_parts(spark) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set(key, "37")
+    try:
+        assert shuffle_parts(spark) == 37
+    finally:
+        spark.conf.unset(key)
 
 
 def test_filters_reach_the_parquet_scan(spark, scratch):
