@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from talkframe.operators.turns import normalize_backend, relabel_role
 from talkframe.schemas import CCD, MESSAGES, PROFILE, PUBLISHED_CORPUS, RAW_DIALOG, REAL_CORPUS, SESSION_FILE
-from talkframe.session import cut_lineage
+from talkframe.sources.json_objects import read_json_objects
 
 SESSION_FILE_RE = r"^session_(\d+)\.json$"
 # Real corpus sources and the names that route to them.
@@ -174,16 +174,14 @@ def read_real_corpus(spark: SparkSession, path: str, name: str = "all", ids: Dat
 def read_raw_dialogs(spark: SparkSession, path: str, indices: DataFrame | None = None) -> DataFrame:
     """Raw support-dialogue JSON files (a list of dialogs); a dialog is one
     row, keyed by its file and, as ``id_source``, its position in that file;
-    speaker seeker → assistant, supporter → user.  ``indices`` has ``id_source``
+    speaker seeker → assistant, supporter → user.  One file is read by many tasks
+    (``sources/json_objects.py``).  ``indices`` has ``id_source``
     and, to tell files apart, may have ``file``."""
-    df = spark.read.schema(RAW_DIALOG).option("multiLine", True).json(path).select("*", _file_name(F.col("_metadata.file_path")).alias("file"))
-    # a file is read by one task in order: the ids of its rows are consecutive (pinned, both branches use them)
-    df = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
-    first = df.groupBy("file").agg(F.min("_id").alias("_first"))
-    rows = df.join(first, "file").select(
-        "file", (F.col("_id") - F.col("_first")).cast("bigint").alias("id_source"), "situation",
-        F.transform("dialog", lambda m: F.struct(relabel_role(m["speaker"], "speaker").alias("role"),
-                                                 m["content"].alias("content"))).alias("messages"))
+    doc = F.from_json("json", RAW_DIALOG)
+    rows = read_json_objects(spark, path).select(_file_name(F.col("file_path")).alias("file"), F.col("position").alias("id_source"), doc.alias("d"))
+    rows = rows.select("file", "id_source", "d.situation",
+                       F.transform("d.dialog", lambda m: F.struct(relabel_role(m["speaker"], "speaker").alias("role"),
+                                                                  m["content"].alias("content"))).alias("messages"))
     if indices is not None:
         keys = [c for c in ("file", "id_source") if c in indices.columns]
         rows = rows.join(indices.select(*keys), keys, "left_semi")
