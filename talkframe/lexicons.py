@@ -165,13 +165,21 @@ def disfluency_lexicon(mode: str = "substring") -> list[Entry]:
     return [Entry(d, d, mode, "Disfluency") for d in DISFLUENCIES]
 
 
+#: Entries that a lexicon given as a DataFrame may have: it is a parameter of the plan.
+MAX_ENTRIES = 100_000
+
+
 def as_rows(entries) -> list[Entry]:
     """Accept a list of Entry / tuples or a DataFrame of them: the patterns become
     expressions of the plan, so a lexicon is a parameter, not data (word lists
-    of any size are joined instead, see ``operators.emotion``)."""
+    of any size are joined instead, see ``operators.emotion``).  A DataFrame of
+    more than ``MAX_ENTRIES`` rows is refused."""
     if hasattr(entries, "collect"):
+        entries = entries.limit(MAX_ENTRIES + 1).collect()
+        if len(entries) > MAX_ENTRIES:
+            raise ValueError(f"a lexicon may have {MAX_ENTRIES} entries; join longer word lists instead")
         return [Entry(r["category"], r["pattern"], r["kind"] if "kind" in r else "regex",
-                      r["section"] if "section" in r else None) for r in entries.collect()]
+                      r["section"] if "section" in r else None) for r in entries]
     out = []
     for e in entries:
         out.append(e if isinstance(e, Entry) else Entry(*e))

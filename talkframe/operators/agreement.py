@@ -125,11 +125,19 @@ def label_distribution(pairs: DataFrame, categories, names=("labeler_1", "labele
                                                              F.coalesce("count", F.lit(0)).cast("bigint").alias("count"))
 
 
-def disagreements(pairs: DataFrame, n: int = 20) -> DataFrame:
-    """First ``n`` disagreements by (session, position) and the total count."""
-    d = pairs.where(F.col("a") != F.col("b"))
-    total = d.agg(F.count(F.lit(1))).scalar()  # scalar subquery, no join
-    return d.orderBy("corpus", "session_id", "idx").limit(n).withColumn("total_disagreements", total)
+def disagreements(pairs: DataFrame, n: int = 20, parts: int = 64) -> DataFrame:
+    """First ``n`` disagreements by (session, position) and the total count.
+
+    One pass over the pairs: each of ``parts`` parts gives its first ``n`` and its
+    count, and the last step sees ``parts * n`` rows at most."""
+    keys = ["corpus", "session_id", "idx"]
+    d = pairs.where(F.col("a") != F.col("b")).withColumn("_part", F.pmod(F.xxhash64(*keys[:2]), F.lit(parts)))
+    own = Window.partitionBy("_part")
+    d = d.withColumn("_r", F.row_number().over(own.orderBy(*keys))).withColumn("_n", F.count(F.lit(1)).over(own)).where(F.col("_r") <= n)
+    few = Window.partitionBy()
+    total = F.sum(F.when(F.col("_r") == 1, F.col("_n"))).over(few)
+    d = d.withColumn("total_disagreements", total).withColumn("_r", F.row_number().over(few.orderBy(*keys)))
+    return d.where(F.col("_r") <= n).drop("_part", "_r", "_n")
 
 
 def progression_comparison(pairs: DataFrame, max_positions: int = 15) -> DataFrame:

@@ -3,6 +3,8 @@
 The lexicon × text theta join is unrolled: each (small) lexicon row becomes a
 literal ``regexp_count`` / substring-count column, so the whole feature
 projection is one codegen'd stage and every pattern is compiled once per task.
+The literals of a lexicon with more than ``PASSES`` of them are counted by one
+automaton in one pass (``functions/automaton.py``); regexes stay as they are.
 Counts are computed once into a wide message/session feature table; every
 report below is a cheap aggregate of it.
 
@@ -19,6 +21,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkframe.functions.automaton import literal_counts
 from talkframe.functions.text import approx_tokens, py_strip, word_count
 from talkframe.lexicons import PRONOUN_CATEGORIES, as_rows
 from talkframe.operators.turns import PATIENT_ROLE, SESSION, patient_messages, patient_turns
@@ -37,13 +40,29 @@ def categories(lexicon) -> list[str]:
     return seen
 
 
+#: Literals of a lexicon that get a pass each; more of them share one.
+PASSES = 64
+
+
+def _literals(lexicon):
+    """(category number, kind, pattern) of the literals, if there are too many for a pass each."""
+    rows = as_rows(lexicon)
+    number = {c: i for i, c in enumerate(categories(rows))}
+    found = [(number[e.category], e.kind, e.pattern) for e in rows if e.kind in ("substring", "word")]
+    return (found, number) if len(found) > PASSES else (None, number)
+
+
 def count_expr(text: Column, lexicon, category: str, case_insensitive: bool = True,
                lower_text: bool = False) -> Column:
     """Σ over the category's patterns of non-overlapping matches in ``text``."""
     t = F.lower(text) if lower_text else text
     terms = []
+    literals, number = _literals(lexicon)
+    if literals and any(c == number[category] for c, _, _ in literals):
+        # the same expression for every category: Spark runs it once
+        terms.append(F.get(literal_counts(t, literals, len(number), case_insensitive), number[category]))
     for e in as_rows(lexicon):
-        if e.category != category:
+        if e.category != category or (literals and e.kind in ("substring", "word")):
             continue
         if e.kind == "substring":
             d = e.pattern

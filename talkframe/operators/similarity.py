@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,21 +83,106 @@ def _block_max_cosine(targets: pd.Series, cands: pd.Series) -> pd.Series:
     """For each target vector of a block, the max cosine to the candidate block."""
     out = []
     for tb, cb in zip(targets, cands):
-        a = np.asarray([np.asarray(v, dtype=np.float64) for v in tb])
-        b = np.asarray([np.asarray(v, dtype=np.float64) for v in cb])
-        a = a / np.linalg.norm(a, axis=1, keepdims=True)
-        b = b / np.linalg.norm(b, axis=1, keepdims=True)
-        out.append((a @ b.T).max(axis=1).tolist())
+        out.append((_unit(tb) @ _unit(cb).T).max(axis=1).tolist())
     return pd.Series(out)
 
 
+#: Signs of random projections that order vectors; alike ones share the leading ones.
+_SIGNS = 24
+#: Added to angles, so that rounding prunes nothing that counts.
+_SLACK = 1e-6
+
+
+@F.pandas_udf(T.LongType())
+def _signs(vecs: pd.Series) -> pd.Series:
+    planes: dict = {}
+    out = []
+    for v in vecs:
+        if len(v) not in planes:
+            planes[len(v)] = np.random.default_rng([11, len(v)]).normal(size=(len(v), _SIGNS))
+        out.append(int(((np.asarray(v, np.float64) @ planes[len(v)]) > 0) @ (1 << np.arange(_SIGNS)[::-1])))
+    return pd.Series(out, dtype="int64")
+
+
+def _unit(vecs) -> np.ndarray:
+    a = np.asarray([np.asarray(v, np.float64) for v in vecs])
+    n = np.linalg.norm(a, axis=1, keepdims=True)
+    return np.divide(a, n, out=np.zeros_like(a), where=n > 0)
+
+
+_BLOCK = T.StructType([T.StructField("rows", T.ArrayType(T.IntegerType())), T.StructField("center", T.ArrayType(T.DoubleType())),
+                       T.StructField("radius", T.DoubleType())])
+#: Blocks that a group of alike vectors is cut into, about.
+_CUTS = 16
+
+
+def _balls(u: np.ndarray, size: int) -> list:
+    """Unit vectors cut into blocks around pivots: (rows, center, greatest angle) each.
+
+    Each pivot is the vector farthest from those before it, and vectors go to the
+    nearest pivot; a pivot of more than ``size`` vectors gets several blocks.  A
+    vector without length is at a right angle to all."""
+    near, home, pivot = np.full(len(u), -np.inf), np.zeros(len(u), np.int64), 0
+    for k in range(-(-len(u) // size)):
+        dot = u @ u[pivot]
+        home[dot > near] = k
+        near = np.maximum(near, dot)
+        pivot = int(near.argmin())
+    out = []
+    for k in range(home.max(initial=-1) + 1):
+        own = np.flatnonzero(home == k)
+        for rows in np.array_split(own, -(-len(own) // size)) if len(own) else []:
+            c = u[rows].sum(axis=0)
+            c = c / np.linalg.norm(c) if np.linalg.norm(c) > 0 else np.eye(1, u.shape[1])[0]
+            angle = np.where(u[rows].any(axis=1), np.arccos(np.clip(u[rows] @ c, -1, 1)), np.pi / 2)
+            out.append({"rows": rows.tolist(), "center": c.tolist(), "radius": float(angle.max())})
+    return out
+
+
+def _cut(size: int):
+    @F.pandas_udf(T.ArrayType(_BLOCK))
+    def cut(groups: pd.Series) -> pd.Series:
+        return groups.map(lambda vecs: _balls(_unit(vecs), size))
+    return cut
+
+
 def _blocks(df: DataFrame, doc: str, vid: str, vec: str, block_size: int) -> DataFrame:
-    """Vectors grouped into blocks of ≈ block_size per document (hash-assigned,
-    so a huge document spreads over many tasks without a per-document sort)."""
+    """(doc, _blk, ids, vecs, center, radius): blocks of at most ``block_size`` vectors of a
+    document around pivots.  Vectors first go to groups of about ``_CUTS`` blocks, alike
+    ones together (as many signs as the document needs; what overflows by a hash), so a
+    huge document spreads over many tasks, and each group is cut into its blocks."""
     sizes = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
-    nb = F.greatest(F.ceil(F.col("_n") / block_size), F.lit(1))
-    d = df.join(sizes, doc).withColumn("_blk", F.pmod(F.xxhash64(vid), nb))
-    return d.groupBy(doc, "_blk").agg(F.collect_list(vid).alias("ids"), F.collect_list(vec).alias("vecs"))
+    group = block_size * _CUTS
+    bits = F.greatest(F.lit(0), F.least(F.lit(_SIGNS), F.ceil(F.log2(F.col("_n") / group)))).cast("int")
+    d = df.withColumn("_code", _signs(vec)).join(sizes, doc).withColumn("_bits", bits)
+    d = d.withColumn("_code", F.expr(f"shiftright(_code, {_SIGNS} - _bits)"))
+    parts = d.groupBy(doc, "_code").agg(F.ceil(F.count(F.lit(1)) / group).alias("_parts"))
+    d = d.join(parts, [doc, "_code"]).withColumn("_part", F.pmod(F.xxhash64(vid), F.col("_parts")))
+    g = d.groupBy(doc, "_code", "_part").agg(F.collect_list(F.struct(F.col(vid).alias("id"), F.col(vec).alias("v"))).alias("_m"))
+    g = g.select(doc, "_code", "_part", "_m", F.posexplode(_cut(block_size)(F.col("_m.v"))).alias("_cut", "_b"))
+    own = F.transform("_b.rows", lambda i: F.get("_m", i))
+    g = g.select(doc, F.struct("_code", "_part", "_cut").alias("_blk"), own.alias("_own"), "_b.center", "_b.radius")
+    return g.select(doc, "_blk", F.col("_own.id").alias("ids"), F.col("_own.v").alias("vecs"), "center", "radius")
+
+
+def block_pairs(tb: DataFrame, cb: DataFrame, doc: str) -> DataFrame:
+    """(doc, t_blk, c_blk, kept) of all pairs of a document's target and candidate blocks.
+
+    Angles between members differ from the angle of the centers by the two radii at
+    most.  So each target finds a candidate at the least of the greatest angles of its
+    block's pairs, and a pair whose least angle is greater than that is not needed.
+    Only centers meet here; a document's are dealt by its target blocks."""
+    n = tb.groupBy(doc).agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("_deals"))
+    t = tb.select(doc, F.col("_blk").alias("t_blk"), F.col("center").alias("_tc"), F.col("radius").alias("_tr")).join(n, doc)
+    t = t.withColumn("_deal", F.pmod(F.xxhash64("t_blk"), F.col("_deals")).cast("int")).drop("_deals")
+    c = cb.select(doc, F.col("_blk").alias("c_blk"), F.col("center").alias("_cc"), F.col("radius").alias("_cr")).join(n, doc)
+    c = c.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
+    j = t.join(c, [doc, "_deal"])
+    dot = F.aggregate(F.zip_with("_tc", "_cc", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    angle, spread = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))), F.col("_tr") + F.col("_cr") + _SLACK
+    j = j.select(doc, "t_blk", "c_blk", (angle - spread).alias("_near"), (angle + spread).alias("_far"))
+    surely = F.min("_far").over(Window.partitionBy(doc, "t_blk"))
+    return j.select(doc, "t_blk", "c_blk", (F.col("_near") <= surely).alias("kept"))
 
 
 def embedding_recall(targets: DataFrame, candidates: DataFrame, doc: str = "doc_id", vid: str = "vec_id",
@@ -105,13 +190,15 @@ def embedding_recall(targets: DataFrame, candidates: DataFrame, doc: str = "doc_
     """Per document, mean over target vectors of the max cosine similarity to
     the document's candidate vectors (greedy matching, no idf).
 
-    Exact: every target meets every candidate of its document, but block against
-    block — the join emits one row per (target block, candidate block), each
-    row scored by one numpy matrix product — never one row per vector pair.
+    Exact: blocks of alike vectors meet, one row per (target block, candidate block)
+    scored by one numpy matrix product, but for the pairs that an angle bound rules
+    out (``block_pairs``).  The cosine with a vector without length is 0.
     """
-    tb = _blocks(targets, doc, vid, vec, block_size).select(doc, F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs"))
-    cb = _blocks(candidates, doc, vid, vec, block_size).select(doc, F.col("vecs").alias("c_vecs"))
-    j = tb.join(cb, doc).select(doc, "t_ids", _block_max_cosine("t_vecs", "c_vecs").alias("m"))
+    tb, cb = (_blocks(x, doc, vid, vec, block_size) for x in (targets, candidates))
+    need = block_pairs(tb, cb, doc).where("kept").drop("kept")
+    j = (need.join(tb.select(doc, F.col("_blk").alias("t_blk"), F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs")), [doc, "t_blk"])
+         .join(cb.select(doc, F.col("_blk").alias("c_blk"), F.col("vecs").alias("c_vecs")), [doc, "c_blk"]))
+    j = j.select(doc, "t_ids", _block_max_cosine("t_vecs", "c_vecs").alias("m"))
     per_target = j.select(doc, F.inline(F.arrays_zip(F.col("t_ids").alias("vid"), F.col("m").alias("mx"))))
     best = per_target.groupBy(doc, "vid").agg(F.max("mx").alias("best"))
     return best.groupBy(doc).agg(F.avg("best").alias("embedding_recall"), F.count(F.lit(1)).alias("n_targets"))

@@ -75,13 +75,13 @@ UNION ALL SELECT 'turn_keys', count(*) FROM (SELECT turn FROM turns WHERE corpus
 def j12_set_ops(spark, sf_dir):
     """Intersection / union of session-id sets and union of turn keys."""
     t = turns_only(spark, sf_dir, dealt=False)
-    r, s = t.where(F.col("corpus") == "real"), t.where(F.col("corpus") == "synthetic")
-    both = r.select("session_id").intersect(s.select("session_id")).agg(F.count(F.lit(1)).alias("n"))
-    either = r.select("session_id").union(s.select("session_id")).distinct().agg(F.count(F.lit(1)).alias("n"))
-    keys = r.select("turn").union(s.select("turn")).distinct().agg(F.count(F.lit(1)).alias("n"))
-    return (both.select(F.lit("both_corpora").alias("kind"), "n")
-            .unionByName(either.select(F.lit("either_corpus").alias("kind"), "n"))
-            .unionByName(keys.select(F.lit("turn_keys").alias("kind"), "n")))
+    # one pass: a row is a session key and a turn key, and each key is seen once per corpus
+    long = t.where(F.col("corpus").isin("real", "synthetic")).select("corpus", F.inline(F.array(
+        F.struct(F.lit("session").alias("what"), F.col("session_id").alias("key")), F.struct(F.lit("turn").alias("what"), F.col("turn").alias("key")))))
+    per = long.groupBy("what", "key").agg(F.count_distinct("corpus").alias("sides"))
+    session = F.col("what") == "session"
+    kinds = {"both_corpora": session & (F.col("sides") == 2), "either_corpus": session, "turn_keys": ~session}
+    return per.agg(F.array(*[F.struct(F.lit(k).alias("kind"), F.count_if(c).alias("n")) for k, c in kinds.items()]).alias("_k")).select(F.inline("_k"))
 
 
 @query("l1_first_rows", with_turns() + """
@@ -373,3 +373,47 @@ def s11_export_round_trip(spark, sf_dir):
     export_corpus(sessions, path)
     back = read_published(spark, path, psi="PatientPsi")
     return back.select("session_id", "psi", F.size("messages_parsed").cast("bigint").alias("n_messages"), "ccd")
+
+
+@query("s8_read_published", """
+SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN props END AS content, CASE WHEN event_id % 7 = 0 THEN 'plain ' || props END AS raw
+FROM events WHERE lower(event_type) = 'click'""")
+def s8_read_published(spark, sf_dir):
+    """S8 through its reader: a published dataset of another writer (no keys to prune
+    by), filtered whatever the case, JSON text parsed, other text kept as is."""
+    import uuid
+
+    from talkframe.session import checkpoint_dir
+    from talkframe.sources.corpus import read_published
+    e = table(spark, sf_dir, "events")
+    said = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("props").alias("content"))))
+    text = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit("plain "), F.col("props"))).otherwise(said)
+    out = e.select(F.col("event_id").cast("int").alias("session_id"), text.alias("messages"), F.lit("{}").alias("profile"), F.lit("{}").alias("ccd"),
+                   F.col("event_type").alias("psi"), F.lit("x").alias("backend_llm"), F.lit(0).alias("num_patient_turns"), F.lit("s").alias("source"))
+    path = f"{checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
+    out.write.parquet(path)
+    back = read_published(spark, path, psi="CLICK")
+    return back.select(F.col("session_id").cast("bigint").alias("event_id"), F.get(F.col("messages_parsed.content"), 0).alias("content"),
+                       F.col("messages_raw").alias("raw"))
+
+
+@query("s7_raw_dialogs", with_turns() + """
+SELECT corpus || '/' || session_id AS situation, count(*) AS n_messages, count(*) FILTER (WHERE role = 'assistant') AS n_patient,
+       max(length(text)) AS longest FROM (SELECT * REPLACE (CASE WHEN role = 'assistant' THEN role ELSE 'user' END AS role) FROM turns) t GROUP BY ALL""")
+def s7_raw_dialogs(spark, sf_dir):
+    """Every conversation written as a raw dialogue and read back, in splits, with
+    its speakers mapped."""
+    import uuid
+
+    from talkframe.session import checkpoint_dir
+    from talkframe.sources.corpus import read_raw_dialogs
+    t = turns_only(spark, sf_dir, dealt=False)
+    speaker = F.when(F.col("role") == "assistant", "seeker").otherwise("supporter")
+    g = t.groupBy("corpus", "session_id").agg(F.array_sort(F.collect_list(F.struct("turn", speaker.alias("speaker"), F.col("text").alias("content")))).alias("m"))
+    dialog = F.transform("m", lambda x: F.struct(x["speaker"].alias("speaker"), x["content"].alias("content")))
+    path = f"{checkpoint_dir(spark)}/dialogs-{uuid.uuid4().hex}"
+    g.select(F.concat_ws("/", "corpus", F.col("session_id").cast("string")).alias("situation"), dialog.alias("dialog")).write.json(path)
+    back = read_raw_dialogs(spark, path)
+    spoken = F.filter("messages", lambda m: m["role"] == "assistant")
+    return back.select("situation", F.size("messages").cast("bigint").alias("n_messages"), F.size(spoken).cast("bigint").alias("n_patient"),
+                       F.array_max(F.transform("messages", lambda m: F.length(m["content"]))).cast("bigint").alias("longest"))
