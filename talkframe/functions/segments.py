@@ -16,52 +16,45 @@ moves once.
 
 The order column must be numeric; places may be missing, and rows without one form a
 segment of their own in front.  Group keys must not be null.
+
+The scans are SQL (``{turns}`` stands for the rows): one statement instead of dozens
+of calls, which is what planning time is made of.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
 #: Places of the order column in a segment.
 SEGMENT = 4096
 SEG = "_seg"
 
 
-def segment_of(order: str, size: int = SEGMENT) -> Column:
-    return F.coalesce(F.floor(F.col(order) / size), F.lit(-(1 << 62))).cast("bigint")
+def segment_of(order: str, size: int = SEGMENT) -> str:
+    """The segment of a place, as an expression."""
+    return f"CAST(coalesce(floor({order} / {size}), {-(1 << 62)}) AS BIGINT)"
 
 
-def segmented(df: DataFrame, order: str, size: int = SEGMENT) -> DataFrame:
-    return df.withColumn(SEG, segment_of(order, size))
+def segmented(rows: str, order: str, size: int = SEGMENT) -> str:
+    """``rows`` (a table or a query in brackets) with their segment."""
+    return f"(SELECT *, {segment_of(order, size)} AS {SEG} FROM {rows})"
 
 
-def long_groups(df: DataFrame, by, order: str, size: int = SEGMENT) -> DataFrame:
+def long_groups(rows: str, by: str, order: str, size: int = SEGMENT) -> str:
     """Rows of the groups with more than the first segment."""
-    place = F.col(order)
-    keys = df.where((place >= size) | (place < 0) | place.isNull()).select(*by).distinct()
-    return df.join(keys, list(by), "left_semi")
+    beyond = f"{order} >= {size} OR {order} < 0 OR {order} IS NULL"
+    return f"(SELECT * FROM {rows} LEFT SEMI JOIN (SELECT DISTINCT {by} FROM {rows} WHERE {beyond}) USING ({by}))"
 
 
-def inside(by, *order) -> Window:
+def inside(by: str, order: str = "") -> str:
     """The window of one segment of a group."""
-    w = Window.partitionBy(*by, SEG)
-    return w.orderBy(*order) if order else w
+    return f"(PARTITION BY {by}, {SEG}" + (f" ORDER BY {order}" if order else "")
 
 
-def carried_sums(df: DataFrame, by, order: str, size: int = SEGMENT, **sums: Column) -> DataFrame:
+def carried_sums(rows: str, by: str, order: str, size: int = SEGMENT, **sums: str) -> str:
     """(by, segment, name_before, name_after) of long groups: sums over the group's other segments."""
-    rows = long_groups(df, by, order, size).select(*by, segment_of(order, size).alias(SEG), *[c.alias(n) for n, c in sums.items()])
-    per = rows.groupBy(*by, SEG).agg(*[F.sum(n).alias(n) for n in sums])
-    w = Window.partitionBy(*by).orderBy(SEG)
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    return per.select(*by, SEG, *[F.sum(n).over(before).alias(f"{n}_before") for n in sums], *[F.sum(n).over(after).alias(f"{n}_after") for n in sums])
-
-
-def with_carry(rows: DataFrame, carry: DataFrame, by) -> DataFrame:
-    """``rows`` (segmented) with the columns of their segment's carry, null in groups of one segment."""
-    return rows.join(carry, [*by, SEG], "left")
-
-
-def or_zero(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0))
+    w = f"(PARTITION BY {by} ORDER BY {SEG} ROWS BETWEEN"
+    out = ", ".join(f"sum({n}) OVER {w} UNBOUNDED PRECEDING AND 1 PRECEDING) AS {n}_before, "
+                    f"sum({n}) OVER {w} 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS {n}_after" for n in sums)
+    narrow = ", ".join(f"{c} AS {n}" for n, c in sums.items())
+    total = ", ".join(f"sum({n}) AS {n}" for n in sums)
+    return (f"(SELECT {by}, {SEG}, {out} FROM (SELECT {by}, {SEG}, {total} FROM (SELECT {by}, {segment_of(order, size)} AS {SEG}, {narrow} "
+            f"FROM {long_groups(rows, by, order, size)}) GROUP BY {by}, {SEG}))")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from talkframe.functions.quantiles import exact_quantiles
 from talkframe.functions.text import strict_words
 from talkframe.operators.turns import SESSION
-from talkframe.session import cut_lineage
+from talkframe.session import written
 
 BOS = "<s>"
 
@@ -29,9 +29,8 @@ def message_tokens(turns: DataFrame) -> DataFrame:
 
 def _bigrams(toks, first):
     """Array of (w1, w2) structs with ``first`` as the context of the first token."""
-    prev = F.concat(F.array(first), toks)
-    return F.transform(F.sequence(F.lit(1), F.size(toks)),
-                       lambda i: F.struct(F.element_at(prev, i).alias("w1"), F.element_at(toks, i).alias("w2")))
+    before = F.slice(F.concat(F.array(first), toks), 1, F.size(toks))
+    return F.arrays_zip(before.alias("w1"), toks.alias("w2"))
 
 
 #: A bigram with more than this part of all occurrences is a heavy hitter.
@@ -42,8 +41,8 @@ def train_bigram_model(train_turns: DataFrame):
     """Bigram and context counts over every message (``<s>`` starts a message)."""
     t = message_tokens(train_turns).where(F.size("toks") > 0)
     bg = t.select(F.inline(_bigrams(F.col("toks"), F.lit(BOS))))
-    # written once: the scorer, the contexts and the vocabulary all read it
-    bigram = cut_lineage(bg.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12")))
+    # the scorer, the contexts and the vocabulary read one shuffle of these counts
+    bigram = bg.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c12"))
     context = bigram.groupBy("w1").agg(F.sum("c12").alias("c1"))
     # every training token is the w2 of exactly one bigram occurrence, so the
     # vocabulary comes from the (already aggregated) bigram table, not a re-scan
@@ -77,21 +76,22 @@ def score_responses(turns: DataFrame, model, max_patient_turns: int = 20, role:
     bg = r.select(*SESSION, F.col("patient_idx").cast("bigint").alias("patient_idx"),
                   F.inline(_bigrams(F.col("toks"), F.col("ctx_word"))))
     V = vocab.scalar()
-    msg = [*SESSION, "patient_idx"]
+    msg = ", ".join([*SESSION, "patient_idx"])
+    # every distinct bigram is scored once and written: it is read as the few that
+    # are heavy hitters and as the others
     counted = bg.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("k"))
-    heavy = F.col("k") > counted.agg(F.sum("k")).scalar() / HEAVY
     lp = F.ln((F.coalesce("c12", F.lit(0)) + 1) / (F.coalesce("c1", F.lit(0)) + V))
-
-    def scored(seen):  # one row per distinct bigram
-        return seen.join(bigram, ["w1", "w2"], "left").join(context, "w1", "left").select("w1", "w2", lp.alias("lp"))
-
-    hot = F.broadcast(counted.where(heavy).select("w1", "w2"))  # fewer than HEAVY rows
-    sums = [F.count(F.lit(1)).alias("n"), F.sum("lp").alias("s")]
-    often = bg.join(F.broadcast(scored(counted.where(heavy))), ["w1", "w2"])
-    seldom = bg.join(hot, ["w1", "w2"], "left_anti").join(scored(counted.where(~heavy)), ["w1", "w2"])
-    parts = often.groupBy(*msg).agg(*sums).unionByName(seldom.groupBy(*msg).agg(*sums))
-    g = parts.groupBy(*msg).agg(F.sum("n").alias("n_bigrams"), (-F.sum("s") / F.sum("n")).alias("nll"))
-    return g.withColumn("ppl", F.exp("nll"))
+    scored = written(counted.join(bigram, ["w1", "w2"], "left").join(context, "w1", "left").select("w1", "w2", "k", lp.alias("lp")), "bigram-scores")
+    sums = f"SELECT {msg}, count(*) AS n, sum(lp) AS s FROM"
+    return turns.sparkSession.sql(f"""
+        WITH often AS (SELECT w1, w2, lp AS hot FROM {{scored}} WHERE k * {HEAVY} > (SELECT sum(k) FROM {{scored}})),
+        met AS (SELECT /*+ BROADCAST(often) */ * FROM {{bg}} LEFT JOIN often USING (w1, w2)),
+        parts AS (
+          {sums} (SELECT *, hot AS lp FROM met WHERE hot IS NOT NULL) GROUP BY {msg}
+          UNION ALL
+          {sums} (SELECT * FROM met JOIN {{scored}} USING (w1, w2) WHERE hot IS NULL) GROUP BY {msg})
+        SELECT *, exp(nll) AS ppl FROM (SELECT {msg}, sum(n) AS n_bigrams, -sum(s) / sum(n) AS nll FROM parts GROUP BY {msg})""",
+                                  bg=bg, scored=scored)
 
 
 def score_summary(scores: DataFrame, all_sessions: DataFrame | None = None, key=("session_id",)) -> DataFrame:

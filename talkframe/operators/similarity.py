@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkframe.functions.text import clean_words, jaccard_pct, ngrams, rouge_tokens
 from talkframe.lexicons import ENGLISH_STOP_WORDS
 from talkframe.operators.turns import SESSION
+from talkframe.session import written
 
 
 def patient_text(turns: DataFrame) -> DataFrame:
@@ -146,43 +147,44 @@ def _cut(size: int):
     return cut
 
 
-def _blocks(df: DataFrame, doc: str, vid: str, vec: str, block_size: int) -> DataFrame:
-    """(doc, _blk, ids, vecs, center, radius): blocks of at most ``block_size`` vectors of a
-    document around pivots.  Vectors first go to groups of about ``_CUTS`` blocks, alike
-    ones together (as many signs as the document needs; what overflows by a hash), so a
-    huge document spreads over many tasks, and each group is cut into its blocks."""
-    sizes = df.groupBy(doc).agg(F.count(F.lit(1)).alias("_n"))
+def _blocks(targets: DataFrame, candidates: DataFrame, doc: str, vid: str, vec: str, block_size: int) -> DataFrame:
+    """(doc, side, blk, ids, vecs, center, radius): blocks of at most ``block_size`` vectors of a
+    document's targets (side 0) or candidates (1) around pivots.  Vectors first go to groups
+    of about ``_CUTS`` blocks, alike ones together (as many signs as the document needs; what
+    overflows by a hash), so a huge document spreads over many tasks, and each group is
+    cut into its blocks."""
+    both = targets.selectExpr(f"`{doc}` AS doc", "0 AS side", f"`{vid}` AS id", f"`{vec}` AS v").unionByName(
+        candidates.selectExpr(f"`{doc}` AS doc", "1 AS side", f"`{vid}` AS id", f"`{vec}` AS v"))
     group = block_size * _CUTS
-    bits = F.greatest(F.lit(0), F.least(F.lit(_SIGNS), F.ceil(F.log2(F.col("_n") / group)))).cast("int")
-    d = df.withColumn("_code", _signs(vec)).join(sizes, doc).withColumn("_bits", bits)
-    d = d.withColumn("_code", F.expr(f"shiftright(_code, {_SIGNS} - _bits)"))
-    parts = d.groupBy(doc, "_code").agg(F.ceil(F.count(F.lit(1)) / group).alias("_parts"))
-    d = d.join(parts, [doc, "_code"]).withColumn("_part", F.pmod(F.xxhash64(vid), F.col("_parts")))
-    g = d.groupBy(doc, "_code", "_part").agg(F.collect_list(F.struct(F.col(vid).alias("id"), F.col(vec).alias("v"))).alias("_m"))
-    g = g.select(doc, "_code", "_part", "_m", F.posexplode(_cut(block_size)(F.col("_m.v"))).alias("_cut", "_b"))
-    own = F.transform("_b.rows", lambda i: F.get("_m", i))
-    g = g.select(doc, F.struct("_code", "_part", "_cut").alias("_blk"), own.alias("_own"), "_b.center", "_b.radius")
-    return g.select(doc, "_blk", F.col("_own.id").alias("ids"), F.col("_own.v").alias("vecs"), "center", "radius")
-
-
-def block_pairs(tb: DataFrame, cb: DataFrame, doc: str) -> DataFrame:
+    groups = both.sparkSession.sql(f"""
+        WITH sizes AS (SELECT doc, side, count(*) AS n FROM {{both}} GROUP BY doc, side),
+        coded AS (
+          SELECT doc, side, id, v, shiftright(code, {_SIGNS} - CAST(greatest(0, least({_SIGNS}, ceil(log2(n / {group})))) AS INT)) AS code
+          FROM {{coded}} JOIN sizes USING (doc, side)),
+        parts AS (SELECT doc, side, code, ceil(count(*) / {group}) AS parts FROM coded GROUP BY doc, side, code)
+        SELECT doc, side, struct(code, pmod(xxhash64(id), parts) AS part) AS grp, collect_list(struct(id, v)) AS m
+        FROM coded JOIN parts USING (doc, side, code) GROUP BY doc, side, grp""",
+                                      both=both, coded=both.withColumn("code", _signs("v")))
+    cut = groups.select("doc", "side", "grp", "m", F.posexplode(_cut(block_size)(F.col("m.v"))).alias("cut", "b"))
+    return cut.selectExpr("doc", "side", "struct(grp, cut) AS blk", "transform(b.rows, i -> m[i].id) AS ids",
+                          "transform(b.rows, i -> m[i].v) AS vecs", "b.center", "b.radius")
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
     """(doc, t_blk, c_blk, kept) of all pairs of a document's target and candidate blocks.
 
     Angles between members differ from the angle of the centers by the two radii at
     most.  So each target finds a candidate at the least of the greatest angles of its
     block's pairs, and a pair whose least angle is greater than that is not needed.
     Only centers meet here; a document's are dealt by its target blocks."""
-    n = tb.groupBy(doc).agg(F.ceil(F.count(F.lit(1)) / 64).cast("int").alias("_deals"))
-    t = tb.select(doc, F.col("_blk").alias("t_blk"), F.col("center").alias("_tc"), F.col("radius").alias("_tr")).join(n, doc)
-    t = t.withColumn("_deal", F.pmod(F.xxhash64("t_blk"), F.col("_deals")).cast("int")).drop("_deals")
-    c = cb.select(doc, F.col("_blk").alias("c_blk"), F.col("center").alias("_cc"), F.col("radius").alias("_cr")).join(n, doc)
-    c = c.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
-    j = t.join(c, [doc, "_deal"])
-    dot = F.aggregate(F.zip_with("_tc", "_cc", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    angle, spread = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))), F.col("_tr") + F.col("_cr") + _SLACK
-    j = j.select(doc, "t_blk", "c_blk", (angle - spread).alias("_near"), (angle + spread).alias("_far"))
-    surely = F.min("_far").over(Window.partitionBy(doc, "t_blk"))
-    return j.select(doc, "t_blk", "c_blk", (F.col("_near") <= surely).alias("kept"))
+    return blocks.sparkSession.sql(f"""
+        WITH n AS (SELECT doc, CAST(ceil(count(*) / 64) AS INT) AS deals FROM {{b}} WHERE side = 0 GROUP BY doc),
+        t AS (SELECT doc, CAST(pmod(xxhash64(blk), deals) AS INT) AS deal, blk AS t_blk, center AS tc, radius AS tr FROM {{b}} JOIN n USING (doc) WHERE side = 0),
+        c AS (SELECT doc, explode(sequence(0, deals - 1)) AS deal, blk AS c_blk, center AS cc, radius AS cr FROM {{b}} JOIN n USING (doc) WHERE side = 1),
+        j AS (SELECT doc, t_blk, c_blk, tr + cr + {_SLACK} AS spread,
+                     acos(greatest(-1, least(1, aggregate(zip_with(tc, cc, (x, y) -> x * y), 0D, (s, x) -> s + x)))) AS angle
+              FROM t JOIN c USING (doc, deal))
+        SELECT doc, t_blk, c_blk, angle - spread <= min(angle + spread) OVER (PARTITION BY doc, t_blk) AS kept FROM j""", b=blocks)
 
 
 def embedding_recall(targets: DataFrame, candidates: DataFrame, doc: str = "doc_id", vid: str = "vec_id",
@@ -194,11 +196,14 @@ def embedding_recall(targets: DataFrame, candidates: DataFrame, doc: str = "doc_
     scored by one numpy matrix product, but for the pairs that an angle bound rules
     out (``block_pairs``).  The cosine with a vector without length is 0.
     """
-    tb, cb = (_blocks(x, doc, vid, vec, block_size) for x in (targets, candidates))
-    need = block_pairs(tb, cb, doc).where("kept").drop("kept")
-    j = (need.join(tb.select(doc, F.col("_blk").alias("t_blk"), F.col("ids").alias("t_ids"), F.col("vecs").alias("t_vecs")), [doc, "t_blk"])
-         .join(cb.select(doc, F.col("_blk").alias("c_blk"), F.col("vecs").alias("c_vecs")), [doc, "c_blk"]))
-    j = j.select(doc, "t_ids", _block_max_cosine("t_vecs", "c_vecs").alias("m"))
-    per_target = j.select(doc, F.inline(F.arrays_zip(F.col("t_ids").alias("vid"), F.col("m").alias("mx"))))
-    best = per_target.groupBy(doc, "vid").agg(F.max("mx").alias("best"))
-    return best.groupBy(doc).agg(F.avg("best").alias("embedding_recall"), F.count(F.lit(1)).alias("n_targets"))
+    # written once: centers, targets and candidates are read of it in turn
+    b = written(_blocks(targets, candidates, doc, vid, vec, block_size), "recall-blocks")
+    j = targets.sparkSession.sql("""
+        SELECT doc, t.ids AS t_ids, t.vecs AS t_vecs, c.vecs AS c_vecs FROM (SELECT * FROM {pairs} WHERE kept) p
+        JOIN (SELECT doc, blk AS t_blk, ids, vecs FROM {b} WHERE side = 0) t USING (doc, t_blk)
+        JOIN (SELECT doc, blk AS c_blk, vecs FROM {b} WHERE side = 1) c USING (doc, c_blk)""", pairs=block_pairs(b), b=b)
+    scored = j.select("doc", "t_ids", _block_max_cosine("t_vecs", "c_vecs").alias("m"))
+    return scored.sparkSession.sql(f"""
+        SELECT doc AS `{doc}`, avg(best) AS embedding_recall, count(*) AS n_targets
+        FROM (SELECT doc, z.t_ids, max(z.m) AS best FROM (SELECT doc, explode(arrays_zip(t_ids, m)) AS z FROM {{scored}}) GROUP BY doc, z.t_ids)
+        GROUP BY doc""", scored=scored)

@@ -13,10 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkframe.functions.segments import SEG, SEGMENT, carried_sums, inside, long_groups, or_zero, segmented, with_carry
+from talkframe.functions.segments import SEG, SEGMENT, carried_sums, inside, long_groups, segmented
 from talkframe.functions.text import approx_tokens, collapse_ws, py_strip
 
 SESSION = ["corpus", "session_id"]
+_SESSION = ", ".join(SESSION)
 PATIENT_ROLE = "assistant"
 THERAPIST_ROLE = "user"
 
@@ -53,43 +54,45 @@ def patient_turns(turns: DataFrame, max_turns: int | None = None, segment: int =
 
 def number_turns(msgs: DataFrame, max_turns: int | None = None, segment: int = SEGMENT) -> DataFrame:
     """``msgs`` (one row per message, any columns) with a 0-based ``patient_idx`` in each session."""
-    before = carried_sums(msgs, SESSION, "turn", segment, n=F.lit(1)).drop("n_after")
-    df = segmented(msgs, "turn", segment).withColumn("_in", F.row_number().over(inside(SESSION, "turn")))
-    if max_turns is not None:
-        df = df.where(F.col("_in") <= max_turns)  # a segment's first rows are enough
-    df = with_carry(df, before, SESSION).withColumn("patient_idx", (or_zero("n_before") + F.col("_in") - 1).cast("bigint"))
-    if max_turns is not None:
-        df = df.where(F.col("patient_idx") < max_turns)
-    return df.drop(SEG, "_in", "n_before")
+    before = carried_sums("{msgs}", _SESSION, "turn", segment, n="1")
+    numbered = f"SELECT *, row_number() OVER {inside(_SESSION, 'turn')}) AS _in FROM {segmented('{msgs}', 'turn', segment)}"
+    if max_turns is not None:  # a segment's first rows are enough
+        numbered = f"SELECT * FROM ({numbered}) WHERE _in <= {int(max_turns)}"
+    few = "" if max_turns is None else f"WHERE patient_idx < {int(max_turns)}"
+    return msgs.sparkSession.sql(f"""
+        SELECT * FROM (
+          SELECT * EXCEPT ({SEG}, _in, n_before, n_after), CAST(coalesce(n_before, 0) + _in - 1 AS BIGINT) AS patient_idx
+          FROM ({numbered}) LEFT JOIN {before} USING ({_SESSION}, {SEG})) {few}""", msgs=msgs)
 
 
 # --- P1 / W7 ---------------------------------------------------------------
 
-def _islands(turns: DataFrame, segment: int) -> DataFrame:
-    """``turns`` with the number (from 1) of the run of one role within the segment."""
-    w = inside(SESSION, "turn")
-    goes_on = F.lag(F.lit(1)).over(w).isNotNull() & F.lag("role").over(w).eqNullSafe(F.col("role"))
-    flagged = segmented(turns, "turn", segment).withColumn("_new", F.when(goes_on, 0).otherwise(1))
-    return flagged.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def _islands(rows: str, segment: int) -> str:
+    """``rows`` with the number (from 1) of the run of one role within the segment."""
+    w = inside(_SESSION, "turn")
+    goes_on = f"row_number() OVER {w}) > 1 AND lag(role) OVER {w}) <=> role"
+    return (f"(SELECT * EXCEPT (_new), sum(_new) OVER {w} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _island "
+            f"FROM (SELECT *, IF({goes_on}, 0, 1) AS _new FROM {segmented(rows, 'turn', segment)}))")
 
 
-def _island_carry(turns: DataFrame, segment: int) -> DataFrame:
+def _island_carry(segment: int) -> str:
     """Per segment of a long conversation: runs before it (``_offset``), whether its
     first run goes on from the segment before (``_goes_on``), its number of runs and
     the messages of later segments that go on with its last run (``_more``)."""
-    rows = _islands(long_groups(turns.select(*SESSION, "turn", "role", "text"), SESSION, "turn", segment), segment)
-    per = rows.groupBy(*SESSION, SEG).agg(F.max("_island").alias("_runs"), F.min_by("role", "turn").alias("_first"),
-                                          F.max_by("role", "turn").alias("_last"))
-    w = Window.partitionBy(*SESSION).orderBy(SEG)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_goes_on", F.lag(F.lit(1)).over(w).isNotNull() & F.lag("_last").over(w).eqNullSafe(F.col("_first")))
-    starts = F.when((F.col("_runs") > 1) | ~F.col("_goes_on"), F.col(SEG))  # a run starts in it
-    per = per.select(*SESSION, SEG, "_runs", "_goes_on",
-                     F.coalesce(F.sum(F.col("_runs") - F.col("_goes_on").cast("int")).over(earlier), F.lit(0)).alias("_offset"),
-                     F.last(starts, ignorenulls=True).over(earlier).alias("_home"))
-    heads = rows.where(F.col("_island") == 1).join(per.where("_goes_on").select(*SESSION, SEG, "_home"), [*SESSION, SEG])
-    more = heads.groupBy(*SESSION, F.col("_home").alias(SEG)).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_more"))
-    return per.drop("_home").join(more, [*SESSION, SEG], "left")
+    rows = _islands(long_groups(f"(SELECT {_SESSION}, turn, role, text FROM {{turns}})", _SESSION, "turn", segment), segment)
+    w = f"(PARTITION BY {_SESSION} ORDER BY {SEG}"
+    earlier = f"{w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    per = f"""(
+      SELECT *, coalesce(sum(_runs - CAST(_goes_on AS INT)) OVER {earlier}, 0) AS _offset,
+             last(IF(_runs > 1 OR NOT _goes_on, {SEG}, NULL), true) OVER {earlier} AS _home
+      FROM (SELECT *, row_number() OVER {w}) > 1 AND lag(_last) OVER {w}) <=> _first AS _goes_on
+            FROM (SELECT {_SESSION}, {SEG}, max(_island) AS _runs, min_by(role, turn) AS _first, max_by(role, turn) AS _last
+                  FROM {rows} GROUP BY {_SESSION}, {SEG})))"""
+    more = f"""(
+      SELECT {_SESSION}, _home AS {SEG}, array_sort(collect_list(struct(turn, text))) AS _more
+      FROM (SELECT * FROM {rows} WHERE _island = 1) JOIN (SELECT {_SESSION}, {SEG}, _home FROM {per} WHERE _goes_on) USING ({_SESSION}, {SEG})
+      GROUP BY {_SESSION}, _home)"""
+    return f"(SELECT {_SESSION}, {SEG}, _runs, _goes_on, _offset, _more FROM {per} LEFT JOIN {more} USING ({_SESSION}, {SEG}))"
 
 
 def merge_consecutive(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
@@ -100,20 +103,15 @@ def merge_consecutive(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     that cross segments are put together by the carry: what goes on in later
     segments is appended where the run starts, and left out there.
     """
-    parts = _islands(turns, segment).groupBy(*SESSION, SEG, "_island").agg(
-        F.first("role").alias("role"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_parts"))
-    m = with_carry(parts, _island_carry(turns, segment), SESSION)
-    goes_on = F.coalesce("_goes_on", F.lit(False))
-    m = m.where(~(goes_on & (F.col("_island") == 1)))
-    whole = F.when((F.col("_island") == F.col("_runs")) & F.col("_more").isNotNull(), F.concat("_parts", "_more")).otherwise(F.col("_parts"))
-    m = m.withColumn("_parts", whole)
-    return m.select(
-        *SESSION,
-        (or_zero("_offset") - goes_on.cast("int") + F.col("_island") - 1).cast("bigint").alias("turn"),
-        "role",
-        F.array_join(F.transform("_parts", lambda p: F.coalesce(p["text"], F.lit(""))), "\n").alias("text"),
-        F.size("_parts").cast("bigint").alias("n_merged"),
-    )
+    goes_on = "coalesce(_goes_on, false)"
+    return turns.sparkSession.sql(f"""
+        SELECT {_SESSION}, CAST(coalesce(_offset, 0) - CAST({goes_on} AS INT) + _island - 1 AS BIGINT) AS turn, role,
+               array_join(transform(_all, p -> coalesce(p.text, '')), '\n') AS text, CAST(size(_all) AS BIGINT) AS n_merged
+        FROM (SELECT *, IF(_island = _runs AND _more IS NOT NULL, concat(_parts, _more), _parts) AS _all
+              FROM (SELECT {_SESSION}, {SEG}, _island, first(role) AS role, array_sort(collect_list(struct(turn, text))) AS _parts
+                    FROM {_islands('{turns}', segment)} GROUP BY {_SESSION}, {SEG}, _island)
+              LEFT JOIN {_island_carry(segment)} USING ({_SESSION}, {SEG}))
+        WHERE NOT ({goes_on} AND _island = 1)""", turns=turns)
 
 
 # --- P4 / P5 / P6 ----------------------------------------------------------
@@ -233,21 +231,22 @@ def context_budget(turns: DataFrame, budget_tokens: int, min_messages: int = 10,
     whole history exceeds the budget (⌊Σchars/4⌋).  The reverse running sum is
     monotone, so ``running <= budget`` is exactly the loop's break rule.
     """
-    chars = F.length(F.coalesce("text", F.lit("")))
-    others = carried_sums(turns, SESSION, "turn", segment, n=F.lit(1), chars=chars, tokens=approx_tokens("text")).drop("tokens_before")
-    own = inside(SESSION)
-    later = inside(SESSION, F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    df = (segmented(turns, "turn", segment).withColumn("msg_tokens", approx_tokens("text"))
-          .withColumn("_n", F.count(F.lit(1)).over(own)).withColumn("_chars", F.sum(chars).over(own))
-          .withColumn("_later", F.sum("msg_tokens").over(later)))
-    df = with_carry(df, others, SESSION)
-    df = (df.withColumn("n_messages", F.col("_n") + or_zero("n_before") + or_zero("n_after"))
-          .withColumn("total_tokens", F.floor((F.col("_chars") + or_zero("chars_before") + or_zero("chars_after")) / 4))
-          .withColumn("running_tokens", F.col("_later") + or_zero("tokens_after")))
-    applies = (F.col("n_messages") > min_messages) & (F.col("total_tokens") > budget_tokens)
-    return (df.withColumn("truncated", applies)
-            .where(~F.col("truncated") | (F.col("running_tokens") <= budget_tokens))
-            .select(*SESSION, "turn", "role", "text", "msg_tokens", "truncated", "n_messages"))
+    chars = "length(coalesce(text, ''))"
+    tokens = f"CAST(floor({chars} / 4) AS BIGINT)"
+    others = carried_sums("{turns}", _SESSION, "turn", segment, n="1", chars=chars, tokens=tokens)
+    own = inside(_SESSION)
+    scanned = f"""
+        SELECT *, {tokens} AS msg_tokens, count(*) OVER {own}) AS _n, sum({chars}) OVER {own}) AS _chars,
+               sum({tokens}) OVER {inside(_SESSION, 'turn DESC')} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _later
+        FROM {segmented('{turns}', 'turn', segment)}"""
+    z = lambda c: f"coalesce({c}, 0)"
+    total = f"floor((_chars + {z('chars_before')} + {z('chars_after')}) / 4)"
+    return turns.sparkSession.sql(f"""
+        SELECT {_SESSION}, turn, role, text, msg_tokens, truncated, n_messages
+        FROM (SELECT *, n_messages > {int(min_messages)} AND {total} > {int(budget_tokens)} AS truncated
+              FROM (SELECT *, _n + {z('n_before')} + {z('n_after')} AS n_messages
+                    FROM ({scanned}) LEFT JOIN {others} USING ({_SESSION}, {SEG})))
+        WHERE NOT truncated OR _later + {z('tokens_after')} <= {int(budget_tokens)}""", turns=turns)
 
 
 def render_history(kept: DataFrame) -> DataFrame:

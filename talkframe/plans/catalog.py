@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _REGISTRY: dict[str, tuple[Callable, str | None]] = {}
@@ -17,13 +16,10 @@ _REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column (the oracles round the same way)."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`").cast("double"), digits).alias(f.name))
-        else:
-            cols.append(F.col(f"`{f.name}`"))
-    return df.select(*cols)
+    floating = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    if not floating:
+        return df
+    return df.selectExpr(*[f"round(CAST(`{c}` AS DOUBLE), {digits}) AS `{c}`" if c in floating else f"`{c}`" for c in df.columns])
 
 
 def query(name: str, sql: str | None = None):

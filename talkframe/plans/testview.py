@@ -34,17 +34,11 @@ def turns_view(spark: SparkSession, sf_dir: str, dealt: bool = True) -> DataFram
     """``dealt``: rows of a session together, for reports that work on sessions;
     reports on single messages, and scans by segments, take them as they lie."""
     conv = table(spark, sf_dir, "conversations")
-    sid = F.expr("conv_id div 2")
-    backend_raw = (F.when(sid % 4 == 0, "hosted_vllm_openai_gpt-oss-120b")
-                   .when(sid % 4 == 1, "openai_gpt-oss-120b")
-                   .when(sid % 4 == 2, "Qwen_Qwen3")
-                   .otherwise("hosted_vllm_Qwen_Qwen3"))
-    turns = conv.select(
-        F.when(F.col("conv_id") % 2 == 0, "real").otherwise("synthetic").alias("corpus"),
-        sid.alias("session_id"),
-        F.col("turn"), F.col("role"), F.col("text"),
-        F.when(sid % 2 == 0, "patientpsi").otherwise("roleplaydoh").alias("psi"),
-        backend_raw.alias("backend_llm"))
+    turns = conv.selectExpr(
+        "IF(conv_id % 2 = 0, 'real', 'synthetic') AS corpus", "conv_id div 2 AS session_id", "turn", "role", "text",
+        "IF((conv_id div 2) % 2 = 0, 'patientpsi', 'roleplaydoh') AS psi",
+        """CASE (conv_id div 2) % 4 WHEN 0 THEN 'hosted_vllm_openai_gpt-oss-120b' WHEN 1 THEN 'openai_gpt-oss-120b'
+           WHEN 2 THEN 'Qwen_Qwen3' ELSE 'hosted_vllm_Qwen_Qwen3' END AS backend_llm""")
     return by_session(turns, "corpus", "session_id") if dealt else turns
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +70,14 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+def written(df, label: str):
+    """Write ``df`` to the shared folder and read it back: as ``cut_lineage``, but
+    later steps read only the columns that they use."""
+    path = f"{checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_parts(spark) -> int:
     """Partitions to deal into: the cluster's initial number of adaptive
     partitions where it is set, else the number of shuffle partitions."""

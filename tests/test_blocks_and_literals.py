@@ -36,8 +36,8 @@ def test_recall_equals_all_pairs_and_skips_most_blocks_of_clustered_vectors(spar
     got = {r.doc_id: (r.embedding_recall, r.n_targets) for r in S.embedding_recall(t, c, block_size=16).collect()}
     want = _plain(targets, cands)
     assert set(got) == {1, 2, 3} and all(got[d][0] == pytest.approx(want[d], abs=1e-9) and got[d][1] == len(targets[d]) for d in got)
-    pairs = S.block_pairs(S._blocks(t, "doc_id", "vec_id", "embedding", 16), S._blocks(c, "doc_id", "vec_id", "embedding", 16), "doc_id")
-    n = {r.doc_id: (r.n, r.k) for r in pairs.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).collect()}
+    pairs = S.block_pairs(S._blocks(t, c, "doc_id", "vec_id", "embedding", 16))
+    n = {r.doc: (r.n, r.k) for r in pairs.groupBy("doc").agg(F.count("*").alias("n"), F.count_if("kept").alias("k")).collect()}
     assert n[1][0] > 1000 and n[1][1] < 0.2 * n[1][0]
 
 

@@ -108,5 +108,5 @@ def test_a_hot_conversation_spreads_over_the_tasks(spark):
 
 
 def test_segments_follow_the_order_column(spark):
-    df = spark.createDataFrame([(-1,), (0,), (4095,), (4096,), (None,)], "turn bigint").withColumn(SEG, segment_of("turn"))
+    df = spark.createDataFrame([(-1,), (0,), (4095,), (4096,), (None,)], "turn bigint").withColumn(SEG, F.expr(segment_of("turn")))
     assert [x[SEG] for x in df.collect()] == [-1, 0, 0, 1, -(1 << 62)]
