@@ -30,7 +30,8 @@ is shuffled grows with queries and tasks, not with the buckets visited.
 Cases: vectors that are null, zero or hold a null or a non-finite component
 take no part, nor do rows with a null id; only vectors of equal length are
 near each other; a row with a query's id is the query's own; with fewer than k
-candidates the result is shorter.  An empty table gives an empty result.
+candidates the result is shorter.  An empty table gives an empty result.  Of the
+input only the key and the vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations

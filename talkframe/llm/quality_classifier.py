@@ -13,7 +13,9 @@ mod 3 is 1.  Of the rest, remainder 0 fits the ridge and 2 the calibration.
 Cases: null or empty texts have zero statistics and get a score; a null key is
 never held out nor used for training; rows whose label is null teach nothing;
 with no training rows (or one class only) every score is the known share of
-label 1, or 0.5.  Repeated rows score alike.
+label 1, or 0.5.  Repeated rows score alike.  An empty table has no scores and
+teaches nothing.  Of the input only the key and the text are read and returned, the
+key as ``_key``, so other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -11,8 +11,10 @@ a hash of the id); applying it is one scan of the texts with no shuffle.
 
 Cases: a null or empty text has zero counts; rows with a null label teach
 nothing; with no labels, or none of the class to reject, the list is empty and
-rejects nothing.  Repeated rows are judged alike.  Input columns of any name
-are kept (the working struct has a name that the input does not use).
+rejects nothing.  Repeated rows are judged alike; a label is learned once from the
+rows that share its id (the least of their statistics).  Input columns of any name
+are kept: what is added has a name that the input does not use.  An empty table
+has no sample, no rules and no rows.
 """
 
 from __future__ import annotations
@@ -138,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     picked = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(sample), "_key")
     counted = doc_stats.with_counts(picked, "_text")
     features = doc_stats.ratios(lambda c: F.col(f"_counts.{c}"))
-    rows = counted.select((F.col("_label") == 0).alias("reject"), *[c.alias(n) for n, c in features.items()]).toPandas()
+    each = F.struct(*[c.alias(n) for n, c in features.items()])
+    once = counted.groupBy("_key", "_label").agg(F.min(each).alias("_f"))  # so no more rows than the sample has
+    rows = once.select((F.col("_label") == 0).alias("reject"), "_f.*").toPandas()
     rows = rows.sort_values(list(rows.columns)).to_numpy(float)  # the order of arrival must not matter
     return learn(rows[:, 1:], rows[:, 0] > 0, list(features), **how)
 
@@ -148,16 +152,20 @@ def base_failed(of) -> Column:
 
 
 def judged(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
-    """``docs`` plus ``_counts``, ``_rule`` (the rejecting rule) and ``_base_failed``."""
-    out = doc_stats.with_counts(docs, text)
+    """``docs`` plus a struct of ``counts``, ``rule`` (the rejecting rule) and ``base_failed``,
+    the last column, called ``_judged`` (with more underscores while ``docs`` has that name)."""
+    name = "_judged"
+    while name in docs.columns:
+        name = f"_{name}"
+    inner = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = doc_stats.with_counts(inner, inner.columns[docs.columns.index(text)])
     of = lambda c: F.col(f"_counts.{c}")
-    return (out.withColumn("_rule", reject_column(rules, doc_stats.ratios(of)))
-            .withColumn("_base_failed", base_failed(of)))
+    verdict = F.struct(F.col("_counts").alias("counts"), reject_column(rules, doc_stats.ratios(of)).alias("rule"), base_failed(of).alias("base_failed"))
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inner.columns, docs.columns)], verdict.alias(name))
 
 
 def kept(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, with the columns of ``docs``."""
-    mapping = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    inner = docs.toDF(*mapping.values())
-    passed = judged(inner, rules, mapping[text]).where(~F.col("_base_failed") & F.col("_rule").isNull())
-    return passed.select(*[F.col(v).alias(k) for k, v in mapping.items()])
+    out = judged(docs, rules, text)
+    verdict = F.col(out.columns[-1])
+    return out.where(~verdict.base_failed & verdict.rule.isNull()).drop(out.columns[-1])

@@ -36,10 +36,9 @@ def op4(spark, sf_dir):
     docs = documents(spark, sf_dir, "doc_id", "text")
     out = Q.judged(docs, Q.fit(docs, labels))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return out.select("doc_id", *[F.col(f"_counts.{c}").alias(c) for c in names],
-                      F.col("_base_failed").alias("base_failed"),
-                      (~F.col("_base_failed") & F.col("_rule").isNull()).alias("kept"),
-                      F.col("_rule").alias("rejected_by"))
+    v = F.col("_judged")
+    return out.select("doc_id", *[v.counts[c].alias(c) for c in names], v.base_failed.alias("base_failed"),
+                      (~v.base_failed & v.rule.isNull()).alias("kept"), v.rule.alias("rejected_by"))
 
 
 @_query("op9_quality_classifier")

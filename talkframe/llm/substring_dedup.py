@@ -22,7 +22,8 @@ Documents are never gathered by content.
 Cases: a null or empty text has no words; a text shorter than the window loses
 nothing; a null id sorts before all others; rows that share an id are one
 document, and a word position removed in one of them is removed in each;
-repeated rows (same id, same text) are not copies of each other.
+repeated rows (same id, same text) are not copies of each other.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

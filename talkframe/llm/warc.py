@@ -7,8 +7,10 @@ HTTP response; a revisit's block ends after the HTTP header, which still states
 the length of the payload.  Archives are gzip text files of bounded record
 counts that Spark writes and reads by any path it knows.
 
-Reading streams every archive record by record, decompressing block by block,
-and checks the digest of each payload that is stored.
+Reading streams every archive through Spark's text reader, piece by piece between
+empty lines, puts the records together by the lengths they state and checks the
+digest of each payload that is stored.  A task holds one record and one Arrow batch of
+pieces (``BATCH_BYTES``, or one piece if that is longer), whatever the archive's size.
 
 Index: the captures of each archive, sorted by URL key and time, are a run.
 Runs are dealt to key ranges and every range merges its pieces of all runs with
@@ -18,13 +20,16 @@ Cases: a null payload is empty, a null URL is the empty URI; a null page id
 becomes the record id ``null`` and never wins over a number; rows with equal
 page id and payload are both responses if the id is the winner's; payloads may
 hold any bytes, record separators included.  Control characters, spaces and
-percent signs of a URL are percent-encoded in the header and decoded back.
+percent signs of a URL are percent-encoded in the header and decoded back.  An empty
+table gives no captures; of the input only the named columns are read, so others
+cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import groupby
 from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
@@ -34,6 +39,7 @@ from pyspark.sql import functions as F
 from talkframe.llm.tables import stored
 
 CRLF = "\r\n"
+_BLANK = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = ("run string, seq bigint, url_key string, time string, page_id bigint, record_type string, refers_to bigint, "
            "payload_bytes bigint, payload_digest string, url string, offset bigint, length bigint")
@@ -81,26 +87,32 @@ def write(pages: DataFrame, path: str, records_per_file: int = 500, **how) -> No
      .option("maxRecordsPerFile", records_per_file).text(path))
 
 
+#: Bytes of an Arrow batch of pieces that a task reads.
+BATCH_BYTES = 16 << 20
+
+
+def inflated(data: bytes, block: int = 1 << 16):
+    """The content of a gzip file, block by block."""
+    inflate, at = zlib.decompressobj(31), 0
+    while at < len(data):
+        yield inflate.decompress(data[at:at + block])
+        at += block
+        while inflate.eof and inflate.unused_data:
+            rest, inflate = inflate.unused_data, zlib.decompressobj(31)
+            yield inflate.decompress(rest)
+
+
 class _Stream:
-    """Bytes of a gzip file, decompressed as they are asked for."""
+    """The bytes of blocks that come one by one."""
 
-    def __init__(self, data: bytes, block: int = 1 << 16):
-        self.data, self.at, self.block = memoryview(data), 0, block
-        self.inflate, self.buffer, self.offset = zlib.decompressobj(31), bytearray(), 0
+    def __init__(self, blocks):
+        self.blocks, self.buffer, self.offset = iter(blocks), bytearray(), 0
 
     def _more(self) -> bool:
-        if self.inflate.eof:
-            rest = self.inflate.unused_data
-            if not rest and self.at >= len(self.data):
-                return False
-            self.inflate = zlib.decompressobj(31)
-            self.buffer += self.inflate.decompress(rest)
+        for block in self.blocks:
+            self.buffer += block
             return True
-        if self.at >= len(self.data):
-            return False
-        self.buffer += self.inflate.decompress(self.data[self.at:self.at + self.block])
-        self.at += self.block
-        return True
+        return False
 
     def until(self, mark: bytes) -> bytes | None:
         seen = 0
@@ -119,9 +131,9 @@ class _Stream:
         return out
 
 
-def records(data: bytes):
-    """(offset, length, WARC header, block) of the records of one archive."""
-    s = _Stream(data)
+def records(blocks):
+    """(offset, length, WARC header, block) of the records of one archive, given in blocks of bytes."""
+    s = _Stream(blocks)
     while True:
         at = s.offset
         head = s.until(b"\r\n\r\n")
@@ -187,12 +199,14 @@ _ARROW = pa.schema([("run", pa.string()), ("seq", pa.int64()), ("url_key", pa.st
 def runs(spark: SparkSession, path: str) -> DataFrame:
     """Captures of every archive under ``path``: one locally sorted run for each archive."""
     def parse(batches):
-        for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                found = sorted((_capture(name, *r) for r in records(content.as_py())), key=_sort_key)
-                yield pa.RecordBatch.from_pylist([c | {"seq": i} for i, c in enumerate(found)], schema=_ARROW)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+        rows = ((name, piece) for b in batches for name, piece in zip(b.column(0).to_pylist(), b.column(1)))
+        for name, pieces in groupby(rows, key=lambda x: x[0]):  # a gzip file is read by one task, from its start
+            found = sorted((_capture(name, *r) for r in records(p.as_py() + _BLANK for _, p in pieces)), key=_sort_key)
+            yield pa.RecordBatch.from_pylist([c | {"seq": i} for i, c in enumerate(found)], schema=_ARROW)
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    files = (spark.read.option("lineSep", CRLF * 2).option("pathGlobFilter", "*.gz").text(path)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece")))
     return stored(files.mapInArrow(parse, CAPTURE), "warc-runs")
 
 

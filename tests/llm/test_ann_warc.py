@@ -138,14 +138,23 @@ def test_archives_hold_whole_records(spark, scratch):
     for f in glob.glob(f"{scratch}/w/*.gz"):
         data = open(f, "rb").read()
         plain = gzip.decompress(data)
-        for at, length, fields, block in warc.records(data):
+        for at, length, fields, block in warc.records(warc.inflated(data)):
             assert plain[at:at + 10] == b"WARC/1.1\r\n" and plain[at:at + length].endswith(block + b"\r\n\r\n")
             assert int(fields["Content-Length"]) == len(block)
             found += 1
     assert found == len(_rows())
     broken = gzip.compress(plain[:-9])
     with pytest.raises(ValueError):
-        list(warc.records(broken))
+        list(warc.records(warc.inflated(broken)))
+
+
+def test_archives_of_long_pages_and_odd_ends(spark, scratch):
+    """Payloads of many megabytes in one archive, and every way that a payload may run into the empty line after it."""
+    ends = ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\n\r\n\r\n\r", "\r\n\r\n\r\n"]
+    rows = [(i, "u", "x" * n + e, 1) for i, (n, e) in enumerate((n, e) for e in ends for n in (0, 1, 50))]
+    rows += [(100 + i, "long", f"{i}" * 4_000_000 + "\r\n\r\n" * 3, 1) for i in range(6)]
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(_pages(spark, rows).coalesce(1), f"{scratch}/w").collect()}
+    assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h, _ in rows}
 
 
 def test_url_keys():

@@ -61,6 +61,21 @@ def test_rules_on_edge_rows_and_empty_tables(spark):
     assert quality_rules.kept(empty, quality_rules.fit(empty, labels.where("false"))).count() == 0
 
 
+def test_judged_rows_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", 7, 1.5)], "doc_id bigint, text string, _rule string, _counts string, _judged int, _base_failed double")
+    out = quality_rules.judged(docs, [quality_rules.Rule((quality_rules.Test("n_words", "<=", 5.0),), 1, 1)])
+    r = out.first()
+    assert out.columns == [*docs.columns, "__judged"] and tuple(r)[:6] == tuple(docs.first())
+    assert (r["__judged"].counts.n_words, r["__judged"].rule, r["__judged"].base_failed) == (2, 1, True)
+
+
+def test_repeated_ids_do_not_multiply_the_sample(spark):
+    texts = [("word " * 60 + f"w{i}", 1) for i in range(30)] + [(f"# {i} #", 0) for i in range(30)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)] + [(0, texts[0][0])] * 40, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, q) for i, (_, q) in enumerate(texts)], "doc_id bigint, quality int")
+    assert quality_rules.fit(docs, labels) == quality_rules.fit(docs.dropDuplicates(), labels) != []
+
+
 def test_learned_list_finds_a_planted_rule(spark):
     rng = np.random.default_rng(3)
     x = rng.uniform(size=(3000, 3))
@@ -97,6 +112,59 @@ def test_classifier_without_labels_and_on_edge_rows(spark):
     assert scores == [0.5] * len(EDGE)
 
 
+def test_classifier_on_an_empty_table_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some text here", 0.5, "k", 3)], "doc_id bigint, text string, score double, _key string, n_words int")
+    stats = quality_classifier.statistics(docs)
+    names = [c for c in stats.columns if c != "_key"]
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    model = quality_classifier.fit(quality_classifier.training(stats, labels), names)
+    assert [r._key for r in stats.collect()] == [1] and stats.select(quality_classifier.score_column(model)).first()[0] == 0.5
+    assert quality_classifier.statistics(docs.where("false")).count() == 0
+
+
+def _plain_classifier(rows, names):
+    """The same model fitted in one place: all rows in memory, sums by numpy, bins by a dictionary."""
+    width, gamma, ridge = 192, 0.35, 1e-3
+    rng = np.random.default_rng(11)
+    omega = rng.normal(0, np.sqrt(2 * gamma / len(names)), (len(names), width))
+    phase = rng.uniform(0, 2 * np.pi, width)
+    x = {f: np.array([[r[c] for c in names] for r in rows if r["fold"] == f], float) for f in (0, 2)}
+    y = {f: np.array([r["y"] for r in rows if r["fold"] == f], float) for f in (0, 2)}
+    mean, scale = x[0].mean(0), x[0].std(0)
+    scale[scale == 0] = 1
+
+    def mapped(v):
+        z = np.clip((v - mean) / scale, -6, 6)
+        return np.hstack([np.sqrt(2 / width) * np.cos(z @ omega + phase), np.ones((len(z), 1))])
+    f = mapped(x[0])
+    a = f.T @ f
+    a[np.arange(width), np.arange(width)] += ridge * len(f) / width
+    beta = np.linalg.lstsq(a, f.T @ y[0], rcond=None)[0]
+    raw, bins = mapped(x[2]) @ beta, {}
+    for r, good in zip(raw, y[2]):
+        bins.setdefault(min(512, max(-1, int(np.floor((r + 0.5) * 256)))), []).append((r, good))
+    order = sorted(bins)
+    n = np.array([len(bins[b]) for b in order], float)
+    share = np.array([sum(g for _, g in bins[b]) for b in order]) / n
+    # isotonic means by the max-min formula
+    level = [max(min((share[i:j] * n[i:j]).sum() / n[i:j].sum() for j in range(k + 1, len(n) + 1)) for i in range(k + 1)) for k in range(len(n))]
+    grid = [np.mean([r for r, _ in bins[b]]) for b in order]
+    return lambda v: np.interp(mapped(v) @ beta, grid, level)
+
+
+def test_classifier_equals_a_plain_fit(spark):
+    from talkframe.llm.queries import queries
+    sf = "/root/testdata/sf0.01"
+    stats = quality_classifier.statistics(spark.read.parquet(f"{sf}/documents.parquet")).cache()
+    names = [c for c in stats.columns if c != "_key"]
+    train = quality_classifier.training(stats, spark.read.parquet(f"{sf}/labels.parquet")).collect()
+    plain = _plain_classifier([r.asDict() for r in train], names)
+    all_rows = stats.collect()
+    want = dict(zip([r._key for r in all_rows], plain(np.array([[r[c] for c in names] for r in all_rows], float))))
+    got = {r.doc_id: r.score for r in queries()["op9_quality_classifier"](spark, sf).collect()}
+    assert set(got) == set(want) and max(abs(got[d] - want[d]) for d in want) < 1e-6
+
+
 def test_classifier_on_held_out_rows(spark):
     from talkframe.llm.queries import queries
     sf = "/root/testdata/sf0.01"
