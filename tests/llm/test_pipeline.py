@@ -64,6 +64,15 @@ def test_stages_keep_columns_and_take_edge_rows(spark):
         assert {r.doc_id for r in df.collect()} <= {3}
 
 
+def test_last_stage_on_letters_that_change_length(spark):
+    import corpus_pipeline
+    text = " ".join(f"BELEDİYESİ. {i} İ! ŉx." for i in range(40))
+    docs = spark.createDataFrame([(1, text, "tr", "a", len(text))], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).first()
+    ids = bpe.coder(bpe.vocabulary()).tokenizer.encode(text, add_special_tokens=False).ids
+    assert (got.n_tokens, got.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
 def test_hash_key_matches_md5(spark):
     from pyspark.sql import functions as F
     df = spark.createDataFrame([(7,), (None,)], "i bigint").select(F.col("i"), mixing.hash_key("i").alias("k"))
