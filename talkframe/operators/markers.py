@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkframe.functions.automaton import literal_counts
+from talkframe.functions.quantiles import count_stats
+from talkframe.functions.seams import pieces, reach
 from talkframe.functions.text import approx_tokens, py_strip, word_count
 from talkframe.lexicons import PRONOUN_CATEGORIES, as_rows
 from talkframe.operators.turns import PATIENT_ROLE, SESSION, patient_messages, patient_turns
@@ -93,24 +95,51 @@ def session_markers(turns: DataFrame, lexicon, max_turns: int | None = None,
     """Per (corpus, session) with patient text: joined-text counts (A3), messages
     with ≥1 hit per category (A5), words / ⌊chars/4⌋ of the joined text, utterances.
 
+    The text is not joined: messages are counted one by one and added up, and only
+    those around a seam where a phrase occurs are put together (``functions/seams.py``).
+
     Patient turns are numbered only where ``max_turns`` asks for the first ones.
     """
-    cats = categories(lexicon)
+    cats, rows = categories(lexicon), as_rows(lexicon)
+    names = [_col_name(c) for c in cats]
     pt = patient_messages(turns) if max_turns is None else patient_turns(turns, max_turns)
-    hits = [(count_expr(F.col("text"), lexicon, c, case_insensitive) > 0).cast("bigint").alias("hit_" + _col_name(c))
-            for c in cats]
-    msg = pt.select(*SESSION, "turn", "text", *hits)
-    sess = msg.groupBy(*SESSION).agg(
-        F.count(F.lit(1)).alias("utterances"),
-        *[F.sum("hit_" + _col_name(c)).alias("msgs_" + _col_name(c)) for c in cats],
-        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_parts"))
-    joined = F.array_join(F.transform("_parts", lambda p: p["text"]), " ")
-    sess = sess.withColumn("_full", joined)
-    return sess.select(
-        *SESSION, "utterances",
-        word_count("_full").alias("words"), approx_tokens("_full").alias("tokens"),
-        *count_columns(F.col("_full"), lexicon, case_insensitive=case_insensitive),
-        *["msgs_" + _col_name(c) for c in cats])
+    msg = pt.select(*SESSION, "turn", "text", word_count("text").alias("words"), F.length("text").cast("bigint").alias("chars"),
+                    *count_columns(F.col("text"), rows, "n_", case_insensitive=case_insensitive))
+    counted = [F.sum("n_" + n).alias("cnt_" + n) for n in names]
+    sums = [F.count(F.lit(1)).alias("utterances"), F.sum("words").alias("words"), F.sum("chars").alias("chars"), *counted,
+            *[F.sum((F.col("n_" + n) > 0).cast("bigint")).alias("msgs_" + n) for n in names]]
+    crossing = [e for e in rows if reach(e.kind, e.pattern) != (0, 0)]
+    if not crossing:
+        sess = msg.groupBy(*SESSION).agg(*sums)
+    else:
+        sess = _glued_counts(msg, sums, crossing, names, case_insensitive)
+    # the joined text has a space between two messages
+    tokens = F.floor((F.col("chars") + F.col("utterances") - 1) / 4).cast("bigint")
+    return sess.select(*SESSION, "utterances", "words", tokens.alias("tokens"),
+                       *["cnt_" + n for n in names], *["msgs_" + n for n in names])
+
+
+def _glued_counts(msg: DataFrame, sums, crossing, names, case_insensitive: bool) -> DataFrame:
+    """The sums of messages by session, with the matches that cross from message to
+    message: what a piece of several messages has beyond the sum of its messages."""
+    cats = categories(crossing)
+    count = lambda t, c: count_expr(t, crossing, c, case_insensitive)
+    bounds = [reach(e.kind, e.pattern) for e in crossing]
+    if None in bounds:
+        cut = msg.withColumn("_piece", F.lit(0).cast("bigint")).withColumn("_glued", F.lit(True))
+    else:
+        found = lambda t: reduce(add, [count(t, c) for c in cats]) > 0
+        cut = pieces(msg, SESSION, ["turn", "text"], "text", found, max(b[0] for b in bounds), max(b[1] for b in bounds))
+    own = [F.sum(F.when(F.col("_glued"), count(F.col("text"), c))).alias("own_" + _col_name(c)) for c in cats]
+    parts = F.array_sort(F.collect_list(F.when(F.col("_glued"), F.struct("turn", "text")))).alias("_parts")
+    piece = cut.groupBy(*SESSION, "_piece").agg(*sums, *own, parts)
+    piece = piece.withColumn("_full", F.array_join(F.transform("_parts", lambda p: p["text"]), " "))
+    more = {_col_name(c): F.when(F.size("_parts") > 1, count(F.col("_full"), c) - F.col("own_" + _col_name(c))).otherwise(F.lit(0)) for c in cats}
+    total = lambda c: F.sum(c).alias(c)
+    return piece.groupBy(*SESSION).agg(
+        total("utterances"), total("words"), total("chars"),
+        *[F.sum(F.col("cnt_" + n) + more[n] if n in more else F.col("cnt_" + n)).alias("cnt_" + n) for n in names],
+        *[total("msgs_" + n) for n in names])
 
 
 def corpus_totals(turns: DataFrame, sess: DataFrame, lexicon) -> DataFrame:
@@ -160,9 +189,8 @@ def per_conversation_stats(sess: DataFrame, lexicon) -> DataFrame:
     cats = categories(lexicon)
     long = sess.select("corpus", F.inline(F.array(*[
         F.struct(F.lit(c).alias("marker"), F.col("cnt_" + _col_name(c)).alias("n")) for c in cats])))
-    return long.groupBy("corpus", "marker").agg(
-        F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.median("n").cast("double").alias("median"),
-        F.min("n").alias("min"), F.max("n").alias("max"))
+    stats = count_stats(long, "n", ["corpus", "marker"], [0.5])
+    return stats.select("corpus", "marker", "mean", "std", F.col("q0").alias("median"), "min", "max")
 
 
 def marker_matrix(metrics: DataFrame, corpora, value: str = "per_tokens") -> DataFrame:
