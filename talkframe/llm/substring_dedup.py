@@ -8,7 +8,10 @@ start, windows).  Joins on the anchor keep what occurs twice:
 * an anchor with one distinct path: all its copies agree word for word, so the
   first coordinates keep their words and every other copy is repeated whole;
 * an anchor with several paths branches: the windows of those paths are read
-  again from the source coordinates and compared one by one.
+  again from the source coordinates and compared one by one, by two independent
+  hashes (128 bits): these are compared over the whole corpus, and 64 bits
+  would take different ones for equal from some 10^10 windows on.  An anchor's
+  paths are compared among themselves only (64 bits after the anchor's 64).
 
 Equal windows have equal anchors at equal offsets, so no repeat is missed, and
 unique text (nearly all edges) leaves at the first join as one narrow row for
@@ -37,6 +40,8 @@ from talkframe.llm import words as W
 from talkframe.llm.tables import release, stored
 
 EDGE = 6
+#: Base of the windows' second hash (the 64-bit FNV prime, a public constant).
+SECOND = 0x100000001B3
 
 
 def _windows(h, doc, window):
@@ -82,8 +87,8 @@ def _path_rows(window):
 
 
 def _window_rows(window):
-    """Hash and position of the windows at the given spans of each text, and
-    whether the same window starts earlier in that text."""
+    """Both hashes and position of the windows at the given spans of each text,
+    and whether the same window starts earlier in that text."""
     def rows(batches):
         for b in batches:
             at, spans = b.column(2).values, b.column(2).offsets.to_numpy()
@@ -91,6 +96,7 @@ def _window_rows(window):
             for i, data, offs in W.slices(b.column(1)):
                 doc, _, _, h = W.scan(data, offs)
                 g, _ = _windows(h, doc, window)
+                g2, _ = W.grams(h, doc, window, SECOND)
                 base = np.searchsorted(doc, np.arange(len(offs)))
                 lo, hi = spans[i], spans[i + len(offs) - 1]
                 row = np.repeat(np.arange(len(offs) - 1), np.diff(spans[i:i + len(offs)]))
@@ -103,13 +109,14 @@ def _window_rows(window):
                 # rows that share an id carry each other's spans: those past a text's end are void
                 ok = base[row] + pos + window <= np.append(base[1:], len(doc))[row]
                 row, pos = row[ok], pos[ok]
-                key = g[base[row] + pos]
-                order = np.lexsort((pos, key, row))
+                key, key2 = g[base[row] + pos], g2[base[row] + pos]
+                order = np.lexsort((pos, key2, key, row))
                 again = np.zeros(len(order), bool)
-                again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+                a, z = order[1:], order[:-1]
+                again[a] = (key[a] == key[z]) & (key2[a] == key2[z]) & (row[a] == row[z])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), b.column(0).take(pa.array(row + i)),
-                     pa.array(pos.astype(np.int32)), pa.array(again)], names=["window", "doc", "start", "again"])
+                    [pa.array(key.view(np.int64)), pa.array(key2.view(np.int64)), b.column(0).take(pa.array(row + i)),
+                     pa.array(pos.astype(np.int32)), pa.array(again)], names=["window", "second", "doc", "start", "again"])
     return rows
 
 
@@ -144,11 +151,11 @@ def repeated_spans(docs: DataFrame, window: int = 20, key: str = "doc_id", text:
     spans = _branching(_repeated_paths(texts, window))
     open_ = _of_document(spans.where("branches")).withColumnRenamed("doc", "_doc")
     looked = (texts.join(open_, F.col("doc").eqNullSafe(F.col("_doc"))).select("doc", "text", "spans")
-              .mapInArrow(_window_rows(window), "window bigint, doc bigint, start int, again boolean"))
+              .mapInArrow(_window_rows(window), "window bigint, second bigint, doc bigint, start int, again boolean"))
     looked = stored(looked, "substring-windows")
     own = looked.where("not again")
-    firsts = stored(own.groupBy("window").agg(_first(), F.count("*").alias("c")).where("c > 1").drop("c"), "substring-firsts")
-    later = own.join(firsts, "window").where(_LATER).unionByName(looked.where("again"), allowMissingColumns=True)
+    firsts = stored(own.groupBy("window", "second").agg(_first(), F.count("*").alias("c")).where("c > 1").drop("c"), "substring-firsts")
+    later = own.join(firsts, ["window", "second"]).where(_LATER).unionByName(looked.where("again"), allowMissingColumns=True)
     later = later.select("doc", "start", F.lit(1).alias("n"))
     return stored(spans.where("not branches").select("doc", "start", "n").unionByName(later), "substring-repeats")
 

@@ -124,14 +124,17 @@ def scan(data: np.ndarray, offs: np.ndarray, lower: bool = False):
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def grams(h: np.ndarray, doc: np.ndarray, k: int):
-    """Hashes of ``k`` consecutive words and which of them stay in one row."""
+def grams(h: np.ndarray, doc: np.ndarray, k: int, base: int = _BASE):
+    """Hashes of ``k`` consecutive words and which of them stay in one row.
+
+    Another (odd) ``base`` gives a second hash of the same words.
+    """
     m = len(h) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
     g = h[:m].copy()
     for j in range(1, k):
-        g *= _U(_BASE)
+        g *= _U(base)
         g += h[j:j + m]
     return mix(g), doc[:m] == doc[k - 1:]
 

@@ -116,6 +116,17 @@ def test_substring_dedup_equals_brute_force(spark, seed, vocabulary, window):
     assert got == sorted(brute.substring(rows, window))
 
 
+def test_windows_that_agree_in_one_hash_only_are_kept_apart(monkeypatch):
+    import pyarrow as pa
+    first = substring_dedup._windows
+    monkeypatch.setattr(substring_dedup, "_windows", lambda h, doc, w: (np.zeros_like(first(h, doc, w)[0]), first(h, doc, w)[1]))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array(["a b c d x a b c d y b c d x"]), pa.array([[(0, 11)]], pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32())])))],
+                                       names=["doc", "text", "spans"])
+    rows = pa.Table.from_batches(list(substring_dedup._window_rows(4)([batch]))).to_pylist()
+    assert {r["window"] for r in rows} == {0} and len({r["second"] for r in rows}) == 9
+    assert sorted(r["start"] for r in rows if r["again"]) == [5, 10]
+
+
 def test_substring_dedup_edge_rows(spark):
     text = " ".join(f"w{i}" for i in range(25))
     got = substring_dedup.dedup(_docs(spark, [(None, text), (1, text), (1, text), (2, "short")])).collect()
