@@ -38,7 +38,7 @@ def query(name: str, sql: str | None = None):
 def _load_all():
     """Import every query module once (registration happens at import)."""
     from talkframe.plans import (  # noqa: F401
-        q_diversity, q_emotion, q_labels, q_lengths, q_markers, q_misc, q_scores, q_similarity, q_turns,
+        q_diversity, q_emotion, q_labels, q_lengths, q_markers, q_misc, q_scores, q_similarity, q_sinks, q_turns,
     )
 
 

@@ -3,7 +3,7 @@ commit protocol; a re-run after executor loss rewrites the same files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,22 @@ def export_corpus(sessions: DataFrame, path: str, mode: str = "overwrite") -> No
     out.write.mode(mode).partitionBy("psi_key", "backend_key").parquet(path)
 
 
+#: Quotes doubled (RFC 4180), no text trimmed, line breaks kept as they are; an empty text
+#: is written in quotes, a null as nothing.
+CSV = {"header": True, "quote": '"', "escape": '"', "lineSep": "\n", "emptyValue": '""', "nullValue": "",
+       "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Result tables as CSV with a header."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """A table of ``write_csv``, every text as it was, but that an empty text comes back as
+    null: Spark's reader does not tell them apart.  A record may have line breaks, so a
+    file is read by one task; ``write_csv`` writes as many files as it has tasks."""
+    return spark.read.schema(schema).options(**{**CSV, "emptyValue": ""}, multiLine=True, mode="FAILFAST").csv(path)
 
 
 def write_session_json(df: DataFrame, path: str, partition_by=("corpus",), mode: str = "overwrite") -> None:

@@ -122,6 +122,15 @@ def test_s12_s13_writers(spark, scratch):
     assert spark.read.json(f"{scratch}/json").where("corpus = 'real'").count() == 1
 
 
+def test_s12_texts_come_back_as_they_were(spark, scratch):
+    texts = ['say "no", she said', " led and trailed ", "a\nb\r\nc\td", "", None, '"', "back\\slash\\", ",", "#no comment", "ü𝄞"]
+    df = spark.createDataFrame([(i, t, None if i % 2 else i / 4) for i, t in enumerate(texts)], "i bigint, text string, x double")
+    K.write_csv(df.repartition(3), f"{scratch}/texts")
+    back = K.read_csv(spark, f"{scratch}/texts", df.schema)
+    want = sorted((r.i, r.text or None, r.x) for r in df.collect())   # an empty text comes back as null
+    assert sorted(map(tuple, back.collect())) == want
+
+
 def test_f19_turn_validation_files(spark, scratch):
     d = f"{scratch}/q"
     _session(f"{d}/session_1.json", [("user", "a"), ("assistant", "x"), ("user", "b"), ("assistant", "y"), ("assistant", " ")],
