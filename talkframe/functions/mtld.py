@@ -1,4 +1,4 @@
-"""MTLD (measure of textual lexical diversity) as an Arrow-batched pandas UDF.
+"""MTLD (measure of textual lexical diversity) as an Arrow UDF.
 
 MTLD is a sequential fold with resets (a factor closes when the running
 type/token ratio drops to the threshold), which built-in SQL cannot express
@@ -24,7 +24,7 @@ it, and prefixes that meet at a word share the rest of their way.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -130,22 +130,46 @@ def prefix_mtld(words, ends, threshold: float = THRESHOLD) -> list:
     return out
 
 
+#: Words that are Python objects at once (a longer row is taken alone).
+_SLICE_WORDS = 1 << 15
+
+
+def _numbered(col: pa.Array):
+    """Per row of a column of word arrays: its words as numbers, equal where the words are.
+
+    Rows are taken in slices of a bounded number of words, so memory follows the
+    longest row, not the batch."""
+    offs, i = col.offsets.to_numpy(), 0
+    while i < len(col):
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + _SLICE_WORDS, side="right")) - 1)
+        words = col.values.slice(offs[i], offs[j] - offs[i]).dictionary_encode("encode").indices.to_numpy()
+        for a, b in zip(offs[i:j] - offs[i], offs[i + 1:j + 1] - offs[i]):
+            yield words[a:b].tolist()
+        i = j
+
+
 def make_prefix_mtld_udf(threshold: float = THRESHOLD):
     """Per message of a session (an array of word arrays): words so far and their MTLD."""
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("token_count", T.LongType()), T.StructField("mtld", T.DoubleType())])))
-    def prefix_mtld_udf(parts: pd.Series) -> pd.Series:
-        def score(messages):
-            ends = np.cumsum([len(m) for m in messages]).tolist()
-            words = [w for m in messages for w in m]
-            return [{"token_count": e, "mtld": v} for e, v in zip(ends, prefix_mtld(words, ends, threshold))]
-        return parts.map(score)
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("token_count", T.LongType()), T.StructField("mtld", T.DoubleType())])))
+    def prefix_mtld_udf(parts: pa.Array) -> pa.Array:
+        first, ends = parts.offsets.to_numpy(), parts.values.offsets.to_numpy()
+        # a session's words are those of its messages, one after the other
+        sessions = pa.ListArray.from_arrays(pa.array(ends[first], pa.int32()), parts.values.values)
+        counts, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        for words, a, b in zip(_numbered(sessions), first[:-1], first[1:]):
+            so_far = ends[a + 1:b + 1].astype(np.int64) - ends[a]
+            counts.append(so_far)
+            scores.append(np.array(prefix_mtld(words, so_far.tolist(), threshold), np.float64))  # None is NaN
+        rows = pa.StructArray.from_arrays([pa.array(np.concatenate(counts)), pa.array(np.concatenate(scores), from_pandas=True)],
+                                          names=["token_count", "mtld"])
+        return pa.ListArray.from_arrays(pa.array(first - first[0], pa.int32()), rows)
     return prefix_mtld_udf
 
 
 def make_mtld_udf(threshold: float = THRESHOLD):
-    @F.pandas_udf(T.DoubleType())
-    def mtld_udf(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: mtld(w, threshold)).astype("float64")
+    @F.arrow_udf(T.DoubleType())
+    def mtld_udf(words: pa.Array) -> pa.Array:
+        return pa.array([mtld(w, threshold) for w in _numbered(words)], pa.float64())
     return mtld_udf
 
 

@@ -18,7 +18,7 @@ from talkframe.functions.quantiles import exact_quantiles
 from talkframe.functions.text import strict_words
 from talkframe.lexicons import STRICT_DISFLUENCIES
 from talkframe.operators.turns import SESSION
-from talkframe.session import cut_lineage
+from talkframe.session import cut_lineage, small_batches
 
 SPEAKER = {"real": "Real", "synthetic": "Synthetic"}
 
@@ -26,6 +26,7 @@ SPEAKER = {"real": "Real", "synthetic": "Synthetic"}
 def message_words(turns: DataFrame, role: str = "assistant") -> DataFrame:
     """P7 per patient message (empties kept) with its 1-based index among all
     patient messages of the session."""
+    small_batches(turns.sparkSession)
     m = turns.where(F.col("role") == role)
     w = Window.partitionBy(*SESSION).orderBy("turn")
     return m.select(*SESSION, "turn", strict_words("text", STRICT_DISFLUENCIES).alias("words"),
@@ -129,8 +130,9 @@ def lexical_diversity(turns: DataFrame, variant_turns: DataFrame | None = None,
 def box_summary(results: DataFrame) -> DataFrame:
     """Quartiles (linear), whiskers inside 1.5 IQR, session count per
     strategy × speaker; null MTLD values are left out."""
-    # the scores come out of Python: written once, read three times
-    r = cut_lineage(results.where(F.col("mtld").isNotNull()).select("analysis_type", "speaker_type", "session_id", "mtld"))
+    # the scores come out of Python: written once, read three times; the nulls are left
+    # out afterwards, as a filter on a score before would have it computed twice
+    r = cut_lineage(results.select("analysis_type", "speaker_type", "session_id", "mtld")).where(F.col("mtld").isNotNull())
     keys = ["analysis_type", "speaker_type"]
     qs = exact_quantiles(r, "mtld", [0.25, 0.5, 0.75], by=keys)
     qw = qs.groupBy(*keys).agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(n)

@@ -85,6 +85,12 @@ def shuffle_parts(spark) -> int:
     return int(initial or spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark) -> None:
+    """End Arrow batches at 4 MB: with whole sessions as rows, Spark's 64 MB (and the
+    copies made of them) are most of what a Python worker holds."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def by_session(df, *keys):
     """Deal rows by their session keys before per-row text work, so that the
     windows and aggregates on those keys that follow need no shuffle of their
